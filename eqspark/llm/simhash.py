@@ -86,9 +86,9 @@ def links(distinct: DataFrame) -> DataFrame:
     probes = index.select("fp", "seg", "rest", "key", F.explode(_ball()).alias("mask")).select(F.col("fp").alias("p_fp"), "seg", F.col("rest").alias("p_rest"), F.col("key").bitwiseXOR(F.col("mask")).alias("key"), (F.col("mask") != 0).alias("moved"))
     close = F.bit_count(F.col("p_fp").bitwiseXOR(fp)) <= MAX_BITS
     ordered = lambda df: df.select(F.least("p_fp", "fp").alias("a"), F.greatest("p_fp", "fp").alias("b"))
-    # 1. ordinary buckets: fetch and verify
+    # 1. ordinary buckets: fetch and verify. Sizes are estimated before rows are enlarged, so these joins must not be broadcast
     plain = index.join(full, ["seg", "key"], "left_anti")
-    found = ordered(probes.join(plain, ["seg", "key"]).where(close & (F.col("p_fp") != fp)))
+    found = ordered(probes.join(plain.hint("merge"), ["seg", "key"]).where(close & (F.col("p_fp") != fp)))
     # 2. within a full bucket: members meet at a neighbour of the other segment
     inside = index.join(full, ["seg", "key"])
     at = inside.select("fp", "seg", "key", "rest", F.explode(_ball()).alias("mask")).select("fp", "seg", "key", F.col("rest").bitwiseXOR(F.col("mask")).alias("place"))
@@ -97,7 +97,7 @@ def links(distinct: DataFrame) -> DataFrame:
     # 3. from beside a full bucket, at one bit: one bit is left for the other segment
     beside = probes.where("moved").join(full, ["seg", "key"]).select("p_fp", "seg", "key", F.explode(_ball()).alias("mask"), "p_rest")
     beside = beside.select("p_fp", "seg", "key", F.col("p_rest").bitwiseXOR(F.col("mask")).alias("rest"))
-    across = ordered(beside.join(inside, ["seg", "key", "rest"]).where(close))
+    across = ordered(beside.join(inside.hint("merge"), ["seg", "key", "rest"]).where(close))
     return found.unionByName(within).unionByName(across).distinct()
 
 
