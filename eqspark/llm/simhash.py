@@ -27,11 +27,13 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import materialize
+from .common import materialize, small_side
 
 MAX_BITS = 2
 SEED = 42
 FULL_BUCKET = 64
+#: Fingerprints with more documents than this meet their class apart from the rest, so that no task gets all copies.
+MANY_COPIES = 256
 LOW = 0xFFFFFFFF
 
 
@@ -121,14 +123,18 @@ def components(edges: DataFrame, name: str = "components") -> DataFrame:
 def simhash_components(docs: DataFrame) -> DataFrame:
     """doc_id, fingerprint (16 hex digits), component_id: the smallest doc_id that links of at most 2 bits reach."""
     prints = materialize(fingerprints(docs), "simhash-prints")
-    distinct = materialize(prints.groupBy("fp").agg(F.min("doc_id").alias("least_id")), "simhash-distinct")
+    distinct = materialize(prints.groupBy("fp").agg(F.min("doc_id").alias("least_id"), F.count(F.lit(1)).alias("copies")), "simhash-distinct")
     tree = components(links(distinct.select("fp")), "simhash")
     # only fingerprints with a link to another text are in the tree; the rest are their own class
     linked = materialize(tree.select(F.col("node").alias("fp"), "root").unionByName(tree.select(F.col("root").alias("fp"), "root").distinct()), "simhash-linked")
     classes = distinct.join(linked, "fp").groupBy("root").agg(F.min("least_id").alias("component_id"))
-    ids = distinct.join(linked.join(classes, "root").select("fp", "component_id"), "fp", "left").select("fp", F.coalesce("component_id", "least_id").alias("component_id"))
-    # a fingerprint that a third of all documents share is one row on the side of ids, so AQE splits the other side
-    return prints.join(ids, "fp").select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
+    ids = distinct.join(linked.join(classes, "root").select("fp", "component_id"), "fp", "left").select("fp", F.coalesce("component_id", "least_id").alias("component_id"), "copies")
+    # copies of a frequent text are not sent to one task: the few such fingerprints go to where the documents are
+    many = materialize(ids.where(F.col("copies") > MANY_COPIES).drop("copies"), "simhash-many")
+    n_many = many.count()
+    rare = prints.join(small_side(many.select("fp"), n_many), "fp", "left_anti").join(ids.where(F.col("copies") <= MANY_COPIES).drop("copies"), "fp")
+    placed = rare.unionByName(prints.join(small_side(many, n_many), "fp").select(*rare.columns))
+    return placed.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
 def keep_one(docs: DataFrame) -> DataFrame:
