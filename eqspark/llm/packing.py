@@ -39,27 +39,40 @@ CACHE_WORDS = 250_000
 SCHEMA = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long"
 
 
-def karmarkar_karp(sizes: list[int], k: int) -> tuple[np.ndarray, list[list[int]]]:
-    """Sums and members of k windows, by multiway differencing. Ties: the earlier item first."""
+def karmarkar_karp(sizes: list[int], k: int) -> tuple[np.ndarray, np.ndarray]:
+    """Sums of k windows and the window of each item, by multiway differencing. Ties: the earlier item first.
+
+    A merge keeps sums and their order alone; who went where is read back from the tree of merges at the end.
+    """
+    n = len(sizes)
     if k == 1:
-        return np.array([sum(sizes)]), [list(range(len(sizes)))]
+        return np.array([sum(sizes)]), np.zeros(n, np.int64)
     order = count()
+    merges: list[tuple[int, int, np.ndarray]] = []
     heap = []
     for at, x in enumerate(sizes):
         sums = np.zeros(k, np.int64)
         sums[0] = x
-        groups: list[list[int]] = [[at], *([] for _ in range(k - 1))]
-        heap.append((-x, next(order), sums, groups))
+        heap.append((-x, next(order), sums, at))
     heapq.heapify(heap)
     while len(heap) > 1:
-        _, _, a, in_a = heapq.heappop(heap)
-        _, _, b, in_b = heapq.heappop(heap)
+        _, _, a, node_a = heapq.heappop(heap)
+        _, _, b, node_b = heapq.heappop(heap)
         sums = a + b[::-1]  # both are in falling order
-        joined = [x + y if x and y else x or y for x, y in zip(in_a, reversed(in_b), strict=True)]
         by = np.argsort(-sums, kind="stable")
         sums = sums[by]
-        heapq.heappush(heap, (int(sums[-1] - sums[0]), next(order), sums, [joined[i] for i in by]))
-    return heap[0][2], heap[0][3]
+        merges.append((node_a, node_b, by))
+        heapq.heappush(heap, (int(sums[-1] - sums[0]), next(order), sums, n + len(merges) - 1))
+    labels: dict[int, np.ndarray] = {heap[0][3]: np.arange(k)}
+    window = np.empty(n, np.int64)
+    for node in range(n + len(merges) - 1, n - 1, -1):
+        node_a, node_b, by = merges[node - n]
+        own = np.empty(k, np.int64)
+        own[by] = labels.pop(node)
+        labels[node_a], labels[node_b] = own, own[::-1]
+    for at in range(n):
+        window[at] = labels[at][0]
+    return heap[0][2], window
 
 
 def windows_of(sizes: list[int], capacity: int = WINDOW) -> list[list[int]]:
@@ -68,8 +81,11 @@ def windows_of(sizes: list[int], capacity: int = WINDOW) -> list[list[int]]:
         return []
     k = -(-sum(sizes) // capacity)
     while True:
-        sums, groups = karmarkar_karp(sizes, k)
+        sums, window = karmarkar_karp(sizes, k)
         if sums.max() <= capacity:
+            groups: list[list[int]] = [[] for _ in range(k)]
+            for at, w in enumerate(window):
+                groups[w].append(at)
             return [g for g in groups if g]
         k += 1
 
@@ -127,7 +143,7 @@ def packer(tokenizer_path: str, window: int, piece: int, batch: int, end_id: int
         def deal(pieces: list[tuple]) -> None:
             for group in windows_of([p[2] for p in pieces], window):
                 number, at = next(numbers), 0
-                for i in sorted(group):
+                for i in group:
                     rows.append((*pieces[i], number, at))
                     at += pieces[i][2]
 
