@@ -17,6 +17,7 @@ not read.
 from __future__ import annotations
 
 import heapq
+import struct
 import zlib
 from collections.abc import Callable, Iterator
 from itertools import count
@@ -34,7 +35,9 @@ PIECE = 512
 BATCH = 512
 END_ID = 1
 #: Words whose ids are kept; older ones go in two generations, so memory is bounded.
-CACHE_WORDS = 250_000
+CACHE_WORDS = 1_000_000
+#: Marks that the tokenizer parts from letters before them.
+MARKS = b".,;:!?"
 
 SCHEMA = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long"
 
@@ -94,32 +97,74 @@ class WordIds:
     """Token ids of a text as little-endian bytes. Ids of white-space separated words are kept, as no token spans white space."""
 
     def __init__(self, path: str, keep: int = CACHE_WORDS):
-        from tokenizers import Tokenizer
+        from tokenizers import Tokenizer, normalizers
 
         self.tokenizer = Tokenizer.from_file(path)
         self.tokenizer.no_padding()
         self.tokenizer.no_truncation()
+        # words in ASCII and lower case are already as the normalizer leaves them
+        self.plain = Tokenizer.from_file(path)
+        self.plain.no_padding()
+        self.plain.no_truncation()
+        self.plain.normalizer = normalizers.Sequence([])
         self.keep, self.young, self.old = keep, {}, {}
 
     def encode(self, texts: list[str]) -> list[bytes]:
-        split = [t.encode().split() for t in texts]  # at ASCII white space only, which no token spans
-        missing = {w for words in split for w in set(words)}.difference(self.young)
-        fresh = []
-        for w in missing:
-            if (ids := self.old.get(w)) is not None:
-                self.young[w] = ids
-            else:
-                fresh.append(w)
-        for start in range(0, len(fresh), 4096):
-            part = fresh[start : start + 4096]
-            for w, e in zip(part, self.tokenizer.encode_batch_fast([w.decode() for w in part], add_special_tokens=False), strict=True):
-                self.young[w] = np.array(e.ids, "<u4").tobytes()
-        get = self.young.__getitem__
-        out = [b"".join(map(get, words)) for words in split]
+        split = [_lower(t.encode()).split() for t in texts]  # at ASCII white space only, which no token spans
+        get = self.young.get
+        found = [list(map(get, words)) for words in split]
+        gaps = [[j for j, ids in enumerate(row) if ids is None] if None in row else () for row in found]
+        self._learn({words[j] for words, at in zip(split, gaps, strict=True) for j in at})
+        held = self.young
+        for words, row, at in zip(split, found, gaps, strict=True):
+            for j in at:
+                row[j] = held[words[j]]
+        out = list(map(b"".join, found))
         if len(self.young) > self.keep:
             self.old, self.young = self.young, {}
         return out
 
+    def _learn(self, words: set[bytes]) -> None:
+        """Put ``words`` into the young generation. A word with marks at its end is its stem and the marks, which are tokens apart."""
+        young, old = self.young, self.old
+        fresh: dict[bytes, None] = {}
+        joined = []
+        for w in words:
+            if (ids := old.get(w)) is not None:
+                young[w] = ids
+                continue
+            stem = w.rstrip(MARKS)
+            if stem and stem != w and (stem[-1:].isalnum() or (stem[-1] > 127 and stem.decode()[-1:].isalpha())):
+                marks = w[len(stem) :]
+                joined.append((w, stem, marks))
+                for x in (stem, marks):
+                    if x not in young:
+                        if (ids := old.get(x)) is not None:
+                            young[x] = ids
+                        else:
+                            fresh[x] = None
+            else:
+                fresh[w] = None
+        simple, other = [], []
+        for w in fresh:
+            (simple if min(w) > 32 and max(w) < 127 and w == w.lower() else other).append(w)
+        for tokenizer, todo in ((self.plain, simple), (self.tokenizer, other)):
+            for start in range(0, len(todo), 4096):
+                part = todo[start : start + 4096]
+                for w, e in zip(part, tokenizer.encode_batch_fast([w.decode() for w in part], add_special_tokens=False), strict=True):
+                    young[w] = _bytes_of(e.ids)
+        for w, stem, marks in joined:
+            young[w] = young[stem] + young[marks]
+
+
+def _bytes_of(ids: list[int]) -> bytes:
+    return struct.pack(f"<{len(ids)}I", *ids)
+
+
+def _lower(text: bytes) -> bytes:
+    """A-Z to lower case, as the tokenizer does itself, but for texts that may spell its special tokens."""
+    return text if b"<|" in text else text.lower()
+
 
 _WORD_IDS: dict[str, WordIds] = {}
 
