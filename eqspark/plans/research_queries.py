@@ -145,13 +145,13 @@ def o16_reference_point(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ranking.reference_point(_solutions(spark, sf_dir), "grp").select("grp", "id")
 
 
-CANDIDATES = "candidates AS (SELECT l_orderkey % 499 AS grp, l_suppkey % 5 AS feature, l_shipmode AS mode, CASE l_returnflag WHEN 'A' THEN 'PK' WHEN 'N' THEN 'LS' ELSE 'HS' END AS type, CAST(l_partkey AS DOUBLE) AS f, CAST(l_discount AS DOUBLE) AS gain, CAST(l_quantity AS DOUBLE) AS q, round(CAST(l_extendedprice AS DOUBLE), 2) AS score, l_orderkey AS ordinal FROM lineitem)"
+CANDIDATES = "candidates AS (SELECT l_orderkey % 499 AS grp, l_suppkey % 5 AS feature, l_linestatus AS mode, CASE l_returnflag WHEN 'A' THEN 'PK' WHEN 'N' THEN 'LS' ELSE 'HS' END AS type, CAST(l_partkey AS DOUBLE) AS f, CAST(l_discount AS DOUBLE) AS gain, CAST(l_quantity AS DOUBLE) AS q, round(CAST(l_extendedprice AS DOUBLE), 2) AS score, l_orderkey AS ordinal FROM lineitem)"
 
 
 def _candidates(spark: SparkSession, sf_dir: str) -> DataFrame:
     d = lambda c: F.col(c).cast("double")
     kind = F.when(F.col("l_returnflag") == "A", "PK").when(F.col("l_returnflag") == "N", "LS").otherwise("HS")
-    return bridge.table(spark, sf_dir, "lineitem").select((F.col("l_orderkey") % 499).alias("grp"), (F.col("l_suppkey") % 5).alias("feature"), F.col("l_shipmode").alias("mode"), kind.alias("type"), d("l_partkey").alias("f"), d("l_discount").alias("gain"), d("l_quantity").alias("q"), F.round(d("l_extendedprice"), 2).alias("score"), F.col("l_orderkey").alias("ordinal"))
+    return bridge.table(spark, sf_dir, "lineitem").select((F.col("l_orderkey") % 499).alias("grp"), (F.col("l_suppkey") % 5).alias("feature"), F.col("l_linestatus").alias("mode"), kind.alias("type"), d("l_partkey").alias("f"), d("l_discount").alias("gain"), d("l_quantity").alias("q"), F.round(d("l_extendedprice"), 2).alias("score"), F.col("l_orderkey").alias("ordinal"))
 
 
 _BEST = "score DESC, f, CASE type WHEN 'LS' THEN 0 WHEN 'PK' THEN 1 ELSE 2 END, gain, q, ordinal"
@@ -200,7 +200,7 @@ def d14_duplicate_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
 _GAP = 3_600_000  # an hour: events are sparse
 
 
-@query(f"""WITH e AS (SELECT user_id AS cell, ts, event_type, epoch_us(ts) - lag(epoch_us(ts)) OVER (PARTITION BY user_id ORDER BY ts) > {_GAP} * 1000 AS fresh FROM events),
+@query(f"""WITH e AS (SELECT user_id AS cell, ts, event_type, epoch_us(ts) - lag(epoch_us(ts)) OVER (PARTITION BY user_id ORDER BY ts) > {_GAP * 1000} AS fresh FROM events),
 s AS (SELECT *, sum(CAST(coalesce(fresh, TRUE) AS INTEGER)) OVER (PARTITION BY cell ORDER BY ts) AS burst FROM e)
 SELECT cell, epoch_us(min(ts)) AS first_us, epoch_us(max(ts)) AS last_us, count(*) AS n, arg_max(event_type, (ts, event_type)) AS value FROM s GROUP BY cell, burst""")
 def t2_debounce(spark: SparkSession, sf_dir: str) -> DataFrame:

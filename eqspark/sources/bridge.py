@@ -43,7 +43,7 @@ def filters(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def checkpoints(spark: SparkSession, sf_dir: str) -> DataFrame:
     """cell, elapsed_ms (since the cell's first event), rmse, max_abs of the events."""
-    e = table(spark, sf_dir, "events").select(F.col("user_id").alias("cell"), "ts", F.col("value").cast("double").alias("value"), "event_id")
+    e = table(spark, sf_dir, "events").select(F.col("user_id").alias("cell"), F.col("ts").cast("timestamp").alias("ts"), F.col("value").cast("double").alias("value"), "event_id")
     start = F.min("ts").over(Window.partitionBy("cell"))
     ms = F.floor((F.unix_micros("ts") - F.unix_micros(start)) / 1000000).cast("long")
     rmse = F.round(F.col("value") / 100e0, 6)
