@@ -24,7 +24,7 @@ def clean_lines(text: Column) -> Column:
 
 
 def columns_of(line: Column, pattern: str) -> Column:
-    return F.transform(F.split(line, pattern), F.trim)
+    return F.transform(F.split(line, pattern), lambda c: F.trim(c))  # a bare F.trim would take the place as its second argument
 
 
 def is_number(token: Column) -> Column:
