@@ -75,19 +75,33 @@ def chance(doc_id: Column) -> Column:
     return F.conv(F.substring(F.md5(F.concat(F.lit(SEED), F.coalesce(doc_id.cast("string"), F.lit("")))), 1, 12), 16, 10).cast("double") / float(1 << 48)
 
 
+def _with_probability(seen: DataFrame, source: DataFrame, ratio_floor: float) -> DataFrame:
+    """``seen`` with _mix_p of its cell; ``source`` has the features of all rows and gives the cells."""
+    cells = source.groupBy(F.col("_eq_source").alias("source"), F.col("_eq_lang").alias("lang"), F.col("_eq_topic").alias("topic")).agg(F.sum("_eq_tokens").alias("tokens"))
+    cells = materialize(cells, "mix-counts")
+    n = cells.count()
+    p = rake(cells).select(F.struct("source", "lang", "topic").alias("_cell"), F.greatest(F.col("p"), F.lit(ratio_floor)).alias("_mix_p"))
+    return seen.join(small_side(p, n), F.struct(F.col("_eq_source").alias("source"), F.col("_eq_lang").alias("lang"), F.col("_eq_topic").alias("topic")).eqNullSafe(F.col("_cell")), "left")
+
+
 def mix(docs: DataFrame, topic: Column | None = None, ratio_floor: float = RATIO_FLOOR) -> DataFrame:
     """The columns of ``docs`` (doc_id, text, source, lang and any others) and _mix_tokens, _mix_topic, _mix_p, _mix_kept for each row."""
     topic = topic_by_form(F.col("text")) if topic is None else topic
     seen = docs.withColumns(_features(docs, topic))
-    cells = seen.groupBy(F.col("_eq_source").alias("source"), F.col("_eq_lang").alias("lang"), F.col("_eq_topic").alias("topic")).agg(F.sum("_eq_tokens").alias("tokens"))
-    cells = materialize(cells, "mix-counts")
-    n = cells.count()
-    p = rake(cells).select(F.struct("source", "lang", "topic").alias("_cell"), F.greatest(F.col("p"), F.lit(ratio_floor)).alias("_mix_p"))
-    out = seen.join(small_side(p, n), F.struct(F.col("_eq_source").alias("source"), F.col("_eq_lang").alias("lang"), F.col("_eq_topic").alias("topic")).eqNullSafe(F.col("_cell")), "left")
+    out = _with_probability(seen, seen, ratio_floor)
     own = [F.col(f"`{c}`") for c in docs.columns]
     return out.select(*own, F.col("_eq_tokens").alias("_mix_tokens"), F.col("_eq_topic").alias("_mix_topic"), "_mix_p", (chance(F.col("doc_id")) < F.col("_mix_p")).alias("_mix_kept"))
 
 
+def decisions(docs: DataFrame, topic: Column | None = None, ratio_floor: float = RATIO_FLOOR) -> DataFrame:
+    """doc_id, n_tokens, topic, probability, kept of each row: texts are read once, and only their features are kept."""
+    topic = topic_by_form(F.col("text")) if topic is None else topic
+    features = _features(docs, topic)
+    seen = materialize(docs.withColumns(features).select("doc_id", *features), "mix-features")
+    out = _with_probability(seen, seen, ratio_floor)
+    return out.select("doc_id", F.col("_eq_tokens").alias("n_tokens"), F.col("_eq_topic").alias("topic"), F.round("_mix_p", 9).alias("probability"), (chance(F.col("doc_id")) < F.col("_mix_p")).alias("kept"))
+
+
 def keep_mixed(docs: DataFrame) -> DataFrame:
     """The rows of ``docs`` that the sample takes."""
     return mix(docs).where("_mix_kept").drop("_mix_tokens", "_mix_topic", "_mix_p", "_mix_kept")

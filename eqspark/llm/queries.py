@@ -44,8 +44,7 @@ def op6_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op7_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
-    found = mixing.mix(table(spark, sf_dir, "documents"))
-    return found.selectExpr("doc_id", "_mix_tokens AS n_tokens", "_mix_topic AS topic", "round(_mix_p, 9) AS probability", "_mix_kept AS kept")
+    return mixing.decisions(table(spark, sf_dir, "documents"))
 
 
 def op8_rule_ensemble(spark: SparkSession, sf_dir: str) -> DataFrame:
