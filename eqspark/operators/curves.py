@@ -98,7 +98,7 @@ def valid_points(points: DataFrame, key: str = "curve_id") -> DataFrame:
 
 
 def coverage(points: DataFrame, key: str = "curve_id") -> DataFrame:
-    """key, lo, hi, covers: whether the curve spans the workbench range."""
+    """key, lo, hi, covers: whether the curve spans the whole range."""
     return points.groupBy(key).agg(F.min("f").alias("lo"), F.max("f").alias("hi")).withColumn("covers", (F.col("lo") <= 20) & (F.col("hi") >= 20_000))
 
 

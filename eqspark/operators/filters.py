@@ -184,9 +184,9 @@ def type_order() -> Column:
 
 
 def finalize(filters: DataFrame) -> DataFrame:
-    """Filters in delivery order with new ids ``autoeq-n``: by frequency, type, |gain|, Q, then their old order."""
+    """Filters in delivery order with new ids ``fit-n``: by frequency, type, |gain|, Q, then their old order."""
     w = Window.partitionBy("preset_id").orderBy("f", type_order(), F.abs("gain"), "q", "ordinal")
-    return filters.withColumn("place", F.row_number().over(w)).withColumn("filter_id", F.concat(F.lit("autoeq-"), F.col("place")))
+    return filters.withColumn("place", F.row_number().over(w)).withColumn("filter_id", F.concat(F.lit("fit-"), F.col("place")))
 
 
 def sort_by_frequency(filters: DataFrame) -> DataFrame:

@@ -140,7 +140,7 @@ def p24_clamp_envelope(spark: SparkSession, sf_dir: str) -> DataFrame:
 _TYPE = "CASE type WHEN 'LS' THEN 0 WHEN 'PK' THEN 1 ELSE 2 END"
 
 
-@query(with_views("filters") + f"SELECT preset_id, ordinal, CAST(row_number() OVER (PARTITION BY preset_id ORDER BY f, {_TYPE}, abs(gain), q, ordinal) AS INTEGER) AS place, concat('autoeq-', row_number() OVER (PARTITION BY preset_id ORDER BY f, {_TYPE}, abs(gain), q, ordinal)) AS filter_id FROM filters")
+@query(with_views("filters") + f"SELECT preset_id, ordinal, CAST(row_number() OVER (PARTITION BY preset_id ORDER BY f, {_TYPE}, abs(gain), q, ordinal) AS INTEGER) AS place, concat('fit-', row_number() OVER (PARTITION BY preset_id ORDER BY f, {_TYPE}, abs(gain), q, ordinal)) AS filter_id FROM filters")
 def o3_finalize(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ops.finalize(bridge.filters(spark, sf_dir)).select("preset_id", "ordinal", "place", "filter_id")
 

@@ -144,17 +144,17 @@ def run_states(events: DataFrame) -> DataFrame:
 
 def after_edit(solution: Column) -> Column:
     """Solution state after a manual edit: a solved or stale one becomes modified."""
-    return F.when(solution.isin("autoeq", "stale"), "modified").otherwise(solution)
+    return F.when(solution.isin("fitted", "stale"), "modified").otherwise(solution)
 
 
 def after_normalization(solution: Column) -> Column:
     """Solution state after the normalization changed: a solved one no longer fits."""
-    return F.when(solution == "autoeq", "stale").otherwise(solution)
+    return F.when(solution == "fitted", "stale").otherwise(solution)
 
 
 def restored(solution: Column, then_fr: Column, then_target: Column, now_fr: Column, now_target: Column) -> Column:
     """A restored solved state is stale if other curves are active now."""
-    return F.when((solution == "autoeq") & ~(then_fr.eqNullSafe(now_fr) & then_target.eqNullSafe(now_target)), "stale").otherwise(solution)
+    return F.when((solution == "fitted") & ~(then_fr.eqNullSafe(now_fr) & then_target.eqNullSafe(now_target)), "stale").otherwise(solution)
 
 
 @dataclass
