@@ -17,6 +17,7 @@ not read.
 from __future__ import annotations
 
 import heapq
+import os
 import struct
 import zlib
 from collections.abc import Callable, Iterator
@@ -169,17 +170,20 @@ def _lower(text: bytes) -> bytes:
 _WORD_IDS: dict[str, WordIds] = {}
 
 
+def shared_word_ids(path: str) -> WordIds:
+    """The worker process's cache. A function of the module is sent by name, so it finds the module's own dictionary in every task."""
+    os.environ["TOKENIZERS_PARALLELISM"] = "false"
+    if path not in _WORD_IDS:
+        _WORD_IDS[path] = WordIds(path)
+    return _WORD_IDS[path]
+
+
 def packer(tokenizer_path: str, window: int, piece: int, batch: int, end_id: int) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
     end = np.array([end_id], "<u4").tobytes()
     names = [x.split()[0] for x in SCHEMA.split(", ")]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        import os
-
-        os.environ["TOKENIZERS_PARALLELISM"] = "false"
-        # one cache for each worker process
-        ids_of = _WORD_IDS.setdefault(tokenizer_path, None) or WordIds(tokenizer_path)
-        _WORD_IDS[tokenizer_path] = ids_of
+        ids_of = shared_word_ids(tokenizer_path)
         first = TaskContext.get().partitionId() << 40
         numbers = count(first)
         waiting: list[tuple] = []
