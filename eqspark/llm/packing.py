@@ -108,6 +108,7 @@ class WordIds:
         self.plain.no_padding()
         self.plain.no_truncation()
         self.plain.normalizer = normalizers.Sequence([])
+        (self.mark,) = self.plain.encode("|", add_special_tokens=False).ids
         self.keep, self.young, self.old = keep, {}, {}
 
     def encode(self, texts: list[str]) -> list[bytes]:
@@ -148,12 +149,20 @@ class WordIds:
                 fresh[w] = None
         simple, other = [], []
         for w in fresh:
-            (simple if min(w) > 32 and max(w) < 127 and w == w.lower() else other).append(w)
-        for tokenizer, todo in ((self.plain, simple), (self.tokenizer, other)):
-            for start in range(0, len(todo), 4096):
-                part = todo[start : start + 4096]
-                for w, e in zip(part, tokenizer.encode_batch_fast([w.decode() for w in part], add_special_tokens=False), strict=True):
-                    young[w] = _bytes_of(e.ids)
+            (simple if min(w) > 32 and max(w) < 124 and w == w.lower() else other).append(w)
+        # plain words go in one text with a mark between them that is a token by itself and that none of them holds ("|" is 124)
+        for start in range(0, len(simple), 4096):
+            part = simple[start : start + 4096]
+            ids = np.array(self.plain.encode_batch_fast([" | ".join([w.decode() for w in part])], add_special_tokens=False)[0].ids, "<u4")
+            data, ends = ids.tobytes(), (4 * np.flatnonzero(ids == self.mark)).tolist()
+            at = 0
+            for w, end in zip(part, [*ends, len(data)], strict=True):
+                young[w] = data[at:end]
+                at = end + 4
+        for start in range(0, len(other), 4096):
+            part = other[start : start + 4096]
+            for w, e in zip(part, self.tokenizer.encode_batch_fast([w.decode() for w in part], add_special_tokens=False), strict=True):
+                young[w] = _bytes_of(e.ids)
         for w, stem, marks in joined:
             young[w] = young[stem] + young[marks]
 
