@@ -29,7 +29,9 @@ SCALE = 1024
 TOP = 10
 QUERY_STEP = 100
 QUERY_BLOCK = 512
-CANDIDATE_BLOCK = 8192
+CANDIDATE_BLOCK = 4096
+#: Candidate blocks are dealt over so many keys; each key has all query blocks.
+DEALS = 64
 SCHEMA = "query_id long, vec_id long, score long"
 
 
@@ -129,9 +131,10 @@ def top_k(embeddings: DataFrame, k: int = TOP, query_step: int = QUERY_STEP) ->
     queries = rows.where(F.col("vec_id") % query_step == 0)
     parts = max(1, -(-queries.count() // QUERY_BLOCK))
     q = queries.repartition(parts).mapInArrow(_blocks("q", QUERY_BLOCK), "q_ids binary, q_data binary, dim int")
-    c = rows.mapInArrow(_blocks("c", CANDIDATE_BLOCK), "c_ids binary, c_data binary, dim int").repartition(max(2, rows.sparkSession.sparkContext.defaultParallelism))
+    c = rows.mapInArrow(_blocks("c", CANDIDATE_BLOCK), "c_ids binary, c_data binary, dim int").withColumn("deal", F.pmod(F.xxhash64("c_ids"), F.lit(DEALS)).cast("int"))
+    q = q.withColumn("deal", F.explode(F.sequence(F.lit(0), F.lit(DEALS - 1))))
     # blocks against blocks: a stated query set against all rows
-    met = c.join(q, "dim").select("q_ids", "q_data", "c_ids", "c_data", "dim")
+    met = c.join(q.hint("merge"), ["dim", "deal"]).select("q_ids", "q_data", "c_ids", "c_data", "dim")
     found = met.mapInArrow(_searcher(k), SCHEMA)
     order = Window.partitionBy("query_id").orderBy(F.col("score").desc(), F.col("vec_id"))
     return found.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
