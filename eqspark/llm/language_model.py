@@ -1,7 +1,7 @@
 """Recurrent language-model scoring: a gated recurrent network with a class-factored softmax, in numpy.
 
-Counts of every training word come from the whole corpus. The ``SHORT`` most frequent words and the document end form frequency
-classes, each word with its own output within its class; every other word belongs to one of a few tail classes by its
+Counts of every training word come from the whole corpus. The most frequent words (``SHORT`` at least, more as the vocabulary
+grows) and the document end form frequency classes, each word with its own output within its class; every other word belongs to one of a few tail classes by its
 form (length, last character, non-ASCII letters), and within such a class a word has its add-one corpus frequency. A token's
 probability is P(class | state) * P(word | class, state). The network is trained by truncated backpropagation
 on at most ``TRAIN_TOKENS`` tokens of the training documents with the smallest id hashes; scoring carries the
@@ -17,6 +17,7 @@ probability 1 in the base (log10(1/1)); an empty table gives no rows; extra colu
 from __future__ import annotations
 
 import heapq
+import math
 from collections import Counter
 from collections.abc import Iterator
 
@@ -29,13 +30,14 @@ from . import gru
 from .common import materialize
 
 HELD_OUT_MOD, HELD_OUT_REST = 7, 2
-SHORT = 1000
-N_CLASSES = 24
+#: The short list of a small vocabulary and its classes; ``short_size`` grows both.
+SHORT = 2000
+N_CLASSES = 40
 HOT = 100_000
 TRAIN_TOKENS = 600_000
 TRAIN_DOCS = 2000
 EPOCHS = 2
-EMBED, HIDDEN = 16, 24
+EMBED, HIDDEN = 24, 32
 LANES, WINDOW = 64, 32
 SCORE_LANES, SCORE_WINDOW = 256, 32
 CHUNK_TOKENS = 400_000
@@ -82,6 +84,12 @@ def count_words(docs: DataFrame) -> DataFrame:
     return train.mapInArrow(_count, "word binary, tail int, c long").groupBy("word").agg(F.first("tail").alias("tail"), F.sum("c").alias("c"))
 
 
+def short_size(types: int) -> tuple[int, int]:
+    """(words, classes) of the short list: twice the root of the number of distinct words, ``SHORT`` at least and ``HOT`` at most; classes by the root."""
+    short = min(HOT, max(SHORT, 2 * math.isqrt(types)))
+    return short, round(N_CLASSES * math.sqrt(short / SHORT))
+
+
 class Vocabulary:
     """Ids: 0 the end, 1..short words by frequency, then one for each tail class. Bounded by ``HOT``."""
 
@@ -339,7 +347,7 @@ def score_documents(docs: DataFrame) -> DataFrame:
     total, types = sum(n for n, _ in tails.values()), sum(v for _, v in tails.values())
     end_count = tails.pop(-1, (0, 0))[0]
     hot = [(bytes(r["word"]), r["c"]) for r in counts.where("tail >= 0").orderBy(F.col("c").desc(), "word").limit(HOT).select("word", "c").collect()]
-    v = Vocabulary(hot, end_count, tails)
+    v = Vocabulary(hot, end_count, tails, *short_size(types))
     weights = scoring_weights(train(sample(docs, v), v))
     logs = np.log(np.array([c + 1.0 for _, c in hot] + [1.0]))
     tail_of_hot = np.array([tail_class(w) for w, _ in hot] + [0], np.int64)

@@ -121,6 +121,12 @@ def test_language_model(spark, odd, none):
     assert language_model.score_documents(odd).count() == 8 and language_model.score_documents(none).count() == 0
 
 
+def test_language_model_short_list_grows():
+    assert language_model.short_size(0) == (2000, 40) and language_model.short_size(10**6) == (2000, 40)
+    assert language_model.short_size(4 * 10**6) == (4000, 57) and language_model.short_size(10**12) == (language_model.HOT, 283)
+    assert (language_model.EMBED, language_model.HIDDEN) == (24, 32)
+
+
 def test_language_model_windows_do_not_matter():
     rng = np.random.default_rng(0)
     hot = [(b"w%d" % i, 50 - i) for i in range(30)]
