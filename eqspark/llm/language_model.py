@@ -4,7 +4,8 @@ Counts of every training word come from the whole corpus. The most frequent word
 grows) and the document end form frequency classes, each word with its own output within its class; every other word belongs to one of a few tail classes by its
 form (length, last character, non-ASCII letters), and within such a class a word has its add-one corpus frequency. A token's
 probability is P(class | state) * P(word | class, state). The network is trained by truncated backpropagation
-on at most ``TRAIN_TOKENS`` tokens of the training documents with the smallest id hashes; scoring carries the
+on all training documents: it starts from ``EPOCHS`` epochs on the driver over a sample of at most ``TRAIN_TOKENS`` tokens, and then
+every training token is passed once by distributed workers, in ``ROUNDS`` rounds whose weights are averaged by tokens. Scoring carries the
 state over windows from a document's first token to its end, so a score is the log-likelihood of the whole text.
 
 Only the ``HOT`` most frequent words are broadcast. Other words' counts are joined to their documents by a shuffle.
@@ -34,9 +35,14 @@ HELD_OUT_MOD, HELD_OUT_REST = 7, 2
 SHORT = 2000
 N_CLASSES = 40
 HOT = 100_000
+#: The sample that gives the first weights; all training tokens follow.
 TRAIN_TOKENS = 600_000
 TRAIN_DOCS = 2000
 EPOCHS = 2
+#: Tokens that one worker trains on between two averages, and averages in the pass over all training tokens.
+SHARD_TOKENS = 2_000_000
+ROUNDS = 4
+RATE, PASS_RATE = 0.008, 0.004
 EMBED, HIDDEN = 24, 32
 LANES, WINDOW = 64, 32
 SCORE_LANES, SCORE_WINDOW = 256, 32
@@ -156,32 +162,37 @@ def log_likelihood(h: np.ndarray, target: np.ndarray, p: dict[str, np.ndarray],
     return out
 
 
-def train(sequences: list[np.ndarray], v: Vocabulary, epochs: int = EPOCHS, lanes: int = LANES, window: int = WINDOW) -> dict[str, np.ndarray]:
-    """Truncated backpropagation over documents laid end to end in ``lanes``; the state is carried over windows and reset at documents."""
-    p = initial(v)
+def train(sequences: list[np.ndarray], v: Vocabulary, epochs: int = EPOCHS, lanes: int = LANES, window: int = WINDOW, start: dict[str, np.ndarray] | None = None, rates: tuple[float, float] = (RATE, 0.1 * RATE)) -> dict[str, np.ndarray]:
+    """Truncated backpropagation over documents laid end to end in ``lanes``; the state is carried over windows and reset at documents.
+
+    Starts from the weights ``start``, or anew; the learning rate falls from the first to the last of ``rates``.
+    """
+    p = initial(v) if start is None else {k: x.copy() for k, x in start.items()}
     if not sequences:
         return p
-    freq = np.bincount(v.class_of_ids(np.concatenate(sequences)), minlength=v.n_out) + 1.0
-    p["bc"] = np.log(freq / freq.sum()).astype(np.float32)
-    words = np.bincount(np.minimum(np.concatenate(sequences), v.n_short), minlength=v.n_short + 1)[: v.n_short] + 1.0
-    p["bo"] = np.log(words).astype(np.float32)
     flat = np.concatenate(sequences)
+    if start is None:
+        freq = np.bincount(v.class_of_ids(flat), minlength=v.n_out) + 1.0
+        p["bc"] = np.log(freq / freq.sum()).astype(np.float32)
+        words = np.bincount(np.minimum(flat, v.n_short), minlength=v.n_short + 1)[: v.n_short] + 1.0
+        p["bo"] = np.log(words).astype(np.float32)
     starts = np.zeros(len(flat), bool)
     starts[np.cumsum([0, *map(len, sequences[:-1])])] = True
     lanes = max(1, min(lanes, len(flat) // window))
-    n = len(flat) // lanes
+    n = -(-len(flat) // lanes)  # what does not fill the last lane is filled from the start, so no token is left out
+    flat, starts = np.resize(flat, n * lanes), np.resize(starts, n * lanes)
     y = flat[: n * lanes].reshape(lanes, n).T
     begin = starts[: n * lanes].reshape(lanes, n).T.copy()
     begin[0] = True
     x = np.zeros_like(y)  # the token before, the end token at a document's start
     x[1:] = y[:-1]
     x[begin] = 0
-    best, adam = p, gru.Adam(p, 0.008)
-    steps = max(1, epochs * (n // window))
+    best, adam = p, gru.Adam(p, rates[0])
+    steps = epochs * -(-n // window)
     for epoch in range(epochs):
         h = np.zeros((lanes, HIDDEN), np.float32)
-        for at in range(0, max(1, n - window + 1), window):
-            adam.rate = 0.008 * (1 - 0.9 * adam.t / steps)
+        for at in range(0, n, window):
+            adam.rate = rates[0] + (rates[1] - rates[0]) * adam.t / steps
             h = _train_window(x[at : at + window], y[at : at + window], begin[at : at + window], h, p, v, adam)
     return best
 
@@ -338,6 +349,99 @@ def sample(docs: DataFrame, v: Vocabulary) -> list[np.ndarray]:
     return found
 
 
+def _pack(p: dict[str, np.ndarray]) -> np.ndarray:
+    return np.concatenate([p[k].reshape(-1) for k in sorted(p)]).astype(np.float64)
+
+
+def _unpack(flat: np.ndarray, like: dict[str, np.ndarray]) -> dict[str, np.ndarray]:
+    out, at = {}, 0
+    for k in sorted(like):
+        out[k] = flat[at : at + like[k].size].reshape(like[k].shape).astype(np.float32)
+        at += like[k].size
+    return out
+
+
+def _part_trainer(shared, chunk_tokens: int):
+    """Weights times tokens of each chunk of a shard, trained from the shared weights. A shard is one chunk unless rows repeat greatly."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        v, p, rates = shared.value["v"], shared.value["p"], shared.value["rates"]
+        found: list[np.ndarray] = []
+        n, now, chunk = 0, None, 0
+
+        def done() -> pa.RecordBatch:
+            w = _pack(train(found, v, 1, start=p, rates=rates)) * n
+            return pa.RecordBatch.from_arrays([pa.array([now], pa.int64()), pa.array([chunk], pa.int64()), pa.array([n], pa.int64()), pa.array([w.tobytes()], pa.binary())], ["shard", "chunk", "n", "w"])
+
+        for b in batches:
+            for shard, ids in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
+                if found and (shard != now or n >= chunk_tokens):
+                    yield done()
+                    found, n, chunk = [], 0, chunk + 1 if shard == now else 0
+                now = shard
+                found.append(np.frombuffer(ids, np.int32))
+                n += len(found[-1])
+        if found:
+            yield done()
+
+    return run
+
+
+PART = "shard long, chunk long, n long, w binary"
+
+
+def _add_parts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    w, n, first = None, 0, None
+    for b in batches:
+        for shard, size, x in zip(b.column(0).to_pylist(), b.column(2).to_pylist(), b.column(3), strict=True):
+            x = np.frombuffer(x.as_buffer(), np.float64)
+            w, n, first = x if w is None else w + x, n + size, shard if first is None else first
+    if w is not None:
+        yield pa.RecordBatch.from_arrays([pa.array([first], pa.int64()), pa.array([0], pa.int64()), pa.array([n], pa.int64()), pa.array([w.tobytes()], pa.binary())], ["shard", "chunk", "n", "w"])
+
+
+def train_all(docs: DataFrame, v: Vocabulary, start: dict[str, np.ndarray], n_tokens: int, shard_tokens: int = SHARD_TOKENS, rounds: int = ROUNDS) -> tuple[dict[str, np.ndarray], int]:
+    """(weights, tokens trained on) after a pass over all training documents.
+
+    Documents are dealt into shards of about ``shard_tokens`` by a hash of id and text, so weights do not depend on the table's layout. In each
+    round the workers train its shards from the same weights, and the average by tokens starts the next round.
+    """
+    spark = docs.sparkSession
+    shards = -(-n_tokens // shard_tokens)
+    rounds = min(rounds, shards)
+    context = spark.sparkContext
+    vocabulary = context.broadcast(v)
+
+    def to_ids(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            out = [_to_ids(tokens(t), vocabulary.value).tobytes() for t in b.column(1).to_pylist()]
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(out, pa.binary())], ["h", "ids"])
+
+    h = F.xxhash64(F.col("doc_id").cast("long"), F.col("text").cast("string"), F.lit("lm-pass"))
+    rows = docs.where(~held_out(F.col("doc_id"))).select(h.alias("h"), F.col("text").cast("string"))
+    dealt = rows.mapInArrow(to_ids, "h long, ids binary").withColumn("shard", F.pmod("h", F.lit(shards)))
+    dealt = materialize(dealt.withColumn("round", F.pmod("shard", F.lit(rounds))), "lm-ids")
+    lean = Vocabulary.__new__(Vocabulary)
+    lean.__dict__ |= {k: x for k, x in v.__dict__.items() if k not in ("words", "ids", "counts")}
+    p, seen = start, 0
+    for r in range(rounds):
+        rates = tuple(PASS_RATE * (1 - 0.9 * k / rounds) for k in (r, r + 1))
+        shared = context.broadcast({"v": lean, "p": p, "rates": rates})
+        here = -(-(shards - r) // rounds)
+        part = F.floor(F.col("shard") / rounds).cast("int")
+        mine = dealt.where(F.col("round") == r).repartitionById(here, part).sortWithinPartitions("shard", "h", "ids").select("shard", "ids")
+        parts = materialize(mine.mapInArrow(_part_trainer(shared, 2 * shard_tokens), PART), "lm-part")
+        groups = max(1, math.isqrt(here))
+        sums = parts.repartitionById(groups, F.pmod(F.floor(F.col("shard") / rounds), F.lit(groups)).cast("int")).sortWithinPartitions("shard", "chunk").mapInArrow(_add_parts, PART)
+        total, n = None, 0
+        for row in materialize(sums, "lm-sum").sort("shard").toLocalIterator():
+            x = np.frombuffer(row["w"], np.float64)
+            total, n = x if total is None else total + x, n + row["n"]
+        if n:
+            p, seen = _unpack(total / n, p), seen + n
+    return p, seen
+
+
 def score_documents(docs: DataFrame) -> DataFrame:
     """doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score of each row of ``docs`` (doc_id, text)."""
     spark = docs.sparkSession
@@ -348,7 +452,11 @@ def score_documents(docs: DataFrame) -> DataFrame:
     end_count = tails.pop(-1, (0, 0))[0]
     hot = [(bytes(r["word"]), r["c"]) for r in counts.where("tail >= 0").orderBy(F.col("c").desc(), "word").limit(HOT).select("word", "c").collect()]
     v = Vocabulary(hot, end_count, tails, *short_size(types))
-    weights = scoring_weights(train(sample(docs, v), v))
+    first = sample(docs, v)
+    trained = train(first, v)
+    if sum(map(len, first)) < total:
+        trained, _ = train_all(docs, v, trained, total)
+    weights = scoring_weights(trained)
     logs = np.log(np.array([c + 1.0 for _, c in hot] + [1.0]))
     tail_of_hot = np.array([tail_class(w) for w, _ in hot] + [0], np.int64)
     lean = Vocabulary.__new__(Vocabulary)

@@ -127,6 +127,30 @@ def test_language_model_short_list_grows():
     assert (language_model.EMBED, language_model.HIDDEN) == (24, 32)
 
 
+def test_language_model_trains_on_all_documents(spark):
+    table = spark.read.parquet(f"{DATA}/documents.parquet").select("doc_id", "text")
+    counts: Counter = Counter()
+    texts = {True: [], False: []}
+    for i, t in table.collect():
+        texts[zlib.crc32(str(i).encode()) % 7 == 2].append(language_model.tokens(t))
+    for words in texts[False]:
+        counts.update(words)
+    total = sum(counts.values()) + len(texts[False])
+    tails: dict = {}
+    for w, c in counts.items():
+        n, k = tails.get(language_model.tail_class(w), (0, 0))
+        tails[language_model.tail_class(w)] = (n + c, k + 1)
+    v = language_model.Vocabulary(counts.most_common(5000), len(texts[False]), tails, 500, 20)
+    ids = {held: [language_model._to_ids(words, v) for words in texts[held]] for held in texts}
+    start = language_model.train(ids[False][:3], v)
+    got, seen = language_model.train_all(table, v, start, total, total // 6, 2)
+    assert seen == total
+    other, _ = language_model.train_all(table.repartition(3), v, start, total, total // 6, 2)
+    assert all(np.array_equal(got[k], other[k]) for k in got)
+    score = lambda p: language_model.score_sequences(ids[True], language_model.scoring_weights(p), v).sum()
+    assert score(got) > score(start)
+
+
 def test_language_model_windows_do_not_matter():
     rng = np.random.default_rng(0)
     hot = [(b"w%d" % i, 50 - i) for i in range(30)]
