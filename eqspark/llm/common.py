@@ -6,7 +6,7 @@ import os
 import tempfile
 import uuid
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 #: White space is space, tab, newline, vertical tab, form feed, carriage return; a word is a run of anything else.
@@ -36,6 +36,22 @@ def materialize(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def numbered(docs: DataFrame, name: str) -> DataFrame:
+    """row_id, row_ (the columns of ``docs`` as c0, c1, ...), written, so that a row keeps its number however often it is read."""
+    row = F.struct(*[F.col(f"`{c}`").alias(f"c{k}") for k, c in enumerate(docs.columns)])
+    return materialize(docs.select(F.monotonically_increasing_id().alias("row_id"), row.alias("row_")), name)
+
+
+def field(docs: DataFrame, column: str) -> Column:
+    """A column of ``docs`` in ``numbered`` rows."""
+    return F.col("row_")[f"c{docs.columns.index(column)}"]
+
+
+def plain(rows: DataFrame, docs: DataFrame) -> DataFrame:
+    """``numbered`` rows with the columns of ``docs`` again."""
+    return rows.select(*[F.col("row_")[f"c{k}"].alias(c) for k, c in enumerate(docs.columns)])
+
+
 def cleanup(spark: SparkSession) -> None:
     """Delete what ``materialize`` wrote in this application; call it once results are written."""
     jvm = spark.sparkContext._jvm

@@ -27,7 +27,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import materialize, small_side
+from .common import field, materialize, numbered, plain, small_side
 
 MAX_BITS = 2
 SEED = 42
@@ -120,13 +120,17 @@ def components(edges: DataFrame, name: str = "components") -> DataFrame:
         edges = new
 
 
+def roots(distinct: DataFrame) -> DataFrame:
+    """fp, root of the fingerprints with a link to another text; the rest are their own class."""
+    tree = components(links(distinct.select("fp")), "simhash")
+    return materialize(tree.select(F.col("node").alias("fp"), "root").unionByName(tree.select(F.col("root").alias("fp"), "root").distinct()), "simhash-linked")
+
+
 def simhash_components(docs: DataFrame) -> DataFrame:
     """doc_id, fingerprint (16 hex digits), component_id: the smallest doc_id that links of at most 2 bits reach."""
     prints = materialize(fingerprints(docs), "simhash-prints")
     distinct = materialize(prints.groupBy("fp").agg(F.min("doc_id").alias("least_id"), F.count(F.lit(1)).alias("copies")), "simhash-distinct")
-    tree = components(links(distinct.select("fp")), "simhash")
-    # only fingerprints with a link to another text are in the tree; the rest are their own class
-    linked = materialize(tree.select(F.col("node").alias("fp"), "root").unionByName(tree.select(F.col("root").alias("fp"), "root").distinct()), "simhash-linked")
+    linked = roots(distinct)
     classes = distinct.join(linked, "fp").groupBy("root").agg(F.min("least_id").alias("component_id"))
     ids = distinct.join(linked.join(classes, "root").select("fp", "component_id"), "fp", "left").select("fp", F.coalesce("component_id", "least_id").alias("component_id"), "copies")
     # copies of a frequent text are not sent to one task: the few such fingerprints go to where the documents are
@@ -138,9 +142,16 @@ def simhash_components(docs: DataFrame) -> DataFrame:
 
 
 def keep_one(docs: DataFrame) -> DataFrame:
-    """``docs`` with one row of each class: the one with the class's smallest doc_id. Rows that repeat that doc_id with the same fingerprint go too."""
-    found = simhash_components(docs)
-    keep = found.where(F.col("doc_id") == F.col("component_id")).select("doc_id").distinct()
-    unnamed = docs.where(F.col("doc_id").isNull())
-    held = docs.where(F.col("doc_id").isNotNull()).join(keep, "doc_id", "left_semi").dropDuplicates(["doc_id"])
-    return held.select(*docs.columns).unionByName(unnamed)
+    """``docs`` with one row of each class: one with the class's smallest doc_id, or any if no row of the class has an id.
+
+    Each row is judged by its own fingerprint, so rows that share a doc_id, or have none, but differ in text stay apart.
+    """
+    rows = numbered(docs, "simhash-rows")
+    # the row number stands for the id
+    prints = fingerprints(rows.select(F.col("row_id").alias("doc_id"), field(docs, "text").alias("text"))).withColumnRenamed("doc_id", "row_id")
+    prints = prints.join(rows.select("row_id", field(docs, "doc_id").cast("long").alias("doc_id")), "row_id")
+    first = F.min(F.struct(F.col("doc_id").isNull(), "doc_id", "fp", "row_id")).alias("first")
+    distinct = materialize(prints.groupBy("fp").agg(first), "simhash-distinct")  # one row a fingerprint, so copies meet in partial sums
+    classes = distinct.join(roots(distinct), "fp", "left").groupBy(F.coalesce("root", "fp").alias("root")).agg(F.min("first").alias("first"))
+    keep = materialize(classes.select(F.col("first.row_id").alias("row_id")), "simhash-keep")
+    return plain(rows.join(small_side(keep, keep.count()), "row_id", "left_semi"), docs)

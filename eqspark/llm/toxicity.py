@@ -26,7 +26,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from . import gru
-from .common import materialize, small_side
+from .common import field, materialize, numbered, plain, small_side
 
 HELD_OUT_MOD, HELD_OUT_REST = 5, 0
 TRAIN_ROWS = 4000
@@ -361,10 +361,11 @@ def score_documents(docs: DataFrame, labels: DataFrame, train_rows: int = TRAIN_
 
 
 def keep_civil(docs: DataFrame, labels: DataFrame, train_rows: int = TRAIN_ROWS) -> DataFrame:
-    """The rows of ``docs`` that are not predicted toxic, with their own columns. Rows that share a doc_id go together."""
-    bad = materialize(score_documents(docs, labels, train_rows).where("predicted = 1").select("doc_id").distinct(), "toxic-ids")
-    unnamed = docs.where("doc_id IS NULL")
-    named = docs.where("doc_id IS NOT NULL").join(small_side(bad.where("doc_id IS NOT NULL"), bad.count()), "doc_id", "left_anti").select(*docs.columns)
-    if bad.where("doc_id IS NULL").isEmpty():
-        return named.unionByName(unnamed)
-    return named
+    """The rows of ``docs`` that are not predicted toxic, with their own columns. Each row goes or stays by its own text, whatever its doc_id."""
+    rows = numbered(docs, "toxic-rows")
+    shared = docs.sparkSession.sparkContext.broadcast(fit(docs, labels, train_rows))
+    texts = rows.select("row_id", field(docs, "text").cast("string").alias("text"))
+    # the row number stands for the id
+    bad = texts.mapInArrow(_scorer(shared), "doc_id long, score double").where(F.col("score") >= THRESHOLD).select(F.col("doc_id").alias("row_id"))
+    bad = materialize(bad, "toxic-rows-bad")
+    return plain(rows.join(small_side(bad, bad.count()), "row_id", "left_anti"), docs)

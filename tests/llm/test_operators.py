@@ -322,6 +322,34 @@ def test_toxicity(spark, odd, none, labels):
     assert kept.columns == odd.columns and kept.count() <= 8
 
 
+def test_keep_one_by_row(spark):
+    """Copies without an id are deduplicated, and rows that share an id but not a text are kept apart."""
+    a, b, c = "alpha beta gamma delta one", "quite another text of words", "a third text that stands alone"
+    items = [(None, a, "en", "x"), (None, a, "en", "x"), (None, c, "en", "x"), (5, b, "en", "x"), (5, c, "en", "y"), (5, b, "en", "z"), (9, b, "en", "x")]
+    kept = simhash.keep_one(docs(spark, items))
+    assert sorted((r.doc_id or 0, r.text) for r in kept.collect()) == sorted([(0, a), (5, b), (5, c)])
+
+
+def test_keep_civil_by_row(spark, monkeypatch):
+    """A toxic row takes no other row with it that has the same id or none."""
+
+    def scorer(shared):
+        import pyarrow as pa
+
+        def run(batches):
+            for x in batches:
+                yield pa.RecordBatch.from_arrays([x.column(0), pa.array([float("bad" in (t or "")) for t in x.column(1).to_pylist()])], ["doc_id", "score"])
+
+        return run
+
+    monkeypatch.setattr(toxicity, "fit", lambda *_: (None, None))
+    monkeypatch.setattr(toxicity, "_scorer", scorer)
+    table = docs(spark, [(None, "bad one", "en", "x"), (None, "fine", "en", "x"), (None, None, "en", "x"), (5, "bad two", "en", "x"), (5, "good", "en", "x"), (6, "good", "en", "x")])
+    kept = toxicity.keep_civil(table, spark.createDataFrame([], "doc_id long, quality int, toxic int"))
+    assert sorted(((r.doc_id or 0), r.text or "") for r in kept.collect()) == [(0, ""), (0, "fine"), (5, "good"), (6, "good")]
+    assert kept.columns == table.columns
+
+
 def test_toxicity_gradient():
     """Backward steps of the recurrent layer against differences."""
     from eqspark.llm import gru
