@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..operators import curves, features, grids, metrics
-from ..schema import METRIC_BANDS, POINTS_PER_OCTAVE, RESEARCH_BANDS, ZOOM_RANGES, Settings
+from ..schema import METRIC_BANDS, POINTS_PER_OCTAVE, RESEARCH_BANDS, ZOOM_RANGES
 from ..sources import bridge
 from ..sources.bridge import grid_sql
 from .registry import query, with_views
@@ -272,7 +272,7 @@ def _fit(engine: str, name: str, **options):
     return run
 
 
-# all pairs, with a small cap on filters: the bridge's curves are noise, which no cap would fit
-query()(_fit("v1", "i1_fit_v1", settings=Settings(max_filters=2)))
-query()(_fit("v2", "i11_fit_v2", settings=Settings(max_filters=2), max_evaluations=2000))
-query()(_fit("structural", "i39_fit_structural", settings=Settings(max_filters=2), max_evaluations=2000))
+# all pairs, with the product's own limits
+query()(_fit("v1", "i1_fit_v1"))
+query()(_fit("v2", "i11_fit_v2"))
+query()(_fit("structural", "i39_fit_structural"))

@@ -111,6 +111,22 @@ def test_first_fit_reaches_published_error(case):
     assert got == v1.fit(f, level - anchor, Settings(max_filters=cap))
 
 
+def test_registered_fits_use_the_product_limits(spark, monkeypatch):
+    from eqspark.operators import fits
+    from eqspark.plans import catalog, curve_queries
+
+    seen = {}
+
+    def caught(wanted, engine="v1", settings=Settings(), max_evaluations=20_000, key="pair_id"):
+        seen[engine] = (settings, max_evaluations)
+
+    monkeypatch.setattr(fits, "fit_pairs", caught)
+    monkeypatch.setattr(curve_queries, "wanted", lambda *_: None)
+    for name in ("i1_fit_v1", "i11_fit_v2", "i39_fit_structural"):
+        catalog.queries()[name](spark, "")
+    assert seen == dict.fromkeys(("v1", "v2", "structural"), (Settings(), 20_000)) and Settings().max_filters == 10
+
+
 def test_second_and_structural_fits_keep_bounds():
     f = np.array(grids.evaluation_grid())
     wished = Grid(f).cascade([("PK", 1000, 6, 2), ("LS", 120, 4, 0.7)])
