@@ -14,7 +14,7 @@ from ..sources.bridge import grid_sql
 from .curve_queries import r6, s6
 from .registry import query, with_views
 
-#: The grid of these queries: six points an octave.
+#: The grid of the queries with SQL: six points an octave. Each has a namesake ending in ``_full`` on the evaluation grid, without SQL.
 COARSE = grids.log_grid(20.0, 20_000.0, 6)
 GRID61 = grid_sql("g0", len(COARSE), "20e0 * power(2e0, idx / 6e0)", 20_000.0)
 SINES = f"grid AS (SELECT idx, f, cw, sw, c2, s2 FROM {nested('g0', GRID)})"
@@ -31,6 +31,11 @@ def _grid(spark: SparkSession) -> DataFrame:
     return grids.grid_frame(spark, COARSE)
 
 
+def _full_grid(spark: SparkSession) -> DataFrame:
+    """The grid on which the product audits and scores."""
+    return grids.grid_frame(spark, grids.evaluation_grid())
+
+
 @query(with_views(*VIEWS) + f"SELECT preset_id, ordinal, {', '.join(f'{s6(c)} AS {c}' for c in COEFFICIENT_NAMES)} FROM coefs")
 def f1_coefficients(spark: SparkSession, sf_dir: str) -> DataFrame:
     return with_coefficients(bridge.filters(spark, sf_dir)).select("preset_id", "ordinal", *[r6(c).alias(c) for c in COEFFICIENT_NAMES])
@@ -40,27 +45,43 @@ def _sum_of_responses(magnitude: str, name: str):
     sql = with_views(*VIEWS) + f"SELECT preset_id, ordinal, {s6(f'sum({magnitude})')} AS sum_db, {s6(f'max(abs({magnitude}))')} AS top_db FROM coefs, grid GROUP BY preset_id, ordinal"
 
     def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-        filters = bridge.filters(spark, sf_dir)
-        met = ops.responses(filters, _grid(spark), magnitude)
-        return met.groupBy("preset_id", "ordinal").agg(r6(F.sum("db")).alias("sum_db"), r6(F.max(F.abs("db"))).alias("top_db"))
+        return _summed(bridge.filters(spark, sf_dir), _grid(spark), magnitude)
 
     run.__name__ = name
     return query(sql)(run)
 
 
+def _summed(filters: DataFrame, grid: DataFrame, magnitude: str) -> DataFrame:
+    met = ops.responses(filters, grid, magnitude)
+    return met.groupBy("preset_id", "ordinal").agg(r6(F.sum("db")).alias("sum_db"), r6(F.max(F.abs("db"))).alias("top_db"))
+
+
 _sum_of_responses(MAGNITUDE, "f2_magnitude")
 
 
+@query()
+def f2_magnitude_full(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _summed(bridge.filters(spark, sf_dir), _full_grid(spark), MAGNITUDE)
+
+
 @query()
 def f5_magnitude_expanded(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The expanded form loses digits at low frequencies, so engines differ in more than the last bits; a test holds it against f2."""
-    met = ops.responses(bridge.filters(spark, sf_dir), _grid(spark), MAGNITUDE_EXPANDED)
-    return met.groupBy("preset_id", "ordinal").agg(r6(F.sum("db")).alias("sum_db"), r6(F.max(F.abs("db"))).alias("top_db"))
+    return _summed(bridge.filters(spark, sf_dir), _full_grid(spark), MAGNITUDE_EXPANDED)
 
 
 @query(with_views(*VIEWS) + "SELECT preset_id, idx, round(db, 4) + 0.0e0 AS db FROM cascade")
 def j3_cascade(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return ops.cascade(bridge.filters(spark, sf_dir), _grid(spark)).select("preset_id", "idx", (F.round("db", 4) + F.lit(0.0)).alias("db"))
+    return _cascade(bridge.filters(spark, sf_dir), _grid(spark))
+
+
+def _cascade(filters: DataFrame, grid: DataFrame) -> DataFrame:
+    return ops.cascade(filters, grid).select("preset_id", "idx", (F.round("db", 4) + F.lit(0.0)).alias("db"))
+
+
+@query()
+def j3_cascade_full(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _cascade(bridge.filters(spark, sf_dir), _full_grid(spark))
 
 
 @query(with_views(*VIEWS) + f"SELECT preset_id, {s6('max(greatest(db, 0e0))')} AS boost_db, {s6('-ceil(max(greatest(db, 0e0)) * 10 - 1e-6) / 10')} AS preamp_db FROM cascade GROUP BY preset_id")
@@ -86,13 +107,26 @@ def j5_cancellation(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ops.cancellation_pairs(bridge.filters(spark, sf_dir), _grid(spark)).withColumn("score", r6("score"))
 
 
+@query()
+def j5_cancellation_full(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ops.cancellation_pairs(bridge.filters(spark, sf_dir), _full_grid(spark)).withColumn("score", r6("score"))
+
+
 COUNTS = "counts AS (SELECT preset_id, count(*) FILTER (score >= 0.35 AND score < 0.65) AS moderate, count(*) FILTER (score >= 0.65) AS strong, sum(score) FILTER (score >= 0.35) AS total_score FROM pairs GROUP BY preset_id)"
 
 
 @query(with_views(*VIEWS, PAIRS, COUNTS) + f"SELECT preset_id, count(*) FILTER (enabled) AS enabled, coalesce(any_value(moderate), 0) AS moderate, coalesce(any_value(strong), 0) AS strong, {s6('coalesce(any_value(total_score), 0)')} AS total_score FROM filters LEFT JOIN counts USING (preset_id) GROUP BY preset_id")
 def a17_severity_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    filters = bridge.filters(spark, sf_dir)
-    return ops.severity_counts(ops.cancellation_pairs(filters, _grid(spark)), filters).withColumn("total_score", r6("total_score"))
+    return _severities(bridge.filters(spark, sf_dir), _grid(spark))
+
+
+def _severities(filters: DataFrame, grid: DataFrame) -> DataFrame:
+    return ops.severity_counts(ops.cancellation_pairs(filters, grid), filters).withColumn("total_score", r6("total_score"))
+
+
+@query()
+def a17_severity_counts_full(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _severities(bridge.filters(spark, sf_dir), _full_grid(spark))
 
 
 _M = "greatest(0e0, abs(db) - 0.1e0)"
@@ -103,9 +137,17 @@ own AS (SELECT preset_id, sum(0.01e0 + 0.002e0 * power(greatest(0e0, log2(q / 2)
 SELECT preset_id, {s6('fit + own + 0.01e0 * coalesce(total_score, 0)')} AS objective FROM fit JOIN own USING (preset_id) LEFT JOIN counts USING (preset_id)""")
 def a2_objective(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The objective of each preset against a flat wish."""
-    filters = bridge.filters(spark, sf_dir)
-    counts = ops.severity_counts(ops.cancellation_pairs(filters, _grid(spark)), filters).select("preset_id", "total_score")
-    return metrics.objective(ops.cascade(filters, _grid(spark)), filters, counts).withColumn("objective", r6("objective"))
+    return _objective(bridge.filters(spark, sf_dir), _grid(spark))
+
+
+def _objective(filters: DataFrame, grid: DataFrame) -> DataFrame:
+    counts = ops.severity_counts(ops.cancellation_pairs(filters, grid), filters).select("preset_id", "total_score")
+    return metrics.objective(ops.cascade(filters, grid), filters, counts).withColumn("objective", r6("objective"))
+
+
+@query()
+def a2_objective_full(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _objective(bridge.filters(spark, sf_dir), _full_grid(spark))
 
 
 @query(with_views("filters") + "SELECT preset_id, count(*) AS n, bool_and(f BETWEEN 20 AND 20000 AND gain BETWEEN -15 AND 15 AND q BETWEEN 0.1 AND 12) AND count(*) <= 64 AS ok FROM filters GROUP BY preset_id")

@@ -73,6 +73,36 @@ def test_biquads():
         assert np.abs(Grid(g).response(x) - Grid(g, expanded=True).response(x)).max() < 1e-6
 
 
+def test_full_grid_queries(spark, monkeypatch):
+    """The queries on the evaluation grid against brute force; on the coarse grid these narrow filters fall between places."""
+    from eqspark.plans import catalog, filter_queries
+
+    sets = {1: [("PK", 1060.0, 15.0, 12.0), ("PK", 1075.0, -15.0, 12.0), ("LS", 120.0, 4.0, 0.7)], 2: [("PK", 3000.0, 9.0, 11.0), ("PK", 3100.0, -9.0, 3.0)]}
+    rows = [(k, i, True, *x) for k, s in sets.items() for i, x in enumerate(s)]
+    table = spark.createDataFrame(rows, "preset_id long, ordinal int, enabled boolean, type string, f double, gain double, q double")
+    monkeypatch.setattr(filter_queries.bridge, "filters", lambda *_: table)
+    g = Grid(np.array(grids.evaluation_grid()))
+    run = lambda name: catalog.queries()[name](spark, "").collect()
+    want = {(k, a, b): s for k, x in sets.items() for a, b, s in cancellation(x, g)}
+    got = {(r.preset_id, r.a, r.b): r.score for r in run("j5_cancellation_full")}
+    assert got.keys() == want.keys() and all(got[k] == pytest.approx(want[k], abs=1e-6) for k in want)
+    for r in run("a17_severity_counts_full"):
+        own = [s for k, s in want.items() if k[0] == r.preset_id]
+        assert (r.strong, r.moderate) == (sum(s >= 0.65 for s in own), sum(s < 0.65 for s in own)) and r.total_score == pytest.approx(sum(own), abs=1e-6)
+    level = {k: g.cascade(x) for k, x in sets.items()}
+    cascade = run("j3_cascade_full")
+    assert len(cascade) == 2 * 958 and all(r.db == pytest.approx(level[r.preset_id][r.idx], abs=1e-4) for r in cascade)
+    for name, tolerance in (("f2_magnitude_full", 1e-5), ("f5_magnitude_expanded", 1e-2)):
+        for r in run(name):
+            db = g.response(sets[r.preset_id][r.ordinal])
+            assert r.top_db == pytest.approx(np.abs(db).max(), abs=tolerance) and r.sum_db == pytest.approx(db.sum(), abs=tolerance)
+    for r in run("a2_objective_full"):
+        m = np.maximum(0, np.abs(level[r.preset_id]) - 0.1)
+        own = sum(0.01 + 0.002 * max(0, math.log2(q / 2)) ** 2 + 0.0005 * max(0, abs(gain) - 6) ** 2 for _, _, gain, q in sets[r.preset_id])
+        total = sum(s for k, s in want.items() if k[0] == r.preset_id)
+        assert r.objective == pytest.approx(np.where(m <= 1, 0.5 * m * m, m - 0.5).mean() + own + 0.01 * total, abs=1e-5)
+
+
 def test_preamp(spark):
     rows = [(1, 0, True, "PK", 1000.0, 3.0, 1.0), (1, 1, True, "PK", 1000.0, 3.0, 1.0), (2, 0, False, "PK", 1000.0, 3.0, 1.0), (3, 0, True, "PK", 1000.0, 3.01, 1.0)]
     df = spark.createDataFrame(rows, "preset_id long, ordinal int, enabled boolean, type string, f double, gain double, q double")
