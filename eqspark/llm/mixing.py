@@ -6,7 +6,8 @@ odds with which its documents are wanted. Ratios are scaled so that the largest
 document stays if a hash of its doc_id falls below its cell's probability: a Bernoulli sample that is the same in every run.
 
 Default targets: each source in proportion to the power ``SOURCE_POWER`` of its tokens, each language likewise with
-``LANG_POWER``, topics as they are. ``ratio_floor`` keeps a cell's probability at that at least.
+``LANG_POWER``, topics as they are. After the sweeps a marginal further than ``MARGINAL_GAP`` from its target gives a warning.
+``ratio_floor``, none by default, keeps a cell's probability at that at least, at the cost of the targets.
 
 Only cells (distinct source, language, topic) are windowed; documents are pre-aggregated, so a source with a third of
 all rows is a few cells. Topics come from a column expression; the default sorts texts by form.
@@ -18,6 +19,8 @@ string; repeated rows are decided alike; an empty table gives an empty result; o
 
 from __future__ import annotations
 
+import warnings
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -27,7 +30,9 @@ from .quality_rules import word_array
 SWEEPS = 8
 SOURCE_POWER = 0.85
 LANG_POWER = 0.90
+#: The floor in the oracle's SQL; cells below it would differ there.
 RATIO_FLOOR = 0.05
+MARGINAL_GAP = 1e-3
 SEED = "mix-1"
 DIMENSIONS = ("source", "lang", "topic")
 
@@ -49,6 +54,15 @@ def _features(docs: DataFrame, topic: Column) -> dict[str, Column]:
     return {"_eq_tokens": F.size(word_array(F.col("text"))).cast("long"), "_eq_source": F.col("source").cast("string"), "_eq_lang": F.col("lang").cast("string"), "_eq_topic": topic}
 
 
+def marginal_gap(raked: DataFrame) -> float:
+    """The largest relative distance of a marginal of w from its target; 0 without targets."""
+    gaps = []
+    for d in DIMENSIONS:
+        sums = raked.groupBy(d).agg(F.sum("w").alias("w"), F.first(f"target_{d}").alias("t")).where("t > 0")
+        gaps.append(sums.agg(F.max(F.abs(F.col("w") / F.col("t") - 1))).first()[0])
+    return max(g or 0.0 for g in gaps)
+
+
 def rake(cells: DataFrame, sweeps: int = SWEEPS, source_power: float = SOURCE_POWER, lang_power: float = LANG_POWER) -> DataFrame:
     """``cells`` (source, lang, topic, tokens) with p, the probability of each cell's documents."""
     w = {d: Window.partitionBy(d) for d in DIMENSIONS}
@@ -65,6 +79,8 @@ def rake(cells: DataFrame, sweeps: int = SWEEPS, source_power: float = SOURCE_PO
         for d in DIMENSIONS:
             out = out.withColumn("w", F.coalesce(F.try_divide(F.col("w") * F.col(f"target_{d}"), F.sum("w").over(w[d])), F.lit(0.0)))
         out = materialize(out, "mix-sweep")
+    if (gap := marginal_gap(out)) > MARGINAL_GAP:
+        warnings.warn(f"a raked marginal is {gap:.3g} of its target away from it after {sweeps} sweeps", stacklevel=2)
     ratio = F.try_divide(F.col("w"), F.col("tokens").cast("double"))
     top = out.agg(F.max(ratio).alias("top"))
     return out.crossJoin(F.broadcast(top)).withColumn("p", F.coalesce(F.try_divide(ratio, "top"), F.lit(1.0)))
@@ -84,7 +100,7 @@ def _with_probability(seen: DataFrame, source: DataFrame, ratio_floor: float) ->
     return seen.join(small_side(p, n), F.struct(F.col("_eq_source").alias("source"), F.col("_eq_lang").alias("lang"), F.col("_eq_topic").alias("topic")).eqNullSafe(F.col("_cell")), "left")
 
 
-def mix(docs: DataFrame, topic: Column | None = None, ratio_floor: float = RATIO_FLOOR) -> DataFrame:
+def mix(docs: DataFrame, topic: Column | None = None, ratio_floor: float = 0.0) -> DataFrame:
     """The columns of ``docs`` (doc_id, text, source, lang and any others) and _mix_tokens, _mix_topic, _mix_p, _mix_kept for each row."""
     topic = topic_by_form(F.col("text")) if topic is None else topic
     seen = docs.withColumns(_features(docs, topic))
@@ -93,7 +109,7 @@ def mix(docs: DataFrame, topic: Column | None = None, ratio_floor: float = RATIO
     return out.select(*own, F.col("_eq_tokens").alias("_mix_tokens"), F.col("_eq_topic").alias("_mix_topic"), "_mix_p", (chance(F.col("doc_id")) < F.col("_mix_p")).alias("_mix_kept"))
 
 
-def decisions(docs: DataFrame, topic: Column | None = None, ratio_floor: float = RATIO_FLOOR) -> DataFrame:
+def decisions(docs: DataFrame, topic: Column | None = None, ratio_floor: float = 0.0) -> DataFrame:
     """doc_id, n_tokens, topic, probability, kept of each row: texts are read once, and only their features are kept."""
     topic = topic_by_form(F.col("text")) if topic is None else topic
     features = _features(docs, topic)

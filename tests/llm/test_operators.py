@@ -350,6 +350,19 @@ def test_keep_civil_by_row(spark, monkeypatch):
     assert kept.columns == table.columns
 
 
+def test_mixing_meets_targets_beside_a_tiny_cell(spark):
+    """Probabilities under the old floor of 0.05 are kept, so that kept tokens follow the targets."""
+    rows = [("big", "en", "t", 4 * 10**10), ("mid", "en", "t", 10**10), ("big", "de", "t", 2 * 10**10), ("mid", "de", "t", 10**10), ("tiny", "xx", "t", 10), ("tiny", "en", "t", 1000), ("big", "xx", "t", 1000)]
+    seen = spark.createDataFrame(rows, "_eq_source string, _eq_lang string, _eq_topic string, _eq_tokens long")
+    got = [r._mix_p for r in mixing._with_probability(seen, seen, 0.0).collect()]
+    assert min(got) < mixing.RATIO_FLOOR and max(got) == 1.0
+    with pytest.warns(UserWarning, match="marginal"):  # a source and language that are one cell have two targets
+        mixing.rake(spark.createDataFrame([("a", "en", "t", 10**6), ("b", "xx", "t", 10)], "source string, lang string, topic string, tokens long"))
+    import inspect
+
+    assert all(inspect.signature(f).parameters["ratio_floor"].default == 0.0 for f in (mixing.mix, mixing.decisions))
+
+
 def test_toxicity_gradient():
     """Backward steps of the recurrent layer against differences."""
     from eqspark.llm import gru
