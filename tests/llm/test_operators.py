@@ -89,6 +89,64 @@ def test_html_text(spark):
     assert html_text.extract(df.where("false")).count() == 0
 
 
+ARTICLE = "<p>First para, with commas, and more text to be long enough.</p><p>Second one, also quite long, with more words in it.</p>"
+ARTICLE_TEXT = "First para, with commas, and more text to be long enough.\nSecond one, also quite long, with more words in it."
+
+
+@pytest.mark.parametrize(
+    ("page", "want"),
+    [
+        (f'<div class="layout with-sidebar">{ARTICLE}</div>', ARTICLE_TEXT),
+        (f'<div id="post" class="no-comments">{ARTICLE}</div>', ARTICLE_TEXT),
+        (f'<div data-id="nav">{ARTICLE}</div>', ARTICLE_TEXT),
+        (f'<div class="page-sidebar">{ARTICLE}</div>', ARTICLE_TEXT),
+        (f'<form class=main><div class=nav><a href=x>Home</a></div><div>{ARTICLE}</div></form>', ARTICLE_TEXT),
+        (f'<div aria-hidden="true">{ARTICLE}</div><div role="dialog">Sign up now, please</div>', ARTICLE_TEXT),
+        (f'<div>{ARTICLE}<p>Text, with <a title="A hidden gem">linked words</a> inside.</p></div>', ARTICLE_TEXT + "\nText, with linked words inside."),
+        (f'<div>{ARTICLE}<p class="notice-board">The board, of the town.</p></div>', ARTICLE_TEXT + "\nThe board, of the town."),
+        (f"<article><header><h1>Title</h1></header>{ARTICLE}</article>", "Title\n" + ARTICLE_TEXT),
+        (f"<header><h1>Site</h1></header><div>{ARTICLE}</div>", ARTICLE_TEXT),
+        (f'<div>{ARTICLE}</div><div class="post-comments">{3 * ARTICLE}</div>', ARTICLE_TEXT),
+        (f'<div>{ARTICLE}</div><div class="cookie-banner">We use cookies, as all do, for many things.</div>', ARTICLE_TEXT),
+        (f'<div hidden><p>Hidden, long, long, long, long, long text.</p></div><div>{ARTICLE}</div>', ARTICLE_TEXT),
+        (f'<p title="no end>{ARTICLE}', ARTICLE_TEXT),
+        (f"<title>never ended<div>{ARTICLE}</div>", ARTICLE_TEXT),
+        (f"<!-- <p>no</p> --><div>{ARTICLE}</div><!-- no end", ARTICLE_TEXT),
+        ("a < b and 3 <4 <b", "a < b and 3 <4 <b"),
+        ('<p>kept</p><a href="cut off', "kept"),
+        ("<nav>only this</nav>", "only this"),
+        ('<div class="ad">only this</div>', "only this"),
+        ("<script>x = 1</script>", ""),
+    ],
+)
+def test_html_text_hints(page, want):
+    assert html_text.main_text(page) == want
+
+
+@pytest.mark.parametrize("piece", ["<a", '<a x="', "<a x=", "<!--", "<script", "<script>", "<title>", "</", "<a '\"", "<a =", "<div ", "&", "<p><b>", "</b>", "<li>", '<p class="nav">', "<a /"])
+def test_html_text_is_linear(piece):
+    import time
+
+    began = time.process_time()
+    html_text.main_text(piece * 20_000)
+    assert time.process_time() - began < 4
+
+
+def test_html_text_templates():
+    """Pages of varied templates around known texts, compared whole, line breaks included."""
+    rng = np.random.default_rng(6)
+    pick = lambda *x: x[rng.integers(len(x))]
+    for _ in range(300):
+        lines = [" ".join(pick("alpha", "be,ta", "gam.ma", "dél&ta", "a<b", "x") for _ in range(rng.integers(8, 40))) for _ in range(rng.integers(3, 9))]
+        body = "".join(f"<{t}{pick('', ' data-id=nav', ' class=text-share-none', ' title=\'hidden\'')}>{x.replace('&', '&amp;').replace('<', '&lt;').replace(' ', pick(' ', '  ', chr(10)))}</{t}>" for x in lines for t in [pick("p", "p", "blockquote")])
+        body = f"<{(w := pick('article', 'div', 'main', 'section'))} class='{pick('post', 'with-sidebar', 'no-comments', 'content-area', 'x')}'>{body}</{w}>"
+        if pick(0, 1):
+            body = f"<div id={pick('page', 'wrapper', 'has-nav', 'layout-sidebar')}>{body}</div>"
+        before = pick("", "<nav><a href=a>One</a></nav>", "<div class='site-header'><a href=x>Home</a> Site</div>", "<div id=cookie-notice><p>We use cookies, dear reader, as all do.</p></div>")
+        after = pick("", "<footer>Imprint, and more, of this site, dear reader</footer>", "<aside><p>Other, things, to read, here, now, and then</p></aside>", "<div class=comments><p>I like it, really, so much, thanks</p></div>", "<ul class='related-posts'><li><a href=x>More</a></ul>")
+        assert html_text.main_text(f"<!doctype html><html><head><title>T</title></head><body>{before}{body}{after}</body></html>") == "\n".join(lines)
+
+
 def test_html_text_whole_table(spark):
     import html
     import re
@@ -97,7 +155,7 @@ def test_html_text_whole_table(spark):
         body = re.search(r"<article>(.*?)</article>", r.html, re.S)[1]
         body = re.sub(r"</?b>", "", re.sub(r"<br>", " ", re.sub(r"</?(?:p|h1)>", "\n", body)))
         want = "\n".join(x for x in (" ".join(html.unescape(line).split()) for line in body.split("\n")) if x)
-        assert " ".join(r.text.split()) == " ".join(want.split())
+        assert r.text == want
 
 
 def test_language_model(spark, odd, none):
