@@ -31,21 +31,26 @@ def backward(dout: np.ndarray, cache: list, u: np.ndarray, keep: np.ndarray | No
     """Gradients of ``xg`` and ``u``; the gradient is cut at the window's start (truncated)."""
     steps, lanes, k = dout.shape
     dxg = np.empty((steps, lanes, 3 * k), dout.dtype)
-    du = np.zeros_like(u)
+    gates = np.empty_like(dxg)
+    before = np.empty_like(dout)
+    back = np.ascontiguousarray(u.T)
     dh = np.zeros((lanes, k), dout.dtype)
     for t in range(steps - 1, -1, -1):
         h, r, z, n, hn = cache[t]
+        before[t] = h
         dh = dh + dout[t]
-        dn = dh * (1 - z) * (1 - n * n)
-        dz = dh * (h - n) * z * (1 - z)
-        dr = dn * hn * r * (1 - r)
-        gates = np.concatenate([dr, dz, dn * r], axis=1)
-        du += h.T @ gates
-        dxg[t] = np.concatenate([dr, dz, dn], axis=1)
-        dh = dh * z + gates @ u.T
+        new = dh * (1 - z)
+        dn = new * (1 - n * n)
+        g = gates[t]
+        np.multiply(dn * hn, r * (1 - r), out=g[:, :k])
+        np.multiply(new * z, h - n, out=g[:, k : 2 * k])
+        dxg[t, :, : 2 * k] = g[:, : 2 * k]
+        dxg[t, :, 2 * k :] = dn
+        np.multiply(dn, r, out=g[:, 2 * k :])
+        dh = dh * z + g @ back
         if keep is not None:
             dh = dh * keep[t]
-    return dxg, du
+    return dxg, before.reshape(-1, k).T @ gates.reshape(-1, 3 * k)
 
 
 def halved(w: np.ndarray) -> np.ndarray:

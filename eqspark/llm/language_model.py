@@ -8,7 +8,8 @@ on all training documents: it starts from ``EPOCHS`` epochs on the driver over a
 every training token is passed once by distributed workers, in ``ROUNDS`` rounds whose weights are averaged by tokens. Scoring carries the
 state over windows from a document's first token to its end, so a score is the log-likelihood of the whole text.
 
-Only the ``HOT`` most frequent words are broadcast. Other words' counts are joined to their documents by a shuffle.
+At most ``HOT`` words of at most ``HOT_BYTES`` bytes are broadcast, those above a count that a histogram of counts gives. Other words' counts are joined
+to their documents by a shuffle. Memory of scoring is a window of ``SCORE_WINDOW`` steps by ``SCORE_LANES`` texts beside the tokens of a chunk, however long one text is.
 
 Edge cases: a null or empty text is its end token alone; repeated rows are scored each; a null doc_id is scored and, as
 crc32 of null is not 2 modulo 7, learned from; with no training rows N and V are 0 and every token has
@@ -21,6 +22,7 @@ import heapq
 import math
 from collections import Counter
 from collections.abc import Iterator
+from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
@@ -34,7 +36,9 @@ HELD_OUT_MOD, HELD_OUT_REST = 7, 2
 #: The short list of a small vocabulary and its classes; ``short_size`` grows both.
 SHORT = 2000
 N_CLASSES = 40
-HOT = 100_000
+HOT, HOT_BYTES = 100_000, 64
+#: Counts are put into so many bins an octave to find the least count of a broadcast word.
+COUNT_BINS = 64
 #: The sample that gives the first weights; all training tokens follow.
 TRAIN_TOKENS = 600_000
 TRAIN_DOCS = 2000
@@ -42,9 +46,11 @@ EPOCHS = 2
 #: Tokens that one worker trains on between two averages, and averages in the pass over all training tokens.
 SHARD_TOKENS = 2_000_000
 ROUNDS = 4
-RATE, PASS_RATE = 0.008, 0.004
+RATE, PASS_RATE = 0.008, 0.012
 EMBED, HIDDEN = 24, 32
 LANES, WINDOW = 64, 32
+#: Lanes of the pass over all training tokens: steps of more lanes cost less a token.
+PASS_LANES = 256
 SCORE_LANES, SCORE_WINDOW = 256, 32
 CHUNK_TOKENS = 400_000
 #: The end token; words hold no space.
@@ -136,6 +142,15 @@ def _log_softmax(x: np.ndarray) -> np.ndarray:
     return x - np.log(np.exp(x).sum(axis=1, keepdims=True))
 
 
+def _softmax(logits: np.ndarray) -> np.ndarray:
+    """Softmax of each row, in place; logits far from overflow need no maximum."""
+    if len(logits) and max(float(logits.max()), -float(logits.min())) > 60:
+        logits -= logits.max(axis=1, keepdims=True)
+    np.exp(logits, out=logits)
+    logits /= (logits @ np.ones(logits.shape[1], logits.dtype))[:, None]
+    return logits
+
+
 def _log_probability(logits: np.ndarray, at: np.ndarray) -> np.ndarray:
     """Log-softmax at one place of each row. States lie within -1 and 1, so logits stay far from overflow; large ones take the safe way."""
     if len(logits) and float(np.abs(logits).max()) > 60:
@@ -204,7 +219,7 @@ def _train_window(x, y, begin, h, p, v: Vocabulary, adam: gru.Adam) -> np.ndarra
     states, cache = gru.forward(emb @ p["wx"] + p["b"], h, p["u"], keep)
     flat, target = states.reshape(-1, HIDDEN), y.reshape(-1)
     classes, n = v.class_of_ids(target), len(target)
-    d = np.exp(_log_softmax(flat @ p["wc"] + p["bc"]))
+    d = _softmax(flat @ p["wc"] + p["bc"])
     d[np.arange(n), classes] -= 1
     d /= n
     g = {"wc": flat.T @ d, "bc": d.sum(axis=0), "wo": np.zeros_like(p["wo"]), "bo": np.zeros_like(p["bo"])}
@@ -212,10 +227,11 @@ def _train_window(x, y, begin, h, p, v: Vocabulary, adam: gru.Adam) -> np.ndarra
     for k, at in _by_class(classes, v.n_freq):
         a, b = v.first[k], v.first[k + 1]
         if b - a > 1:
-            d = np.exp(_log_softmax(flat[at] @ p["wo"][:, a:b] + p["bo"][a:b]))
+            own = flat[at]
+            d = _softmax(own @ p["wo"][:, a:b] + p["bo"][a:b])
             d[np.arange(len(at)), target[at] - a] -= 1
             d /= n
-            g["wo"][:, a:b] = flat[at].T @ d
+            g["wo"][:, a:b] = own.T @ d
             g["bo"][a:b] = d.sum(axis=0)
             dflat[at] += d @ p["wo"][:, a:b].T
     dxg, g["u"] = gru.backward(dflat.reshape(steps, lanes, HIDDEN), cache, p["u"], keep)
@@ -242,36 +258,35 @@ def score_sequences(sequences: list[np.ndarray], w: dict[str, np.ndarray], v: Vo
         dealt[i].append(s)
         heapq.heappush(loads, (load + len(sequences[s]), i))
     dealt.sort(key=lambda d: -sum(len(sequences[s]) for s in d))
-    lengths = np.array([sum(len(sequences[s]) for s in d) for d in dealt])
-    steps = int(lengths[0])
-    y = np.zeros((steps, lanes), np.int32)
-    owner = np.zeros((steps, lanes), np.int32)
-    begin = np.zeros((steps, lanes), bool)
-    for i, d in enumerate(dealt):
-        at = 0
-        for s in d:
-            n = len(sequences[s])
-            y[at : at + n, i], owner[at : at + n, i], begin[at, i] = sequences[s], s, True
-            at += n
+    order = [s for d in dealt for s in d]
+    sizes = np.array([len(sequences[s]) for s in order], np.int64)
+    y = np.concatenate([sequences[s] for s in order])
+    owner = np.repeat(np.array(order, np.int32), sizes)
+    begin = np.zeros(len(y), bool)
+    begin[np.cumsum(sizes) - sizes] = True
     x = np.zeros_like(y)
     x[1:] = y[:-1]
     x[begin] = 0
+    lengths = np.array([sum(len(sequences[s]) for s in d) for d in dealt])  # falling
+    first = np.cumsum(lengths) - lengths
+    steps = int(lengths[0])
     total = np.zeros(len(sequences))
     h = np.zeros((lanes, HIDDEN), np.float32)
     for at in range(0, steps, window):
-        states, targets, owners = [], [], []
+        states, places = [], []
         for t in range(at, min(at + window, steps)):
-            live = int(np.searchsorted(-lengths, -t))  # lanes are in falling order of length
+            live = int(np.searchsorted(-lengths, -t))  # lanes that go on
             h = h[:live]
-            fresh = np.flatnonzero(begin[t, :live])
+            place = first[:live] + t
+            fresh = np.flatnonzero(begin[place])
             if len(fresh):
                 h = h.copy()  # the states of the step before are still to be scored
                 h[fresh] = 0
-            h = gru.step(w["xg"][x[t, :live]], h, w["u"])
+            h = gru.step(w["xg"][x[place]], h, w["u"])
             states.append(h)
-            targets.append(y[t, :live])
-            owners.append(owner[t, :live])
-        total += np.bincount(np.concatenate(owners), log_likelihood(np.concatenate(states), np.concatenate(targets), w, v), len(sequences))
+            places.append(place)
+        place = np.concatenate(places)
+        total += np.bincount(owner[place], log_likelihood(np.concatenate(states), y[place], w, v), len(sequences))
     return total
 
 
@@ -332,16 +347,17 @@ def _sampler(v: Vocabulary):
     return run
 
 
-def sample(docs: DataFrame, v: Vocabulary) -> list[np.ndarray]:
-    """Id sequences of at most ``TRAIN_DOCS`` training documents, those with the smallest id hashes, up to ``TRAIN_TOKENS`` tokens."""
-    h = F.xxhash64(F.col("doc_id").cast("long"), F.lit("lm"))
-    train_rows = docs.where(~held_out(F.col("doc_id"))).select(h.alias("h"), F.col("text").cast("string"))
-    edge = train_rows.select("h").orderBy("h").limit(TRAIN_DOCS).agg(F.max("h")).first()[0]
-    if edge is None:
+def sample(docs: DataFrame, v: Vocabulary, n_docs: int) -> list[np.ndarray]:
+    """Id sequences of about ``TRAIN_DOCS`` of the ``n_docs`` training documents (never more), those with the smallest hashes of id and text, up to ``TRAIN_TOKENS`` tokens; equal rows count once."""
+    if not n_docs:
         return []
+    h = F.xxhash64(F.col("doc_id").cast("long"), F.col("text").cast("string"), F.lit("lm"))
+    rows = docs.where(~held_out(F.col("doc_id"))).select(h.alias("h"), F.col("text").cast("string"))
+    share = 0.9 * TRAIN_DOCS / n_docs
+    few = rows if n_docs <= TRAIN_DOCS else rows.where(F.col("h") <= int(-(2**63) + share * 2**64))
+    few = few.mapInArrow(_sampler(v), "h long, ids binary").groupBy("h").agg(F.first("ids").alias("ids"))
     found, n = [], 0
-    few = train_rows.where(F.col("h") <= edge).mapInArrow(_sampler(v), "h long, ids binary")
-    for row in few.sort("h", "ids").limit(TRAIN_DOCS).toLocalIterator():
+    for row in few.sort("h").limit(TRAIN_DOCS).toLocalIterator():
         found.append(np.frombuffer(row["ids"], np.int32))
         n += len(found[-1])
         if n >= TRAIN_TOKENS:
@@ -370,7 +386,7 @@ def _part_trainer(shared, chunk_tokens: int):
         n, now, chunk = 0, None, 0
 
         def done() -> pa.RecordBatch:
-            w = _pack(train(found, v, 1, start=p, rates=rates)) * n
+            w = _pack(train(found, v, 1, PASS_LANES, start=p, rates=rates)) * n
             return pa.RecordBatch.from_arrays([pa.array([now], pa.int64()), pa.array([chunk], pa.int64()), pa.array([n], pa.int64()), pa.array([w.tobytes()], pa.binary())], ["shard", "chunk", "n", "w"])
 
         for b in batches:
@@ -442,26 +458,68 @@ def train_all(docs: DataFrame, v: Vocabulary, start: dict[str, np.ndarray], n_to
     return p, seen
 
 
-def score_documents(docs: DataFrame) -> DataFrame:
-    """doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score of each row of ``docs`` (doc_id, text)."""
-    spark = docs.sparkSession
-    docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
+def hot_words(counts: DataFrame, most: int) -> list[tuple[bytes, int]]:
+    """(word, count), by falling count, of the words whose count is at least the least one that at most ``most`` words reach.
+
+    The least count comes from a histogram (one row a bin, some thousands at most), so neither driver nor any task gets more than ``most`` words.
+    """
+    short = counts.where((F.col("tail") >= 0) & (F.octet_length("word") <= HOT_BYTES))
+    octave = F.floor(COUNT_BINS * F.log2(F.col("c").cast("double"))).cast("int")
+    bins = sorted(((r["b"], r["n"]) for r in short.groupBy(octave.alias("b")).agg(F.count(F.lit(1)).alias("n")).collect()), reverse=True)
+    least, n = None, 0
+    for b, size in bins:
+        n += size
+        if n > most:
+            break
+        least = b
+    if least is None:
+        return []
+    found = [(bytes(r["word"]), r["c"]) for r in short.where(octave >= least).select("word", "c").collect()]
+    return sorted(found, key=lambda x: (-x[1], x[0]))
+
+
+@dataclass
+class Model:
+    """What ``fit`` learns: counts of all training words and the trained network."""
+
+    counts: DataFrame
+    total: int
+    types: int
+    end_count: int
+    hot: list[tuple[bytes, int]]
+    vocabulary: Vocabulary
+    weights: dict[str, np.ndarray]
+
+
+def fit(docs: DataFrame) -> Model:
+    """Counts and network of the training rows of ``docs`` (doc_id, text)."""
     counts = materialize(count_words(docs), "lm-counts")
     tails = {r["tail"]: (r["n"], r["v"]) for r in counts.groupBy("tail").agg(F.sum("c").alias("n"), F.count(F.lit(1)).alias("v")).collect()}
     total, types = sum(n for n, _ in tails.values()), sum(v for _, v in tails.values())
     end_count = tails.pop(-1, (0, 0))[0]
-    hot = [(bytes(r["word"]), r["c"]) for r in counts.where("tail >= 0").orderBy(F.col("c").desc(), "word").limit(HOT).select("word", "c").collect()]
+    hot = hot_words(counts, HOT)
     v = Vocabulary(hot, end_count, tails, *short_size(types))
-    first = sample(docs, v)
+    first = sample(docs, v, end_count)
     trained = train(first, v)
     if sum(map(len, first)) < total:
         trained, _ = train_all(docs, v, trained, total)
-    weights = scoring_weights(trained)
+    return Model(counts, total, types, end_count, hot, v, trained)
+
+
+def score_documents(docs: DataFrame) -> DataFrame:
+    """doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score of each row of ``docs`` (doc_id, text)."""
+    docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
+    return score_with(docs, fit(docs))
+
+
+def score_with(docs: DataFrame, model: Model) -> DataFrame:
+    """``score_documents`` by a fitted model; ``docs`` has doc_id (long) and text."""
+    counts, total, types, end_count, hot, v = model.counts, model.total, model.types, model.end_count, model.hot, model.vocabulary
     logs = np.log(np.array([c + 1.0 for _, c in hot] + [1.0]))
     tail_of_hot = np.array([tail_class(w) for w, _ in hot] + [0], np.int64)
     lean = Vocabulary.__new__(Vocabulary)
     lean.__dict__ |= {k: x for k, x in v.__dict__.items() if k not in ("words", "ids", "counts")}
-    shared = spark.sparkContext.broadcast({"v": lean, "w": weights, "hot": {w: i for i, (w, _) in enumerate(hot)}, "logs": logs, "tails": tail_of_hot})
+    shared = docs.sparkSession.sparkContext.broadcast({"v": lean, "w": scoring_weights(model.weights), "hot": {w: i for i, (w, _) in enumerate(hot)}, "logs": logs, "tails": tail_of_hot})
     scored = docs.mapInArrow(_scorer(shared), SCORED).withColumn("row_id", F.monotonically_increasing_id())
     scored = materialize(scored, "lm-scored")
     pairs = scored.select("row_id", F.explode(F.arrays_zip("rare", "times")).alias("x")).select("row_id", F.col("x.rare").alias("word"), F.col("x.times").alias("times"))
