@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-import os
+import re
 import tempfile
 import uuid
 
@@ -17,11 +17,14 @@ BROADCAST_ROWS = 50_000
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder all executors share: ``spark.checkpoint.dir``, or a temporary one where that is unset (tests)."""
+    """The folder all executors share: ``spark.checkpoint.dir``. Where that is unset, a local master (tests) gets a temporary one; a cluster is an error."""
     where = spark.conf.get("spark.checkpoint.dir", None)
     if not where:
-        where = os.path.join(tempfile.gettempdir(), "eqspark-shared")
-        spark.conf.set("spark.checkpoint.dir", where)
+        context = spark.sparkContext
+        if not re.match(r"local(\[|$)", context.master):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+        where = getattr(context, "_eqspark_shared", None) or tempfile.mkdtemp(prefix="eqspark-shared-")
+        context._eqspark_shared = where
     return where.rstrip("/")
 
 
@@ -53,7 +56,10 @@ def plain(rows: DataFrame, docs: DataFrame) -> DataFrame:
 
 
 def cleanup(spark: SparkSession) -> None:
-    """Delete what ``materialize`` wrote in this application; call it once results are written."""
+    """Delete what ``materialize`` wrote in this application. Call it once results are written: frames that came from an operator read these files.
+
+    ``bench.py`` and the tests' session call it at their end.
+    """
     jvm = spark.sparkContext._jvm
     path = jvm.org.apache.hadoop.fs.Path(f"{shared_dir(spark)}/eqspark/{spark.sparkContext.applicationId}")
     path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
