@@ -36,7 +36,7 @@ PIECE = 512
 BATCH = 512
 END_ID = 1
 #: Words whose ids are kept; older ones go in two generations, so memory is bounded.
-CACHE_WORDS = 1_000_000
+CACHE_WORDS = 400_000
 #: Marks that the tokenizer parts from letters before them.
 MARKS = b".,;:!?"
 
