@@ -70,5 +70,19 @@ def small_side(df: DataFrame, rows: int, limit: int = BROADCAST_ROWS) -> DataFra
     return F.broadcast(df) if rows <= limit else df
 
 
+def labelled(labels: DataFrame, mark: str, held_out: Column, salt: str, rows: int) -> DataFrame:
+    """doc_id, y, h of at most ``rows`` labels of documents that are not ``held_out``, by a hash of the id; equal labels of a document count once.
+
+    The labels are counted and those below a share of the hash's range are taken, so that no task sorts or holds more than it gives on.
+    """
+    h = F.xxhash64(F.col("doc_id").cast("long"), F.lit(salt))
+    own = labels.where(F.col(mark).isNotNull() & F.col("doc_id").isNotNull() & ~held_out).select(F.col("doc_id").cast("long").alias("doc_id"), (F.col(mark) > 0).cast("int").alias("y"), h.alias("h")).distinct()
+    n = own.count()
+    if n > rows:
+        spare = max(0.5, 1 - 4 / rows**0.5)  # four deviations below the limit, which ``limit`` then hardly ever meets
+        own = own.where(F.col("h") <= int(-(2**63) + spare * rows / n * 2**64)).limit(rows)
+    return materialize(own, f"{salt}-sample")  # at most ``rows`` rows, so it may be broadcast
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")

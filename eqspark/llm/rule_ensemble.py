@@ -6,7 +6,7 @@ gradient) weights the rules and sets most to zero, and the rest compile into one
 the logistic of the sum of the weights of the rules that hold.
 
 Labels are learned from at most ``TRAIN_ROWS`` labelled documents, those with the smallest id hashes, never from those with
-crc32(doc_id) mod 4 = 2.
+crc32(doc_id) mod 4 = 2. Of rows that share a doc_id one is learned from.
 
 Edge cases: a null or empty text has all statistics zero and is scored by the rules that then hold; without labels the
 score is 0.5, with one class only it is that class's share, smoothed; repeated rows are scored each; a doc_id with
@@ -22,7 +22,7 @@ import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import SPACE_CLASS, materialize
+from .common import SPACE_CLASS, labelled, materialize
 from .quality_rules import word_array
 
 HELD_OUT_MOD, HELD_OUT_REST = 4, 2
@@ -201,10 +201,10 @@ def fit(x: dict[str, np.ndarray], y: np.ndarray) -> Ensemble:
 
 def learn(statistics: DataFrame, labels: DataFrame, rows: int = TRAIN_ROWS) -> Ensemble:
     """An ensemble from at most ``rows`` labelled documents that are not held out."""
-    h = F.xxhash64(F.col("doc_id").cast("long"), F.lit("quality"))
-    few = labels.where("quality IS NOT NULL AND doc_id IS NOT NULL").where(~held_out(F.col("doc_id"))).select(F.col("doc_id").cast("long").alias("doc_id"), (F.col("quality") > 0).cast("int").alias("y"), h.alias("h")).orderBy("h", "y").limit(rows)
-    few = materialize(few, "quality-sample")  # at most ``rows`` rows, so it may be broadcast
-    found = statistics.join(F.broadcast(few), "doc_id").orderBy("h", "y", *STATISTICS).limit(rows).select("y", *STATISTICS).collect()
+    few = labelled(labels, "quality", held_out(F.col("doc_id")), "quality", rows)
+    # one row of a repeated id, the least, so that a frequent id stays one row from its own partition on
+    found = statistics.join(F.broadcast(few), "doc_id").groupBy("h", "y", "doc_id").agg(F.min(F.struct(*STATISTICS)).alias("x"))
+    found = found.orderBy("h", "y").select("y", "x.*").collect()
     return fit({s: np.array([r[s] for r in found], np.float64) for s in STATISTICS}, np.array([r["y"] for r in found]))
 
 

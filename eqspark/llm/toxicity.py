@@ -6,7 +6,7 @@ of ``WINDOW`` words, a new one every ``STRIDE`` words, cover the whole text; eac
 and give a probability, and a document's score is its windows' largest.
 
 Labels are learned from a bounded sample: at most ``TRAIN_ROWS`` labelled documents, those with the smallest id hashes, and never those
-with crc32(doc_id) mod 5 = 0. A toxic text teaches by its most suspicious window, another by its most suspicious ones and
+with crc32(doc_id) mod 5 = 0; ``TRAIN_CHARS`` bounds their texts, and of rows that share a doc_id one is learned from. A toxic text teaches by its most suspicious window, another by its most suspicious ones and
 one at random.
 
 Edge cases: a null or empty text scores ``EMPTY_SCORE``, as do all texts if no label or only one class can be learned;
@@ -26,10 +26,12 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from . import gru
-from .common import field, materialize, numbered, plain, small_side
+from .common import field, labelled, materialize, numbered, plain, small_side
 
 HELD_OUT_MOD, HELD_OUT_REST = 5, 0
 TRAIN_ROWS = 4000
+#: Characters learned from, in all; no text of over a fortieth of that.
+TRAIN_CHARS = 40_000_000
 THRESHOLD = 0.5
 EMPTY_SCORE = 0.01
 WINDOW, STRIDE = 64, 48
@@ -44,7 +46,7 @@ MIN_TEXTS = 4
 WORD_DROP = 0.3
 EPOCHS = 4
 BATCH = 64
-CHUNK_WORDS = 200_000
+CHUNK_WORDS = 100_000
 EDGE = b".,;:!?\"'()[]{}<>*#$%&|-_~`"
 
 
@@ -307,13 +309,16 @@ def _score_windows(flat, begin, length, sides, q) -> np.ndarray:
 
 
 def sample(docs: DataFrame, labels: DataFrame, rows: int = TRAIN_ROWS) -> tuple[list[list[bytes]], np.ndarray]:
-    """Texts and labels of at most ``rows`` labelled documents that are not held out."""
-    h = F.xxhash64(F.col("doc_id").cast("long"), F.lit("toxic"))
-    few = labels.where("toxic IS NOT NULL AND doc_id IS NOT NULL").where(~held_out(F.col("doc_id"))).select(F.col("doc_id").cast("long").alias("doc_id"), (F.col("toxic") > 0).cast("int").alias("y"), h.alias("h")).orderBy("h", "y").limit(rows)
-    few = materialize(few, "toxic-sample")  # at most ``rows`` rows, so it may be broadcast
-    found = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).join(F.broadcast(few), "doc_id").select("h", "y", "text")
-    texts, ys = [], []
-    for row in found.sort("h", "y").limit(rows).toLocalIterator():
+    """Texts and labels of at most ``rows`` labelled documents that are not held out, ``TRAIN_CHARS`` characters in all."""
+    few = labelled(labels, "toxic", held_out(F.col("doc_id")), "toxic", rows)
+    text = F.coalesce(F.col("text").cast("string"), F.lit(""))
+    own = docs.select(F.col("doc_id").cast("long").alias("doc_id"), text.alias("text")).where(F.char_length("text") <= TRAIN_CHARS // 40)
+    found = own.join(F.broadcast(few), "doc_id").groupBy("h", "y", "doc_id").agg(F.min(F.struct(F.xxhash64("text"), "text")).alias("x"))
+    texts, ys, chars = [], [], 0
+    for row in found.select("h", "y", "x.text").sort("h", "y").toLocalIterator():
+        chars += len(row["text"])
+        if chars > TRAIN_CHARS:
+            break
         texts.append(split(row["text"]))
         ys.append(row["y"])
     return texts, np.array(ys, np.int64)

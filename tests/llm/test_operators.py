@@ -418,6 +418,39 @@ def test_rule_ensemble(spark, odd, none, labels):
     assert {r.score for r in rule_ensemble.score_documents(odd, labels.where("false")).collect()} == {0.5}
 
 
+def test_rules_are_paths_of_trees():
+    """Every rule holds for a sensible share of rows, and each tree's sibling rules part the rows of their parent."""
+    rng = np.random.default_rng(9)
+    x = {s: rng.random(300).round(4) for s in rule_ensemble.STATISTICS}
+    y = ((x["symbols"] > 0.5) ^ (x["digits"] > 0.7)).astype(float)
+    rules = rule_ensemble.grow_rules(x, y, trees=1)
+    assert all(8 <= r.holds(x).sum() <= 292 or len(r.terms) > 1 for r in rules) and len({r.terms for r in rules}) == len(rules)
+    top = [r for r in rules if len(r.terms) == 1]
+    assert len(top) == 2 and (top[0].holds(x) ^ top[1].holds(x)).all()
+
+
+def test_lasso_meets_its_optimality_conditions():
+    """Against an independent solver: the gradient of an active weight is the penalty, of an inactive one at most that; and plain coordinate descent agrees."""
+    rng = np.random.default_rng(10)
+    m = (rng.random((400, 12)) < 0.4).astype(float)
+    y = (rng.random(400) < 1 / (1 + np.exp(-(1.5 * m[:, 0] - 2 * m[:, 3] + 0.3)))).astype(float)
+    penalty = 0.01
+    b, w = rule_ensemble.lasso(m, y, penalty, 4000)
+    d = 1 / (1 + np.exp(-(m @ w + b))) - y
+    grad = m.T @ d / len(y)
+    assert abs(d.mean()) < 1e-6 and all(abs(g + np.sign(v) * penalty) < 1e-5 if v else abs(g) <= penalty + 1e-6 for g, v in zip(grad, w)) and 0 < (w != 0).sum() < 12
+    v, c = np.zeros(12), 0.0
+    for _ in range(3000):
+        for j in range(-1, 12):
+            d = 1 / (1 + np.exp(-(m @ v + c))) - y
+            if j < 0:
+                c -= 4 * d.mean()
+            else:
+                new = v[j] - 4 * (m[:, j] @ d) / len(y)
+                v[j] = np.sign(new) * max(abs(new) - 4 * penalty, 0)
+    assert w == pytest.approx(v, abs=1e-4) and b == pytest.approx(c, abs=1e-4)
+
+
 def test_rule_columns_equal_numpy(spark):
     rng = np.random.default_rng(4)
     x = {s: rng.random(400).round(6) for s in rule_ensemble.STATISTICS}
@@ -501,6 +534,73 @@ def test_toxicity_gradient():
             target[at] = old
 
 
+def test_toxicity_brute_force():
+    """The largest window's probability, step by step in both directions, with attention over the steps, in plain loops."""
+    rng = np.random.default_rng(8)
+    words = [f"wörd{k}".encode() for k in range(60)] + [b"bad.", b"(evil)", b"x"]
+    texts = [[words[j] for j in rng.integers(len(words), size=n)] for n in (1, 7, 64, 65, 150, 0, 300)]
+    e = toxicity.Encoder([[*texts[4], b"bad."], *texts[:4], *texts[5:]], np.array([1, 0, 1, 0, 1, 0, 0]))
+    p = {k: x.astype(float) for k, x in toxicity.initial(e).items()}
+    n = toxicity.HIDDEN
+
+    def vector(w):
+        codes, _ = toxicity.trigrams([w])
+        return np.concatenate([p["ew"][e.ids_of([w])[0]], p["ec"][codes].mean(axis=0), p["eh"][toxicity.heads([w])[0]].sum(axis=0)])
+
+    def pass_over(xs, d):
+        h, out = np.zeros(n), []
+        for x in xs:
+            a, u = x @ p[f"wx{d}"] + p[f"b{d}"], h @ p[f"u{d}"]
+            r, z = 1 / (1 + np.exp(-a[:n] - u[:n])), 1 / (1 + np.exp(-a[n : 2 * n] - u[n : 2 * n]))
+            h = (1 - z) * np.tanh(a[2 * n :] + r * u[2 * n :]) + z * h
+            out.append(h)
+        return out
+
+    def probability(window):
+        xs = [vector(w) for w in window]
+        states = [np.concatenate(x) for x in zip(pass_over(xs, "f"), pass_over(xs[::-1], "r")[::-1])]
+        weights = np.exp([np.tanh(h @ p["wa"]) @ p["va"] for h in states])
+        pooled = sum(a * h for a, h in zip(weights / weights.sum(), states))
+        return 1 / (1 + np.exp(-(pooled @ p["wo"] + p["bo"][0])))
+
+    got = toxicity.score_texts(texts, e, toxicity.initial(e))
+    want = [max(probability(t[s : s + toxicity.WINDOW]) for s in toxicity.window_starts(len(t))) if t else toxicity.EMPTY_SCORE for t in texts]
+    assert got == pytest.approx(want, abs=1e-5)
+
+
+def test_toxicity_learns_more_than_its_start(spark):
+    """Held-out rank quality of the trained network against the class frequencies that its tables start from, taken alone: the most suspicious window's sum."""
+    table, marks = spark.read.parquet("/root/testdata/sf0.1/documents.parquet"), spark.read.parquet("/root/testdata/sf0.1/labels.parquet")
+    texts, y = toxicity.sample(table, marks, 1500)
+    assert 1000 < len(texts) <= 1500
+    half = len(texts) // 2
+    e, p = toxicity.train(texts[:half], y[:half])
+
+    def area(scores):
+        order = np.argsort(scores, kind="stable")
+        rank = np.empty(len(order))
+        rank[order] = np.arange(1, len(order) + 1)
+        own = y[half:] == 1
+        return (rank[own].sum() - own.sum() * (own.sum() + 1) / 2) / (own.sum() * (~own).sum())
+
+    def prior(words):
+        own = e.word_start[e.ids_of(words)] + e.head_start[toxicity.heads(words)].sum(axis=1)
+        return max(own[at : at + toxicity.WINDOW].sum() for at in toxicity.window_starts(len(words)))
+
+    alone = area(np.array([prior(t) for t in texts[half:]]))
+    assert area(toxicity.score_texts(texts[half:], e, p)) > max(0.9, alone), alone
+
+
+def test_samples_are_bounded(spark):
+    """A document that is repeated greatly gives one row, and the limit holds."""
+    items = [(i % 200, f"text {i % 200} and more", "en", "a") for i in range(400)] + [(7, "seven", "en", "a")] * 300
+    marks = spark.createDataFrame([(i % 200, i % 2, i % 2) for i in range(400)] + [(7, 1, 1)] * 300, "doc_id long, quality int, toxic int")
+    texts, y = toxicity.sample(docs(spark, items), marks, 90)
+    assert 30 < len(texts) == len(y) <= 90
+    whole, _ = toxicity.sample(docs(spark, items), marks, 4000)
+    assert len(whole) == sum(zlib.crc32(str(i).encode()) % 5 != 0 for i in range(200))
+
+
 def test_windows_cover_whole_texts():
     for n in (1, 63, 64, 65, 112, 113, 1000):
         starts = toxicity.window_starts(n)
