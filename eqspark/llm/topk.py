@@ -7,11 +7,17 @@ found so far go on, and survivors get exact scores. Ties go to the smaller vec_i
 score goes on too.
 
 Queries are the rows whose vec_id is divisible by ``QUERY_STEP``. Both sides are cut into blocks (``QUERY_BLOCK`` and
-``CANDIDATE_BLOCK`` vectors); every query block meets every candidate block, each meeting gives at most k rows a query,
-and these are merged by rank. Memory of a task: one block of each.
+``CANDIDATE_BLOCK`` vectors). The search has two passes. In the first, every query meets some ``SCOUT_BLOCKS`` candidate blocks; the k-th best score of
+these, or of any candidates, is at most the k-th best of all, so it is a threshold that holds everywhere. In the second, every query block meets every candidate block:
+a block whose envelope of coarse means and deviations stays below the thresholds is left as a whole, and a meeting gives only rows that reach the
+threshold, which are merged by rank. Blocks are dealt into groups of both sides in proportion to their numbers, so a task is
+at most ``QUERY_GROUP`` by ``CANDIDATE_GROUP`` blocks at every size of the tables. Memory of a task: one block of each.
+
+Scores are exact integers: in doubles while all sums stay below 2^53, in 64-bit integers while they stay below 2^63, and in unbounded integers
+beyond. A score that a long cannot hold is reported, and ranked, as the nearest long.
 
 Edge cases: vectors that are null, empty, or hold null or non-finite components take no part; nor do rows with a null
-vec_id, or with another length than the longest common one (mixed lengths are searched length by length); fewer than
+vec_id; vectors meet those of their own length alone; fewer than
 k candidates give them all; repeated vec_ids are separate rows, a query skips every row of its own id; empty
 tables give no rows; extra columns are not read.
 """
@@ -30,9 +36,14 @@ TOP = 10
 QUERY_STEP = 100
 QUERY_BLOCK = 512
 CANDIDATE_BLOCK = 4096
-#: Candidate blocks are dealt over so many keys; each key has all query blocks.
-DEALS = 64
+#: Candidate blocks of the first pass, and their bytes at most; they are broadcast.
+SCOUT_BLOCKS, SCOUT_BYTES = 4, 16_000_000
+#: Blocks of a task, and groups of candidates at least (so that small tables are spread, too).
+QUERY_GROUP, CANDIDATE_GROUP, GROUPS = 64, 16, 32
 SCHEMA = "query_id long, vec_id long, score long"
+LEAST, MOST = -(2**63), 2**63 - 1
+#: Components up to this are whole in a double after scaling.
+PLAIN = 2.0**42
 
 
 def resolutions(dim: int) -> list[int]:
@@ -42,62 +53,125 @@ def resolutions(dim: int) -> list[int]:
 
 def statistics(x: np.ndarray, segments: int) -> np.ndarray:
     """Means and deviations of each segment, scaled by the root of its length: bounds are then plain inner products."""
-    parts = x.reshape(len(x), segments, -1)
+    parts = x.reshape(len(x), segments, x.shape[1] // segments)
     root = np.sqrt(parts.shape[2])
     return np.concatenate([parts.mean(axis=2) * root, parts.std(axis=2) * root], axis=1)
 
 
-def search_block(q_ids: np.ndarray, q: np.ndarray, ids: np.ndarray, x: np.ndarray, k: int) -> list[tuple[int, int, int]]:
-    """(query_id, vec_id, score) of the k best of this block for each query."""
-    out = []
-    levels = [(statistics(q, s), statistics(x, s)) for s in resolutions(x.shape[1])]
-    coarse = levels[0][0] @ levels[0][1].T if levels else None
-    for i, q_id in enumerate(q_ids):
-        own = ids != q_id
-        exact = np.empty(0)
-        at = np.flatnonzero(own)
-        if not len(at):
-            continue
-        slack = 1e-6 * (1 + np.abs(q[i]).sum() * np.abs(x).max())  # of the bounds' rounding
-        if coarse is not None and len(at) > 4 * k:
-            # the k-th score among the likeliest is the threshold that bounds must reach
-            bound = coarse[i, at]
-            fine_q, fine_x = levels[-1]
-            likely = at[np.argpartition(-bound, 4 * k - 1)[: 4 * k]]
-            least = np.partition(x[likely] @ q[i], len(likely) - k)[len(likely) - k]
-            at = at[bound >= least - slack]
-            for lq, lx in levels[1:]:
-                bound = lx[at] @ lq[i]
-                if lx is fine_x and len(at) > 4 * k:
-                    likely = at[np.argpartition(-bound, 4 * k - 1)[: 4 * k]]
-                    least = max(least, np.partition(x[likely] @ q[i], len(likely) - k)[len(likely) - k])
-                at = at[bound >= least - slack]
-        exact = x[at] @ q[i]
-        if len(at) > k:
-            least = np.partition(exact, len(exact) - k)[len(exact) - k]
-            held = exact >= least
-            at, exact = at[held], exact[held]
-        order = np.lexsort((ids[at], -exact))[:k]
-        out += [(int(q_id), int(ids[at[j]]), int(exact[j])) for j in order]
+class Block:
+    """Vectors of one length as whole doubles with their statistics; those too large for that are kept as lists of integers."""
+
+    def __init__(self, ids: np.ndarray, raw: np.ndarray):
+        fits = (np.abs(raw) <= PLAIN).all(axis=1)
+        self.ids, self.x = ids[fits], np.floor(SCALE * raw[fits])
+        self.large = [(int(i), [_scaled(c) for c in v]) for i, v in zip(ids[~fits], raw[~fits].tolist(), strict=True)]
+        self.all_ids, self.raw = ids, raw
+        self.top = float(np.abs(self.x).max()) if len(self.x) else 0.0
+        self.levels = [statistics(self.x, s) for s in resolutions(raw.shape[1])]
+
+    def integers(self) -> list[tuple[int, list[int]]]:
+        return [(int(i), [_scaled(c) for c in v]) for i, v in zip(self.all_ids, self.raw.tolist(), strict=True)]
+
+
+def _scaled(c: float) -> int:
+    """floor(SCALE * c) without overflow: a component beyond ``PLAIN`` has no digits after the point that a double keeps at this scale."""
+    return int(np.floor(SCALE * c)) if abs(c) <= PLAIN else _floor_times(c)
+
+
+def _floor_times(c: float) -> int:
+    top, bottom = c.as_integer_ratio()
+    return SCALE * top // bottom
+
+
+def _held(score: int) -> int:
+    return min(MOST, max(LEAST, score))
+
+
+def exact(x: np.ndarray, q: np.ndarray, top_x: float, top_q: float) -> np.ndarray:
+    """Inner products of rows of whole doubles, as 64-bit integers held to their range."""
+    bound = len(q) * top_x * top_q
+    if bound < 2.0**53:
+        return (x @ q).astype(np.int64)
+    if bound < 2.0**63:
+        return x.astype(np.int64) @ q.astype(np.int64)
+    whole = [int(c) for c in q]
+    return np.array([_held(sum(int(a) * b for a, b in zip(row, whole, strict=True))) for row in x], np.int64)
+
+
+def search_block(q: Block, c: Block, k: int, thresholds: dict[int, int]) -> list[tuple[int, int, int]]:
+    """(query_id, vec_id, score) of the k best of this block for each query, as far as they reach the query's threshold."""
+    out: list[tuple[int, int, int]] = []
+    coarse = _coarse(q, c) if q.levels and len(q.x) and len(c.x) else None
+    for i, q_id in enumerate(q.ids.tolist()):
+        least = thresholds.get(q_id, LEAST)
+        slack = 1e-6 * (1 + np.abs(q.x[i]).sum() * c.top)  # of the bounds' rounding
+        found = []
+        if len(c.x) and (coarse is None or coarse[i] >= least - slack):
+            found = _search(q, i, c, k, least, slack)
+        if c.large:
+            whole = [int(v) for v in q.x[i]]
+            found = _best(found + [(_held(sum(a * b for a, b in zip(v, whole, strict=True))), j) for j, v in c.large if j != q_id], k)
+        out += [(q_id, j, s) for s, j in found if s >= least]
+    if q.large:
+        whole = c.integers()
+        for q_id, v in q.large:
+            found = _best([(_held(sum(a * b for a, b in zip(v, w, strict=True))), j) for j, w in whole if j != q_id], k)
+            out += [(q_id, j, s) for s, j in found if s >= thresholds.get(q_id, LEAST)]
     return out
 
 
-def _blocks(side: str, rows: int):
-    """Rows (ids, vectors as float64 bytes, dim) of at most ``rows`` vectors of one length, from whatever a partition holds."""
+def _best(found: list[tuple[int, int]], k: int) -> list[tuple[int, int]]:
+    return sorted(found, key=lambda x: (-x[0], x[1]))[:k]
+
+
+def _coarse(q: Block, c: Block) -> np.ndarray:
+    """The most that any candidate of the block can score with each query: bounds by the block's least and greatest coarse means and deviations."""
+    low, high = c.levels[0].min(axis=0), c.levels[0].max(axis=0)
+    return np.maximum(q.levels[0] * low, q.levels[0] * high).sum(axis=1)
+
+
+def _search(q: Block, i: int, c: Block, k: int, least: int, slack: float) -> list[tuple[int, int]]:
+    """(score, vec_id) of the k best plain candidates for one plain query."""
+    own, top = q.x[i], float(np.abs(q.x[i]).max())
+    at = np.flatnonzero(c.ids != q.ids[i])
+    for depth, (lq, lx) in enumerate(zip(q.levels, c.levels, strict=True)):
+        bound = lx[at] @ lq[i] if depth else lx @ lq[i]
+        if not depth:
+            bound = bound[at]
+        if len(at) > 4 * k and depth in (0, len(q.levels) - 1):
+            # the k-th score among the likeliest is a threshold, too
+            likely = at[np.argpartition(-bound, 4 * k - 1)[: 4 * k]]
+            least = max(least, int(np.partition(exact(c.x[likely], own, c.top, top), len(likely) - k)[len(likely) - k]))
+        at = at[bound >= least - slack]
+    scores = exact(c.x[at], own, c.top, top)
+    if len(at) > k:
+        edge = np.partition(scores, len(scores) - k)[len(scores) - k]
+        at, scores = at[scores >= edge], scores[scores >= edge]
+    order = np.lexsort((c.ids[at], ~scores))[:k]  # ~ falls as scores rise, without overflow
+    return [(int(scores[j]), int(c.ids[at[j]])) for j in order]
+
+
+def _blocks(side: str, rows: int, with_least: bool = False):
+    """Rows (ids, vectors as float64 bytes, dim, and thresholds if asked) of at most ``rows`` vectors of one length, from whatever a partition holds."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         ids: dict[int, list[int]] = {}
         vectors: dict[int, list[np.ndarray]] = {}
+        least: dict[int, list[int]] = {}
 
         def flush(dim: int) -> pa.RecordBatch:
-            data = np.array(ids.pop(dim), np.int64).tobytes(), np.stack(vectors.pop(dim)).tobytes()
-            return pa.RecordBatch.from_arrays([pa.array([data[0]], pa.binary()), pa.array([data[1]], pa.binary()), pa.array([dim], pa.int32())], [f"{side}_ids", f"{side}_data", "dim"])
+            data = [np.array(ids.pop(dim), np.int64).tobytes(), np.stack(vectors.pop(dim)).tobytes(), dim, np.array(least.pop(dim), np.int64).tobytes()]
+            kinds, names = (pa.binary(), pa.binary(), pa.int32(), pa.binary()), (f"{side}_ids", f"{side}_data", "dim", "least")
+            n = 4 if with_least else 3
+            return pa.RecordBatch.from_arrays([pa.array([x], t) for x, t in zip(data[:n], kinds[:n], strict=True)], list(names[:n]))
 
         for b in batches:
-            for vec_id, v in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
+            thresholds = b.column(2).to_pylist() if with_least else [None] * b.num_rows
+            for vec_id, v, t in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), thresholds, strict=True):
                 dim = len(v)
                 ids.setdefault(dim, []).append(vec_id)
-                vectors.setdefault(dim, []).append(np.floor(SCALE * np.array(v, np.float64)))
+                vectors.setdefault(dim, []).append(np.array(v, np.float64))
+                least.setdefault(dim, []).append(LEAST if t is None else t)
                 if len(ids[dim]) >= rows:
                     yield flush(dim)
         for dim in list(ids):
@@ -108,11 +182,19 @@ def _blocks(side: str, rows: int):
 
 def _searcher(k: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        last: dict[str, tuple[bytes, Block]] = {}
+
+        def block(side: str, ids: bytes, data: bytes, dim: int) -> Block:
+            if side not in last or last[side][0] != data:
+                last[side] = data, Block(np.frombuffer(ids, np.int64), np.frombuffer(data, np.float64).reshape(-1, dim))
+            return last[side][1]
+
         for b in batches:
-            for q_ids, q, ids, x, dim in zip(*(c.to_pylist() for c in b.columns), strict=True):
-                side = lambda i, v, d=dim: (np.frombuffer(i, np.int64), np.frombuffer(v, np.float64).reshape(-1, d))
-                found = search_block(*side(q_ids, q), *side(ids, x), k)
-                yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in (zip(*found, strict=True) if found else ([], [], []))], ["query_id", "vec_id", "score"])
+            for q_ids, q_data, least, c_ids, c_data, dim in zip(*(c.to_pylist() for c in b.columns), strict=True):
+                q, c = block("q", q_ids, q_data, dim), block("c", c_ids, c_data, dim)
+                thresholds = dict(zip(np.frombuffer(q_ids, np.int64).tolist(), np.frombuffer(least, np.int64).tolist(), strict=True)) if least else {}
+                found = search_block(q, c, k, thresholds)
+                yield pa.RecordBatch.from_arrays([pa.array(x, pa.int64()) for x in (zip(*found, strict=True) if found else ([], [], []))], ["query_id", "vec_id", "score"])
 
     return run
 
@@ -124,20 +206,39 @@ def usable(embeddings: DataFrame) -> DataFrame:
     return embeddings.where(fine).select(F.col("vec_id").cast("long").alias("vec_id"), v.alias("v"))
 
 
+def _ranked(found: DataFrame, k: int) -> DataFrame:
+    order = Window.partitionBy("query_id").orderBy(F.col("score").desc(), F.col("vec_id"))
+    return found.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k)
+
+
 def top_k(embeddings: DataFrame, k: int = TOP, query_step: int = QUERY_STEP) -> DataFrame:
     """query_id, rank (from 1), vec_id, score: the k largest integer inner products of every query."""
     rows = usable(embeddings)
+    is_query = F.col("vec_id") % query_step == 0
+    n, n_queries, dim = rows.agg(F.count(F.lit(1)), F.count_if(is_query), F.max(F.size("v"))).first()
     # few queries in many files would make many small blocks, so their number of partitions is fitted to their count
-    queries = rows.where(F.col("vec_id") % query_step == 0)
-    parts = max(1, -(-queries.count() // QUERY_BLOCK))
-    q = queries.repartition(parts).mapInArrow(_blocks("q", QUERY_BLOCK), "q_ids binary, q_data binary, dim int")
-    c = rows.mapInArrow(_blocks("c", CANDIDATE_BLOCK), "c_ids binary, c_data binary, dim int").withColumn("deal", F.pmod(F.xxhash64("c_ids"), F.lit(DEALS)).cast("int"))
-    q = q.withColumn("deal", F.explode(F.sequence(F.lit(0), F.lit(DEALS - 1))))
-    # blocks against blocks: a stated query set against all rows
-    met = c.join(q.hint("merge"), ["dim", "deal"]).select("q_ids", "q_data", "c_ids", "c_data", "dim")
-    found = met.mapInArrow(_searcher(k), SCHEMA)
-    order = Window.partitionBy("query_id").orderBy(F.col("score").desc(), F.col("vec_id"))
-    return found.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
+    parts = max(1, -(-n_queries // QUERY_BLOCK))
+    make_q = _blocks("q", QUERY_BLOCK)
+    queries = rows.where(is_query)
+    q = queries.repartition(parts).mapInArrow(make_q, "q_ids binary, q_data binary, dim int")
+    # first pass: some rows (any will do, and their bytes are bounded) against all queries give each query's threshold
+    scouts = min(SCOUT_BLOCKS * CANDIDATE_BLOCK, SCOUT_BYTES // (8 * (dim or 1)))
+    few = rows.where(F.rand(7) < scouts / max(n, 1)).limit(2 * scouts).coalesce(1)
+    few = few.mapInArrow(_blocks("c", CANDIDATE_BLOCK), "c_ids binary, c_data binary, dim int")
+    empty = F.lit(None).cast("binary").alias("least")
+    met = q.join(F.broadcast(few), "dim").select("q_ids", "q_data", empty, "c_ids", "c_data", "dim")  # at most 2 * SCOUT_BYTES
+    least = _ranked(met.mapInArrow(_searcher(k), SCHEMA), k).where(F.col("rank") == k).select(F.col("query_id").alias("vec_id"), F.col("score").alias("least"))
+    # second pass: blocks against blocks, a stated query set against all rows
+    armed = queries.join(least, "vec_id", "left").repartition(parts).mapInArrow(_blocks("q", QUERY_BLOCK, True), "q_ids binary, q_data binary, dim int, least binary")
+    c = rows.mapInArrow(_blocks("c", CANDIDATE_BLOCK), "c_ids binary, c_data binary, dim int")
+    n_blocks = -(-n // CANDIDATE_BLOCK)
+    c_groups, q_groups = max(1, min(n_blocks, max(GROUPS, -(-n_blocks // CANDIDATE_GROUP)))), max(1, -(-parts // QUERY_GROUP))
+    group = lambda ids, groups: F.pmod(F.xxhash64(ids), F.lit(groups)).cast("int")
+    every = lambda groups: F.explode(F.sequence(F.lit(0), F.lit(groups - 1)))
+    c = c.withColumn("c_group", group("c_ids", c_groups)).withColumn("q_group", every(q_groups))
+    armed = armed.withColumn("q_group", group("q_ids", q_groups)).withColumn("c_group", every(c_groups))
+    met = c.join(armed.hint("merge"), ["dim", "c_group", "q_group"]).select("q_ids", "q_data", "least", "c_ids", "c_data", "dim")
+    return _ranked(met.mapInArrow(_searcher(k), SCHEMA), k).select("query_id", "rank", "vec_id", "score")
 
 
 ORACLE_SQL = f"""

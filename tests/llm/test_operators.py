@@ -627,6 +627,28 @@ def test_top_k_brute_force(spark):
     assert [r.rank for r in sorted(few, key=lambda r: r.rank)] == [1, 2, 3]
 
 
+@pytest.mark.parametrize("scale", [1, 3e6, 1e12, 1e200])
+def test_top_k_large_components(spark, monkeypatch, scale):
+    """Exact integers of any size; what a long cannot hold is held at its ends, ties to the smaller id."""
+    from fractions import Fraction
+
+    for name, value in (("QUERY_BLOCK", 2), ("CANDIDATE_BLOCK", 7), ("SCOUT_BLOCKS", 2), ("CANDIDATE_GROUP", 2), ("GROUPS", 3), ("QUERY_GROUP", 1)):
+        monkeypatch.setattr(topk, name, value)
+    rng = np.random.default_rng(11)
+    x = rng.standard_normal((90, 8)) * np.where(rng.random((90, 1)) < 0.5, scale, 1)
+    x[40:60] = x[40]
+    ids = [*range(60), *range(100, 118), 100, *([200] * 11)]
+    df = spark.createDataFrame([(i, v.tolist()) for i, v in zip(ids, x)] + [(300, [1.0, 2.0])], "vec_id long, embedding array<double>").repartition(5)
+    whole = [[int(Fraction(c) * 1024 // 1) for c in v] for v in x.tolist()]
+    got: dict = {}
+    for r in topk.top_k(df).orderBy("query_id", "rank").collect():
+        got.setdefault(r.query_id, []).append((r.vec_id, r.score))
+    assert set(got) == {0, 100, 200}
+    for q, found in got.items():
+        scores = [(max(-(2**63), min(2**63 - 1, sum(a * b for a, b in zip(whole[i], v)))), ids[j]) for i in range(90) if ids[i] == q for j, v in enumerate(whole) if ids[j] != q]
+        assert found == [(j, s) for s, j in sorted(scores, key=lambda p: (-p[0], p[1]))[:10]]
+
+
 def test_pipeline(spark):
     import corpus_pipeline
 
