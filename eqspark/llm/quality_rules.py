@@ -1,16 +1,19 @@
 """Quality rules with robust multivariate outlier rejection (minimum covariance determinant).
 
 Word and line statistics of every whole text are column expressions. The verdict is a deterministic
-minimum-covariance-determinant (MCD) estimate per (language, source): start from median/MAD distances, take the
-subset of at least ``H_SHARE`` of the rows with the smallest distances, refit mean and covariance, repeat, and
-reject rows whose Mahalanobis distance is beyond ``CUTOFF``. Groups with fewer than ``MIN_ROWS`` usable rows use
+minimum-covariance-determinant (MCD) estimate per (language, source). Three starts compete: medians with MADs, the scatter of hyperbolic tangents
+and the scatter of spatial signs of the standardized rows. Each takes the subset of at least ``H_SHARE`` of the rows with the smallest distances and
+refits mean and covariance, ``FIRST_STEPS`` times; the start with the least determinant goes on until no group's determinant changes (``MAX_STEPS`` at most).
+Rows are rejected whose Mahalanobis distance, made consistent by its median, is beyond ``CUTOFF``. For this last distance alone, a variance below the square of its statistic's
+``FLOORS`` is raised to that, so that a statistic that hardly varies rejects nothing by itself; the steps only have a ridge of ``RIDGE`` of it against singular
+subsets. Groups with fewer than ``MIN_ROWS`` usable rows use
 their language's estimate, then that of all rows, then none (every row is kept).
 
 All statistics are transformed and rounded to integers (``SCALE`` steps a unit), so sums are exact in any order
 and quantiles hold a bounded number of distinct values however many rows a group has.
 
 Edge cases: a null text has no words (all zero, base-failed); a null language or source is a group of its own;
-repeated rows are judged each; an empty table gives an empty result; other columns pass through untouched.
+rows at equal (binned) distance are all in the subset or all out; repeated rows are judged each; an empty table gives an empty result; other columns pass through untouched.
 """
 
 from __future__ import annotations
@@ -22,7 +25,7 @@ from .common import SPACE_CLASS, materialize, small_side
 
 SCALE = 1024
 H_SHARE = 0.75
-C_STEPS = 3
+FIRST_STEPS, MAX_STEPS = 2, 20
 MIN_ROWS = 100
 #: Squared Mahalanobis distances are held as floor(LOG_STEPS * ln(1 + d2)).
 LOG_STEPS = 64
@@ -30,8 +33,10 @@ LOG_STEPS = 64
 CUTOFF = 30.86
 #: Median of chi-square(5): makes the estimates consistent.
 CHI2_MEDIAN = 4.351460191095526
-#: Least standard deviation of each transformed statistic, so that one that hardly varies rejects nothing by itself.
+#: Least standard deviation of each transformed statistic in the last distance, so that one that hardly varies rejects nothing by itself.
 FLOORS = (1.0, 0.15, 0.06, 0.06, 0.10)
+#: Share of the squared floors (and of the unit variances of a start's scatter) that is added to every variance.
+RIDGE = 0.01
 DIM = len(FLOORS)
 #: (name, expression over the base statistics); the same text runs in Spark and in other SQL engines.
 FEATURES = (
@@ -88,18 +93,13 @@ def with_base(docs: DataFrame, text: str = "text") -> DataFrame:
     return out.withColumn("base_failed", F.expr(BASE_FAILED)).drop("_eq_words", "_eq_lines")
 
 
-# --- SQL text that Spark and the oracle share -------------------------------------------------
+# --- expressions over v0, v1, ... --------------------------------------------------------------
 
 
 def feature_sql() -> str:
     return ", ".join(f"CAST(round({SCALE} * {e}) AS BIGINT) AS {n}" for n, e in FEATURES)
 
 
-def start_distance_sql() -> str:
-    """Squared distance in medians and MADs."""
-    return " + ".join(f"power((v{k} - m{k}) / greatest(1.4826e0 * a{k}, {FLOORS[k] * SCALE!r}e0), 2)" for k in range(DIM))
-
-
 def log_sql(d2: str) -> str:
     return f"CAST(floor({LOG_STEPS} * ln(1.0e0 + ({d2}))) AS BIGINT)"
 
@@ -114,12 +114,15 @@ def mean_sql() -> str:
     return ", ".join(f"s{k} / h AS m{k}" for k in range(DIM))
 
 
-def covariance_sql() -> str:
+def covariance_sql(raised: bool) -> str:
+    """Covariances with the ridge; ``raised``: variances are at least the squared floors."""
     parts = []
     for i in range(DIM):
         for j in range(i + 1):
-            ridge = f" + {(FLOORS[i] * SCALE) ** 2!r}e0" if i == j else ""
-            parts.append(f"s{i}_{j} / h - (s{i} / h) * (s{j} / h){ridge} AS c{i}_{j}")
+            value, floor = f"s{i}_{j} / h - (s{i} / h) * (s{j} / h)", (FLOORS[i] * SCALE) ** 2
+            if i == j:
+                value = (f"greatest({value}, {floor!r}e0)" if raised else value) + f" + {RIDGE * floor!r}e0"
+            parts.append(f"{value} AS c{i}_{j}")
     return ", ".join(parts)
 
 
@@ -147,7 +150,9 @@ def squared_sql() -> str:
 # --- the estimate ------------------------------------------------------------------------------
 
 KEYS = ["level", "g_lang", "g_source"]
-MODEL = [f"m{k}" for k in range(DIM)] + [f"l{i}_{j}" for i in range(DIM) for j in range(i + 1)]
+LOWER = [f"l{i}_{j}" for i in range(DIM) for j in range(i + 1)]
+MODEL = [f"m{k}" for k in range(DIM)] + LOWER
+V = [f"v{k}" for k in range(DIM)]
 
 
 def _select(df: DataFrame, exprs: str) -> DataFrame:
@@ -165,43 +170,78 @@ def _split(exprs: str) -> list[str]:
     return [*out, exprs[last:]]
 
 
-def _fit(rows: DataFrame) -> DataFrame:
-    """Mean and Cholesky factor of each group's rows."""
-    fitted = _select(rows.groupBy(*KEYS).agg(*[F.expr(e) for e in _split(moments_sql())]), mean_sql() + ", " + covariance_sql())
+def _factor(df: DataFrame) -> DataFrame:
+    """``df`` (c0_0, c1_0, ...) with the lower factor and det, the root of the determinant."""
     for step in cholesky_steps():
-        fitted = _select(fitted, step)
-    return fitted.select(*KEYS, *MODEL)
-
-
-def _distances(rows: DataFrame, model: DataFrame, n_groups: int) -> DataFrame:
-    out = rows.join(small_side(model, n_groups), KEYS)
+        df = _select(df, step)
+    return df.withColumn("det", F.expr(" * ".join(f"l{k}_{k}" for k in range(DIM))))
+
+
+def _fit(rows: DataFrame, keys: list[str], raised: bool = False) -> DataFrame:
+    """Mean, Cholesky factor and det of each group's rows."""
+    sums = rows.groupBy(*keys).agg(*[F.expr(e) for e in _split(moments_sql())])
+    return _factor(_select(sums, mean_sql() + ", " + covariance_sql(raised))).select(*keys, *MODEL, "det")
+
+
+def _starts(usable: DataFrame, med: DataFrame, mad: DataFrame, n_groups: int) -> DataFrame:
+    """KEYS, start, the model of each start, in units of the statistics."""
+    scale = [f"greatest(1.4826e0 * a{k}, {FLOORS[k] * SCALE!r}e0) AS d{k}" for k in range(DIM)]
+    base = materialize(med.join(mad, KEYS).selectExpr(*KEYS, *[f"m{k}" for k in range(DIM)], *scale), "mcd-scales")
+    z = usable.join(small_side(base, n_groups), KEYS).selectExpr(*KEYS, *[f"(v{k} - m{k}) / d{k} AS z{k}" for k in range(DIM)])
+    z = z.withColumn("r", F.expr("sqrt(" + " + ".join(f"z{k} * z{k}" for k in range(DIM)) + ")"))
+    # whole numbers again, so that sums do not depend on the order of rows
+    bent = [F.struct(F.lit(1).alias("start"), *[F.expr(f"CAST(round({SCALE} * tanh(z{k})) AS BIGINT)").alias(f"v{k}") for k in range(DIM)])]
+    bent += [F.struct(F.lit(2).alias("start"), *[F.expr(f"CASE WHEN r > 0 THEN CAST(round({SCALE} * z{k} / r) AS BIGINT) ELSE 0 END").alias(f"v{k}") for k in range(DIM)])]
+    sums = z.select(*KEYS, F.explode(F.array(*bent)).alias("x")).select(*KEYS, "x.*").groupBy(*KEYS, "start").agg(*[F.expr(e) for e in _split(moments_sql())])
+    scatter = ", ".join(f"s{i}_{j} / h / {SCALE**2}e0" + (f" + {RIDGE}e0" if i == j else "") + f" AS c{i}_{j}" for i in range(DIM) for j in range(i + 1))
+    factors = _factor(_select(sums, scatter)).select(*KEYS, "start", *LOWER)
+    unit = base.select(*KEYS, F.lit(0).alias("start"), *[F.lit(float(i == j)).alias(f"l{i}_{j}") for i in range(DIM) for j in range(i + 1)])
+    out = factors.unionByName(unit).join(base, KEYS)
+    return out.selectExpr(*KEYS, "start", *[f"m{k}" for k in range(DIM)], *[f"d{i} * l{i}_{j} AS l{i}_{j}" for i in range(DIM) for j in range(i + 1)])
+
+
+def _distances(rows: DataFrame, model: DataFrame, n: int) -> DataFrame:
+    """``rows`` with d2, once for each start of their group's models (``n`` rows)."""
+    out = rows.join(small_side(model, n), KEYS)
     for step in solve_steps():
         out = _select(out, step)
     return out.withColumn("d2", F.expr(squared_sql()))
 
 
-def _nearest(rows: DataFrame, n_groups: int) -> DataFrame:
+def _nearest(rows: DataFrame, model: DataFrame, n: int, keys: list[str]) -> DataFrame:
     """Rows of each group whose binned distance is within its ``H_SHARE`` quantile; ties stay."""
-    cut = rows.groupBy(*KEYS).agg(F.expr(f"percentile_disc({H_SHARE}) WITHIN GROUP (ORDER BY b)").alias("cut"))
-    return rows.join(small_side(cut, n_groups), KEYS).where("b <= cut")
+    binned = _distances(rows, model, n).withColumn("b", F.expr(log_sql("d2"))).select(*keys, *V, "b")
+    cut = binned.groupBy(*keys).agg(F.expr(f"percentile_disc({H_SHARE}) WITHIN GROUP (ORDER BY b)").alias("cut"))
+    return binned.join(small_side(cut, n), keys).where("b <= cut")
+
+
+def determinants(usable: DataFrame, n_groups: int) -> DataFrame:
+    """KEYS, the model of least determinant and det of each group of ``usable`` (KEYS, v0..v4)."""
+    med = materialize(usable.groupBy(*KEYS).agg(*[F.expr(f"percentile(v{k}, 0.5e0)").alias(f"m{k}") for k in range(DIM)]), "mcd-medians")
+    mad = usable.join(small_side(med, n_groups), KEYS).groupBy(*KEYS).agg(*[F.expr(f"percentile(abs(v{k} - m{k}), 0.5e0)").alias(f"a{k}") for k in range(DIM)])
+    keys = [*KEYS, "start"]
+    model = materialize(_starts(usable, med, mad, n_groups), "mcd-starts")
+    for _ in range(FIRST_STEPS):
+        model = materialize(_fit(_nearest(usable, model, 3 * n_groups, keys), keys), "mcd-model")
+    best = model.groupBy(*KEYS).agg(F.min_by(F.struct(*MODEL, "det"), F.struct("det", "start")).alias("x"))
+    model = materialize(best.select(*KEYS, "x.*"), "mcd-model")
+    for _ in range(MAX_STEPS):
+        new = materialize(_fit(_nearest(usable, model, n_groups, KEYS), KEYS), "mcd-model")
+        settled = new.join(small_side(model.select(*KEYS, F.col("det").alias("old")), n_groups), KEYS).where("det <> old").isEmpty()
+        model = new
+        if settled:
+            break
+    return model
 
 
 def estimate(stats: DataFrame) -> DataFrame:
     """MCD estimates from rows (g_lang, g_source, v0..v4), one row per (g_lang, g_source) with the estimate that holds for it (has_model false: none)."""
-    v = [f"v{k}" for k in range(DIM)]
     levels = F.explode(F.array(*[F.struct(F.lit(n).alias("level"), a.alias("g_lang"), b.alias("g_source")) for n, a, b in ((2, F.col("g_lang"), F.col("g_source")), (1, F.col("g_lang"), F.lit("")), (0, F.lit(""), F.lit("")))]))
-    rows = stats.select(levels.alias("k"), *v).select("k.*", *v)
+    rows = stats.select(levels.alias("k"), *V).select("k.*", *V)
     sizes = materialize(rows.groupBy(*KEYS).agg(F.count(F.lit(1)).alias("n")), "mcd-groups")
     n_groups = sizes.count()
     usable = materialize(rows.join(small_side(sizes.where(f"n >= {MIN_ROWS}").drop("n"), n_groups), KEYS), "mcd-rows")
-    med = materialize(usable.groupBy(*KEYS).agg(*[F.expr(f"percentile(v{k}, 0.5e0)").alias(f"m{k}") for k in range(DIM)]), "mcd-medians")
-    mad = usable.join(small_side(med, n_groups), KEYS).groupBy(*KEYS).agg(*[F.expr(f"percentile(abs(v{k} - m{k}), 0.5e0)").alias(f"a{k}") for k in range(DIM)])
-    start = materialize(med.join(mad, KEYS), "mcd-start")
-    near = _nearest(usable.join(small_side(start, n_groups), KEYS).withColumn("b", F.expr(log_sql(start_distance_sql()))).select(*KEYS, *v, "b"), n_groups)
-    model = materialize(_fit(near), "mcd-model")
-    for _ in range(C_STEPS):
-        binned = _distances(usable, model, n_groups).withColumn("b", F.expr(log_sql("d2"))).select(*KEYS, *v, "b")
-        model = materialize(_fit(_nearest(binned, n_groups)), "mcd-model")
+    model = materialize(_fit(_nearest(usable, determinants(usable, n_groups), n_groups, KEYS), KEYS, raised=True), "mcd-raised")
     scale = _distances(usable, model, n_groups).withColumn("b", F.expr(log_sql("d2"))).groupBy(*KEYS).agg(F.expr("percentile_disc(0.5) WITHIN GROUP (ORDER BY b)").alias("mid"))
     whole = materialize(model.join(scale, KEYS), "mcd-final")
     groups = sizes.where("level = 2").select("g_lang", "g_source")
