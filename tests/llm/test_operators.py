@@ -71,6 +71,37 @@ def test_quality_rules_reject_outliers_of_a_group(spark):
     assert all(got[i] for i, *_ in clean) and not any(got[i] for i, *_ in junk)
 
 
+def test_quality_rules_least_determinant(spark):
+    """Against numpy: random starts with steps to convergence find no subset of a clearly smaller determinant, and the reported one is its subset's."""
+    rng = np.random.default_rng(12)
+    n, d = 400, quality_rules.DIM
+    x = np.round(rng.multivariate_normal(np.zeros(d), np.eye(d) + 0.6, n) * 300 * np.array(quality_rules.FLOORS) + 1000).astype(int)
+    x[:80] = np.round(rng.normal(4000, 20, (80, d)))  # a far cluster
+    df = spark.createDataFrame([(2, "1en", "1a", *map(int, v)) for v in x], "level int, g_lang string, g_source string, " + ", ".join(f"v{k} long" for k in range(d)))
+    ridge = np.diag(quality_rules.RIDGE * (np.array(quality_rules.FLOORS) * quality_rules.SCALE) ** 2)
+
+    def step(rows):
+        mean, cov = x[rows].mean(axis=0), np.cov(x[rows].T, bias=True) + ridge
+        far = np.einsum("ij,jk,ik->i", x - mean, np.linalg.inv(cov), x - mean)
+        b = np.floor(quality_rules.LOG_STEPS * np.log(1 + far))
+        return np.flatnonzero(b <= np.sort(b)[int(np.ceil(quality_rules.H_SHARE * n)) - 1]), np.sqrt(np.linalg.det(cov))
+
+    least = np.inf
+    for _ in range(30):
+        rows = rng.choice(n, 2 * d, replace=False)
+        for _ in range(30):
+            rows, det = step(rows)
+        least = min(least, step(rows)[1])
+    got = quality_rules.determinants(df, 1).collect()
+    assert len(got) == 1 and got[0].det <= 1.001 * least
+    mean = np.array([got[0][f"m{k}"] for k in range(d)])
+    factor = np.array([[got[0][f"l{i}_{j}"] if j <= i else 0.0 for j in range(d)] for i in range(d)])
+    far = (np.linalg.solve(factor, (x - mean).T) ** 2).sum(axis=0)
+    b = np.floor(quality_rules.LOG_STEPS * np.log(1 + far))
+    rows = b <= np.sort(b)[int(np.ceil(quality_rules.H_SHARE * n)) - 1]
+    assert factor @ factor.T == pytest.approx(np.cov(x[rows].T, bias=True) + ridge, rel=1e-9) and not rows[:80].any()
+
+
 PAGE = (
     '<body><div id=top class="site-header"><a href=x>Home</a></div><div class="cookie-notice">We use cookies, many of them, for all sorts of things.</div>'
     "<div id=content><h1>Title here</h1><p>First para, with commas, and &quot;quotes&quot; &amp; more text to be long enough.<p>Second   para\n with <a href=q>link</a>.<ul><li>one<li>two, three</ul>"
@@ -502,16 +533,37 @@ def test_keep_civil_by_row(spark, monkeypatch):
 
 
 def test_mixing_meets_targets_beside_a_tiny_cell(spark):
-    """Probabilities under the old floor of 0.05 are kept, so that kept tokens follow the targets."""
+    """Probabilities are as small as the targets ask for, so that kept tokens follow the targets."""
     rows = [("big", "en", "t", 4 * 10**10), ("mid", "en", "t", 10**10), ("big", "de", "t", 2 * 10**10), ("mid", "de", "t", 10**10), ("tiny", "xx", "t", 10), ("tiny", "en", "t", 1000), ("big", "xx", "t", 1000)]
     seen = spark.createDataFrame(rows, "_eq_source string, _eq_lang string, _eq_topic string, _eq_tokens long")
-    got = [r._mix_p for r in mixing._with_probability(seen, seen, 0.0).collect()]
-    assert min(got) < mixing.RATIO_FLOOR and max(got) == 1.0
+    got = [r._mix_p for r in mixing._with_probability(seen, seen).collect()]
+    assert min(got) < 0.05 and max(got) == 1.0
     with pytest.warns(UserWarning, match="marginal"):  # a source and language that are one cell have two targets
         mixing.rake(spark.createDataFrame([("a", "en", "t", 10**6), ("b", "xx", "t", 10)], "source string, lang string, topic string, tokens long"))
-    import inspect
 
-    assert all(inspect.signature(f).parameters["ratio_floor"].default == 0.0 for f in (mixing.mix, mixing.decisions))
+
+def test_mixing_stops_at_its_targets(spark):
+    """Sweeps go on until the marginals are met, however slowly, and give plain numpy's weights."""
+    rng = np.random.default_rng(13)
+    cells = [(f"s{i}", f"l{j}", f"t{k}", int(10 ** rng.uniform(1, 7))) for i in range(4) for j in range(3) for k in range(2) if rng.random() < 0.8]
+    df = spark.createDataFrame(cells, "source string, lang string, topic string, tokens long")
+    raked = mixing.rake(df)
+    assert mixing.marginal_gap(raked) < 1e-8
+    w = {c[:3]: float(c[3]) for c in cells}
+    target = [{}, {}, {}]
+    for d, power in enumerate((mixing.SOURCE_POWER, mixing.LANG_POWER, 1.0)):
+        for c in cells:
+            target[d][c[d]] = target[d].get(c[d], 0) + c[3]
+        scaled = {k: v**power for k, v in target[d].items()}
+        target[d] = {k: v * sum(c[3] for c in cells) / sum(scaled.values()) for k, v in scaled.items()}
+    for _ in range(400):
+        for d in range(3):
+            sums: dict = {}
+            for c, v in w.items():
+                sums[c[d]] = sums.get(c[d], 0) + v
+            w = {c: v * target[d][c[d]] / sums[c[d]] for c, v in w.items()}
+    for r in raked.collect():
+        assert r.w == pytest.approx(w[r.source, r.lang, r.topic], rel=1e-6)
 
 
 def test_toxicity_gradient():
