@@ -6,12 +6,13 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..schema import MIN_HZ
+from .sides import small_side
 
 
-def segments(points: DataFrame, key: str = "curve_id") -> DataFrame:
-    """One row for each pair of neighbours: l, ldb, r, rdb, is_last."""
+def segments(points: DataFrame, key: str = "curve_id", carry: tuple[str, ...] = ()) -> DataFrame:
+    """One row for each pair of neighbours: key, ``carry`` (columns that a key determines), l, ldb, r, rdb, is_last."""
     w = Window.partitionBy(key).orderBy("f")
-    out = points.select(key, F.col("f").alias("l"), F.col("db").alias("ldb"), F.lead("f").over(w).alias("r"), F.lead("db").over(w).alias("rdb"), F.lead("f", 2).over(w).isNull().alias("is_last"))
+    out = points.select(key, *carry, F.col("f").alias("l"), F.col("db").alias("ldb"), F.lead("f").over(w).alias("r"), F.lead("db").over(w).alias("rdb"), F.lead("f", 2).over(w).isNull().alias("is_last"))
     return out.where("r IS NOT NULL")
 
 
@@ -27,18 +28,28 @@ def interpolate_grid(points: DataFrame, grid: DataFrame, points_per_octave: int,
     A segment knows by arithmetic which grid places lie in it, so it explodes to those and reads their exact
     frequencies by a broadcast equi-join: the work is the size of the result, not segments times grid.
     """
+    return on_grid(segments(points, key), grid, points_per_octave).select(key, "idx", "f", "db")
+
+
+def on_grid(parts: DataFrame, grid: DataFrame, points_per_octave: int) -> DataFrame:
+    """The columns of ``parts`` (segments) with idx, f, db of the grid places in each."""
     n = grid.count()  # a grid is a driver-made table of fixed size
     place = lambda f: F.log2(F.col(f) / MIN_HZ) * points_per_octave
     lo, hi = F.greatest(F.floor(place("l")).cast("int") - 1, F.lit(0)), F.least(F.ceil(place("r")).cast("int") + 1, F.lit(n - 1))
-    spread = segments(points, key).where(lo <= hi).withColumn("idx", F.explode(F.sequence(lo, hi)))
-    met = spread.join(F.broadcast(grid.select("idx", "f")), "idx").where("f >= l AND (f < r OR (is_last AND f = r))")
-    return met.select(key, "idx", "f", lerp(F.col("f")).alias("db"))
+    spread = parts.where(lo <= hi).withColumn("idx", F.explode(F.sequence(lo, hi)))
+    met = spread.join(F.broadcast(grid.select("idx", "f")), "idx").where(_holds(F.col("f")))
+    return met.withColumn("db", lerp(F.col("f")))
+
+
+def _holds(f: Column) -> Column:
+    """Whether a segment has ``f``; the last one has its right end, too."""
+    return (f >= F.col("l")) & ((f < F.col("r")) | (F.col("is_last") & (f == F.col("r"))))
 
 
 def interpolate_at(points: DataFrame, frequency: Column | float, key: str = "curve_id") -> DataFrame:
     """key, db at one frequency of every curve that covers it."""
     f = F.lit(frequency) if isinstance(frequency, float) else frequency
-    return segments(points, key).where((f >= F.col("l")) & ((f < F.col("r")) | (F.col("is_last") & (f == F.col("r"))))).select(key, lerp(f).alias("db"))
+    return segments(points, key).where(_holds(f)).select(key, lerp(f).alias("db"))
 
 
 def interpolate_asof(points: DataFrame, wanted: DataFrame, key: str = "curve_id", how: str = "left") -> DataFrame:
@@ -61,10 +72,21 @@ def normalization_offset_hz(points: DataFrame, frequency_hz: float, key: str = "
     return interpolate_at(points, frequency_hz, key).select(key, (-F.col("db")).alias("offset"))
 
 
-def prepare(points: DataFrame, grid: DataFrame, points_per_octave: int, frequency_hz: float, key: str = "curve_id") -> DataFrame:
-    """key, idx, f, db: on the grid, with the offset of the raw points added."""
-    offsets = normalization_offset_hz(points, frequency_hz, key)
-    return interpolate_grid(points, grid, points_per_octave, key).join(offsets, key).select(key, "idx", "f", (F.col("db") + F.col("offset")).alias("db"))
+def prepare(points: DataFrame, grid: DataFrame, points_per_octave: int, frequency_hz: float, key: str = "curve_id", carry: tuple[str, ...] = ()) -> DataFrame:
+    """key, ``carry``, idx, f, db: on the grid, with the offset of the raw points added; curves that do not cover the anchor are dropped.
+
+    The offset is a window over a curve's segments, which are in one place for their neighbours already: nothing is joined or shuffled for it.
+    """
+    at = F.lit(frequency_hz)
+    offset = F.max(F.when(_holds(at), -lerp(at))).over(Window.partitionBy(key))
+    parts = segments(points, key, carry).withColumn("offset", offset).where("offset IS NOT NULL")
+    return on_grid(parts, grid, points_per_octave).select(key, *carry, "idx", "f", (F.col("db") + F.col("offset")).alias("db"))
+
+
+def prepare_level(points: DataFrame, offsets: DataFrame, grid: DataFrame, points_per_octave: int, key: str = "curve_id") -> DataFrame:
+    """``prepare`` with an offset (key, offset) for each curve, as the level mode of normalization gives it; curves without one are dropped."""
+    parts = segments(points, key).join(small_side(offsets), key)
+    return on_grid(parts, grid, points_per_octave).select(key, "idx", "f", (F.col("db") + F.col("offset")).alias("db"))
 
 
 def combine(left: DataFrame, right: DataFrame, keys: list[str], value: Column, name: str) -> DataFrame:
@@ -119,8 +141,16 @@ def display_offsets(points: DataFrame, offsets: DataFrame, key: str = "curve_id"
     return points.join(offsets, key, "left").withColumn("db", F.col("db") + F.coalesce("offset", F.lit(0.0))).drop("offset")
 
 
-def against_baseline(points: DataFrame, baseline: DataFrame, key: str = "curve_id") -> DataFrame:
-    """Points minus a baseline curve (f, db) at their frequencies; points that it does not cover are dropped."""
-    frequencies = points.select("f").distinct().withColumn("_b", F.lit(0))
-    at = interpolate_asof(baseline.withColumn("_b", F.lit(0)), frequencies, "_b", "inner").select("f", F.col("db").alias("base"))
-    return points.join(at, "f").withColumn("db", F.col("db") - F.col("base")).drop("base")
+#: Places an octave at which a baseline's segments are looked up.
+LOOKUP_PLACES = 48
+
+
+def against_baseline(points: DataFrame, baseline: DataFrame) -> DataFrame:
+    """Points minus a baseline curve (f, db) at their frequencies; points that it does not cover are dropped.
+
+    The baseline is one curve. Its segments are spread over logarithmic places and met by place, so no task gets all points.
+    """
+    place = lambda f: F.floor(F.log2(F.col(f)) * LOOKUP_PLACES).cast("int")
+    parts = segments(baseline.withColumn("_b", F.lit(0)), "_b").withColumn("place", F.explode(F.sequence(place("l"), place("r")))).drop("_b")
+    met = points.withColumn("place", place("f")).join(small_side(parts), "place").where(_holds(F.col("f")))
+    return met.select(*[c for c in points.columns if c != "db"], (F.col("db") - lerp(F.col("f"))).alias("db"))

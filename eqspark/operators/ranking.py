@@ -2,12 +2,18 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .metrics import distance, target_achieved, violation
 
 EPS = 1e-12
+#: Parts of a group in which skylines meet first.
+SPREAD = 64
 
 
 def primary_key() -> Column:
@@ -20,15 +26,24 @@ def solution_order() -> list[Column]:
     return [violation(F.col("rmse"), F.col("max_abs")), F.col("rmse"), F.col("max_abs"), F.col("cancellation"), F.col("max_q"), F.col("max_gain"), F.col("sum_gain"), F.col("n")]
 
 
+def filter_order(solutions: DataFrame) -> list[Column]:
+    """What decides among equal metrics, if ``solutions`` have ``filters``: filter by filter, frequency, type, gain and Q."""
+    if "filters" not in solutions.columns:
+        return []
+    kind = lambda x: F.when(x["type"] == "LS", 0).when(x["type"] == "PK", 1).otherwise(2)
+    return [F.transform("filters", lambda x: F.struct(x["f"].alias("f"), kind(x).alias("type"), x["gain"].alias("gain"), x["q"].alias("q")))]
+
+
 def rank_solutions(solutions: DataFrame, group: str, last: str) -> DataFrame:
-    w = Window.partitionBy(group).orderBy(*solution_order(), last)
+    """``solutions`` with rank within ``group``: by metrics, then filter by filter, then by ``last``."""
+    w = Window.partitionBy(group).orderBy(*solution_order(), *filter_order(solutions), last)
     return solutions.withColumn("rank", F.row_number().over(w))
 
 
-def rank_deliverable(solutions: DataFrame, group: str, last: str) -> DataFrame:
-    """Those that meet the target first, then by normalized distance, then as solutions."""
-    met = target_achieved(F.col("rmse"), F.col("max_abs"))
-    w = Window.partitionBy(group).orderBy(met.desc(), distance(F.col("rmse"), F.col("max_abs")), *solution_order(), last)
+def rank_deliverable(solutions: DataFrame, group: str, last: str, places: int = 9) -> DataFrame:
+    """Those that meet the target first, then by normalized distance (to ``places`` digits, so that engines agree on ties), then as solutions."""
+    met, far = target_achieved(F.col("rmse"), F.col("max_abs")), F.round(distance(F.col("rmse"), F.col("max_abs")), places)
+    w = Window.partitionBy(group).orderBy(met.desc(), far, *solution_order(), *filter_order(solutions), last)
     return solutions.withColumn("rank", F.row_number().over(w))
 
 
@@ -52,22 +67,53 @@ def retained_paths(paths: DataFrame, group: str, last: str, cap: int = 3, ratio:
     return out.where((F.col("_near") | escape) & (F.col("rank") <= cap)).drop("_best", "_near", "_n")
 
 
-def dominates(a: str, b: str, metrics: tuple[str, ...]) -> Column:
-    """Row ``a`` is no worse in all metrics and better in one, beyond a tiny tolerance."""
-    no_worse, better = F.lit(True), F.lit(False)
-    for m in metrics:
-        no_worse &= F.col(f"{a}.{m}") <= F.col(f"{b}.{m}") + EPS
-        better |= F.col(f"{a}.{m}") < F.col(f"{b}.{m}") - EPS
-    return no_worse & better
+def _skyline(values: np.ndarray) -> np.ndarray:
+    """Which rows (n, metrics) no other row dominates: no worse in all and better in one, beyond ``EPS``."""
+    order = np.lexsort(values.T[::-1])
+    kept: list[int] = []
+    front = np.empty((0, values.shape[1]))
+    for i in order:  # whoever dominates a row is before it in this order, but for ties within the tolerance
+        x = values[i]
+        if not ((front <= x + EPS).all(axis=1) & (front < x - EPS).any(axis=1)).any():
+            beaten = (x <= front + EPS).all(axis=1) & (x < front - EPS).any(axis=1)
+            kept = [k for k, gone in zip(kept, beaten, strict=True) if not gone] + [int(i)]
+            front = values[kept]
+    out = np.zeros(len(values), bool)
+    out[kept] = True
+    return out
+
+
+def _front_rows(group: str, names: list[str]):
+    """Rows of each group in whatever comes, less those that another of them dominates. Memory: the rows kept and a batch."""
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        held: dict = {}
+        for batch in batches:
+            for key, part in batch.groupby(group, dropna=False, sort=False):
+                key = None if pd.isna(key) else key
+                both = pd.concat([held[key], part]) if key in held else part
+                held[key] = both[_skyline(both[names].to_numpy(np.float64))]
+        yield from held.values()
+
+    return run
 
 
 def pareto_front(states: DataFrame, group: str, metrics: tuple[str, ...] = ("n", "rmse", "max_abs", "cancellation")) -> DataFrame:
-    """States that no other of their group dominates.
+    """States that no other of their group dominates: no worse in all metrics and better in one, beyond a tiny tolerance (equals stay, all of them).
 
-    A group is compared within itself by an anti-join whose candidates are first cut to the rows that are least in some
-    metric or not beaten by the group's best state in all of them.
+    Each partition first leaves its own skyline, wherever its rows lie; these meet in ``SPREAD`` parts of each group, and only what is left there meets by
+    group. A hot group is thus reduced twice before one task sees it. Null groups are a group; metrics are not null.
     """
-    return states.alias("s").join(states.alias("t"), (F.col("s." + group) == F.col("t." + group)) & dominates("t", "s", metrics), "left_anti")
+    names, keep = list(metrics), _front_rows(group, list(metrics))
+    local = states.mapInPandas(keep, states.schema)
+    spread = local.withColumn("_part", F.pmod(F.xxhash64(*names), F.lit(SPREAD))).repartition(F.col(group), F.col("_part")).drop("_part")
+    return spread.mapInPandas(keep, states.schema).repartition(group).mapInPandas(keep, states.schema)
+
+
+def retain_beam(states: DataFrame, group: str, width: int) -> DataFrame:
+    """The states of each group that none dominates in rmse and largest deviation, the first ``width`` by the reference key."""
+    w = Window.partitionBy(group).orderBy(reference_key())
+    return pareto_front(states, group, ("rmse", "max_abs")).withColumn("_n", F.row_number().over(w)).where(F.col("_n") <= width).drop("_n")
 
 
 def reference_key() -> Column:
@@ -107,6 +153,9 @@ def unseen(proposals: DataFrame, seen: DataFrame, key: str = "key") -> DataFrame
 
 
 def semantic_key(filters: DataFrame, group: str = "preset_id") -> DataFrame:
-    """A hash of a filter set without ids and order."""
-    one = F.struct("type", F.col("f"), F.col("gain"), F.col("q"), "enabled")
-    return filters.groupBy(group).agg(F.sha2(F.to_json(F.sort_array(F.collect_list(one))), 256).alias("key"))
+    """group, key: a hash of a filter set (64 at most) without ids and order; frequencies to 0.001 Hz, gains to 0.1 dB, Q to 0.01."""
+    whole = lambda c, k: F.round(F.col(c) * k).cast("long")
+    part = F.struct("type", whole("f", 1000).alias("f"), whole("gain", 10).alias("gain"), whole("q", 100).alias("q"), "enabled")
+    per = filters.groupBy(group).agg(F.sort_array(F.collect_list(part)).alias("x"))
+    line = F.transform("x", lambda v: F.concat_ws("|", v["type"], v["f"].cast("string"), v["gain"].cast("string"), v["q"].cast("string"), v["enabled"].cast("string")))
+    return per.select(group, F.sha2(F.concat_ws(";", line), 256).alias("key"))

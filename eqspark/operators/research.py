@@ -6,7 +6,9 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..schema import TIMELINE_MARKS_MS
+from ..storage import materialize
 from .metrics import violation
+from .sides import small_side
 
 RUN_KEYS = ["case_id", "budget_s", "max_filters"]
 #: (column, predicate over rmse and max_abs).
@@ -49,23 +51,56 @@ def time_to_quality(checkpoints: DataFrame, key: str = "cell") -> DataFrame:
     return history.groupBy(key).agg(*[F.min(F.when(F.expr(p), F.col("elapsed_ms"))).alias(n) for n, p in QUALITY])
 
 
-def summary(column: str, name: str) -> list[Column]:
-    """best, median, worst, spread."""
-    c = F.col(column)
-    return [F.min(c).alias(f"{name}_best"), F.median(c).alias(f"{name}_median"), F.max(c).alias(f"{name}_worst"), (F.max(c) - F.min(c)).alias(f"{name}_spread")]
+#: Values of a group that one task may hold for an exact median; larger groups are narrowed first.
+MEDIAN_ROWS = 100_000
+BINS = 1024
+NEVER = 1.7976931348623157e308
 
 
-def aggregate_runs(runs: DataFrame) -> DataFrame:
-    """One row for each (case, budget, filters): counts, rate, reasons and summaries."""
-    out = runs.groupBy(*RUN_KEYS).agg(F.count(F.lit(1)).alias("run_count"), F.count_if("achieved").alias("achieved_count"), *summary("rmse", "rmse"), *summary("max_abs", "max_abs"), *summary("elapsed_ms", "elapsed"), *unreached("joint_ms", "joint"))
-    return out.withColumn("achieved_rate", F.col("achieved_count") / F.col("run_count"))
+def medians(values: DataFrame, keys: list[str], most: int = MEDIAN_ROWS) -> DataFrame:
+    """keys, n, least, median, most of the values v (double, not null) of each group, exactly.
+
+    While a group has more than ``most`` values between its bounds, a histogram of ``BINS`` equal bins narrows the bounds to the bins that hold the middle
+    ranks, so no task gathers a group of unbounded size.
+    """
+    whole = values.groupBy(*keys).agg(F.count(F.lit(1)).alias("n"), F.min("v").alias("least"), F.max("v").alias("most"))
+    bounds = whole.select(*keys, "n", "least", "most", F.col("least").alias("lo"), F.col("most").alias("hi"), F.lit(0).cast("long").alias("below"), F.col("n").alias("inside"))
+    first, last = F.expr("(n - 1) div 2"), F.expr("n div 2")
+    while (bounds.where("lo < hi").agg(F.max("inside")).first()[0] or 0) > most:
+        # halves before the difference: bounds may be as far apart as doubles get
+        share = (F.col("v") / 2 - F.col("lo") / 2) / (F.col("hi") / 2 - F.col("lo") / 2)
+        met = values.join(small_side(bounds), keys).where("lo < hi AND v BETWEEN lo AND hi")
+        bins = met.groupBy(*keys, "n", "below", F.least(F.floor(share * BINS), F.lit(BINS - 1)).alias("bin")).agg(F.count(F.lit(1)).alias("c"), F.min("v").alias("a"), F.max("v").alias("b"))
+        upto = F.sum("c").over(Window.partitionBy(*keys).orderBy("bin"))  # a thousand bins a group
+        bins = bins.withColumn("before", F.col("below") + upto - F.col("c")).where((F.col("before") <= last) & (F.col("before") + F.col("c") > first))
+        new = bins.groupBy(*keys).agg(F.min("a").alias("a"), F.max("b").alias("b"), F.min("before").alias("before"), F.sum("c").alias("c"))
+        pick = lambda name, old: F.coalesce(name, old).alias(old)
+        bounds = bounds.join(new, keys, "left").select(*keys, "n", "least", "most", pick("a", "lo"), pick("b", "hi"), pick("before", "below"), pick("c", "inside"))
+        bounds = materialize(bounds, "median-bounds")
+    middle = values.join(small_side(bounds.select(*keys, "lo", "hi")), keys).where("lo < hi AND v BETWEEN lo AND hi").groupBy(*keys).agg(F.sort_array(F.collect_list("v")).alias("x"))
+    at = lambda rank: F.coalesce(F.get("x", (rank - F.col("below")).cast("int")), F.col("lo"))
+    both = bounds.join(middle, keys, "left").withColumns({"_p": at(first), "_q": at(last)})
+    return both.select(*keys, "n", "least", F.when(F.col("_p") == F.col("_q"), F.col("_p")).otherwise(F.col("_p") / 2 + F.col("_q") / 2).alias("median"), "most")
 
 
-def unreached(column: str, name: str) -> list[Column]:
-    """Median and worst where null means never: if that is what they come to, they are null."""
-    x = F.coalesce(F.col(column).cast("double"), F.lit(float("inf")))
-    finite = lambda v: F.when(v < float("inf"), v)
-    return [finite(F.median(x)).alias(f"{name}_median_ms"), finite(F.max(x)).alias(f"{name}_worst_ms")]
+def aggregate_runs(runs: DataFrame) -> DataFrame:
+    """One row for each (case, budget, filters): counts, rate and summaries (best, median, worst, spread) of rmse, largest deviation and elapsed time.
+
+    Median and worst time to both targets treat null as never; if that is what they come to, they are null.
+    """
+    metrics = ("rmse", "max_abs", "elapsed_ms", "joint_ms")
+    value = lambda m: F.coalesce(F.col(m).cast("double"), F.lit(NEVER)) if m == "joint_ms" else F.col(m).cast("double")
+    long = runs.select(*RUN_KEYS, F.explode(F.array(*[F.struct(F.lit(m).alias("metric"), value(m).alias("v")) for m in metrics])).alias("x")).select(*RUN_KEYS, "x.*")
+    per = medians(long.where("v IS NOT NULL"), [*RUN_KEYS, "metric"])
+    of = lambda m, c: F.max(F.when(F.col("metric") == m, F.col(c)))
+    reached = lambda c: F.when(c < NEVER / 4, c)
+    columns = []
+    for m, name in (("rmse", "rmse"), ("max_abs", "max_abs"), ("elapsed_ms", "elapsed")):
+        columns += [of(m, "least").alias(f"{name}_best"), of(m, "median").alias(f"{name}_median"), of(m, "most").alias(f"{name}_worst"), (of(m, "most") - of(m, "least")).alias(f"{name}_spread")]
+    columns += [reached(of("joint_ms", "median")).alias("joint_median_ms"), reached(of("joint_ms", "most")).alias("joint_worst_ms")]
+    counts = runs.groupBy(*RUN_KEYS).agg(F.count(F.lit(1)).alias("run_count"), F.count_if("achieved").alias("achieved_count"))
+    out = counts.join(per.groupBy(*RUN_KEYS).agg(*columns), RUN_KEYS)
+    return out.withColumn("achieved_rate", F.col("achieved_count") / F.col("run_count"))
 
 
 def termination_counts(runs: DataFrame) -> DataFrame:

@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..operators import curves, features, grids, metrics
+from ..operators.sides import small_side
 from ..schema import METRIC_BANDS, POINTS_PER_OCTAVE, RESEARCH_BANDS, ZOOM_RANGES
 from ..sources import bridge
 from ..sources.bridge import grid_sql
@@ -44,12 +45,18 @@ def prepared(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def wanted(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """pair_id, idx, f, db: each pair's target minus source, both normalized."""
-    ready = prepared(spark, sf_dir)
-    pairs = bridge.pairs(spark, sf_dir)
-    source = pairs.join(ready, F.col("fr_id") == F.col("curve_id")).select(F.col("fr_id").alias("pair_id"), "idx", "f", "db")
-    target = pairs.join(ready, F.col("target_id") == F.col("curve_id")).select(F.col("fr_id").alias("pair_id"), "idx", "f", "db")
-    return curves.desired(source, target, ["pair_id", "idx"])
+    """pair_id, idx, f, db: each pair's target minus source, both normalized.
+
+    The targets, one a label, are prepared alone and met by (label, place); their rows are known beforehand, so they are broadcast while they are few.
+    Sources stay where their curve's points met, from the interpolation to whatever is grouped by pair.
+    """
+    points = bridge.curve_points(spark, sf_dir)
+    grid = _grid(spark)
+    side = lambda kind: curves.prepare(points.where(F.col("kind") == kind), grid, POINTS_PER_OCTAVE, ANCHOR_HZ, carry=("label",))
+    n_labels = bridge.table(spark, sf_dir, "embeddings").select("label").distinct().count()
+    targets = small_side(side("target").select("label", "idx", F.col("db").alias("target_db")), n_labels * len(grids.evaluation_grid()))
+    met = side("fr").join(targets, ["label", "idx"])
+    return met.select(F.col("curve_id").alias("pair_id"), "idx", "f", (F.col("target_db") - F.col("db")).alias("db"))
 
 
 def _rounded_errors(df: DataFrame) -> DataFrame:

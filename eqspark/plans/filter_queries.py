@@ -208,11 +208,8 @@ def f18_working_filters(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query(with_views("filters") + "SELECT sig, count(*) AS presets, min(preset_id) AS first_preset FROM (SELECT preset_id, string_agg(concat_ws('|', type, CAST(CAST(round(f * 1000) AS BIGINT) AS VARCHAR), CAST(CAST(round(gain * 10) AS BIGINT) AS VARCHAR), CAST(CAST(round(q * 100) AS BIGINT) AS VARCHAR), enabled), ';' ORDER BY type, round(f * 1000), round(gain * 10), round(q * 100), enabled) AS s, sha256(s) AS sig FROM filters GROUP BY preset_id) GROUP BY sig")
 def d7_semantic_key(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A hash of each filter set without ids and order, and how many presets share it."""
-    whole = lambda c, k: F.round(F.col(c) * k).cast("long")
-    part = F.struct("type", whole("f", 1000).alias("f"), whole("gain", 10).alias("gain"), whole("q", 100).alias("q"), "enabled")
-    per = bridge.filters(spark, sf_dir).groupBy("preset_id").agg(F.sort_array(F.collect_list(part)).alias("x"))  # 64 at most
-    line = F.transform("x", lambda v: F.concat_ws("|", v["type"], v["f"].cast("string"), v["gain"].cast("string"), v["q"].cast("string"), v["enabled"].cast("string")))
-    return per.select("preset_id", F.sha2(F.concat_ws(";", line), 256).alias("sig")).groupBy("sig").agg(F.count(F.lit(1)).alias("presets"), F.min("preset_id").alias("first_preset"))
+    per = ranking.semantic_key(bridge.filters(spark, sf_dir)).withColumnRenamed("key", "sig")
+    return per.groupBy("sig").agg(F.count(F.lit(1)).alias("presets"), F.min("preset_id").alias("first_preset"))
 
 
 # --- texts -------------------------------------------------------------------------------------

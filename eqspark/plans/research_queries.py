@@ -111,12 +111,7 @@ def o5_rank_solutions(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(with_views(SOLUTIONS) + f"SELECT grp, id, CAST(row_number() OVER (PARTITION BY grp ORDER BY {_MET} DESC, round(sqrt(power(rmse / 0.25e0, 2) + power(max_abs / 0.75e0, 2)), 9), {_ORDER}) AS INTEGER) AS rank FROM solutions")
 def o6_rank_deliverable(spark: SparkSession, sf_dir: str) -> DataFrame:
-    from pyspark.sql import Window
-
-    rows = _solutions(spark, sf_dir)
-    met, far = metrics.target_achieved(F.col("rmse"), F.col("max_abs")), F.round(metrics.distance(F.col("rmse"), F.col("max_abs")), 9)
-    w = Window.partitionBy("grp").orderBy(met.desc(), far, *ranking.solution_order(), "id")
-    return rows.select("grp", "id", F.row_number().over(w).alias("rank"))
+    return ranking.rank_deliverable(_solutions(spark, sf_dir), "grp", "id").select("grp", "id", "rank")
 
 
 @query(with_views(SOLUTIONS) + f"SELECT id, {_MET} AS achieved, {s6(V)} AS violation, {s6('sqrt(power(rmse / 0.25e0, 2) + power(max_abs / 0.75e0, 2))')} AS distance FROM solutions")

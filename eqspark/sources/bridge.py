@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from ..operators.sides import small_side
+
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
@@ -16,14 +18,14 @@ def curve_points(spark: SparkSession, sf_dir: str) -> DataFrame:
     first = table(spark, sf_dir, "embeddings").groupBy("label").agg(F.min("vec_id").alias("target_id"))
     f = F.when(F.col("idx") == 0, F.lit(20.0)).when(F.col("idx") == 63, F.lit(20000.0)).otherwise(F.round(F.expr("20e0 * power(1000e0, idx / 63e0)"), 6))
     kind = F.when(F.col("curve_id") == F.col("target_id"), "target").otherwise("fr")
-    return rows.join(F.broadcast(first), "label").select("curve_id", "label", kind.alias("kind"), "idx", f.alias("f"), (60.0 + 20.0 * F.col("e").cast("double")).alias("db"))  # ten labels
+    return rows.join(small_side(first), "label").select("curve_id", "label", kind.alias("kind"), "idx", f.alias("f"), (60.0 + 20.0 * F.col("e").cast("double")).alias("db"))
 
 
 def pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
     """fr_id, target_id."""
     e = table(spark, sf_dir, "embeddings")
     first = e.groupBy("label").agg(F.min("vec_id").alias("target_id"))
-    return e.join(F.broadcast(first), "label").where("vec_id <> target_id").select(F.col("vec_id").alias("fr_id"), "target_id")
+    return e.join(small_side(first), "label").where("vec_id <> target_id").select(F.col("vec_id").alias("fr_id"), "target_id")
 
 
 def filters(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -17,36 +17,41 @@ DEFAULT_SHELF_Q = 0.707
 def parse_filters(texts: DataFrame, key: str = "preset_id") -> DataFrame:
     """key, ordinal (from 0), enabled, type, f, gain, q and error columns of every filter line; a text's first bad line is its error.
 
-    A text without filter lines, or with more than 64, has one row that holds the error alone.
+    A text without filter lines, or with more than 64, has one row that holds the error alone. A text is parsed to an array within its row and
+    exploded once; nothing is shuffled.
     """
-    lines = texts.select(key, F.posexplode(F.split("text", r"\r\n?|\n")).alias("line", "raw")).withColumn("raw", F.trim(F.regexp_replace("raw", r"^\s+|\s+$", "")))
-    rows = lines.where(F.col("raw").rlike(STARTS))
-    part = lambda i: F.regexp_extract("raw", LINE, i)
-    label = F.upper(part(2))
-    kind = F.create_map(*[F.lit(x) for pair in TYPE_OF_LABEL.items() for x in pair])[label]
+    lines = F.filter(F.transform(F.split("text", r"\r\n?|\n"), lambda x: F.regexp_replace(x, r"^\s+|\s+$", "")), lambda x: x.rlike(STARTS))
+    # parsed once: the optimizer does not copy an expression through an explode
+    rows = texts.select(key, F.explode(F.array(F.transform(lines, _line))).alias("x"))
+    errors = F.filter(F.transform("x", lambda v: v["error"]), lambda e: e.isNotNull())
+    error = F.when(F.size("x") == 0, "parse: no filters").when(F.size(errors) > 0, F.get(errors, F.lit(0))).when(F.size("x") > HARD_MAX_FILTERS, "validation: more than 64 filters")
+    rows = rows.withColumn("error", error)
+    rows = rows.select(key, "error", F.posexplode_outer(F.when(F.col("error").isNull(), F.col("x"))).alias("ordinal", "v"))
+    return rows.select(key, "ordinal", (F.col("v.state") == "ON").alias("enabled"), F.col("v.type").alias("type"), F.col("v.f").alias("f"), F.col("v.gain").alias("gain"), F.col("v.q").alias("q"), "error")
+
+
+def _line(line: Column) -> Column:
+    """state, type, f, gain, q and error of one filter line."""
+    part = lambda i: F.regexp_extract(line, LINE, i)
     number = lambda s: F.when(s.rlike(r"(?i)^[+-]?(\d+\.?\d*|\.\d+)(e[+-]?\d+)?$"), s.try_cast("double"))
-    rows = rows.withColumns({"ok": F.col("raw").rlike(LINE), "state": F.upper(part(1)), "type": kind, "f": number(part(3)), "gain": number(part(4)), "q_text": part(5)})
-    rows = rows.withColumn("q", F.when(F.col("q_text") == "", F.lit(DEFAULT_SHELF_Q)).otherwise(number(F.col("q_text"))))
-    bad = lambda c: F.col(c).isNull() | (F.abs(c) == float("inf"))
+    bad = lambda x: x.isNull() | (F.abs(x) == float("inf"))
+    state, label, q_text = F.upper(part(1)), F.upper(part(2)), part(5)
+    kind = F.lit(None).cast("string")
+    for name, meaning in TYPE_OF_LABEL.items():
+        kind = F.when(label == name, meaning).otherwise(kind)
+    f, gain = number(part(3)), number(part(4))
+    q = F.when(q_text == "", F.lit(DEFAULT_SHELF_Q)).otherwise(number(q_text))
     error = (
-        F.when(~F.col("ok"), "parse: malformed filter line")
-        .when(~F.col("state").isin("ON", "OFF"), "parse: unsupported state")
-        .when(F.col("type").isNull(), "parse: unsupported type")
-        .when((F.col("type") == "PK") & (F.col("q_text") == ""), "parse: a peak needs Q")
-        .when(bad("f") | bad("gain") | bad("q"), "validation: numbers must be finite")
-        .when(~F.col("f").between(MIN_HZ, MAX_HZ), "validation: frequency out of bounds")
-        .when(~F.col("gain").between(-MAX_GAIN_DB, MAX_GAIN_DB), "validation: gain out of bounds")
-        .when(~F.col("q").between(MIN_Q, MAX_Q), "validation: Q out of bounds")
+        F.when(~line.rlike(LINE), "parse: malformed filter line")
+        .when(~state.isin("ON", "OFF"), "parse: unsupported state")
+        .when(kind.isNull(), "parse: unsupported type")
+        .when((kind == "PK") & (q_text == ""), "parse: a peak needs Q")
+        .when(bad(f) | bad(gain) | bad(q), "validation: numbers must be finite")
+        .when(~f.between(MIN_HZ, MAX_HZ), "validation: frequency out of bounds")
+        .when(~gain.between(-MAX_GAIN_DB, MAX_GAIN_DB), "validation: gain out of bounds")
+        .when(~q.between(MIN_Q, MAX_Q), "validation: Q out of bounds")
     )
-    w = Window.partitionBy(key)
-    rows = rows.withColumns({"error": error, "ordinal": F.row_number().over(w.orderBy("line")) - 1, "n": F.count(F.lit(1)).over(w)})
-    rows = rows.withColumn("error", F.coalesce(F.min_by("error", F.when(F.col("error").isNotNull(), F.col("line"))).over(w), F.when(F.col("n") > HARD_MAX_FILTERS, "validation: more than 64 filters")))
-    good = rows.where("error IS NULL").select(key, "ordinal", (F.col("state") == "ON").alias("enabled"), "type", "f", "gain", "q", "error")
-    none = lambda t: F.lit(None).cast(t)
-    wrong = rows.where("error IS NOT NULL").groupBy(key).agg(F.first("error").alias("error"))
-    empty = texts.select(key).distinct().join(rows.select(key).distinct(), key, "left_anti").withColumn("error", F.lit("parse: no filters"))
-    failed = wrong.unionByName(empty).select(key, none("int").alias("ordinal"), none("boolean").alias("enabled"), none("string").alias("type"), none("double").alias("f"), none("double").alias("gain"), none("double").alias("q"), "error")
-    return good.unionByName(failed)
+    return F.struct(state.alias("state"), kind.alias("type"), f.alias("f"), gain.alias("gain"), q.alias("q"), error.alias("error"))
 
 
 def format_filters(filters: DataFrame, preamps: DataFrame) -> DataFrame:

@@ -11,6 +11,7 @@ def spark(tmp_path_factory):
     from pyspark.sql import SparkSession
 
     from eqspark.session import ship
+    from eqspark.storage import cleanup
 
     session = (
         SparkSession.builder.master("local[4]")
@@ -26,4 +27,5 @@ def spark(tmp_path_factory):
     session.sparkContext.setLogLevel("ERROR")
     ship(session)
     yield session
+    cleanup(session)
     session.stop()
