@@ -18,7 +18,7 @@ rows at equal (binned) distance are all in the subset or all out; repeated rows
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import SPACE_CLASS, materialize, small_side
@@ -177,10 +177,7 @@ def _factor(df: DataFrame) -> DataFrame:
     return df.withColumn("det", F.expr(" * ".join(f"l{k}_{k}" for k in range(DIM))))
 
 
-def _fit(rows: DataFrame, keys: list[str], raised: bool = False) -> DataFrame:
-    """Mean, Cholesky factor and det of each group's rows."""
-    sums = rows.groupBy(*keys).agg(*[F.expr(e) for e in _split(moments_sql())])
-    return _factor(_select(sums, mean_sql() + ", " + covariance_sql(raised))).select(*keys, *MODEL, "det")
+SUMS = ["h", *[f"s{k}" for k in range(DIM)], *[f"s{i}_{j}" for i in range(DIM) for j in range(i + 1)]]
 
 
 def _starts(usable: DataFrame, med: DataFrame, mad: DataFrame, n_groups: int) -> DataFrame:
@@ -208,11 +205,16 @@ def _distances(rows: DataFrame, model: DataFrame, n: int) -> DataFrame:
     return out.withColumn("d2", F.expr(squared_sql()))
 
 
-def _nearest(rows: DataFrame, model: DataFrame, n: int, keys: list[str]) -> DataFrame:
-    """Rows of each group whose binned distance is within its ``H_SHARE`` quantile; ties stay."""
-    binned = _distances(rows, model, n).withColumn("b", F.expr(log_sql("d2"))).select(*keys, *V, "b")
-    cut = binned.groupBy(*keys).agg(F.expr(f"percentile_disc({H_SHARE}) WITHIN GROUP (ORDER BY b)").alias("cut"))
-    return binned.join(small_side(cut, n), keys).where("b <= cut")
+def _refit(rows: DataFrame, model: DataFrame, n: int, keys: list[str], raised: bool = False) -> DataFrame:
+    """Mean, Cholesky factor and det of the rows of each group whose binned distance by ``model`` is within its ``H_SHARE`` quantile; ties stay.
+
+    One pass: moments are summed by bin (some hundreds a group), and the bins up to the quantile are added up.
+    """
+    bins = _distances(rows, model, n).withColumn("b", F.expr(log_sql("d2"))).groupBy(*keys, "b").agg(*[F.expr(e) for e in _split(moments_sql())])
+    group = Window.partitionBy(*keys)
+    bins = bins.withColumns({"_upto": F.sum("h").over(group.orderBy("b")), "_all": F.sum("h").over(group)}).where(f"_upto - h < {H_SHARE}e0 * _all")
+    sums = bins.groupBy(*keys).agg(*[F.sum(c).alias(c) for c in SUMS])
+    return _factor(_select(sums, mean_sql() + ", " + covariance_sql(raised))).select(*keys, *MODEL, "det")
 
 
 def determinants(usable: DataFrame, n_groups: int) -> DataFrame:
@@ -222,11 +224,11 @@ def determinants(usable: DataFrame, n_groups: int) -> DataFrame:
     keys = [*KEYS, "start"]
     model = materialize(_starts(usable, med, mad, n_groups), "mcd-starts")
     for _ in range(FIRST_STEPS):
-        model = materialize(_fit(_nearest(usable, model, 3 * n_groups, keys), keys), "mcd-model")
+        model = materialize(_refit(usable, model, 3 * n_groups, keys), "mcd-model")
     best = model.groupBy(*KEYS).agg(F.min_by(F.struct(*MODEL, "det"), F.struct("det", "start")).alias("x"))
     model = materialize(best.select(*KEYS, "x.*"), "mcd-model")
     for _ in range(MAX_STEPS):
-        new = materialize(_fit(_nearest(usable, model, n_groups, KEYS), KEYS), "mcd-model")
+        new = materialize(_refit(usable, model, n_groups, KEYS), "mcd-model")
         settled = new.join(small_side(model.select(*KEYS, F.col("det").alias("old")), n_groups), KEYS).where("det <> old").isEmpty()
         model = new
         if settled:
@@ -241,7 +243,7 @@ def estimate(stats: DataFrame) -> DataFrame:
     sizes = materialize(rows.groupBy(*KEYS).agg(F.count(F.lit(1)).alias("n")), "mcd-groups")
     n_groups = sizes.count()
     usable = materialize(rows.join(small_side(sizes.where(f"n >= {MIN_ROWS}").drop("n"), n_groups), KEYS), "mcd-rows")
-    model = materialize(_fit(_nearest(usable, determinants(usable, n_groups), n_groups, KEYS), KEYS, raised=True), "mcd-raised")
+    model = materialize(_refit(usable, determinants(usable, n_groups), n_groups, KEYS, raised=True), "mcd-raised")
     scale = _distances(usable, model, n_groups).withColumn("b", F.expr(log_sql("d2"))).groupBy(*KEYS).agg(F.expr("percentile_disc(0.5) WITHIN GROUP (ORDER BY b)").alias("mid"))
     whole = materialize(model.join(scale, KEYS), "mcd-final")
     groups = sizes.where("level = 2").select("g_lang", "g_source")
