@@ -26,7 +26,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from . import gru
-from .common import field, labelled, materialize, numbered, plain, small_side
+from .common import labelled
 
 HELD_OUT_MOD, HELD_OUT_REST = 5, 0
 TRAIN_ROWS = 4000
@@ -365,12 +365,28 @@ def score_documents(docs: DataFrame, labels: DataFrame, train_rows: int = TRAIN_
     return rows.mapInArrow(_scorer(shared), "doc_id long, score double").select("doc_id", held_out(F.col("doc_id")).alias("held_out"), "score", (F.col("score") >= THRESHOLD).cast("int").alias("predicted"))
 
 
+def _keeper(shared):
+    """Batches whose last column is the text: their rows that are not predicted toxic, without that column."""
+    score = _scorer(shared)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            if not b.num_rows:
+                continue
+            pairs = pa.RecordBatch.from_arrays([pa.array(range(b.num_rows), pa.int64()), b.column(b.num_columns - 1)], ["doc_id", "text"])
+            scores = np.concatenate([x.column(1).to_numpy() for x in score(iter([pairs]))])
+            yield pa.RecordBatch.from_arrays(b.columns[:-1], schema=pa.schema(list(b.schema)[:-1])).filter(pa.array(scores < THRESHOLD))
+
+    return run
+
+
 def keep_civil(docs: DataFrame, labels: DataFrame, train_rows: int = TRAIN_ROWS) -> DataFrame:
-    """The rows of ``docs`` that are not predicted toxic, with their own columns. Each row goes or stays by its own text, whatever its doc_id."""
-    rows = numbered(docs, "toxic-rows")
+    """The rows of ``docs`` that are not predicted toxic, with their own columns. Each row goes or stays by its own text, whatever its doc_id.
+
+    Rows pass through the workers, which let those go on that may stay: nothing is joined, shuffled or written.
+    """
     shared = docs.sparkSession.sparkContext.broadcast(fit(docs, labels, train_rows))
-    texts = rows.select("row_id", field(docs, "text").cast("string").alias("text"))
-    # the row number stands for the id
-    bad = texts.mapInArrow(_scorer(shared), "doc_id long, score double").where(F.col("score") >= THRESHOLD).select(F.col("doc_id").alias("row_id"))
-    bad = materialize(bad, "toxic-rows-bad")
-    return plain(rows.join(small_side(bad, bad.count()), "row_id", "left_anti"), docs)
+    own = [F.col(f"`{c}`").alias(f"c{k}") for k, c in enumerate(docs.columns)]
+    plain_names = docs.select(*own)
+    kept = docs.select(*own, F.col("text").cast("string").alias("t")).mapInArrow(_keeper(shared), plain_names.schema)
+    return kept.select(*[F.col(f"c{k}").alias(c) for k, c in enumerate(docs.columns)])
