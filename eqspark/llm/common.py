@@ -2,13 +2,11 @@
 
 from __future__ import annotations
 
-import re
-import tempfile
-import uuid
-
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..storage import cleanup, materialize, shared_dir  # noqa: F401  (the operators take them from here)
+
 #: White space is space, tab, newline, vertical tab, form feed, carriage return; a word is a run of anything else.
 SPACE_CLASS = r"[\x20\x09-\x0D]+"
 
@@ -16,55 +14,6 @@ SPACE_CLASS = r"[\x20\x09-\x0D]+"
 BROADCAST_ROWS = 50_000
 
 
-def shared_dir(spark: SparkSession) -> str:
-    """The folder all executors share: ``spark.checkpoint.dir``. Where that is unset, a local master (tests) gets a temporary one; a cluster is an error."""
-    where = spark.conf.get("spark.checkpoint.dir", None)
-    if not where:
-        context = spark.sparkContext
-        if not re.match(r"local(\[|$)", context.master):
-            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
-        where = getattr(context, "_eqspark_shared", None) or tempfile.mkdtemp(prefix="eqspark-shared-")
-        context._eqspark_shared = where
-    return where.rstrip("/")
-
-
-def materialize(df: DataFrame, name: str) -> DataFrame:
-    """Write ``df`` as Parquet into the shared folder and read it back: lineage ends in files that outlive executors.
-
-    Every call has a folder of its own, so no two runs meet; ``cleanup`` drops the session's folders.
-    """
-    spark = df.sparkSession
-    path = f"{shared_dir(spark)}/eqspark/{spark.sparkContext.applicationId}/{name}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
-
-
-def numbered(docs: DataFrame, name: str) -> DataFrame:
-    """row_id, row_ (the columns of ``docs`` as c0, c1, ...), written, so that a row keeps its number however often it is read."""
-    row = F.struct(*[F.col(f"`{c}`").alias(f"c{k}") for k, c in enumerate(docs.columns)])
-    return materialize(docs.select(F.monotonically_increasing_id().alias("row_id"), row.alias("row_")), name)
-
-
-def field(docs: DataFrame, column: str) -> Column:
-    """A column of ``docs`` in ``numbered`` rows."""
-    return F.col("row_")[f"c{docs.columns.index(column)}"]
-
-
-def plain(rows: DataFrame, docs: DataFrame) -> DataFrame:
-    """``numbered`` rows with the columns of ``docs`` again."""
-    return rows.select(*[F.col("row_")[f"c{k}"].alias(c) for k, c in enumerate(docs.columns)])
-
-
-def cleanup(spark: SparkSession) -> None:
-    """Delete what ``materialize`` wrote in this application. Call it once results are written: frames that came from an operator read these files.
-
-    ``bench.py`` and the tests' session call it at their end.
-    """
-    jvm = spark.sparkContext._jvm
-    path = jvm.org.apache.hadoop.fs.Path(f"{shared_dir(spark)}/eqspark/{spark.sparkContext.applicationId}")
-    path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
-
-
 def small_side(df: DataFrame, rows: int, limit: int = BROADCAST_ROWS) -> DataFrame:
     """``df`` with a broadcast hint if its counted ``rows`` are within ``limit``, else as it is (a shuffled join, which AQE splits)."""
     return F.broadcast(df) if rows <= limit else df

@@ -27,13 +27,15 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import field, materialize, numbered, plain, small_side
+from .common import materialize, small_side
 
 MAX_BITS = 2
 SEED = 42
 FULL_BUCKET = 64
 #: Fingerprints with more documents than this meet their class apart from the rest, so that no task gets all copies.
 MANY_COPIES = 256
+#: Rows of a broadcast side of two longs (some 60 bytes each as a hashed table).
+KEY_ROWS = 400_000
 LOW = 0xFFFFFFFF
 
 
@@ -144,14 +146,33 @@ def simhash_components(docs: DataFrame) -> DataFrame:
 def keep_one(docs: DataFrame) -> DataFrame:
     """``docs`` with one row of each class: one with the class's smallest doc_id, or any if no row of the class has an id.
 
-    Each row is judged by its own fingerprint, so rows that share a doc_id, or have none, but differ in text stay apart.
+    Each row is judged by its own fingerprint, so rows that share a doc_id, or have none, but differ in text stay apart. A row is known by a 128-bit hash of
+    all its columns; of rows that are equal in every column one stays.
     """
-    rows = numbered(docs, "simhash-rows")
-    # the row number stands for the id
-    prints = fingerprints(rows.select(F.col("row_id").alias("doc_id"), field(docs, "text").alias("text"))).withColumnRenamed("doc_id", "row_id")
-    prints = prints.join(rows.select("row_id", field(docs, "doc_id").cast("long").alias("doc_id")), "row_id")
-    first = F.min(F.struct(F.col("doc_id").isNull(), "doc_id", "fp", "row_id")).alias("first")
-    distinct = materialize(prints.groupBy("fp").agg(first), "simhash-distinct")  # one row a fingerprint, so copies meet in partial sums
+    rows = hashed(docs)
+    key = F.struct("_h1", "_h2").alias("key")
+    seen = rows.select(key, F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
+    prints = seen.mapInArrow(_keyed_fingerprints, "key struct<_h1:long,_h2:long>, doc_id long, fp long")
+    # equal rows meet in partial counts, fingerprints in partial minima
+    prints = materialize(prints.groupBy("fp", "doc_id", "key").agg(F.count(F.lit(1)).alias("n")), "simhash-rows")
+    first = F.min(F.struct(F.col("doc_id").isNull(), "doc_id", "fp", "key", "n")).alias("first")
+    distinct = materialize(prints.groupBy("fp").agg(first), "simhash-distinct")
     classes = distinct.join(roots(distinct), "fp", "left").groupBy(F.coalesce("root", "fp").alias("root")).agg(F.min("first").alias("first"))
-    keep = materialize(classes.select(F.col("first.row_id").alias("row_id")), "simhash-keep")
-    return plain(rows.join(small_side(keep, keep.count()), "row_id", "left_semi"), docs)
+    keep = materialize(classes.select(F.col("first.key._h1").alias("_h1"), F.col("first.key._h2").alias("_h2"), F.col("first.n").alias("n")), "simhash-keep")
+    side = lambda df: small_side(df.select("_h1", "_h2"), df.count(), KEY_ROWS)
+    single = rows.join(side(keep.where("n = 1")), ["_h1", "_h2"], "left_semi")
+    equal = rows.join(side(keep.where("n > 1")), ["_h1", "_h2"], "left_semi").dropDuplicates(["_h1", "_h2"])
+    return single.unionByName(equal).drop("_h1", "_h2")
+
+
+def hashed(docs: DataFrame) -> DataFrame:
+    """``docs`` with two 64-bit hashes of all columns, _h1 and _h2. Maps, which have no hash, are hashed as their text."""
+    own = [F.to_json(F.struct(F.col(f"`{c}`"))) if "map<" in t else F.col(f"`{c}`") for c, t in docs.dtypes]
+    null = [F.col(f"`{c}`").isNull() for c in docs.columns]  # a hash passes over nulls
+    return docs.withColumns({"_h1": F.xxhash64(F.lit(1), *own, *null), "_h2": F.xxhash64(F.lit(2), *null, *own)})
+
+
+def _keyed_fingerprints(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        found = fingerprint_texts(batch.column(2).to_pylist())
+        yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(found.view(np.int64))], ["key", "doc_id", "fp"])
