@@ -61,6 +61,47 @@ def elapsed(ms: Column) -> Column:
     return F.concat(two(F.floor(s / 60).cast("long")), F.lit(":"), two(s % 60))
 
 
+def shortened(x: Column, places: int) -> Column:
+    """Fixed digits without needless zeros."""
+    return F.regexp_replace(F.regexp_replace(fixed(x, places), r"(\.\d*?)0+$", "$1"), r"\.$", "")
+
+
+def number_text(x: Column) -> Column:
+    """A number without a needless fraction."""
+    return F.when((x == F.floor(x)) & (F.abs(x) < 1e15), F.floor(x).cast("long").cast("string")).otherwise(x.cast("string"))
+
+
+def snapshot_frequency(f: Column) -> Column:
+    return F.when(f < 1000, F.concat(number_text(f), F.lit(" Hz"))).otherwise(F.concat(shortened(f / 1000, 1), F.lit("k Hz")))
+
+
+def snapshot_gain(gain: Column) -> Column:
+    return F.concat(F.when(gain >= 0, "+").otherwise(""), fixed(gain, 1, True), F.lit(" dB"))
+
+
+def snapshot_summary(filters: Column, preamp: Column) -> Column:
+    """The first filter, how many more there are, and the preamp."""
+    tail = F.concat(F.lit("preamp "), fixed(preamp, 1, True), F.lit(" dB"))
+    first, more = F.get(filters, F.lit(0)), F.size(filters) - 1
+    return F.when(F.size(filters) == 0, F.concat(F.lit("no bands, "), tail)).otherwise(F.concat(first["type"], F.lit(" "), snapshot_frequency(first["f"]), F.lit(" "), snapshot_gain(first["gain"]), F.when(more > 0, F.concat(F.lit(" +"), more)).otherwise(""), F.lit(", "), tail))
+
+
+def graph_frequency(f: Column) -> Column:
+    return F.when(f >= 1000, F.concat(fixed(f / 1000, 2), F.lit(" kHz"))).otherwise(F.concat(fixed(f, 0), F.lit(" Hz")))
+
+
+def graph_tick(f: Column) -> Column:
+    return F.when(f == 20, "20Hz").when(f == 20_000, "20kHz").when(f >= 1000, F.concat(number_text(f / 1000), F.lit("k"))).otherwise(number_text(f))
+
+
+def display_db(db: Column) -> Column:
+    return F.coalesce(F.concat(fixed(db, 2, True), F.lit(" dB")), F.lit("--"))
+
+
+def display_frequency(f: Column) -> Column:
+    return F.coalesce(F.when(f >= 1000, F.concat(shortened(f / 1000, 2), F.lit(" kHz"))).otherwise(F.concat(shortened(f, 2), F.lit(" Hz"))), F.lit("--"))
+
+
 def split_depth(filter_id: Column) -> Column:
     """How often ``-split-`` occurs."""
     return F.size(F.split(filter_id, "-split-")) - 1

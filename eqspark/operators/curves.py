@@ -154,3 +154,13 @@ def against_baseline(points: DataFrame, baseline: DataFrame) -> DataFrame:
     parts = segments(baseline.withColumn("_b", F.lit(0)), "_b").withColumn("place", F.explode(F.sequence(place("l"), place("r")))).drop("_b")
     met = points.withColumn("place", place("f")).join(small_side(parts), "place").where(_holds(F.col("f")))
     return met.select(*[c for c in points.columns if c != "db"], (F.col("db") - lerp(F.col("f"))).alias("db"))
+
+
+def resampled(points: DataFrame, key: str = "curve_id") -> DataFrame:
+    """key, f, db on the display grid of each curve (48 places an octave inside its range, and its own ends); curves with fewer than three places stay as they are."""
+    from .grids import display_grid
+
+    places = display_grid(points.withColumnRenamed(key, "curve_id")).withColumnRenamed("curve_id", key)
+    at = interpolate_asof(points, places, key, "inner")
+    few = at.groupBy(key).agg(F.count(F.lit(1)).alias("_n")).where("_n < 3")
+    return at.join(few, key, "left_anti").unionByName(points.select(key, "f", "db").join(few, key, "left_semi"))

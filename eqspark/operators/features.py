@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from .sides import small_side
+
 
 def residual_regions(residuals: DataFrame, key: str, threshold: float = 0.5) -> DataFrame:
     """key, start_idx, end_idx, start_hz, end_hz, sign, octaves of maximal runs of one sign at or above the threshold."""
@@ -70,6 +72,10 @@ def shelf_evidence(residuals: DataFrame, key: str, threshold: float = 0.5) -> Da
 
 
 def cheap_score(residuals: DataFrame, responses: DataFrame, key: str, candidate: str) -> DataFrame:
-    """key, candidate, score: how much squared residual each candidate's response (key, candidate, idx, r) takes away."""
-    met = responses.join(residuals.select(key, "idx", "db"), [key, "idx"])
+    """key, candidate, score: how much squared residual each candidate's response takes away.
+
+    ``responses`` (key, candidate, idx, r) has candidates of each key, or, without key, candidates that all keys share.
+    """
+    on = [key, "idx"] if key in responses.columns else ["idx"]
+    met = residuals.select(key, "idx", "db").join(responses if len(on) > 1 else small_side(responses), on)
     return met.groupBy(key, candidate).agg(F.sum(F.col("db") * F.col("db") - (F.col("db") - F.col("r")) * (F.col("db") - F.col("r"))).alias("score"))

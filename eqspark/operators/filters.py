@@ -134,8 +134,11 @@ def valid_filter() -> Column:
 
 
 def valid_presets(filters: DataFrame) -> DataFrame:
-    """preset_id, n, ok: all filters within bounds, 64 at most."""
-    return filters.groupBy("preset_id").agg(F.count(F.lit(1)).alias("n"), (F.min(valid_filter()) & (F.count(F.lit(1)) <= HARD_MAX_FILTERS)).alias("ok"))
+    """preset_id, n, ok: all filters within bounds, 64 at most; where filters have an ``id``, each holds something and none repeats."""
+    fine = F.min(F.coalesce(valid_filter(), F.lit(False))) & (F.count(F.lit(1)) <= HARD_MAX_FILTERS)
+    if "id" in filters.columns:
+        fine &= F.min(F.coalesce(F.length(F.trim("id")) > 0, F.lit(False))) & (F.count_distinct("id") == F.count(F.lit(1)))
+    return filters.groupBy("preset_id").agg(F.count(F.lit(1)).alias("n"), fine.alias("ok"))
 
 
 def project_to_step(value: Column, step: float, lo: float, hi: float, lower_magnitude: bool) -> Column:
@@ -189,6 +192,32 @@ def finalize(filters: DataFrame) -> DataFrame:
     return filters.withColumn("place", F.row_number().over(w)).withColumn("filter_id", F.concat(F.lit("fit-"), F.col("place")))
 
 
+def canonical_places(filters: DataFrame) -> DataFrame:
+    """``filters`` with place (from 1) by type, frequency and ``id``."""
+    return filters.withColumn("place", F.row_number().over(Window.partitionBy("preset_id").orderBy(type_order(), "f", "id")))
+
+
+def reorder(filters: DataFrame, moves: DataFrame) -> DataFrame:
+    """``filters`` with new ordinals after one move a preset (preset_id, ordinal, up): the filter changes places with its neighbour; moves beyond an end do nothing.
+
+    A preset has 64 filters at most, so its moves and its count are one row beside them.
+    """
+    move = moves.select("preset_id", F.col("ordinal").alias("_from"), F.when(F.col("up"), F.col("ordinal") - 1).otherwise(F.col("ordinal") + 1).alias("_to"))
+    last = F.max("ordinal").over(Window.partitionBy("preset_id"))
+    out = filters.withColumn("_last", last).join(move, "preset_id", "left")
+    there = F.col("_from").between(0, F.col("_last")) & F.col("_to").between(0, F.col("_last"))
+    new = F.when(F.coalesce(there, F.lit(False)) & (F.col("ordinal") == F.col("_from")), F.col("_to")).when(F.coalesce(there, F.lit(False)) & (F.col("ordinal") == F.col("_to")), F.col("_from")).otherwise(F.col("ordinal"))
+    return out.withColumn("ordinal", new.cast("int")).drop("_from", "_to", "_last")
+
+
+def result_rows(fits: DataFrame, filters: DataFrame, pairs: DataFrame) -> DataFrame:
+    """``fits`` (preset_id and its metrics) with count, max_q, max_boost, moderate and strong of the delivered filters, all of which count as enabled."""
+    own = filters.groupBy("preset_id").agg(F.count(F.lit(1)).alias("filter_count"), F.greatest(F.max("q"), F.lit(0.0)).alias("max_q"), F.greatest(F.max("gain"), F.lit(0.0)).alias("max_boost"))
+    found = pairs.groupBy("preset_id").agg(F.count_if(F.col("severity") == "moderate").alias("moderate"), F.count_if(F.col("severity") == "strong").alias("strong"))
+    out = fits.join(own, "preset_id", "left").join(found, "preset_id", "left")
+    return out.na.fill(0, ["filter_count", "moderate", "strong"]).na.fill(0.0, ["max_q", "max_boost"])
+
+
 def sort_by_frequency(filters: DataFrame) -> DataFrame:
     """A stable sort by frequency: new ordinals from 0, and whether the preset changed."""
     w = Window.partitionBy("preset_id").orderBy("f", "ordinal")

@@ -60,27 +60,30 @@ NEVER = 1.7976931348623157e308
 def medians(values: DataFrame, keys: list[str], most: int = MEDIAN_ROWS) -> DataFrame:
     """keys, n, least, median, most of the values v (double, not null) of each group, exactly.
 
-    While a group has more than ``most`` values between its bounds, a histogram of ``BINS`` equal bins narrows the bounds to the bins that hold the middle
-    ranks, so no task gathers a group of unbounded size.
+    Each middle rank has bounds of its own. While there are more than ``most`` values between two of them, a histogram of ``BINS`` equal bins narrows them to
+    the bin that holds the rank, so no task gathers a group of unbounded size; as the least and the greatest value fall into different bins, this ends.
     """
     whole = values.groupBy(*keys).agg(F.count(F.lit(1)).alias("n"), F.min("v").alias("least"), F.max("v").alias("most"))
-    bounds = whole.select(*keys, "n", "least", "most", F.col("least").alias("lo"), F.col("most").alias("hi"), F.lit(0).cast("long").alias("below"), F.col("n").alias("inside"))
-    first, last = F.expr("(n - 1) div 2"), F.expr("n div 2")
+    whole = materialize(whole, "median-groups")
+    ranks = F.explode(F.array_distinct(F.array(F.expr("(n - 1) div 2"), F.expr("n div 2"))))
+    bounds = whole.select(*keys, ranks.alias("rank"), F.col("least").alias("lo"), F.col("most").alias("hi"), F.lit(0).cast("long").alias("below"), F.col("n").alias("inside"))
+    each = [*keys, "rank"]
     while (bounds.where("lo < hi").agg(F.max("inside")).first()[0] or 0) > most:
         # halves before the difference: bounds may be as far apart as doubles get
         share = (F.col("v") / 2 - F.col("lo") / 2) / (F.col("hi") / 2 - F.col("lo") / 2)
         met = values.join(small_side(bounds), keys).where("lo < hi AND v BETWEEN lo AND hi")
-        bins = met.groupBy(*keys, "n", "below", F.least(F.floor(share * BINS), F.lit(BINS - 1)).alias("bin")).agg(F.count(F.lit(1)).alias("c"), F.min("v").alias("a"), F.max("v").alias("b"))
-        upto = F.sum("c").over(Window.partitionBy(*keys).orderBy("bin"))  # a thousand bins a group
-        bins = bins.withColumn("before", F.col("below") + upto - F.col("c")).where((F.col("before") <= last) & (F.col("before") + F.col("c") > first))
-        new = bins.groupBy(*keys).agg(F.min("a").alias("a"), F.max("b").alias("b"), F.min("before").alias("before"), F.sum("c").alias("c"))
+        bins = met.groupBy(*each, "below", F.least(F.floor(share * (BINS - 1)), F.lit(BINS - 1)).alias("bin")).agg(F.count(F.lit(1)).alias("c"), F.min("v").alias("a"), F.max("v").alias("b"))
+        upto = F.sum("c").over(Window.partitionBy(*each).orderBy("bin"))  # a thousand bins a rank
+        bins = bins.withColumn("before", F.col("below") + upto - F.col("c")).where((F.col("before") <= F.col("rank")) & (F.col("before") + F.col("c") > F.col("rank")))
         pick = lambda name, old: F.coalesce(name, old).alias(old)
-        bounds = bounds.join(new, keys, "left").select(*keys, "n", "least", "most", pick("a", "lo"), pick("b", "hi"), pick("before", "below"), pick("c", "inside"))
+        bounds = bounds.join(bins.select(*each, "a", "b", "before", "c"), each, "left").select(*each, pick("a", "lo"), pick("b", "hi"), pick("before", "below"), pick("c", "inside"))
         bounds = materialize(bounds, "median-bounds")
-    middle = values.join(small_side(bounds.select(*keys, "lo", "hi")), keys).where("lo < hi AND v BETWEEN lo AND hi").groupBy(*keys).agg(F.sort_array(F.collect_list("v")).alias("x"))
-    at = lambda rank: F.coalesce(F.get("x", (rank - F.col("below")).cast("int")), F.col("lo"))
-    both = bounds.join(middle, keys, "left").withColumns({"_p": at(first), "_q": at(last)})
-    return both.select(*keys, "n", "least", F.when(F.col("_p") == F.col("_q"), F.col("_p")).otherwise(F.col("_p") / 2 + F.col("_q") / 2).alias("median"), "most")
+    open_ = bounds.where("lo < hi")
+    held = values.join(small_side(open_.drop("below", "inside")), keys).where("v BETWEEN lo AND hi").groupBy(*each).agg(F.sort_array(F.collect_list("v")).alias("x"))
+    middle = bounds.join(held, each, "left").withColumn("m", F.coalesce(F.get("x", (F.col("rank") - F.col("below")).cast("int")), F.col("lo")))
+    middle = middle.groupBy(*keys).agg(F.min("m").alias("_p"), F.max("m").alias("_q"))
+    median = F.when(F.col("_p") == F.col("_q"), F.col("_p")).otherwise(F.col("_p") / 2 + F.col("_q") / 2)
+    return whole.join(middle, keys).select(*keys, "n", "least", median.alias("median"), "most")
 
 
 def aggregate_runs(runs: DataFrame) -> DataFrame:
@@ -135,9 +138,32 @@ def monotonicity_warnings(aggregates: DataFrame, pairs: tuple[tuple[int, int], .
     return out.where("rmse_delta > 0.05e0 OR max_abs_delta > 0.10e0").select("case_id", "max_filters", "shorter_s", "longer_s", "rmse_delta", "max_abs_delta", (F.col("rmse_delta") > 0.05).alias("rmse_trigger"), (F.col("max_abs_delta") > 0.10).alias("max_abs_trigger"))
 
 
-def research_cells(spark, cases: list[str], budgets: list[int], capacities: list[int]) -> DataFrame:
-    """The distinct cells of a plan (three short lists)."""
+def research_cells(spark, cases: list[str], budgets: list[int], capacities: list[int], longest: bool = False, profile: tuple[str, int] | None = None, standard: int = 10) -> DataFrame:
+    """The distinct cells of a plan (three short lists): case_id, budget_s, max_filters, mode.
+
+    ``longest`` adds each case at 120 s, ``profile`` one (case, budget), both with ``standard`` filters; the profiled cell is run with deep telemetry.
+    """
     c = spark.createDataFrame([(x,) for x in cases], "case_id string")
     b = spark.createDataFrame([(x,) for x in budgets], "budget_s int")
     m = spark.createDataFrame([(x,) for x in capacities], "max_filters int")
-    return c.crossJoin(b).crossJoin(m).dropDuplicates()
+    out = c.crossJoin(b).crossJoin(m)
+    extra = [(x, 120, standard) for x in cases if longest] + ([(*profile, standard)] if profile else [])
+    if extra:
+        out = out.unionByName(spark.createDataFrame(extra, out.schema))
+    deep = F.lit(False) if profile is None else (F.col("case_id") == profile[0]) & (F.col("budget_s") == profile[1]) & (F.col("max_filters") == standard)
+    return out.dropDuplicates().withColumn("mode", F.when(deep, "deep").otherwise("light"))
+
+
+def telemetry(events: DataFrame, keys: list[str], peaks: tuple[str, ...] = ("peak_working_filters",)) -> DataFrame:
+    """keys, counters (a map) of telemetry events (keys, name, n): sums, and the largest n of those in ``peaks``."""
+    per = events.groupBy(*keys, "name").agg(F.sum("n").alias("total"), F.max("n").alias("top"))
+    value = F.when(F.col("name").isin(*peaks), F.greatest(F.col("top"), F.lit(0))).otherwise(F.col("total"))
+    return per.groupBy(*keys).agg(F.map_from_entries(F.sort_array(F.collect_list(F.struct("name", value.cast("long").alias("n"))))).alias("counters"))
+
+
+def improving_checkpoints(checkpoints: DataFrame, keys: list[str]) -> DataFrame:
+    """Checkpoints (keys, seq, elapsed_ms, rmse, max_abs) that are better than the last one kept: as each kept one is the best so far, those better than all before."""
+    metric = F.struct(violation(F.col("rmse"), F.col("max_abs")).alias("v"), "rmse", "max_abs")
+    before = Window.partitionBy(*keys).orderBy("seq").rowsBetween(Window.unboundedPreceding, -1)
+    out = checkpoints.withColumn("_m", metric).withColumn("_best", F.min("_m").over(before))
+    return out.where("_best IS NULL OR _m < _best").withColumn("elapsed_ms", F.greatest(F.col("elapsed_ms"), F.lit(0))).drop("_m", "_best")

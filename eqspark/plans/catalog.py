@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from ..session import ship
-from . import curve_queries, filter_queries, research_queries  # noqa: F401  (they register)
+from . import curve_queries, filter_queries, research_queries, state_queries  # noqa: F401  (they register)
 from .registry import ORACLES, QUERIES
 
 

@@ -5,9 +5,10 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from ..operators import curves, features, grids, metrics
+from ..operators import curves, features, fits, grids, metrics
+from ..operators.fitting import loudness
 from ..operators.sides import small_side
-from ..schema import METRIC_BANDS, POINTS_PER_OCTAVE, RESEARCH_BANDS, ZOOM_RANGES
+from ..schema import METRIC_BANDS, POINTS_PER_OCTAVE, RESEARCH_BANDS, ZOOM_RANGES, Normalization
 from ..sources import bridge
 from ..sources.bridge import grid_sql
 from .registry import query, with_views
@@ -31,6 +32,9 @@ OFFSETS = f"offsets AS (SELECT curve_id, -(ldb + ln({ANCHOR_HZ}e0 / l) / ln(r /
 PREPARED = "prepared AS (SELECT curve_id, idx, f, db + offset_db AS db FROM placed JOIN offsets USING (curve_id))"
 PAIRS = "pairs AS (SELECT vec_id AS fr_id, target_id FROM embeddings JOIN first_of USING (label) WHERE vec_id <> target_id)"
 WANTED = "wanted AS (SELECT fr_id AS pair_id, a.idx, a.f, b.db - a.db AS db FROM pairs JOIN prepared AS a ON a.curve_id = fr_id JOIN prepared AS b ON b.curve_id = target_id AND b.idx = a.idx)"
+GRID480 = grid_sql("grid", 480, "20e0 * power(2e0, idx / 48e0)", 20_000.0)
+GRID958_AS = grid_sql("grid958", 958, "20e0 * power(2e0, idx / 96e0)", 20_000.0)
+AT_958 = AT.replace("placed AS", "placed958 AS").replace("JOIN grid AS", "JOIN grid958 AS")
 CURVE_VIEWS = ("first_of", "points", "segments", GRID958, AT, OFFSETS, PREPARED, PAIRS, WANTED)
 ERRORS = f"{s6('avg(abs(db))')} AS mae, {s6('sqrt(avg(db * db))')} AS rmse, {s6('max(abs(db))')} AS max_abs, {s6('arg_max(f, (abs(db), -idx))')} AS max_abs_hz"
 
@@ -253,27 +257,53 @@ def a6_median(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 # --- kernels: no SQL ---------------------------------------------------------------------------
 
-@query()
+def _loudness_sql(level: float) -> str:
+    """Offsets by Newton's method as a recursion over all curves; the parameters of each place by interpolation in the standard's table."""
+    rows = ", ".join(f"({i}, {f}e0, {a}e0, {t}e0, {q}e0)" for i, (f, a, t, q) in enumerate(zip(loudness.ISO_F, loudness.ISO_ALPHA, loudness.ISO_TRANSFER, loudness.ISO_THRESHOLD, strict=True)))
+    between = lambda c: f"lo.{c} + coalesce(ln(g.f / lo.f) / nullif(ln(hi.f / lo.f), 0), 0) * (hi.{c} - lo.{c})"
+    return (
+        "WITH RECURSIVE "
+        + with_views("first_of", "points", "segments").removeprefix("WITH ")
+        + f""", {GRID480}, {AT},
+    iso(i, f, a, t, q) AS (VALUES {rows}),
+    places AS (SELECT g.idx, {between('a')} AS a, {between('t')} AS t, {between('q')} AS q FROM grid AS g JOIN iso AS lo ON lo.i = (SELECT max(i) FROM iso WHERE iso.f <= g.f) JOIN iso AS hi ON hi.i = least(28, lo.i + 1)),
+    terms AS (SELECT idx, a, 0.005076e0 / power(10e0, a * (log10(4) - 10 + t / 10)) - power(10e0, a * q / 10) AS o, power(10e0, 9.4e0 + 4 * a * (log10(4) - 10 + t / 10)) / 480 AS c FROM places),
+    curve AS (SELECT curve_id, a, o, c, db FROM placed JOIN terms USING (idx)),
+    newton AS (
+        SELECT curve_id, 0 AS n, 0e0 AS x, 1e0 AS step FROM (SELECT DISTINCT curve_id FROM curve)
+        UNION ALL
+        SELECT curve_id, any_value(n) + 1, any_value(x) - (ln(sum(c * pow(o + p, 4))) - {level} * ln(10) / 10) * sum(c * pow(o + p, 4)) / sum(c * 4 * pow(o + p, 3) * a * p * ln(10) / 10),
+               (ln(sum(c * pow(o + p, 4))) - {level} * ln(10) / 10) * sum(c * pow(o + p, 4)) / sum(c * 4 * pow(o + p, 3) * a * p * ln(10) / 10)
+        FROM (SELECT curve_id, n, x, a, o, c, power(power(10e0, (db + x) / 10), a) AS p FROM newton JOIN curve USING (curve_id) WHERE abs(step) > 0.01) GROUP BY curve_id)
+"""
+    )
+
+
+_LEVEL = _loudness_sql(60.0) + ", level AS (SELECT curve_id, arg_max(x, n) - 60 AS offset_db FROM newton GROUP BY curve_id) "
+
+
+@query(_LEVEL + f"SELECT curve_id, {s6('offset_db')} AS offset_db FROM level")
 def f8_loudness_offset(spark: SparkSession, sf_dir: str) -> DataFrame:
-    from ..operators.fits import loudness_offsets
+    """Level mode at 60 dB in a flat free field: a measured table is data that callers give."""
+    got = fits.normalization_offsets(bridge.curve_points(spark, sf_dir), Normalization("db", ANCHOR_HZ, 60.0), loudness.flat_free_field())
+    return got.select("curve_id", r6("offset").alias("offset_db"))
+
 
-    grid = grids.grid_frame(spark, grids.loudness_grid())
-    at = curves.interpolate_grid(bridge.curve_points(spark, sf_dir), grid, 48)
-    return loudness_offsets(at, 60.0).select("curve_id", r6("offset").alias("offset_db"))
+@query(_LEVEL.replace(GRID480, f"{GRID480}, {GRID958_AS}").replace(f", {AT}", f", {AT}, {AT_958}") + f"SELECT curve_id, idx, round(db + offset_db, 5) + 0.0e0 AS db FROM placed958 JOIN level USING (curve_id)")
+def f7_level_mode(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Curves on the evaluation grid, normalized to a loudness of 60 dB in a flat free field."""
+    ready = fits.prepare_normalized(bridge.curve_points(spark, sf_dir), _grid(spark), POINTS_PER_OCTAVE, Normalization("db", ANCHOR_HZ, 60.0), loudness.flat_free_field())
+    return ready.select("curve_id", "idx", (F.round("db", 5) + F.lit(0.0)).alias("db"))
 
 
 @query()
 def f21_smoothing_spline(spark: SparkSession, sf_dir: str) -> DataFrame:
-    from ..operators.fits import smoothed
-
-    return smoothed(bridge.curve_points(spark, sf_dir), 5.0).select("curve_id", "f", r6("db").alias("db"))
+    return fits.smoothed(bridge.curve_points(spark, sf_dir), 5.0).select("curve_id", "f", r6("db").alias("db"))
 
 
 def _fit(engine: str, name: str, **options):
     def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-        from ..operators.fits import fit_pairs
-
-        return fit_pairs(wanted(spark, sf_dir), engine, **options)
+        return fits.fit_pairs(wanted(spark, sf_dir), engine, **options)
 
     run.__name__ = name
     return run

@@ -6,25 +6,17 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import text
-from ..functions.dsp import COEFFICIENT_NAMES, COEFFICIENTS, GRID, MAGNITUDE, MAGNITUDE_EXPANDED, nested, with_coefficients
+from ..functions.dsp import COEFFICIENT_NAMES, MAGNITUDE, MAGNITUDE_EXPANDED, with_coefficients
 from ..operators import filters as ops
 from ..operators import grids, metrics, ranking
 from ..sources import bridge, curve_text, filter_text
-from ..sources.bridge import grid_sql
 from .curve_queries import r6, s6
+from .oracle_dsp import CASCADE, COEFS, GRID61, LEVELS, PAIRS
 from .registry import query, with_views
 
 #: The grid of the queries with SQL: six points an octave. Each has a namesake ending in ``_full`` on the evaluation grid, without SQL.
 COARSE = grids.log_grid(20.0, 20_000.0, 6)
-GRID61 = grid_sql("g0", len(COARSE), "20e0 * power(2e0, idx / 6e0)", 20_000.0)
-SINES = f"grid AS (SELECT idx, f, cw, sw, c2, s2 FROM {nested('g0', GRID)})"
-COEFS = f"coefs AS (SELECT preset_id, ordinal, enabled, type, f AS fc, gain, q, {', '.join(COEFFICIENT_NAMES)} FROM {nested('filters', COEFFICIENTS)})"
-CASCADE = f"cascade AS (SELECT preset_id, idx, any_value(f) AS f, sum(CASE WHEN enabled THEN {MAGNITUDE} ELSE 0e0 END) AS db FROM coefs, grid GROUP BY preset_id, idx)"
-PAIRS = f"""levels AS (SELECT preset_id, ordinal, fc, gain, idx, abs({MAGNITUDE}) AS db FROM coefs, grid WHERE enabled AND gain <> 0),
-sums AS (SELECT l.preset_id, l.ordinal AS a, r.ordinal AS b, sum(l.db * r.db) AS ab, sum(l.db * l.db) AS aa, sum(r.db * r.db) AS bb, least(abs(any_value(l.gain)), abs(any_value(r.gain))) AS small, abs(log2(any_value(l.fc) / any_value(r.fc))) AS octaves
-         FROM levels AS l JOIN levels AS r ON l.preset_id = r.preset_id AND l.ordinal < r.ordinal AND sign(l.gain) <> sign(r.gain) AND l.idx = r.idx AND abs(log2(l.fc / r.fc)) <= 1 GROUP BY l.preset_id, l.ordinal, r.ordinal),
-pairs AS (SELECT preset_id, a, b, CASE WHEN aa = 0 OR bb = 0 THEN 0 ELSE ab / sqrt(aa * bb) END * (1 - octaves) * small / 15 AS score FROM sums)"""
-VIEWS = ("filters", GRID61, SINES, COEFS, CASCADE)
+VIEWS = ("filters", GRID61, COEFS, LEVELS, CASCADE)
 
 
 def _grid(spark: SparkSession) -> DataFrame:
@@ -42,18 +34,18 @@ def f1_coefficients(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _sum_of_responses(magnitude: str, name: str):
-    sql = with_views(*VIEWS) + f"SELECT preset_id, ordinal, {s6(f'sum({magnitude})')} AS sum_db, {s6(f'max(abs({magnitude}))')} AS top_db FROM coefs, grid GROUP BY preset_id, ordinal"
+    sql = with_views(*VIEWS) + f"SELECT preset_id, ordinal, round(sum(db), 4) + 0.0e0 AS sum_db, {s6('max(abs(db))')} AS top_db FROM levels GROUP BY preset_id, ordinal"
 
     def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-        return _summed(bridge.filters(spark, sf_dir), _grid(spark), magnitude)
+        return _summed(bridge.filters(spark, sf_dir), _grid(spark), magnitude, 4)
 
     run.__name__ = name
     return query(sql)(run)
 
 
-def _summed(filters: DataFrame, grid: DataFrame, magnitude: str) -> DataFrame:
+def _summed(filters: DataFrame, grid: DataFrame, magnitude: str, places: int = 6) -> DataFrame:
     met = ops.responses(filters, grid, magnitude)
-    return met.groupBy("preset_id", "ordinal").agg(r6(F.sum("db")).alias("sum_db"), r6(F.max(F.abs("db"))).alias("top_db"))
+    return met.groupBy("preset_id", "ordinal").agg((F.round(F.sum("db"), places) + F.lit(0.0)).alias("sum_db"), r6(F.max(F.abs("db"))).alias("top_db"))
 
 
 _sum_of_responses(MAGNITUDE, "f2_magnitude")
@@ -155,22 +147,40 @@ def p14_valid_presets(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ops.valid_presets(bridge.filters(spark, sf_dir))
 
 
-def _jittered(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Filters off their steps, by the ordinal; what is rounded lies away from halves."""
-    return bridge.filters(spark, sf_dir).withColumns({"f": F.col("f") + 0.3, "gain": F.col("gain") + 0.03 * (F.col("ordinal") % 3), "q": F.col("q") + 0.003})
+def _off_steps(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Filters off their steps by the ordinal: on the step, between two, or just in the middle, where binary halves are exact (frequencies) or within the
+    tolerance (gains and Q, whose signs alternate)."""
+    k = F.col("ordinal") % 4
+    gain = F.round("gain", 1) + F.when(k == 3, 0.05).otherwise(0.03 * k)
+    return bridge.filters(spark, sf_dir).withColumns({"f": F.floor("f") + F.when(k == 3, 0.5).otherwise(0.3 * k), "gain": F.when(F.col("preset_id") % 2 == 0, -gain).otherwise(gain), "q": F.round("q", 2) + F.when(k == 3, 0.005).otherwise(0.003 * k)})
 
 
-_STEPS = "SELECT preset_id, ordinal, round(least(20000, greatest(20, round(f + 0.3e0))), 6) + 0.0e0 AS f, round(least(15e0, greatest(-15e0, round((gain + 0.03e0 * (ordinal % 3)) * 10) / 10)), 6) + 0.0e0 AS gain, CASE WHEN type = 'PK' THEN round(least(12e0, greatest(0.1e0, round((q + 0.003e0) * 100) / 100)), 6) ELSE 0.7e0 END + 0.0e0 AS q FROM filters"
+_OFF = """off AS (SELECT preset_id, ordinal, type, floor(f) + CASE ordinal % 4 WHEN 3 THEN 0.5e0 ELSE 0.3e0 * (ordinal % 4) END AS f,
+    (round(gain, 1) + CASE ordinal % 4 WHEN 3 THEN 0.05e0 ELSE 0.03e0 * (ordinal % 4) END) * CASE preset_id % 2 WHEN 0 THEN -1 ELSE 1 END AS gain, round(q, 2) + CASE ordinal % 4 WHEN 3 THEN 0.005e0 ELSE 0.003e0 * (ordinal % 4) END AS q FROM filters)"""
 
 
-@query(with_views("filters") + _STEPS)
+def _nearest_sql(x: str, per: int, lo: str, hi: str, down: str) -> str:
+    """The nearest of the multiples of 1 / ``per`` below and above, within bounds; ``down`` says when a tie takes the lower one."""
+    low, high = (f"least({hi}, greatest({lo}, {way}({x} * {per}) / {per}e0))" for way in ("floor", "ceil"))
+    return f"(CASE WHEN abs({x} - {low}) < abs({high} - {x}) - 1e-10 OR (abs(abs({x} - {low}) - abs({high} - {x})) <= 1e-10 AND {down}) THEN {low} ELSE {high} END)"
+
+
+_NEAREST = f"""SELECT preset_id, ordinal, {s6(_nearest_sql('f', 1, '20e0', '20000e0', 'TRUE'))} AS f, {s6(_nearest_sql('gain', 10, '-15e0', '15e0', 'gain > 0'))} AS gain,
+    CASE WHEN type = 'PK' THEN {s6(_nearest_sql('q', 100, '0.1e0', '12e0', 'TRUE'))} ELSE 0.7e0 END AS q FROM off"""
+_HALF_UP = f"""SELECT preset_id, ordinal, {s6('least(20000, greatest(20, floor(f / 1e0 + 0.5e0)))')} AS f, {s6('least(150, greatest(-150, floor(gain / 0.1e0 + 0.5e0))) / 10')} AS gain,
+    CASE WHEN type = 'PK' THEN {s6('least(1200, greatest(10, floor(q / 0.01e0 + 0.5e0))) / 100')} ELSE 0.7e0 END AS q FROM off"""
+
+
+@query(with_views("filters", _OFF) + _NEAREST)
 def f11_quantize(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return ops.quantize(_jittered(spark, sf_dir)).select("preset_id", "ordinal", *[r6(c).alias(c) for c in ("f", "gain", "q")])
+    """Ties of frequency and Q go down, those of gain towards zero."""
+    return ops.quantize(_off_steps(spark, sf_dir)).select("preset_id", "ordinal", *[r6(c).alias(c) for c in ("f", "gain", "q")])
 
 
-@query(with_views("filters") + _STEPS)
+@query(with_views("filters", _OFF) + _HALF_UP)
 def f14_quantize_half_up(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return ops.quantize_half_up(_jittered(spark, sf_dir)).select("preset_id", "ordinal", *[r6(c).alias(c) for c in ("f", "gain", "q")])
+    """Ties go up."""
+    return ops.quantize_half_up(_off_steps(spark, sf_dir)).select("preset_id", "ordinal", *[r6(c).alias(c) for c in ("f", "gain", "q")])
 
 
 @query(with_views("filters") + f"SELECT preset_id, ordinal, least(20000e0, greatest(20e0, f * 1.5e0)) AS f, least(15e0, greatest(-15e0, gain * 2)) AS gain, CASE WHEN type = 'PK' THEN {s6('least(12e0, greatest(0.1e0, q * 1.3e0))')} ELSE 0.7e0 END AS q FROM filters")
@@ -239,7 +249,13 @@ def s10_parse_filters(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.withColumns({"gain": F.col("gain") + 0.0, "ordinal": F.coalesce("ordinal", F.lit(-1))})
 
 
-@query()
+_MANUAL = f"""{_NEAREST.replace('FROM off', 'FROM filters')}"""
+_MANUAL_LINE = f"concat('Filter ', n, ': ON ', {_LABEL}, ' Fc ', CAST(CAST(f AS BIGINT) AS VARCHAR), ' Hz Gain ', printf('%.1f', gain + 0e0), ' dB Q ', printf('%.2f', q))"
+
+
+@query(with_views("filters") + f""", k AS ({_MANUAL}), e AS (SELECT k.*, type, row_number() OVER (PARTITION BY preset_id ORDER BY ordinal) AS n FROM k JOIN filters USING (preset_id, ordinal) WHERE enabled)
+SELECT p.preset_id, concat_ws(chr(10), '# eqspark preset', concat('# preset ', p.preset_id), 'Preamp: -6.0 dB', string_agg(CASE WHEN n IS NOT NULL THEN {_MANUAL_LINE} END, chr(10) ORDER BY n)) AS text, CAST(NULL AS VARCHAR) AS error
+FROM (SELECT DISTINCT preset_id FROM filters) AS p LEFT JOIN e USING (preset_id) GROUP BY p.preset_id""")
 def k2_manual_entry(spark: SparkSession, sf_dir: str) -> DataFrame:
     filters = ops.quantize(bridge.filters(spark, sf_dir))
     presets = filters.select("preset_id").distinct().withColumns({"name": F.concat(F.lit("preset "), F.col("preset_id")), "preamp_db": F.lit(-6.0)})

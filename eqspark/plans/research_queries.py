@@ -81,9 +81,10 @@ def j14_monotonicity_warnings(spark: SparkSession, sf_dir: str) -> DataFrame:
     return research.monotonicity_warnings(_aggregates(spark, sf_dir)).withColumns({"rmse_delta": r6("rmse_delta"), "max_abs_delta": r6("max_abs_delta")})
 
 
-@query("SELECT DISTINCT case_id, budget_s, max_filters FROM (VALUES ('a'), ('b'), ('c')) AS c(case_id), (VALUES (5), (15), (30), (60)) AS b(budget_s), (VALUES (10), (20), (40)) AS m(max_filters)")
+@query("""SELECT DISTINCT case_id, budget_s, max_filters, CASE WHEN case_id = 'b' AND budget_s = 15 AND max_filters = 10 THEN 'deep' ELSE 'light' END AS mode FROM (
+    SELECT case_id, budget_s, max_filters FROM (VALUES ('a'), ('b'), ('c')) AS c(case_id), (VALUES (5), (15), (30), (60)) AS b(budget_s), (VALUES (10), (20), (40)) AS m(max_filters) UNION ALL SELECT unnest(['a', 'b', 'c']), 120, 10)""")
 def g8_research_cells(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return research.research_cells(spark, ["a", "b", "c"], [5, 15, 30, 60], [10, 20, 40])
+    return research.research_cells(spark, ["a", "b", "c"], [5, 15, 30, 60], [10, 20, 40], longest=True, profile=("b", 15))
 
 
 # --- rankings over solutions: one for each part supplied -----------------------------------------
@@ -114,6 +115,17 @@ def o6_rank_deliverable(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ranking.rank_deliverable(_solutions(spark, sf_dir), "grp", "id").select("grp", "id", "rank")
 
 
+_TIED = "tied AS (SELECT l_orderkey % 7 AS grp, l_orderkey AS id, list({'f': f, 'type': CASE type WHEN 'LS' THEN 0 WHEN 'PK' THEN 1 ELSE 2 END, 'gain': gain, 'q': q} ORDER BY ordinal) AS x FROM (SELECT preset_id AS l_orderkey, * FROM filters) GROUP BY l_orderkey)"
+
+
+@query(with_views("filters", _TIED) + "SELECT grp, id, CAST(row_number() OVER (PARTITION BY grp ORDER BY x, id) AS INTEGER) AS rank FROM tied")
+def o5_tie_break(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Solutions of equal metrics are ranked filter by filter."""
+    sets = bridge.filters(spark, sf_dir).groupBy("preset_id").agg(F.sort_array(F.collect_list(F.struct("ordinal", "f", "type", "gain", "q"))).alias("filters"))
+    equal = {c: F.lit(0.1) for c in ("rmse", "max_abs", "cancellation", "max_q", "max_gain", "sum_gain")} | {"n": F.lit(1), "grp": F.col("preset_id") % 7, "id": F.col("preset_id")}
+    return ranking.rank_solutions(sets.withColumns(equal), "grp", "id").select("grp", "id", "rank")
+
+
 @query(with_views(SOLUTIONS) + f"SELECT id, {_MET} AS achieved, {s6(V)} AS violation, {s6('sqrt(power(rmse / 0.25e0, 2) + power(max_abs / 0.75e0, 2))')} AS distance FROM solutions")
 def p17_target_achieved(spark: SparkSession, sf_dir: str) -> DataFrame:
     r, m = F.col("rmse"), F.col("max_abs")
@@ -135,6 +147,15 @@ def j15_pareto_front(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ranking.pareto_front(_solutions(spark, sf_dir), "grp").select("grp", "id")
 
 
+_LESS2 = " AND ".join(f"t.{m} <= s.{m} + 1e-12" for m in ("rmse", "max_abs")) + " AND (" + " OR ".join(f"t.{m} < s.{m} - 1e-12" for m in ("rmse", "max_abs")) + ")"
+_REFERENCE = f"CASE WHEN {_MET} THEN (0e0, CAST(n AS DOUBLE), rmse, max_abs, cancellation, 0e0, id) ELSE (1e0, {V}, rmse, max_abs, cancellation, CAST(n AS DOUBLE), id) END"
+
+
+@query(with_views(SOLUTIONS) + f"SELECT grp, id FROM (SELECT *, row_number() OVER (PARTITION BY grp ORDER BY {_REFERENCE}) AS place FROM solutions AS s WHERE NOT EXISTS (SELECT 1 FROM solutions AS t WHERE t.grp = s.grp AND {_LESS2})) WHERE place <= 2")
+def j15_retained_beam(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ranking.retain_beam(_solutions(spark, sf_dir), "grp", 2).select("grp", "id")
+
+
 @query(with_views(SOLUTIONS) + f"SELECT grp, arg_min(id, k) AS id FROM (SELECT *, CASE WHEN {_MET} THEN (0e0, CAST(n AS DOUBLE), rmse, max_abs, cancellation, 0e0, id) ELSE (1e0, {V}, rmse, max_abs, cancellation, CAST(n AS DOUBLE), id) END AS k FROM solutions) GROUP BY grp")
 def o16_reference_point(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ranking.reference_point(_solutions(spark, sf_dir), "grp").select("grp", "id")

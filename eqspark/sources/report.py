@@ -2,17 +2,17 @@
 
 from __future__ import annotations
 
+import json
+
 from pyspark.sql import DataFrame
 
 from ..operators.research import RUN_KEYS
 
-MAX_ROWS = 10_000
-
 
 def _table(df: DataFrame, columns: list[tuple[str, str]]) -> str:
-    """A markdown table of at most ``MAX_ROWS`` cells of a plan, in key order."""
-    show = lambda v: "null" if v is None else f"{v:.4f}" if isinstance(v, float) else str(v)
-    rows = df.orderBy(*RUN_KEYS).select(*[c for c, _ in columns]).limit(MAX_ROWS).collect()
+    """A markdown table of all cells of a plan, in key order. A plan's cells are written by hand (cases by budgets by capacities), so they are few."""
+    show = lambda v: "null" if v is None else f"{v:.4f}" if isinstance(v, float) else ", ".join(f"{k}: {n}" for k, n in v.items()) if isinstance(v, dict) else str(v)
+    rows = df.orderBy(*RUN_KEYS).select(*[c for c, _ in columns]).toLocalIterator()
     head = ["| " + " | ".join(t for _, t in columns) + " |", "|" + " --- |" * len(columns)]
     return "\n".join(head + ["| " + " | ".join(show(v) for v in r) + " |" for r in rows])
 
@@ -30,7 +30,7 @@ def summary(aggregates: DataFrame, deltas: DataFrame | None, warnings: DataFrame
         compared = "Baseline comparison is compatible, but no matching cells were found."
     else:
         compared = _table(deltas, CELL + [(c, c) for c in deltas.columns if c.endswith("_delta")])
-    warned = warnings.orderBy("case_id", "max_filters", "shorter_s").limit(MAX_ROWS).collect()
+    warned = warnings.orderBy("case_id", "max_filters", "shorter_s").toLocalIterator()
     lines = [f"- **Warning:** {w.case_id}, {w.max_filters} filters: {w.longer_s} s is worse than {w.shorter_s} s; rmse by {w.rmse_delta:.4f} dB, largest deviation by {w.max_abs_delta:.4f} dB" for w in warned]
     parts = [
         f"# {title}",
@@ -41,17 +41,22 @@ def summary(aggregates: DataFrame, deltas: DataFrame | None, warnings: DataFrame
         "## Time to quality",
         _table(aggregates, [*CELL, ("joint_median_ms", "Joint target median ms"), ("joint_worst_ms", "Joint target worst ms")]),
         "## Stability",
-        _table(aggregates, [*CELL, ("rmse_spread", "RMSE spread"), ("max_abs_spread", "Largest deviation spread")]),
+        _table(aggregates, [*CELL, ("rmse_spread", "RMSE spread"), ("max_abs_spread", "Largest deviation spread"), *([("reasons", "Terminations")] if "reasons" in aggregates.columns else [])]),
         "## Monotonicity warnings",
         "\n".join(lines) or "No practical monotonicity warnings.",
     ]
     return "\n\n".join(parts) + "\n"
 
 
-def write(path: str, aggregates: DataFrame, deltas: DataFrame | None, warnings: DataFrame, **options) -> None:
-    """``summary`` as text and the tables as JSON under ``path`` (any file system that Spark writes to)."""
-    text = summary(aggregates, deltas, warnings, **options)
-    aggregates.sparkSession.createDataFrame([(text,)], "value string").coalesce(1).write.mode("overwrite").text(f"{path}/summary")
-    for name, df in (("results", aggregates), ("warnings", warnings), ("deltas", deltas)):
+def write(path: str, aggregates: DataFrame, deltas: DataFrame | None, warnings: DataFrame, runs: DataFrame | None = None, timeline: DataFrame | None = None, metadata: dict | None = None, **options) -> None:
+    """The artefacts of a plan under ``path`` (any file system that Spark writes to): ``summary`` as text, and as JSON the results, warnings, deltas, runs, timeline,
+    profile (counters of the runs with deep telemetry; empty if none has it) and metadata, as far as they are given."""
+    spark = aggregates.sparkSession
+    text = lambda value, name: spark.createDataFrame([(value,)], "value string").coalesce(1).write.mode("overwrite").text(f"{path}/{name}")
+    text(summary(aggregates, deltas, warnings, **options), "summary")
+    profile = None if runs is None else runs.where("mode = 'deep'").select(*RUN_KEYS, "repeat", "counters")
+    for name, df in (("results", aggregates), ("warnings", warnings), ("deltas", deltas), ("runs", runs), ("timeline", timeline), ("profile", profile)):
         if df is not None:
             df.write.mode("overwrite").json(f"{path}/{name}")
+    if metadata is not None:
+        text(json.dumps(metadata, sort_keys=True), "metadata")

@@ -9,6 +9,8 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..schema import EqError
+
 DEBOUNCE_MS, COALESCE_MS, KEEP = 500, 1000, 100
 
 
@@ -75,6 +77,20 @@ class History:
     def clear(self) -> None:
         self.snapshots, self.a, self.b = [], None, None
 
+    def steer(self, op: str, state: str | None) -> str:
+        """What is not a recording: pin-a, pin-b (the newest snapshot of ``state``, or none), suppress, clear."""
+        if op in ("pin-a", "pin-b"):
+            number = next((s.number for s in reversed(self.snapshots) if s.state == state), None)
+            self.pin(op[-1], number)
+            return "unpinned" if number is None else "pinned"
+        if op == "suppress":
+            self.suppress_next()
+        elif op == "clear":
+            self.clear()
+        else:
+            raise EqError("validation", f"unknown operation {op}")
+        return op
+
     def dump(self) -> tuple:
         return ([s.at_ms for s in self.snapshots], [s.state for s in self.snapshots], [s.number for s in self.snapshots], self.a, self.b, self.next_number, self.skip)
 
@@ -91,12 +107,15 @@ OUTCOME = "key string, at_ms long, state string, outcome string, kept long"
 def _replay(history: History, pdf: pd.DataFrame) -> pd.DataFrame:
     rows = []
     for r in pdf.sort_values(["at_ms", "seq"]).itertuples():
-        rows.append((r.key, r.at_ms, r.state, history.record(int(r.at_ms), r.state), len(history.snapshots)))
+        op = getattr(r, "op", None) or "record"
+        outcome = history.record(int(r.at_ms), r.state) if op == "record" else history.steer(op, r.state)
+        rows.append((r.key, r.at_ms, r.state, outcome, len(history.snapshots)))
     return pd.DataFrame(rows, columns=["key", "at_ms", "state", "outcome", "kept"])
 
 
 def record_batch(events: DataFrame) -> DataFrame:
-    """key, at_ms, state, outcome, kept for events (key, at_ms, seq, state); each key's events are replayed in order."""
+    """key, at_ms, state, outcome, kept for events (key, at_ms, seq, state, and op if there is anything but recording: record, pin-a, pin-b, suppress,
+    clear); each key's events are replayed in order."""
     return events.groupBy("key").applyInPandas(lambda pdf: _replay(History(), pdf), OUTCOME)
 
 
@@ -121,25 +140,23 @@ def apply_fresh(results: DataFrame, inputs: DataFrame) -> DataFrame:
     return out.withColumn("applied", F.coalesce((F.col("signature") == F.col("_now")) & F.col("active"), F.lit(False))).drop("_now", "active")
 
 
-#: Run states: (state, event) -> state; other pairs leave the state as it is.
-RUN_STATES = {("idle", "start"): "running", ("error", "start"): "running", ("running", "start"): "running", ("running", "finish"): "idle", ("running", "fail"): "error", ("running", "cancel"): "idle"}
+#: How a run's end leaves its key.
+ENDS = {"finish": "idle", "fail": "error", "cancel": "idle"}
 
 
 def run_states(events: DataFrame) -> DataFrame:
-    """key, seq, event, run_id, state after each event; finish and fail count only for the run that is active."""
-
-    def replay(pdf: pd.DataFrame) -> pd.DataFrame:
-        state, active, rows = "idle", None, []
-        for r in pdf.sort_values("seq").itertuples():
-            if r.event == "start":
-                state, active = RUN_STATES[state, "start"], r.run_id
-            elif r.run_id == active:
-                state = RUN_STATES.get((state, r.event), state)
-                active = active if state == "running" else None
-            rows.append((r.key, r.seq, r.event, r.run_id, state))
-        return pd.DataFrame(rows, columns=["key", "seq", "event", "run_id", "state"])
+    """key, seq, event, run_id, state after each event: running from a start on, until the first end of the run that was started last.
 
-    return events.groupBy("key").applyInPandas(replay, "key string, seq long, event string, run_id string, state string")
+    Ends of other runs, and events without a run, change nothing. Two windows by key; the first end is found within the events behind one start.
+    """
+    so_far = Window.partitionBy("key").orderBy("seq").rowsBetween(Window.unboundedPreceding, 0)
+    is_start = F.col("event") == "start"
+    out = events.select("key", "seq", "event", "run_id").withColumns({"_at": F.max(F.when(is_start, F.col("seq"))).over(so_far), "_run": F.last(F.when(is_start, F.col("run_id")), ignorenulls=True).over(so_far)})
+    end = F.when(F.col("event").isin(*ENDS) & (F.col("run_id") == F.col("_run")), F.col("event"))
+    first = F.first(end, ignorenulls=True).over(Window.partitionBy("key", "_at").orderBy("seq").rowsBetween(Window.unboundedPreceding, 0))
+    after = F.create_map(*[F.lit(x) for pair in ENDS.items() for x in pair])
+    state = F.when(F.col("_at").isNull(), "idle").when(first.isNull(), "running").otherwise(after[first])
+    return out.withColumn("state", state).select("key", "seq", "event", "run_id", "state")
 
 
 def after_edit(solution: Column) -> Column:
@@ -183,3 +200,32 @@ class EditLog:
         if self.future:
             self.past.append(self.present)
             self.present = self.future.pop()
+
+
+def edit_states(edits: DataFrame) -> DataFrame:
+    """key, seq, present, undoable, redoable after each edit (key, seq, op, value): edit, replace, undo or redo; a key's present is null before its first edit."""
+
+    def replay(pdf: pd.DataFrame) -> pd.DataFrame:
+        log, rows = EditLog(None), []
+        for r in pdf.sort_values("seq").itertuples():
+            if r.op in ("undo", "redo"):
+                getattr(log, r.op)()
+            else:
+                getattr(log, r.op)(r.value)
+            rows.append((r.key, r.seq, log.present, len(log.past), len(log.future)))
+        return pd.DataFrame(rows, columns=["key", "seq", "present", "undoable", "redoable"])
+
+    return edits.groupBy("key").applyInPandas(replay, "key string, seq long, present string, undoable long, redoable long")
+
+
+def snapshot(state: Column) -> Column:
+    """What a snapshot of a workspace struct holds; values are immutable, so the projection is the copy."""
+    return F.struct(*[state[n].alias(n) for n in ("filters", "filterProvenance", "solutionState", "autoEqRun", "activeFrId", "activeTargetId")])
+
+
+def same_state(a: Column, b: Column) -> Column:
+    """Equal filters in order with their ids, provenance, solution state and run."""
+    out = F.lit(True)
+    for n in ("filters", "filterProvenance", "solutionState", "autoEqRun"):
+        out &= a[n].eqNullSafe(b[n])
+    return out

