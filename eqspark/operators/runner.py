@@ -12,11 +12,11 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..schema import POINTS_PER_OCTAVE, EqError, Settings
+from ..schema import POINTS_PER_OCTAVE, SAMPLE_RATE_HZ, EqError, Normalization, Settings
 from ..sources import curve_text, report
 from ..storage import materialize
 from . import acceptance, curves, filters, grids, metrics, research
-from .fits import packed, preamp_of
+from .fits import fit_pairs, packed, preamp_of
 from .fitting.v2 import COUNTERS
 from .sides import small_side
 
@@ -107,6 +107,27 @@ def run_plan(cases: DataFrame, cells: DataFrame, repeats: int = 1, engine: str =
     return met.repartition(spread, *CASE_KEYS).mapInPandas(fits, RUN)
 
 
+def structural_results(wanted: DataFrame, normalization: Normalization = Normalization(), settings: Settings = Settings(), max_evaluations: int = 20_000, key: str = "pair_id") -> DataFrame:
+    """key, filters, metrics, preampDb, manifest of the structural search of each wanted correction (key, idx, f, db), as a session keeps them. Settings other than the default ones raise."""
+    if settings.with_limit(60) != Settings():
+        raise EqError("validation", "the structural search takes default settings only")
+    got = fit_pairs(wanted, "structural", settings, max_evaluations, key)
+    d = lambda x: F.lit(float(x))
+    own = F.transform("filters", lambda x, i: F.struct(F.concat(F.lit("fit-"), i + 1).alias("id"), F.lit(True).alias("enabled"), x["type"].alias("type"), x["f"].alias("frequencyHz"), x["gain"].alias("gainDb"), x["q"].alias("q")))
+    measured = F.struct(F.col("mae").alias("maeDb"), F.col("rmse").alias("rmseDb"), F.col("max_abs").alias("maxAbsDb"), F.col("max_abs_hz").alias("maxAbsFrequencyHz"))
+    values = (settings.min_hz, settings.max_hz, settings.min_gain, settings.max_gain, settings.min_q, settings.max_q, settings.max_filters, settings.time_limit_s)
+    asked = F.struct(*[d(v).alias(n) for n, v in zip(acceptance.SETTINGS, values, strict=True)])
+    level = F.struct(F.lit(normalization.mode).alias("mode"), d(normalization.frequency_hz).alias("frequencyHz"), d(normalization.level_db).alias("levelDb"))
+    ended = F.when(F.col("termination") == "evaluation-limit", "time-limit").otherwise(F.col("termination"))
+    marker = F.struct(F.lit(acceptance.STRUCTURAL[0]).alias("preset"), F.lit(acceptance.STRUCTURAL[1]).alias("seedMode"))
+    met = (F.col("rmse") <= 0.25) & (F.col("max_abs") <= 0.75)
+    manifest = F.struct(
+        F.lit(3).alias("schemaVersion"), F.lit("standard-v2").alias("algorithmVersion"), d(SAMPLE_RATE_HZ).alias("sampleRateHz"), asked.alias("autoeqSettings"), level.alias("normalization"), own.alias("finalFilters"), measured.alias("metrics"),
+        F.col("preamp_db").alias("preampDb"), met.alias("targetAchieved"), ended.alias("terminationReason"), marker.alias("experimental"),
+    )
+    return got.select(key, own.alias("filters"), measured.alias("metrics"), F.col("preamp_db").alias("preampDb"), manifest.alias("manifest"))
+
+
 def recomputed(runs: DataFrame, cases: DataFrame) -> DataFrame:
     """Metrics of each run (CASE_KEYS, mae, rmse, max_abs, max_abs_hz) from its delivered filters and its case alone."""
     spark = runs.sparkSession

@@ -268,19 +268,22 @@ def k10_graphic_text(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _curve_texts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Each curve as a text with a comment, a header and tabs."""
+    """Each curve as a text with a comment, a header and one of four delimiters; every tenth has a third column in its last row, every eleventh a level that is no number."""
     points = bridge.curve_points(spark, sf_dir)
-    line = F.concat(F.col("f").cast("decimal(20,6)"), F.lit("\t"), F.col("db").cast("decimal(20,6)"))
-    rows = points.groupBy("curve_id").agg(F.sort_array(F.collect_list(F.struct("idx", line.alias("t")))).alias("x"))
-    return rows.select("curve_id", F.concat(F.lit("# curve\r\nFrequency\tdB\r\n"), F.concat_ws("\r\n", F.transform("x", lambda v: v["t"])), F.lit("\n")).alias("text"))
+    between = F.element_at(F.array(F.lit("\t"), F.lit(";"), F.lit(","), F.lit("  ")), (F.col("curve_id") % 4 + 1).cast("int"))
+    level = F.when((F.col("curve_id") % 11 == 0) & (F.col("idx") == 5), F.lit("Infinity")).otherwise(F.col("db").cast("decimal(20,6)").cast("string"))
+    line = F.concat(F.col("f").cast("decimal(20,6)"), between, level, F.when((F.col("curve_id") % 10 == 0) & (F.col("idx") == 63), F.concat(between, F.lit("1"))).otherwise(""))
+    rows = points.groupBy("curve_id").agg(F.sort_array(F.collect_list(F.struct("idx", line.alias("t")))).alias("x"), F.first(between).alias("d"))
+    return rows.select("curve_id", F.concat(F.lit("# curve\r\nFrequency"), "d", F.lit("dB\r\n"), F.concat_ws("\r\n", F.transform("x", lambda v: v["t"])), F.lit("\n")).alias("text"))
 
 
-@query(with_views("first_of", "points") + "SELECT curve_id, 'tab' AS delimiter, count(*) AS n, min(f) AS lo, max(f) AS hi, CAST(NULL AS VARCHAR) AS error_category FROM points GROUP BY curve_id")
+@query(with_views("first_of", "points") + """, k AS (SELECT curve_id, CASE WHEN curve_id % 10 = 0 THEN 'parse' WHEN curve_id % 11 = 0 THEN 'validation' END AS error_category, CASE curve_id % 4 WHEN 0 THEN 'tab' WHEN 1 THEN 'semicolon' WHEN 2 THEN 'comma' ELSE 'whitespace' END AS delimiter, count(*) AS n, min(f) AS lo, max(f) AS hi FROM points GROUP BY curve_id)
+SELECT curve_id, CASE WHEN error_category IS NULL THEN delimiter END AS delimiter, CASE WHEN error_category IS NULL THEN n END AS n, CASE WHEN error_category IS NULL THEN lo END AS lo, CASE WHEN error_category IS NULL THEN hi END AS hi, error_category FROM k""")
 def s1_parse_curves(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every curve written as text and read back."""
     parsed = curve_text.parse_curves(_curve_texts(spark, sf_dir), "curve_id")
     f = F.transform("points", lambda p: p["frequency_hz"])
-    return parsed.select("curve_id", "delimiter", F.size("points").cast("long").alias("n"), F.array_min(f).alias("lo"), F.array_max(f).alias("hi"), "error_category")
+    return parsed.select("curve_id", "delimiter", F.when(F.col("points").isNotNull(), F.size("points")).cast("long").alias("n"), F.array_min(f).alias("lo"), F.array_max(f).alias("hi"), "error_category")
 
 
 @query(r"""WITH l AS (SELECT doc_id, unnest(string_split(replace(replace(coalesce(text, ''), chr(13) || chr(10), chr(10)), chr(13), chr(10)), chr(10))) AS line FROM documents)

@@ -79,6 +79,9 @@ class Settings:
     def with_filters(self, n: int) -> Settings:
         return replace(self, max_filters=n)
 
+    def with_limit(self, seconds: int) -> Settings:
+        return replace(self, time_limit_s=seconds)
+
 
 @dataclass(frozen=True)
 class Normalization:

@@ -156,6 +156,31 @@ def test_refinement_goes_on_where_it_stopped():
     assert p.joint(start).filters == whole.solution.filters
 
 
+def test_input_rules():
+    from eqspark.operators.fitting.kernel import check_input, same_grid
+
+    for f, db in (([100.0], [1.0]), ([100.0, 200.0], [1.0]), ([200.0, 100.0], [1.0, 2.0]), ([0.0, 100.0], [1.0, 2.0]), ([100.0, 200.0], [1.0, math.nan])):
+        with pytest.raises(EqError):
+            check_input(np.array(f), np.array(db))
+    same_grid(Grid(np.array([1.0, 2.0])), Grid(np.array([1.0, 2.0])))
+    with pytest.raises(EqError):
+        same_grid(Grid(np.array([1.0, 2.0])), Grid(np.array([1.0, 3.0])))
+
+
+def test_structural_results_are_sound(spark):
+    """What the gate lets through is a valid result with its marker; other settings are refused."""
+    from eqspark.operators import acceptance, runner
+    from eqspark.sources import session
+
+    f, level = wished_level([("PK", 1000, 6, 2)], 500.0)
+    wanted = spark.createDataFrame([(7, i, float(a), float(b)) for i, (a, b) in enumerate(zip(f, level))], "pair_id long, idx int, f double, db double")
+    got = runner.structural_results(wanted, max_evaluations=4000)
+    row = got.select("filters", F.col("manifest.experimental").alias("e"), acceptance.valid_result(F.struct("filters", "metrics", "preampDb", "manifest"), session.valid_manifest(F.col("manifest"))).alias("ok")).first()
+    assert row.ok and row.filters and row.e.preset == structural.EXPERIMENTAL
+    with pytest.raises(EqError):
+        runner.structural_results(wanted, settings=Settings(max_filters=9))
+
+
 def test_telemetry_of_a_fit():
     f, level = wished_level([("PK", 1000, 6, 2)])
     got, used, why, told = v2.traced_fit(f, level)
