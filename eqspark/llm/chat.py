@@ -7,7 +7,7 @@ prefix hashes of other conversations keeps maximal ones, and of equal ones the s
 rendered in a role-marked template, as one row a turn: ``rendered`` joined in ``position`` order is the conversation.
 
 The running sum is taken in blocks of ``TURN_BLOCK`` turn numbers and then over block totals, so a conversation with a
-third of all turns is spread over many tasks.
+third of all turns is spread over many tasks. Only its rows of equal turn numbers (or of none) are ordered in one task, by a window that spills.
 
 Edge cases: rows with a null conv_id take no part; a null turn comes first; repeated (conv_id, turn) rows are ordered by
 role and text; repeated whole rows count as turns; a null role renders as ``unknown`` and a null text as empty, and each hashes apart

@@ -11,7 +11,8 @@ gives the same rows again. sequence_id is the partition's number (upper bits) an
 
 Edge cases: a null or empty text is one piece with the end id alone; very long texts give many full windows;
 repeated rows are packed each; a null doc_id is carried as null; an empty table gives no rows; extra columns are
-not read.
+not read. A text that spells a special token of the tokenizer (``<|``...) is encoded in its own case, as the tokenizer looks for these before it
+lowers letters.
 """
 
 from __future__ import annotations
