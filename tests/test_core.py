@@ -181,6 +181,20 @@ def test_structural_results_are_sound(spark):
         runner.structural_results(wanted, settings=Settings(max_filters=9))
 
 
+def test_deadline():
+    """A clock that ticks a second a look: the fit ends in time, with the best that it has, and equally each time."""
+    f, level = wished_level([("PK", 1800, 3.5, 1.4), ("PK", 2400, -4, 4.5), ("PK", 3200, 3.8, 5.5), ("PK", 4100, -3.6, 6)], 500.0)
+
+    def run(seconds):
+        ticks = iter(range(10**7))
+        return v2.traced_fit(f, level, budget=v2.Budget(10**6, seconds=seconds, clock=lambda: next(ticks)))
+
+    short, long = run(500), run(5000)
+    assert short[1] <= 500 and short[2] == "evaluation-limit" and run(500)[0] == short[0]
+    violation = lambda fit: max(fit.rmse / 0.25, fit.max_abs / 0.75)
+    assert violation(long[0]) <= violation(short[0])
+
+
 def test_telemetry_of_a_fit():
     f, level = wished_level([("PK", 1000, 6, 2)])
     got, used, why, told = v2.traced_fit(f, level)
