@@ -72,10 +72,15 @@ def compatible_baseline(identity: Column, expected: Column, versions: dict[str,
 
 
 def drifted(claimed: DataFrame, recomputed: DataFrame, keys: list[str], tolerance: float = DRIFT) -> DataFrame:
-    """Claimed metrics (mae, rmse, max_abs, max_abs_hz) that differ by more than ``tolerance`` from those recomputed, or have none: keys, worst."""
+    """Claimed metrics (mae, rmse, max_abs, max_abs_hz) that differ by more than ``tolerance`` from those recomputed, or have none: keys, worst.
+
+    Where no deviation is above ``tolerance``, its place is rounding noise and does not count.
+    """
     names = ("mae", "rmse", "max_abs", "max_abs_hz")
     met = claimed.join(recomputed.select(*keys, *[F.col(n).alias(f"_{n}") for n in names]), keys, "left")
-    worst = F.greatest(*[F.coalesce(F.abs(F.col(n) - F.col(f"_{n}")), F.lit(float("inf"))) for n in names])
+    far = lambda n: F.coalesce(F.abs(F.col(n) - F.col(f"_{n}")), F.lit(float("inf")))
+    place = F.when(F.greatest("max_abs", "_max_abs") <= tolerance, 0.0).otherwise(far("max_abs_hz"))
+    worst = F.greatest(far("mae"), far("rmse"), far("max_abs"), place)
     return met.select(*keys, worst.alias("worst")).where(F.col("worst") > tolerance)
 
 
