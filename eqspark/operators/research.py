@@ -64,6 +64,8 @@ def medians(values: DataFrame, keys: list[str], most: int = MEDIAN_ROWS) -> Data
     the bin that holds the rank, so no task gathers a group of unbounded size; as the least and the greatest value fall into different bins, this ends.
     """
     whole = values.groupBy(*keys).agg(F.count(F.lit(1)).alias("n"), F.min("v").alias("least"), F.max("v").alias("most"))
+    if (whole.agg(F.max("n")).first()[0] or 0) <= most:  # groups that a task can hold: the same medians at once
+        return values.groupBy(*keys).agg(F.count(F.lit(1)).alias("n"), F.min("v").alias("least"), F.median("v").alias("median"), F.max("v").alias("most"))
     whole = materialize(whole, "median-groups")
     ranks = F.explode(F.array_distinct(F.array(F.expr("(n - 1) div 2"), F.expr("n div 2"))))
     bounds = whole.select(*keys, ranks.alias("rank"), F.col("least").alias("lo"), F.col("most").alias("hi"), F.lit(0).cast("long").alias("below"), F.col("n").alias("inside"))
