@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from ..session import ship
-from . import chat, html_text, language_model, mixing, packing, quality_rules, simhash, topk
+from . import alignment, chat, html_text, language_model, mixing, packing, quality_rules, repeats, simhash, topk
 from .common import table
 from .oracle_mixing import mixing_sql
 from .oracle_rules import quality_rules_sql
@@ -63,6 +63,16 @@ def op10_top_k(spark: SparkSession, sf_dir: str) -> DataFrame:
     return topk.top_k(table(spark, sf_dir, "embeddings"))
 
 
+def op11_repeats(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return repeats.without_repeats(table(spark, sf_dir, "documents")).drop("kept_text")
+
+
+def op12_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import public_tokenizers
+
+    return alignment.align_documents(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN, public_tokenizers.path("piece_bpe_32k.model"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     def shipped(f: Callable[[SparkSession, str], DataFrame]) -> Callable[[SparkSession, str], DataFrame]:
         def run(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -71,7 +81,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
         return run
 
-    found = [op1_quality_rules, op2_html_text, op3_language_model, op4_chat_format, op5_simhash, op6_packing, op7_mixing, op8_rule_ensemble, op9_toxicity, op10_top_k]
+    found = [op1_quality_rules, op2_html_text, op3_language_model, op4_chat_format, op5_simhash, op6_packing, op7_mixing, op8_rule_ensemble, op9_toxicity, op10_top_k, op11_repeats, op12_alignment]
     return {f.__name__: shipped(f) for f in found}
 
 
