@@ -34,9 +34,9 @@ from .common import materialize
 #: Ids of both sides fit 16 bits; this is checked.
 IDS = 1 << 16
 #: A batch ends at so many documents or postings.
-BATCH_DOCS, BATCH_LINKS = IDS, 3_000_000
+BATCH_DOCS, BATCH_LINKS = IDS, 2_000_000
 #: Bytes of text that are encoded and aligned together.
-CHUNK = 4_000_000
+CHUNK = 1_500_000
 #: Postings of a packed row.
 ROW = 2048
 #: Sums held by a task before they are given on, in documents.
