@@ -9,9 +9,9 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.dsp import COEFFICIENT_NAMES, MAGNITUDE, with_coefficients
+from ..functions.dsp import MAGNITUDE, with_coefficients
 from ..schema import HARD_MAX_FILTERS, MAX_GAIN_DB, MAX_HZ, MAX_Q, MIN_HZ, MIN_Q, SHELF_Q
-from . import grids
+from . import grids, presets
 
 
 def responses(filters: DataFrame, grid: DataFrame, magnitude: str = MAGNITUDE) -> DataFrame:
@@ -62,18 +62,13 @@ def preamp(filters: DataFrame) -> DataFrame:
 def graphic_eq(filters: DataFrame) -> DataFrame:
     """preset_id, f, gain: averages of the cascade in bins around 127 frequencies, with the peak at 0 dB.
 
-    Which raw frequencies fall in which bin, and what an empty bin interpolates, depends on the fixed grids alone, so
-    both are driver-made tables.
+    Which raw frequencies fall in which bin, and what an empty bin interpolates, depends on the fixed grids alone, so the
+    bins are a product of the response with fixed weights.
     """
-    spark = filters.sparkSession
     raw, centres = grids.raw_frequencies(), grids.graphic_frequencies()
-    weights = bin_weights(raw, centres)
-    table = spark.createDataFrame([(i, b, w) for b, ws in enumerate(weights) for i, w in ws], "idx int, bin int, weight double")
-    level = cascade(filters, grids.grid_frame(spark, raw)).join(F.broadcast(table), "idx")
-    bins = level.groupBy("preset_id", "bin").agg(F.sum(F.col("db") * F.col("weight")).alias("db"))
-    names = spark.createDataFrame(list(enumerate(centres)), "bin int, f double")
-    top = F.max("db").over(Window.partitionBy("preset_id"))
-    return bins.withColumn("gain", F.col("db") - top).join(F.broadcast(names), "bin").select("preset_id", "f", "gain")
+    bins = presets.binned(presets.packed(filters), raw, bin_weights(raw, centres))
+    at = F.array(*[F.lit(float(x)) for x in centres])
+    return bins.select("preset_id", F.inline(F.arrays_zip(at.alias("f"), F.col("gain").alias("gain"))))
 
 
 def bin_weights(raw: list[float], centres: list[float]) -> list[list[tuple[int, float]]]:
@@ -96,39 +91,6 @@ def bin_weights(raw: list[float], centres: list[float]) -> list[list[tuple[int,
     return out
 
 
-def cancellation_pairs(filters: DataFrame, grid: DataFrame, least: float = 0.35) -> DataFrame:
-    """preset_id, a, b (ordinals), score, severity of opposing filters within an octave.
-
-    Pairs are made within a preset (64 filters at most) and only then meet the grid.
-    """
-    on = filters.where("enabled AND gain <> 0").repartition("preset_id")
-    side = with_coefficients(on).select("preset_id", F.struct("ordinal", "f", "gain", *COEFFICIENT_NAMES).alias("x"))
-    left, right = side.withColumnRenamed("x", "l"), side.withColumnRenamed("x", "r")
-    octaves = F.abs(F.log2(F.col("l.f") / F.col("r.f")))
-    pairs = left.join(right, "preset_id").where((F.col("l.ordinal") < F.col("r.ordinal")) & (F.signum("l.gain") != F.signum("r.gain")) & (octaves <= 1))
-    pairs = pairs.withColumn("octaves", octaves).crossJoin(F.broadcast(grid.select("cw", "sw", "c2", "s2")))
-    level = lambda s: F.abs(F.expr(_on_side(MAGNITUDE, s)))
-    sums = pairs.groupBy("preset_id", F.col("l.ordinal").alias("a"), F.col("r.ordinal").alias("b")).agg(
-        F.sum(level("l") * level("r")).alias("ab"), F.sum(level("l") * level("l")).alias("aa"), F.sum(level("r") * level("r")).alias("bb"), F.first(F.least(F.abs("l.gain"), F.abs("r.gain"))).alias("small"), F.first("octaves").alias("octaves")
-    )
-    similar = F.when((F.col("aa") == 0) | (F.col("bb") == 0), F.lit(0.0)).otherwise(F.col("ab") / F.sqrt(F.col("aa") * F.col("bb")))
-    scored = sums.withColumn("score", similar * (1 - F.col("octaves")) * F.col("small") / 15)
-    return scored.where(F.col("score") >= least).select("preset_id", "a", "b", "score", F.when(F.col("score") >= 0.65, "strong").otherwise("moderate").alias("severity"))
-
-
-def _on_side(expression: str, side: str) -> str:
-    import re
-
-    return re.sub(r"\b(b0|b1|b2|a1|a2)\b", rf"{side}.\1", expression)
-
-
-def severity_counts(pairs: DataFrame, filters: DataFrame) -> DataFrame:
-    """preset_id, enabled, moderate, strong, total_score of every preset."""
-    own = filters.groupBy("preset_id").agg(F.count_if("enabled").alias("enabled"))
-    found = pairs.groupBy("preset_id").agg(F.count_if(F.col("severity") == "moderate").alias("moderate"), F.count_if(F.col("severity") == "strong").alias("strong"), F.sum("score").alias("total_score"))
-    return own.join(found, "preset_id", "left").na.fill(0, ["moderate", "strong"]).na.fill(0.0, ["total_score"])
-
-
 def valid_filter() -> Column:
     return F.col("f").between(MIN_HZ, MAX_HZ) & F.col("gain").between(-MAX_GAIN_DB, MAX_GAIN_DB) & F.col("q").between(MIN_Q, MAX_Q) & F.col("type").isin("PK", "LS", "HS")
 

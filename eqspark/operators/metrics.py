@@ -40,21 +40,7 @@ def distance(rmse: Column, max_abs: Column) -> Column:
     return F.hypot(rmse / TARGET_RMSE_DB, max_abs / TARGET_MAX_ABS_DB)
 
 
-def huber(residual: Column, deadband: float = 0.1, delta: float = 1.0) -> Column:
-    """Dead-banded Huber loss of one sample."""
-    m = F.greatest(F.lit(0.0), F.abs(residual) - deadband)
-    return F.when(m <= delta, 0.5 * m * m).otherwise(delta * (m - 0.5 * delta))
-
-
 def filter_penalty() -> Column:
     """What a filter's own values add to the objective, whether it is enabled or not."""
     high_q, extra = F.greatest(F.lit(0.0), F.log2(F.col("q") / 2)), F.greatest(F.lit(0.0), F.abs("gain") - 6)
     return 0.01 + 0.002 * high_q * high_q + 0.0005 * extra * extra
-
-
-def objective(residuals: DataFrame, filters: DataFrame, cancellation: DataFrame, key: str = "preset_id") -> DataFrame:
-    """key, objective = mean loss + filter penalties + 0.01 * cancellation total."""
-    fit = residuals.groupBy(key).agg(F.avg(huber(F.col("db"))).alias("fit"))
-    own = filters.groupBy(key).agg(F.sum(filter_penalty()).alias("own"))
-    out = fit.join(own, key, "left").join(cancellation, key, "left")
-    return out.select(key, (F.col("fit") + F.coalesce("own", F.lit(0.0)) + 0.01 * F.coalesce("total_score", F.lit(0.0))).alias("objective"))

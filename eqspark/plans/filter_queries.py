@@ -2,30 +2,27 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import text
-from ..functions.dsp import COEFFICIENT_NAMES, MAGNITUDE, MAGNITUDE_EXPANDED, with_coefficients
+from ..functions.dsp import COEFFICIENT_NAMES, MAGNITUDE_EXPANDED, with_coefficients
 from ..operators import filters as ops
-from ..operators import grids, metrics, ranking
+from ..operators import grids, metrics, presets, ranking
 from ..sources import bridge, curve_text, filter_text
 from .curve_queries import r6, s6
-from .oracle_dsp import CASCADE, COEFS, GRID61, LEVELS, PAIRS
+from .oracle_dsp import CASCADE, COEFS, GRID61, GRID958, LEVELS, PAIRS
 from .registry import query, with_views
 
-#: The grid of the queries with SQL: six points an octave. Each has a namesake ending in ``_full`` on the evaluation grid, without SQL.
+#: Six places an octave, for the queries that give a row for each place or run SQL on all of them; those ending in ``_full`` take the grid on which the product audits and scores.
 COARSE = grids.log_grid(20.0, 20_000.0, 6)
+FULL = grids.evaluation_grid()
 VIEWS = ("filters", GRID61, COEFS, LEVELS, CASCADE)
+FULL_VIEWS = ("filters", GRID958, COEFS, LEVELS, CASCADE)
 
 
-def _grid(spark: SparkSession) -> DataFrame:
-    return grids.grid_frame(spark, COARSE)
-
-
-def _full_grid(spark: SparkSession) -> DataFrame:
-    """The grid on which the product audits and scores."""
-    return grids.grid_frame(spark, grids.evaluation_grid())
+def _packed(spark: SparkSession, sf_dir: str, *sums: Column) -> DataFrame:
+    return presets.packed(bridge.filters(spark, sf_dir), *sums)
 
 
 @query(with_views(*VIEWS) + f"SELECT preset_id, ordinal, {', '.join(f'{s6(c)} AS {c}' for c in COEFFICIENT_NAMES)} FROM coefs")
@@ -33,54 +30,56 @@ def f1_coefficients(spark: SparkSession, sf_dir: str) -> DataFrame:
     return with_coefficients(bridge.filters(spark, sf_dir)).select("preset_id", "ordinal", *[r6(c).alias(c) for c in COEFFICIENT_NAMES])
 
 
-def _sum_of_responses(magnitude: str, name: str):
-    sql = with_views(*VIEWS) + f"SELECT preset_id, ordinal, round(sum(db), 4) + 0.0e0 AS sum_db, {s6('max(abs(db))')} AS top_db FROM levels GROUP BY preset_id, ordinal"
-
-    def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-        return _summed(bridge.filters(spark, sf_dir), _grid(spark), magnitude, 4)
-
-    run.__name__ = name
-    return query(sql)(run)
+_SUMS = f" SELECT preset_id, ordinal, round(sum(db), 4) + 0.0e0 AS sum_db, {s6('max(abs(db))')} AS top_db FROM levels GROUP BY preset_id, ordinal"
 
 
-def _summed(filters: DataFrame, grid: DataFrame, magnitude: str, places: int = 6) -> DataFrame:
-    met = ops.responses(filters, grid, magnitude)
-    return met.groupBy("preset_id", "ordinal").agg((F.round(F.sum("db"), places) + F.lit(0.0)).alias("sum_db"), r6(F.max(F.abs("db"))).alias("top_db"))
+def _summed(levels: DataFrame) -> DataFrame:
+    return levels.select("preset_id", "ordinal", (F.round("sum_db", 4) + F.lit(0.0)).alias("sum_db"), r6("top_db").alias("top_db"))
 
 
-_sum_of_responses(MAGNITUDE, "f2_magnitude")
+@query(with_views(*VIEWS) + _SUMS)
+def f2_magnitude(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _summed(presets.filter_levels(_packed(spark, sf_dir), COARSE))
 
 
-@query()
+@query(with_views(*FULL_VIEWS) + _SUMS)
 def f2_magnitude_full(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _summed(bridge.filters(spark, sf_dir), _full_grid(spark), MAGNITUDE)
+    return _summed(presets.filter_levels(_packed(spark, sf_dir), FULL))
 
 
 @query()
 def f5_magnitude_expanded(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The expanded form loses digits at low frequencies, so engines differ in more than the last bits; a test holds it against f2."""
-    return _summed(bridge.filters(spark, sf_dir), _full_grid(spark), MAGNITUDE_EXPANDED)
+    met = ops.responses(bridge.filters(spark, sf_dir), grids.grid_frame(spark, FULL), MAGNITUDE_EXPANDED)
+    return met.groupBy("preset_id", "ordinal").agg((F.round(F.sum("db"), 6) + F.lit(0.0)).alias("sum_db"), r6(F.max(F.abs("db"))).alias("top_db"))
 
 
 @query(with_views(*VIEWS) + "SELECT preset_id, idx, round(db, 4) + 0.0e0 AS db FROM cascade")
 def j3_cascade(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _cascade(bridge.filters(spark, sf_dir), _grid(spark))
-
-
-def _cascade(filters: DataFrame, grid: DataFrame) -> DataFrame:
-    return ops.cascade(filters, grid).select("preset_id", "idx", (F.round("db", 4) + F.lit(0.0)).alias("db"))
+    """A row for each place, as the result asks for; the fold itself is by preset."""
+    places = presets.cascades(_packed(spark, sf_dir), COARSE)
+    return places.select("preset_id", F.posexplode("db").alias("idx", "x")).select("preset_id", "idx", (F.round("x", 4) + F.lit(0.0)).alias("db"))
 
 
 @query()
 def j3_cascade_full(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _cascade(bridge.filters(spark, sf_dir), _full_grid(spark))
+    """An array for each preset."""
+    return presets.cascades(_packed(spark, sf_dir), FULL).select("preset_id", F.transform("db", lambda x: F.round(x, 4) + F.lit(0.0)).alias("db"))
+
+
+@query(with_views(*FULL_VIEWS) + " SELECT preset_id, count(*) AS places, round(min(db), 4) + 0.0e0 AS lo_db, round(max(db), 4) + 0.0e0 AS hi_db, round(avg(db), 4) + 0.0e0 AS mean_db FROM cascade GROUP BY preset_id")
+def j3_cascade_shape(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What the response of a preset comes to on the whole grid."""
+    r4 = lambda c: F.round(c, 4) + F.lit(0.0)
+    mean = F.aggregate("db", F.lit(0.0), lambda t, x: t + x) / F.size("db")
+    return presets.cascades(_packed(spark, sf_dir), FULL).select("preset_id", F.size("db").cast("long").alias("places"), r4(F.array_min("db")).alias("lo_db"), r4(F.array_max("db")).alias("hi_db"), r4(mean).alias("mean_db"))
 
 
 @query(with_views(*VIEWS) + f"SELECT preset_id, {s6('max(greatest(db, 0e0))')} AS boost_db, {s6('-ceil(max(greatest(db, 0e0)) * 10 - 1e-6) / 10')} AS preamp_db FROM cascade GROUP BY preset_id")
 def a3_grid_preamp(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Headroom on the coarse grid."""
-    top = F.max(F.greatest(F.col("db"), F.lit(0.0)))
-    return ops.cascade(bridge.filters(spark, sf_dir), _grid(spark)).groupBy("preset_id").agg(r6(top).alias("boost_db"), r6(-F.ceil(top * 10 - 1e-6) / 10).alias("preamp_db"))
+    top = F.greatest(F.array_max("db"), F.lit(0.0))
+    return presets.cascades(_packed(spark, sf_dir), COARSE).select("preset_id", r6(top).alias("boost_db"), r6(-F.ceil(top * 10 - 1e-6) / 10).alias("preamp_db"))
 
 
 @query()
@@ -94,52 +93,59 @@ def a4_graphic_eq(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ops.graphic_eq(bridge.filters(spark, sf_dir)).select("preset_id", "f", r6("gain").alias("gain"))
 
 
-@query(with_views(*VIEWS, PAIRS) + f"SELECT preset_id, a, b, {s6('score')} AS score, CASE WHEN score >= 0.65 THEN 'strong' ELSE 'moderate' END AS severity FROM pairs WHERE score >= 0.35")
+_FOUND = f" SELECT preset_id, a, b, {s6('score')} AS score, CASE WHEN score >= 0.65 THEN 'strong' ELSE 'moderate' END AS severity FROM pairs WHERE score >= 0.35"
+
+
+@query(with_views(*VIEWS, PAIRS) + _FOUND)
 def j5_cancellation(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return ops.cancellation_pairs(bridge.filters(spark, sf_dir), _grid(spark)).withColumn("score", r6("score"))
+    return presets.cancellations(_packed(spark, sf_dir), COARSE).withColumn("score", r6("score"))
 
 
-@query()
+@query(with_views(*FULL_VIEWS, PAIRS) + _FOUND)
 def j5_cancellation_full(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return ops.cancellation_pairs(bridge.filters(spark, sf_dir), _full_grid(spark)).withColumn("score", r6("score"))
+    return presets.cancellations(_packed(spark, sf_dir), FULL).withColumn("score", r6("score"))
 
 
 COUNTS = "counts AS (SELECT preset_id, count(*) FILTER (score >= 0.35 AND score < 0.65) AS moderate, count(*) FILTER (score >= 0.65) AS strong, sum(score) FILTER (score >= 0.35) AS total_score FROM pairs GROUP BY preset_id)"
+_SEVERITIES = f" SELECT preset_id, count(*) FILTER (enabled) AS enabled, coalesce(any_value(moderate), 0) AS moderate, coalesce(any_value(strong), 0) AS strong, {s6('coalesce(any_value(total_score), 0)')} AS total_score FROM filters LEFT JOIN counts USING (preset_id) GROUP BY preset_id"
 
 
-@query(with_views(*VIEWS, PAIRS, COUNTS) + f"SELECT preset_id, count(*) FILTER (enabled) AS enabled, coalesce(any_value(moderate), 0) AS moderate, coalesce(any_value(strong), 0) AS strong, {s6('coalesce(any_value(total_score), 0)')} AS total_score FROM filters LEFT JOIN counts USING (preset_id) GROUP BY preset_id")
+@query(with_views(*VIEWS, PAIRS, COUNTS) + _SEVERITIES)
 def a17_severity_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _severities(bridge.filters(spark, sf_dir), _grid(spark))
+    return _severities(_packed(spark, sf_dir), COARSE)
 
 
-def _severities(filters: DataFrame, grid: DataFrame) -> DataFrame:
-    return ops.severity_counts(ops.cancellation_pairs(filters, grid), filters).withColumn("total_score", r6("total_score"))
+def _severities(packed: DataFrame, frequencies: list[float]) -> DataFrame:
+    return presets.severities(presets.audited(packed, frequencies)).withColumn("total_score", r6("total_score"))
 
 
-@query()
+@query(with_views(*FULL_VIEWS, PAIRS, COUNTS) + _SEVERITIES)
 def a17_severity_counts_full(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _severities(bridge.filters(spark, sf_dir), _full_grid(spark))
+    return _severities(_packed(spark, sf_dir), FULL)
 
 
 _M = "greatest(0e0, abs(db) - 0.1e0)"
+_OBJECTIVE = f""", fit AS (SELECT preset_id, avg(CASE WHEN {_M} <= 1 THEN 0.5e0 * {_M} * {_M} ELSE {_M} - 0.5e0 END) AS fit FROM cascade GROUP BY preset_id),
+own AS (SELECT preset_id, sum(0.01e0 + 0.002e0 * power(greatest(0e0, log2(q / 2)), 2) + 0.0005e0 * power(greatest(0e0, abs(gain) - 6), 2)) AS own FROM filters GROUP BY preset_id)
+SELECT preset_id, {s6('fit + own + 0.01e0 * coalesce(total_score, 0)')} AS objective FROM fit JOIN own USING (preset_id) LEFT JOIN counts USING (preset_id)"""
 
 
-@query(with_views(*VIEWS, PAIRS, COUNTS) + f""", fit AS (SELECT preset_id, avg(CASE WHEN {_M} <= 1 THEN 0.5e0 * {_M} * {_M} ELSE {_M} - 0.5e0 END) AS fit FROM cascade GROUP BY preset_id),
-own AS (SELECT preset_id, sum(0.01e0 + 0.002e0 * power(greatest(0e0, log2(q / 2)), 2) + 0.0005e0 * power(greatest(0e0, abs(gain) - 6), 2)) AS own FROM filters GROUP BY preset_id)
-SELECT preset_id, {s6('fit + own + 0.01e0 * coalesce(total_score, 0)')} AS objective FROM fit JOIN own USING (preset_id) LEFT JOIN counts USING (preset_id)""")
+@query(with_views(*VIEWS, PAIRS, COUNTS) + _OBJECTIVE)
 def a2_objective(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The objective of each preset against a flat wish."""
-    return _objective(bridge.filters(spark, sf_dir), _grid(spark))
+    return _objective(spark, sf_dir, COARSE)
 
 
-def _objective(filters: DataFrame, grid: DataFrame) -> DataFrame:
-    counts = ops.severity_counts(ops.cancellation_pairs(filters, grid), filters).select("preset_id", "total_score")
-    return metrics.objective(ops.cascade(filters, grid), filters, counts).withColumn("objective", r6("objective"))
+def _objective(spark: SparkSession, sf_dir: str, frequencies: list[float]) -> DataFrame:
+    """One fold gives the loss and the opposing pairs; the filters' own penalties are summed where they are packed."""
+    audit = presets.audited(_packed(spark, sf_dir, F.sum(metrics.filter_penalty()).alias("own")), frequencies)
+    total = F.aggregate("pairs", F.lit(0.0), lambda t, p: t + p["score"])
+    return audit.select("preset_id", r6(F.col("fit") + F.col("own") + 0.01 * total).alias("objective"))
 
 
-@query()
+@query(with_views(*FULL_VIEWS, PAIRS, COUNTS) + _OBJECTIVE)
 def a2_objective_full(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _objective(bridge.filters(spark, sf_dir), _full_grid(spark))
+    return _objective(spark, sf_dir, FULL)
 
 
 @query(with_views("filters") + "SELECT preset_id, count(*) AS n, bool_and(f BETWEEN 20 AND 20000 AND gain BETWEEN -15 AND 15 AND q BETWEEN 0.1 AND 12) AND count(*) <= 64 AS ok FROM filters GROUP BY preset_id")
@@ -167,7 +173,7 @@ def _nearest_sql(x: str, per: int, lo: str, hi: str, down: str) -> str:
 
 _NEAREST = f"""SELECT preset_id, ordinal, {s6(_nearest_sql('f', 1, '20e0', '20000e0', 'TRUE'))} AS f, {s6(_nearest_sql('gain', 10, '-15e0', '15e0', 'gain > 0'))} AS gain,
     CASE WHEN type = 'PK' THEN {s6(_nearest_sql('q', 100, '0.1e0', '12e0', 'TRUE'))} ELSE 0.7e0 END AS q FROM off"""
-_HALF_UP = f"""SELECT preset_id, ordinal, {s6('least(20000, greatest(20, floor(f / 1e0 + 0.5e0)))')} AS f, {s6('least(150, greatest(-150, floor(gain / 0.1e0 + 0.5e0))) / 10')} AS gain,
+HALF_UP_SQL = f"""SELECT preset_id, ordinal, {s6('least(20000, greatest(20, floor(f / 1e0 + 0.5e0)))')} AS f, {s6('least(150, greatest(-150, floor(gain / 0.1e0 + 0.5e0))) / 10')} AS gain,
     CASE WHEN type = 'PK' THEN {s6('least(1200, greatest(10, floor(q / 0.01e0 + 0.5e0))) / 100')} ELSE 0.7e0 END AS q FROM off"""
 
 
@@ -177,7 +183,7 @@ def f11_quantize(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ops.quantize(_off_steps(spark, sf_dir)).select("preset_id", "ordinal", *[r6(c).alias(c) for c in ("f", "gain", "q")])
 
 
-@query(with_views("filters", _OFF) + _HALF_UP)
+@query(with_views("filters", _OFF) + HALF_UP_SQL)
 def f14_quantize_half_up(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Ties go up."""
     return ops.quantize_half_up(_off_steps(spark, sf_dir)).select("preset_id", "ordinal", *[r6(c).alias(c) for c in ("f", "gain", "q")])
@@ -227,25 +233,25 @@ def d7_semantic_key(spark: SparkSession, sf_dir: str) -> DataFrame:
 _LABEL = "CASE type WHEN 'PK' THEN 'PK' WHEN 'LS' THEN 'LSC' ELSE 'HSC' END"
 #: Decimal text of values that lie on hundredths or thousandths, so that no half is in doubt.
 _LINE = f"concat('Filter ', n, ': ON ', {_LABEL}, ' Fc ', CAST(CAST(round(f) AS BIGINT) AS VARCHAR), ' Hz Gain ', printf('%.1f', gain), ' dB Q ', printf('%.3f', q))"
-_TEXTS = f""", e AS (SELECT *, row_number() OVER (PARTITION BY preset_id ORDER BY ordinal) AS n FROM filters WHERE enabled),
+TEXTS_SQL = f""", e AS (SELECT *, row_number() OVER (PARTITION BY preset_id ORDER BY ordinal) AS n FROM filters WHERE enabled),
 texts AS (SELECT p.preset_id, concat_ws(chr(13) || chr(10), 'Preamp: -6.0 dB', string_agg(CASE WHEN n IS NOT NULL THEN {_LINE} END, chr(13) || chr(10) ORDER BY n)) AS text FROM (SELECT DISTINCT preset_id FROM filters) AS p LEFT JOIN e USING (preset_id) GROUP BY p.preset_id)"""
 
 
-def _formatted(spark: SparkSession, sf_dir: str) -> DataFrame:
+def preset_texts(spark: SparkSession, sf_dir: str) -> DataFrame:
     filters = bridge.filters(spark, sf_dir).withColumn("gain", F.col("gain") + 0.0)
     presets = filters.select("preset_id").distinct().withColumn("preamp_db", F.lit(-6.0))
     return filter_text.format_filters(filters, presets)
 
 
-@query(with_views("filters") + _TEXTS + " SELECT preset_id, text FROM texts")
+@query(with_views("filters") + TEXTS_SQL + " SELECT preset_id, text FROM texts")
 def k1_format_filters(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _formatted(spark, sf_dir)
+    return preset_texts(spark, sf_dir)
 
 
 @query(with_views("filters") + ", e AS (SELECT *, row_number() OVER (PARTITION BY preset_id ORDER BY ordinal) - 1 AS n FROM filters WHERE enabled) SELECT preset_id, CAST(n AS INTEGER) AS ordinal, type, round(f) AS f, gain + 0.0e0 AS gain, q, CAST(NULL AS VARCHAR) AS error FROM e UNION ALL SELECT DISTINCT preset_id, -1, NULL, NULL, NULL, NULL, 'parse: no filters' FROM filters WHERE preset_id NOT IN (SELECT preset_id FROM e)")
 def s10_parse_filters(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every preset written as text and read back."""
-    out = filter_text.parse_filters(_formatted(spark, sf_dir)).drop("enabled")  # disabled filters are not written
+    out = filter_text.parse_filters(preset_texts(spark, sf_dir)).drop("enabled")  # disabled filters are not written
     return out.withColumns({"gain": F.col("gain") + 0.0, "ordinal": F.coalesce("ordinal", F.lit(-1))})
 
 
@@ -267,7 +273,7 @@ def k10_graphic_text(spark: SparkSession, sf_dir: str) -> DataFrame:
     return filter_text.format_graphic(ops.graphic_eq(bridge.filters(spark, sf_dir)))
 
 
-def _curve_texts(spark: SparkSession, sf_dir: str) -> DataFrame:
+def curve_texts(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Each curve as a text with a comment, a header and one of four delimiters; every tenth has a third column in its last row, every eleventh a level that is no number."""
     points = bridge.curve_points(spark, sf_dir)
     between = F.element_at(F.array(F.lit("\t"), F.lit(";"), F.lit(","), F.lit("  ")), (F.col("curve_id") % 4 + 1).cast("int"))
@@ -281,7 +287,7 @@ def _curve_texts(spark: SparkSession, sf_dir: str) -> DataFrame:
 SELECT curve_id, CASE WHEN error_category IS NULL THEN delimiter END AS delimiter, CASE WHEN error_category IS NULL THEN n END AS n, CASE WHEN error_category IS NULL THEN lo END AS lo, CASE WHEN error_category IS NULL THEN hi END AS hi, error_category FROM k""")
 def s1_parse_curves(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every curve written as text and read back."""
-    parsed = curve_text.parse_curves(_curve_texts(spark, sf_dir), "curve_id")
+    parsed = curve_text.parse_curves(curve_texts(spark, sf_dir), "curve_id")
     f = F.transform("points", lambda p: p["frequency_hz"])
     return parsed.select("curve_id", "delimiter", F.when(F.col("points").isNotNull(), F.size("points")).cast("long").alias("n"), F.array_min(f).alias("lo"), F.array_max(f).alias("hi"), "error_category")
 

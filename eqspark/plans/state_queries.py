@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import text
-from ..operators import acceptance, curves, filters as ops, grids, keys, metrics, ranking, research, runner, workspace
+from ..operators import acceptance, curves, filters as ops, grids, keys, metrics, presets, ranking, research, runner, workspace
 from ..schema import POINTS_PER_OCTAVE
 from ..sources import bridge, session
 from ..streaming import recorder
@@ -131,13 +131,13 @@ def i52_research_plan(spark: SparkSession, sf_dir: str) -> DataFrame:
 # --- presets -----------------------------------------------------------------------------------
 
 
-@query(with_views("filters", dsp.GRID61, dsp.COEFS, dsp.LEVELS, dsp.PAIRS) + f""", own AS (SELECT preset_id, count(*) AS filter_count, greatest(max(q), 0) AS max_q, greatest(max(gain), 0) AS max_boost FROM filters WHERE enabled GROUP BY preset_id),
+@query(with_views("filters", dsp.GRID958, dsp.COEFS, dsp.PAIRS) + f""", own AS (SELECT preset_id, count(*) AS filter_count, greatest(max(q), 0) AS max_q, greatest(max(gain), 0) AS max_boost FROM filters WHERE enabled GROUP BY preset_id),
 found AS (SELECT preset_id, count(*) FILTER (score >= 0.35 AND score < 0.65) AS moderate, count(*) FILTER (score >= 0.65) AS strong FROM pairs GROUP BY preset_id)
 SELECT p.preset_id, coalesce(filter_count, 0) AS filter_count, coalesce(max_q, 0.0) AS max_q, coalesce(max_boost, 0.0) AS max_boost, coalesce(moderate, 0) AS moderate, coalesce(strong, 0) AS strong FROM (SELECT DISTINCT preset_id FROM filters) AS p LEFT JOIN own USING (preset_id) LEFT JOIN found USING (preset_id)""")
 def a20_result_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = bridge.filters(spark, sf_dir)
     on = rows.where("enabled")
-    return ops.result_rows(rows.select("preset_id").distinct(), on, ops.cancellation_pairs(on, grids.grid_frame(spark, fq.COARSE)))
+    return ops.result_rows(rows.select("preset_id").distinct(), on, presets.cancellations(presets.packed(on), fq.FULL))
 
 
 _MOVES = "moves AS (SELECT preset_id, CAST(preset_id % 5 AS INTEGER) AS here, preset_id % 2 = 0 AS up, max(ordinal) AS last FROM filters GROUP BY preset_id)"

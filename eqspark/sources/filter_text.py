@@ -12,6 +12,9 @@ from ..schema import HARD_MAX_FILTERS, MAX_GAIN_DB, MAX_HZ, MAX_Q, MIN_HZ, MIN_Q
 STARTS = r"(?i)^Filter\s*(?:\d+\s*)?:"
 LINE = r"(?i)^Filter\s*\d+:\s*(\S+)\s+(\S+)\s+Fc\s*(\S+)\s*Hz\s*Gain\s*(\S+)\s*dB(?:\s*Q\s*(\S+))?\s*$"
 DEFAULT_SHELF_Q = 0.707
+#: A matched line as its parts behind marks that no line of text holds.
+MARK = "\x01"
+MARKED = MARK + MARK.join(f"${i}" for i in range(1, 6))
 
 
 def parse_filters(texts: DataFrame, key: str = "preset_id") -> DataFrame:
@@ -20,38 +23,49 @@ def parse_filters(texts: DataFrame, key: str = "preset_id") -> DataFrame:
     A text without filter lines, or with more than 64, has one row that holds the error alone. A text is parsed to an array within its row and
     exploded once; nothing is shuffled.
     """
-    lines = F.filter(F.transform(F.split("text", r"\r\n?|\n"), lambda x: F.regexp_replace(x, r"^\s+|\s+$", "")), lambda x: x.rlike(STARTS))
-    # parsed once: the optimizer does not copy an expression through an explode
-    rows = texts.select(key, F.explode(F.array(F.transform(lines, _line))).alias("x"))
-    errors = F.filter(F.transform("x", lambda v: v["error"]), lambda e: e.isNotNull())
-    error = F.when(F.size("x") == 0, "parse: no filters").when(F.size(errors) > 0, F.get(errors, F.lit(0))).when(F.size("x") > HARD_MAX_FILTERS, "validation: more than 64 filters")
-    rows = rows.withColumn("error", error)
-    rows = rows.select(key, "error", F.posexplode_outer(F.when(F.col("error").isNull(), F.col("x"))).alias("ordinal", "v"))
+    rows = read_filters(texts, key)
+    rows = rows.select(key, F.col("filter_error").alias("error"), F.posexplode_outer(F.when(F.col("filter_error").isNull(), F.col("filters"))).alias("ordinal", "v"))
     return rows.select(key, "ordinal", (F.col("v.state") == "ON").alias("enabled"), F.col("v.type").alias("type"), F.col("v.f").alias("f"), F.col("v.gain").alias("gain"), F.col("v.q").alias("q"), "error")
 
 
-def _line(line: Column) -> Column:
-    """state, type, f, gain, q and error of one filter line."""
-    part = lambda i: F.regexp_extract(line, LINE, i)
+def read_filters(texts: DataFrame, *keep: str) -> DataFrame:
+    """``keep``, filter_lines (their number), filters (an array of state, type, f, gain, q, error) and filter_error of each text, one row a text."""
+    lines = F.filter(F.transform(F.split("text", r"\r\n?|\n"), lambda x: F.regexp_replace(x, r"^\s+|\s+$", "")), lambda x: x.rlike(STARTS))
+    # one match a line; parsed once: the optimizer does not copy an expression through an explode
+    marked = F.transform(lines, lambda x: F.struct(F.split(F.regexp_replace(x, LINE, MARKED), MARK).alias("p")))
+    rows = texts.select(*keep, F.explode(F.array(F.transform(marked, lambda v: _line(v["p"])))).alias("filters"))
+    errors = F.filter(F.transform("filters", lambda v: v["error"]), lambda e: e.isNotNull())
+    error = F.when(F.size("filters") == 0, "parse: no filters").when(F.size(errors) > 0, F.get(errors, F.lit(0))).when(F.size("filters") > HARD_MAX_FILTERS, "validation: more than 64 filters")
+    return rows.select(*keep, F.size("filters").alias("filter_lines"), "filters", error.alias("filter_error"))
+
+
+def _line(parts: Column) -> Column:
+    """state, type, f, gain, q and error of a filter line's parts: what the pattern took apart, or the line alone where it did not match."""
     number = lambda s: F.when(s.rlike(r"(?i)^[+-]?(\d+\.?\d*|\.\d+)(e[+-]?\d+)?$"), s.try_cast("double"))
     bad = lambda x: x.isNull() | (F.abs(x) == float("inf"))
-    state, label, q_text = F.upper(part(1)), F.upper(part(2)), part(5)
-    kind = F.lit(None).cast("string")
-    for name, meaning in TYPE_OF_LABEL.items():
-        kind = F.when(label == name, meaning).otherwise(kind)
+    fine = F.size(parts) == 6
+    part = lambda i: F.get(parts, F.lit(i))
+    state, q_text = F.upper(part(1)), part(5)
+    kind = F.try_element_at(F.create_map(*[F.lit(x) for pair in TYPE_OF_LABEL.items() for x in pair]), F.upper(part(2)))
     f, gain = number(part(3)), number(part(4))
     q = F.when(q_text == "", F.lit(DEFAULT_SHELF_Q)).otherwise(number(q_text))
-    error = (
-        F.when(~line.rlike(LINE), "parse: malformed filter line")
-        .when(~state.isin("ON", "OFF"), "parse: unsupported state")
-        .when(kind.isNull(), "parse: unsupported type")
-        .when((kind == "PK") & (q_text == ""), "parse: a peak needs Q")
-        .when(bad(f) | bad(gain) | bad(q), "validation: numbers must be finite")
-        .when(~f.between(MIN_HZ, MAX_HZ), "validation: frequency out of bounds")
-        .when(~gain.between(-MAX_GAIN_DB, MAX_GAIN_DB), "validation: gain out of bounds")
-        .when(~q.between(MIN_Q, MAX_Q), "validation: Q out of bounds")
-    )
-    return F.struct(state.alias("state"), kind.alias("type"), f.alias("f"), gain.alias("gain"), q.alias("q"), error.alias("error"))
+
+    def judged(v: Column) -> Column:
+        error = (
+            F.when(~fine, "parse: malformed filter line")
+            .when(~v["state"].isin("ON", "OFF"), "parse: unsupported state")
+            .when(v["type"].isNull(), "parse: unsupported type")
+            .when((v["type"] == "PK") & (q_text == ""), "parse: a peak needs Q")
+            .when(bad(v["f"]) | bad(v["gain"]) | bad(v["q"]), "validation: numbers must be finite")
+            .when(~v["f"].between(MIN_HZ, MAX_HZ), "validation: frequency out of bounds")
+            .when(~v["gain"].between(-MAX_GAIN_DB, MAX_GAIN_DB), "validation: gain out of bounds")
+            .when(~v["q"].between(MIN_Q, MAX_Q), "validation: Q out of bounds")
+        )
+        return F.struct(*[v[n].alias(n) for n in ("state", "type", "f", "gain", "q")], error.alias("error"))
+
+    # each number is read once: the second step sees the first one's results
+    read = F.struct(state.alias("state"), kind.alias("type"), f.alias("f"), gain.alias("gain"), q.alias("q"))
+    return F.get(F.transform(F.array(read), judged), F.lit(0))
 
 
 def format_filters(filters: DataFrame, preamps: DataFrame) -> DataFrame:
