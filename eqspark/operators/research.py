@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from ..schema import TIMELINE_MARKS_MS
 from ..storage import materialize
 from .metrics import violation
+from .scans import BLOCK_ROWS, least_before
 from .sides import small_side
 
 RUN_KEYS = ["case_id", "budget_s", "max_filters"]
@@ -19,14 +20,20 @@ QUALITY = [
 ]
 
 
-def best_history(checkpoints: DataFrame, key: str = "cell") -> DataFrame:
-    """Checkpoints that strictly improve on all before, by (violation, rmse, max_abs)."""
-    w = Window.partitionBy(key).orderBy("elapsed_ms").rowsBetween(Window.unboundedPreceding, -1)
-    metric = F.struct(violation(F.col("rmse"), F.col("max_abs")).alias("v"), "rmse", "max_abs")
-    out = checkpoints.withColumn("_m", metric).withColumn("_best", F.min("_m").over(w))
+def _metric() -> Column:
+    return F.struct(violation(F.col("rmse"), F.col("max_abs")).alias("v"), "rmse", "max_abs")
+
+
+def _improving(checkpoints: DataFrame, keys: list[str], order: str, most: int) -> DataFrame:
+    out = least_before(checkpoints, keys, [order], _metric(), "_best", most).withColumn("_m", _metric())
     return out.where("_best IS NULL OR _m < _best").drop("_m", "_best")
 
 
+def best_history(checkpoints: DataFrame, key: str = "cell", most: int = BLOCK_ROWS) -> DataFrame:
+    """Checkpoints that strictly improve on all before, by (violation, rmse, max_abs). A cell of more than ``most`` is spread over blocks."""
+    return _improving(checkpoints, [key], "elapsed_ms", most)
+
+
 def timeline(checkpoints: DataFrame, key: str = "cell", marks: tuple[int, ...] = TIMELINE_MARKS_MS) -> DataFrame:
     """key, mark_ms, rmse, max_abs: the best checkpoint up to each mark; marks before the first checkpoint are absent.
 
@@ -45,9 +52,9 @@ def timeline(checkpoints: DataFrame, key: str = "cell", marks: tuple[int, ...] =
     return out.select(key, "mark_ms", "m.rmse", "m.max_abs")
 
 
-def time_to_quality(checkpoints: DataFrame, key: str = "cell") -> DataFrame:
+def time_to_quality(checkpoints: DataFrame, key: str = "cell", most: int = BLOCK_ROWS) -> DataFrame:
     """The first time each threshold is met in the history of best checkpoints; null if never."""
-    history = best_history(checkpoints, key)
+    history = best_history(checkpoints, key, most)
     return history.groupBy(key).agg(*[F.min(F.when(F.expr(p), F.col("elapsed_ms"))).alias(n) for n, p in QUALITY])
 
 
@@ -163,9 +170,6 @@ def telemetry(events: DataFrame, keys: list[str], peaks: tuple[str, ...] = ("pea
     return per.groupBy(*keys).agg(F.map_from_entries(F.sort_array(F.collect_list(F.struct("name", value.cast("long").alias("n"))))).alias("counters"))
 
 
-def improving_checkpoints(checkpoints: DataFrame, keys: list[str]) -> DataFrame:
+def improving_checkpoints(checkpoints: DataFrame, keys: list[str], most: int = BLOCK_ROWS) -> DataFrame:
     """Checkpoints (keys, seq, elapsed_ms, rmse, max_abs) that are better than the last one kept: as each kept one is the best so far, those better than all before."""
-    metric = F.struct(violation(F.col("rmse"), F.col("max_abs")).alias("v"), "rmse", "max_abs")
-    before = Window.partitionBy(*keys).orderBy("seq").rowsBetween(Window.unboundedPreceding, -1)
-    out = checkpoints.withColumn("_m", metric).withColumn("_best", F.min("_m").over(before))
-    return out.where("_best IS NULL OR _m < _best").withColumn("elapsed_ms", F.greatest(F.col("elapsed_ms"), F.lit(0))).drop("_m", "_best")
+    return _improving(checkpoints, keys, "seq", most).withColumn("elapsed_ms", F.greatest(F.col("elapsed_ms"), F.lit(0)))

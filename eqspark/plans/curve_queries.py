@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from ..operators import curves, features, fits, grids, metrics
 from ..operators.fitting import loudness
+from ..operators.loudness import flat_field
 from ..operators.sides import small_side
 from ..schema import METRIC_BANDS, POINTS_PER_OCTAVE, RESEARCH_BANDS, ZOOM_RANGES, Normalization
 from ..sources import bridge
@@ -285,18 +286,35 @@ _LEVEL = _loudness_sql(60.0) + ", level AS (SELECT curve_id, arg_max(x, n) - 60
 @query(_LEVEL + f"SELECT curve_id, {s6('offset_db')} AS offset_db FROM level")
 def f8_loudness_offset(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Level mode at 60 dB in a flat free field: a measured table is data that callers give."""
-    got = fits.normalization_offsets(bridge.curve_points(spark, sf_dir), Normalization("db", ANCHOR_HZ, 60.0), loudness.flat_free_field())
+    got = fits.normalization_offsets(bridge.curve_points(spark, sf_dir), Normalization("db", ANCHOR_HZ, 60.0), flat_field(spark))
     return got.select("curve_id", r6("offset").alias("offset_db"))
 
 
 @query(_LEVEL.replace(GRID480, f"{GRID480}, {GRID958_AS}").replace(f", {AT}", f", {AT}, {AT_958}") + f"SELECT curve_id, idx, round(db + offset_db, 5) + 0.0e0 AS db FROM placed958 JOIN level USING (curve_id)")
 def f7_level_mode(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Curves on the evaluation grid, normalized to a loudness of 60 dB in a flat free field."""
-    ready = fits.prepare_normalized(bridge.curve_points(spark, sf_dir), _grid(spark), POINTS_PER_OCTAVE, Normalization("db", ANCHOR_HZ, 60.0), loudness.flat_free_field())
+    ready = fits.prepare_normalized(bridge.curve_points(spark, sf_dir), _grid(spark), POINTS_PER_OCTAVE, Normalization("db", ANCHOR_HZ, 60.0), flat_field(spark))
     return ready.select("curve_id", "idx", (F.round("db", 5) + F.lit(0.0)).alias("db"))
 
 
-@query()
+@query("WITH RECURSIVE " + with_views("first_of", "points").removeprefix("WITH ") + f""",
+k AS (SELECT curve_id, f, db AS y, row_number() OVER w - 1 AS i, count(*) OVER (PARTITION BY curve_id) AS n, ln(lead(f) OVER w) - ln(f) AS h FROM points WINDOW w AS (PARTITION BY curve_id ORDER BY f)),
+v AS (SELECT *, power(0.05e0 * power(1e0 / 80, power(i / n, 2)), 2) AS s FROM k),
+g AS (SELECT curve_id, i, n, h, lead(h) OVER w AS h1, 1 / h AS a, -1 / h - 1 / lead(h) OVER w AS b, 1 / lead(h) OVER w AS c, s, lead(s) OVER w AS s1, lead(s, 2) OVER w AS s2, y, lead(y) OVER w AS y1, lead(y, 2) OVER w AS y2 FROM v WINDOW w AS (PARTITION BY curve_id ORDER BY i)),
+m AS (SELECT curve_id, i, n, (h + h1) / 3 + a * a * s + b * b * s1 + c * c * s2 AS p, h1 / 6 + b * lead(a) OVER w * s1 + c * lead(b) OVER w * s2 AS q, c * lead(a, 2) OVER w * s2 AS r, a * y + b * y1 + c * y2 AS z FROM g WHERE i < n - 2 WINDOW w AS (PARTITION BY curve_id ORDER BY i)),
+down AS (
+    SELECT curve_id, i, n, p AS d, coalesce(q, 0) / p AS l, coalesce(r, 0) / p AS ll, z AS x, 0e0 AS d_1, 0e0 AS l_1, 0e0 AS ll_1, 0e0 AS x_1 FROM m WHERE i = 0
+    UNION ALL
+    SELECT m.curve_id, m.i, m.n, p - d * l * l - d_1 * ll_1 * ll_1, (coalesce(q, 0) - d * l * ll) / (p - d * l * l - d_1 * ll_1 * ll_1), coalesce(r, 0) / (p - d * l * l - d_1 * ll_1 * ll_1), z - l * x - ll_1 * x_1, d, l, ll, x FROM down JOIN m ON m.curve_id = down.curve_id AND m.i = down.i + 1),
+up AS (
+    SELECT curve_id, i, x / d AS u, 0e0 AS u_1 FROM down WHERE i = n - 3
+    UNION ALL
+    SELECT down.curve_id, down.i, down.x / down.d - down.l * u - down.ll * u_1, u FROM up JOIN down ON down.curve_id = up.curve_id AND down.i = up.i - 1),
+e AS (SELECT v.curve_id, v.f, v.y, v.s, coalesce(g0.a * u0.u, 0) + coalesce(g1.b * u1.u, 0) + coalesce(g2.c * u2.u, 0) AS bend FROM v
+    LEFT JOIN g AS g0 ON g0.curve_id = v.curve_id AND g0.i = v.i LEFT JOIN up AS u0 ON u0.curve_id = v.curve_id AND u0.i = v.i
+    LEFT JOIN g AS g1 ON g1.curve_id = v.curve_id AND g1.i = v.i - 1 LEFT JOIN up AS u1 ON u1.curve_id = v.curve_id AND u1.i = v.i - 1
+    LEFT JOIN g AS g2 ON g2.curve_id = v.curve_id AND g2.i = v.i - 2 LEFT JOIN up AS u2 ON u2.curve_id = v.curve_id AND u2.i = v.i - 2)
+SELECT curve_id, f, {s6('y - s * bend')} AS db FROM e""")
 def f21_smoothing_spline(spark: SparkSession, sf_dir: str) -> DataFrame:
     return fits.smoothed(bridge.curve_points(spark, sf_dir), 5.0).select("curve_id", "f", r6("db").alias("db"))
 

@@ -2,13 +2,16 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..operators import metrics, ranking, research
 from ..schema import TIMELINE_MARKS_MS
 from ..sources import bridge
-from ..streaming import recorder
+from ..storage import shared_dir
+from ..streaming import histories, recorder
 from .curve_queries import r6, s6
 from .registry import query, with_views
 
@@ -231,8 +234,34 @@ def t1_changes(spark: SparkSession, sf_dir: str) -> DataFrame:
     return recorder.changes(e, "user_id", ["ts", "event_id"], ["event_type"]).select("user_id", "event_id", "event_type")
 
 
-@query()
+# without pins the newest snapshot always holds the state of the event before, and its time is that of the last change
+_RECORDED = """e AS (SELECT CAST(user_id AS VARCHAR) AS key, CAST(trunc(epoch_us(ts) / 3600000) AS BIGINT) AS at_ms, event_id AS seq, event_type AS state FROM events),
+c AS (SELECT *, lag(state) OVER w IS NOT DISTINCT FROM state AND row_number() OVER w > 1 AS same FROM e WINDOW w AS (PARTITION BY key ORDER BY at_ms, seq)),
+d AS (SELECT *, max(CASE WHEN NOT same THEN at_ms END) OVER (PARTITION BY key ORDER BY at_ms, seq ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS newest FROM c),
+o AS (SELECT *, CASE WHEN same THEN 'same' WHEN at_ms - newest < 1000 THEN 'replaced' ELSE 'appended' END AS outcome FROM d),
+recorded AS (SELECT key, at_ms, state, outcome, CAST(least(100, count(*) FILTER (outcome = 'appended') OVER (PARTITION BY key ORDER BY at_ms, seq ROWS UNBOUNDED PRECEDING)) AS BIGINT) AS kept FROM o)"""
+
+
+def _snapshots(events: DataFrame) -> DataFrame:
+    return events.select(F.col("user_id").cast("string").alias("key"), (F.unix_micros(F.col("ts").cast("timestamp")) / 3_600_000).cast("long").alias("at_ms"), F.col("event_id").alias("seq"), F.col("event_type").alias("state"))
+
+
+@query(f"WITH {_RECORDED} SELECT * FROM recorded")
 def t3_record_history(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every user's events as snapshots, an hour standing for a second."""
-    e = bridge.table(spark, sf_dir, "events").select(F.col("user_id").cast("string").alias("key"), (F.unix_micros(F.col("ts").cast("timestamp")) / 3_600_000).cast("long").alias("at_ms"), F.col("event_id").alias("seq"), F.col("event_type").alias("state"))
-    return recorder.record_batch(e)
+    return recorder.record_batch(_snapshots(bridge.table(spark, sf_dir, "events")))
+
+
+_DELAY_MS = 5000
+
+
+@query(f"WITH {_RECORDED} SELECT * FROM recorded WHERE at_ms < (SELECT max(at_ms) FROM recorded) - {_DELAY_MS}")
+def t3_history_stream(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The same as a stream, with state and timers: what the watermark has passed when the table is read."""
+    where = f"{shared_dir(spark)}/eqspark/streams/{uuid.uuid4().hex}"
+    table = f"{sf_dir}/events.parquet"
+    with histories.with_rocksdb(spark):
+        events = spark.readStream.schema(spark.read.parquet(table).schema).parquet(f"{table[:-1]}[{table[-1]}]")  # a pattern, as a table may be one file
+        out = histories.recorded_stream(_snapshots(events), 0, f"{_DELAY_MS} milliseconds")
+        out.writeStream.format("parquet").option("checkpointLocation", f"{where}/checkpoint").outputMode("append").trigger(availableNow=True).start(f"{where}/out").awaitTermination()
+    return spark.read.schema(histories.OUTCOME).parquet(f"{where}/out")

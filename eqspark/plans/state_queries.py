@@ -385,7 +385,17 @@ def t8_run_states(spark: SparkSession, sf_dir: str) -> DataFrame:
     return recorder.run_states(rows).select("key", "seq", "state")
 
 
-@query()
+@query("""WITH RECURSIVE e AS (
+    SELECT CAST(user_id AS VARCHAR) AS key, event_id AS seq, event_type AS value, ['edit', 'edit', 'undo', 'edit', 'undo', 'redo', 'replace'][event_id % 7 + 1] AS op, row_number() OVER (PARTITION BY user_id ORDER BY event_id) AS n FROM events),
+log AS (
+    SELECT key, CAST(0 AS BIGINT) AS n, CAST(NULL AS BIGINT) AS seq, CAST(NULL AS VARCHAR) AS present, CAST([] AS VARCHAR[]) AS past, CAST([] AS VARCHAR[]) AS future FROM (SELECT DISTINCT key FROM e)
+    UNION ALL
+    SELECT l.key, e.n, e.seq,
+           CASE WHEN op IN ('edit', 'replace') THEN value WHEN op = 'undo' AND len(past) > 0 THEN past[len(past)] WHEN op = 'redo' AND len(future) > 0 THEN future[len(future)] ELSE present END,
+           CASE WHEN op = 'edit' AND value IS DISTINCT FROM present OR op = 'redo' AND len(future) > 0 THEN list_append(past, present) WHEN op = 'undo' THEN past[1:len(past) - 1] ELSE past END,
+           CASE WHEN op = 'edit' AND value IS DISTINCT FROM present OR op = 'replace' THEN [] WHEN op = 'undo' AND len(past) > 0 THEN list_append(future, present) WHEN op = 'redo' THEN future[1:len(future) - 1] ELSE future END
+    FROM log AS l JOIN e ON e.key = l.key AND e.n = l.n + 1)
+SELECT key, seq, present, len(past) AS undoable, len(future) AS redoable FROM log WHERE n > 0""")
 def t10_edit_log(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every user's events as edits, undos and redos."""
     k = F.col("event_id")

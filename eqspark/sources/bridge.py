@@ -30,10 +30,11 @@ def pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def filters(spark: SparkSession, sf_dir: str) -> DataFrame:
     """preset_id, ordinal, enabled, type, f, gain, q of the line items of each order."""
-    w = Window.partitionBy("l_orderkey").orderBy("l_linenumber", "l_partkey", "l_suppkey", "l_extendedprice", "l_quantity", "l_discount", "l_tax", "l_shipdate")
+    rows = table(spark, sf_dir, "lineitem").withColumnRenamed("l_orderkey", "preset_id")  # by its new name, so that what is dealt here stays dealt
+    w = Window.partitionBy("preset_id").orderBy("l_linenumber", "l_partkey", "l_suppkey", "l_extendedprice", "l_quantity", "l_discount", "l_tax", "l_shipdate")
     kind = F.when(F.col("l_returnflag") == "A", "PK").when(F.col("l_returnflag") == "N", "LS").otherwise("HS")
-    return table(spark, sf_dir, "lineitem").select(
-        F.col("l_orderkey").alias("preset_id"),
+    return rows.select(
+        "preset_id",
         (F.row_number().over(w) - 1).cast("int").alias("ordinal"),
         (F.col("l_linestatus") == "O").alias("enabled"),
         kind.alias("type"),
@@ -46,8 +47,8 @@ def filters(spark: SparkSession, sf_dir: str) -> DataFrame:
 def checkpoints(spark: SparkSession, sf_dir: str) -> DataFrame:
     """cell, elapsed_ms (since the cell's first event), rmse, max_abs of the events."""
     e = table(spark, sf_dir, "events").select(F.col("user_id").alias("cell"), F.col("ts").cast("timestamp").alias("ts"), F.col("value").cast("double").alias("value"), "event_id")
-    start = F.min("ts").over(Window.partitionBy("cell"))
-    ms = F.floor((F.unix_micros("ts") - F.unix_micros(start)) / 1000000).cast("long")
+    e = e.join(small_side(e.groupBy("cell").agg(F.min("ts").alias("start"))), "cell")  # a cell may hold a third of all rows, so no window by cell
+    ms = F.floor((F.unix_micros("ts") - F.unix_micros("start")) / 1000000).cast("long")
     rmse = F.round(F.col("value") / 100e0, 6)
     return e.select("cell", "event_id", ms.alias("elapsed_ms"), rmse.alias("rmse"), F.round(rmse * (1e0 + (F.col("event_id") % 50) / 50e0), 6).alias("max_abs"))
 

@@ -115,8 +115,10 @@ def _replay(history: History, pdf: pd.DataFrame) -> pd.DataFrame:
 
 def record_batch(events: DataFrame) -> DataFrame:
     """key, at_ms, state, outcome, kept for events (key, at_ms, seq, state, and op if there is anything but recording: record, pin-a, pin-b, suppress,
-    clear); each key's events are replayed in order."""
-    return events.groupBy("key").applyInPandas(lambda pdf: _replay(History(), pdf), OUTCOME)
+    clear); each key's events are folded in order, one by one."""
+    from .histories import recorded
+
+    return recorded(events)
 
 
 def _replay_stream(key: tuple, batches: Iterator[pd.DataFrame], state) -> Iterator[pd.DataFrame]:
@@ -204,18 +206,9 @@ class EditLog:
 
 def edit_states(edits: DataFrame) -> DataFrame:
     """key, seq, present, undoable, redoable after each edit (key, seq, op, value): edit, replace, undo or redo; a key's present is null before its first edit."""
+    from .histories import edited
 
-    def replay(pdf: pd.DataFrame) -> pd.DataFrame:
-        log, rows = EditLog(None), []
-        for r in pdf.sort_values("seq").itertuples():
-            if r.op in ("undo", "redo"):
-                getattr(log, r.op)()
-            else:
-                getattr(log, r.op)(r.value)
-            rows.append((r.key, r.seq, log.present, len(log.past), len(log.future)))
-        return pd.DataFrame(rows, columns=["key", "seq", "present", "undoable", "redoable"])
-
-    return edits.groupBy("key").applyInPandas(replay, "key string, seq long, present string, undoable long, redoable long")
+    return edited(edits)
 
 
 def snapshot(state: Column) -> Column:

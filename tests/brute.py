@@ -1,13 +1,14 @@
-"""Smoothing spline over the logarithm of frequency, with a strength that falls along the curve.
-
-Minimizing the weighted squared change plus the bending energy gives y - D^2 G' c with (R + G D^2 G') c = G y, where G takes second
-divided differences and R is the tridiagonal matrix of hat-function products: a symmetric system with two bands, factored directly.
-"""
+"""Plain numpy forms that column expressions are held to."""
 
 from __future__ import annotations
 
+import math
+
 import numpy as np
 
+from eqspark.operators.fitting.loudness import parameters
+from eqspark.schema import EqError
+
 
 def _solve_two_bands(d0: np.ndarray, d1: np.ndarray, d2: np.ndarray, b: np.ndarray) -> np.ndarray:
     """Solve a symmetric positive system with diagonals d0, d1 (first) and d2 (second)."""
@@ -47,3 +48,24 @@ def smooth(f: np.ndarray, db: np.ndarray, level: float, scale: float = 0.01) ->
     for k in range(3):
         bend[k : n - 2 + k] += g[k] * c
     return y - weight * bend
+
+
+def loudness_offset(f: np.ndarray, db: np.ndarray, level: float, free_field: np.ndarray, limit: int = 500) -> float:
+    """Newton's method on the loudness sum; a step of at most 0.01 dB ends it."""
+    f, db = np.asarray(f, np.float64), np.asarray(db, np.float64)
+    if len(f) < 2 or not (np.isfinite(f).all() and np.isfinite(db).all() and (np.diff(f) > 0).all() and f[0] > 0 and math.isfinite(level)):
+        raise EqError("validation", "loudness needs two or more finite points at rising positive frequencies")
+    alpha, offset, factor, field = parameters(f, free_field)
+    per_db, x = math.log(10) / 10, 0.0
+    for _ in range(limit):
+        power = np.exp(per_db * (db + x - field))
+        inner = offset + power**alpha
+        total = float((factor * inner**4).sum())
+        slope = float((factor * 4 * inner**3 * alpha * power ** (alpha - 1) * per_db * power).sum())
+        if not (math.isfinite(total) and math.isfinite(slope)) or total <= 0 or slope == 0:
+            raise EqError("numeric", "the loudness sum cannot be inverted")
+        step = (math.log(total) - level * per_db) * total / slope
+        x -= step
+        if abs(step) <= 0.01:
+            return x
+    raise EqError("numeric", "the loudness offset did not converge")

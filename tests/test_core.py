@@ -11,12 +11,12 @@ from eqspark.operators import curves, features, filters, fits, grids, metrics, r
 from eqspark.operators.fits import preamp_of
 from eqspark.operators.fitting import structural, v1, v2
 from eqspark.operators.fitting.kernel import Grid, biquad_db, cancellation, half_up_step, nearest_step
-from eqspark.operators.fitting.loudness import FREE_FIELD_PLACES, flat_free_field, free_field_of, loudness_offset
-from eqspark.operators.fitting.spline import smooth
+from eqspark.operators.fitting.loudness import FREE_FIELD_PLACES, flat_free_field, free_field_of
 from eqspark.schema import EqError, Normalization, Settings
 from eqspark.sources import curve_text, filter_text
 from eqspark.streaming import recorder
 
+from .brute import loudness_offset, smooth
 from .cases import FIRST, SOLVABLE, wished_level
 
 def points(spark, rows):
