@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import math
+from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -37,11 +38,13 @@ def terms(field: DataFrame) -> DataFrame:
     return base.join(F.broadcast(field.select("place", F.col("level_db").alias("field"))), "place", "left").drop("place")  # a fixed table
 
 
-def offsets(points: DataFrame, level_db: float, field: DataFrame, key: str = "curve_id") -> DataFrame:
-    """key, offset of curves (key, idx, f, db) on the loudness grid, against their level; those that do not cover the whole grid have none.
+def offsets(points: DataFrame, level_db: float, field: DataFrame | Sequence[float], key: str = "curve_id") -> DataFrame:
+    """key, offset of curves (key, idx, f, db) on the loudness grid, against their level, in a free field (a table or its levels); curves that do not cover the whole grid have none.
 
     A curve's places are gathered (480 at most) and the iteration is a fold in its row. A sum that cannot be inverted, or no end after 500 steps, raises.
     """
+    if not isinstance(field, DataFrame):
+        field = field_table(points.sparkSession, list(field))
     n = len(loudness_grid())
     met = points.join(F.broadcast(terms(field)), "idx")  # a fixed table
     rows = met.groupBy(key).agg(F.array_sort(F.collect_list(F.struct("idx", (F.col("db") - F.col("field")).alias("over"), "alpha", "offset", "factor"))).alias("p")).where(F.size("p") == n)

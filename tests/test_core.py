@@ -83,8 +83,9 @@ def test_full_grid_queries(spark, monkeypatch):
         assert (r.strong, r.moderate) == (sum(s >= 0.65 for s in own), sum(s < 0.65 for s in own)) and r.total_score == pytest.approx(sum(own), abs=1e-6)
     level = {k: g.cascade(x) for k, x in sets.items()}
     cascade = run("j3_cascade_full")
-    assert len(cascade) == 2 * 958 and all(r.db == pytest.approx(level[r.preset_id][r.idx], abs=1e-4) for r in cascade)
-    for name, tolerance in (("f2_magnitude_full", 1e-5), ("f5_magnitude_expanded", 1e-2)):
+    assert len(cascade) == 2 and all(len(r.db) == 958 and r.db == pytest.approx(list(level[r.preset_id]), abs=1e-4) for r in cascade)
+    # sums are rounded to four places, so that engines that add in another order agree
+    for name, tolerance in (("f2_magnitude_full", 1e-4), ("f5_magnitude_expanded", 1e-2)):
         for r in run(name):
             db = g.response(sets[r.preset_id][r.ordinal])
             assert r.top_db == pytest.approx(np.abs(db).max(), abs=tolerance) and r.sum_db == pytest.approx(db.sum(), abs=tolerance)
