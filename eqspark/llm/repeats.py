@@ -227,7 +227,7 @@ def _text_keys(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 def _stretched(x: np.ndarray, base: np.ndarray, starts: np.ndarray, window: int) -> tuple[bytes, bytes, bytes]:
     """The stretches (their first words' places, their sizes, their hashes) that windows at ``starts`` cover. ``base`` has each word's place in its document."""
-    cut = np.flatnonzero(np.diff(starts) > window)
+    cut = np.flatnonzero(np.diff(base[starts]) > window)  # by places: stretches that follow each other here lie apart in the document
     first, end = starts[np.r_[0, cut + 1]], starts[np.r_[cut, len(starts) - 1]] + window
     return base[first].astype("<i8").tobytes(), (end - first).astype("<i8").tobytes(), b"".join(x[a:b].tobytes() for a, b in zip(first, end, strict=True))
 
