@@ -55,3 +55,15 @@ def iterate(start: Column, step: Callable[[Column], Column], stop: Callable[[Col
         return F.when(state["done"], state).otherwise(moved)
 
     return F.aggregate(F.sequence(F.lit(1), F.lit(limit)), F.struct(start.cast("double").alias("x"), F.lit(False).alias("done")), once)
+
+
+def keep_apart(ranked: Column, near: Callable[[Column, Column], Column], most: int | None = None) -> Column:
+    """Of an array in rank order, what is ``near`` (kept, item) to none that is kept before it; at most ``most``."""
+
+    def take(kept: Column, x: Column) -> Column:
+        free = ~F.exists(kept, lambda k: near(k, x))
+        if most is not None:
+            free &= F.size(kept) < most
+        return F.when(free, F.concat(kept, F.array(x))).otherwise(kept)
+
+    return F.aggregate(ranked, F.slice(ranked, 1, 0), take)

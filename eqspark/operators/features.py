@@ -5,6 +5,9 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..functions.bands import keep_apart
+from ..schema import MAX_GAIN_DB, MAX_HZ, MAX_Q, MIN_HZ, MIN_Q, SHELF_Q
+from .curves import interpolate_asof
 from .sides import small_side
 
 
@@ -79,3 +82,41 @@ def cheap_score(residuals: DataFrame, responses: DataFrame, key: str, candidate:
     on = [key, "idx"] if key in responses.columns else ["idx"]
     met = residuals.select(key, "idx", "db").join(responses if len(on) > 1 else small_side(responses), on)
     return met.groupBy(key, candidate).agg(F.sum(F.col("db") * F.col("db") - (F.col("db") - F.col("r")) * (F.col("db") - F.col("r"))).alias("score"))
+
+
+def separated_peaks(residuals: DataFrame, key: str, most: int, separation: float, floor: float = 0.15, ends: bool = True) -> DataFrame:
+    """key, place (from 1), f, db of up to ``most`` peaks of |residual|, the highest first, each at least ``separation`` octaves from those before it.
+
+    A peak is a place of ``floor`` or more whose |residual| is not below either neighbour's; the curve's ends may be peaks. A curve's peaks are gathered in its row.
+    """
+    w = Window.partitionBy(key).orderBy("idx")
+    a = F.abs("db")
+    rows = residuals.withColumns({"_p": F.lag(a).over(w), "_n": F.lead(a).over(w)})
+    tops = rows.where((a >= floor) & (a >= F.coalesce("_p", F.lit(0.0))) & (a >= F.coalesce("_n", F.lit(0.0))))
+    if not ends:
+        tops = tops.where("_p IS NOT NULL AND _n IS NOT NULL")
+    ranked = F.array_sort(F.collect_list(F.struct((-a).alias("rank"), "idx", "f", "db")))
+    near = lambda k, x: F.abs(F.log2(x["f"] / k["f"])) < separation
+    kept = tops.groupBy(key).agg(ranked.alias("r")).select(key, F.posexplode(keep_apart(F.col("r"), near, most)).alias("at", "x"))
+    return kept.select(key, (F.col("at") + 1).alias("place"), F.col("x.f").alias("f"), F.col("x.db").alias("db"))
+
+
+def candidates(residuals: DataFrame, key: str, threshold: float = 0.5, tolerance: float = 1 / 48) -> DataFrame:
+    """key, place (from 1), type, f, gain, q, octaves: first-generation candidates of a residual, the widest first, without near-repeats of a type.
+
+    Each region of one sign is a peak at its geometric centre, with the level there; the ends may speak for shelves. One that lies within ``tolerance`` octaves of a kept
+    one of its type goes.
+    """
+    clamp = lambda c, lo, hi: F.least(F.lit(hi), F.greatest(F.lit(lo), c))
+    runs = residual_regions(residuals, key, threshold).withColumn("f", clamp(F.sqrt(F.col("start_hz") * F.col("end_hz")), MIN_HZ, MAX_HZ))
+    level = interpolate_asof(residuals.select(key, "f", "db"), runs.select(key, "f").distinct(), key)
+    wide = F.greatest(F.col("end_hz") - F.col("start_hz"), F.lit(1e-9))
+    peaks = runs.join(level, [key, "f"]).select(key, F.lit("PK").alias("type"), "f", clamp(F.col("db"), -MAX_GAIN_DB, MAX_GAIN_DB).alias("gain"), clamp(F.col("f") / wide, MIN_Q, MAX_Q).alias("q"), "octaves")
+    nominal = F.when(F.col("type") == "LS", F.lit(105.0)).otherwise(F.lit(10_000.0))
+    shelves = shelf_evidence(residuals, key, threshold).select(key, "type", nominal.alias("f"), "gain", F.lit(SHELF_Q).alias("q"), "octaves")
+    order = F.when(F.col("type") == "LS", 0).when(F.col("type") == "PK", 1).otherwise(2)
+    item = F.struct((-F.col("octaves")).alias("k0"), (-F.abs("gain")).alias("k1"), F.col("f").alias("k2"), order.alias("k3"), "type", "f", "gain", "q", "octaves")
+    near = lambda k, x: (k["type"] == x["type"]) & (F.abs(F.log2(k["f"] / x["f"])) <= tolerance)
+    per = peaks.unionByName(shelves).groupBy(key).agg(F.array_sort(F.collect_list(item)).alias("r"))
+    kept = per.select(key, F.posexplode(keep_apart(F.col("r"), near)).alias("at", "x"))
+    return kept.select(key, (F.col("at") + 1).alias("place"), "x.type", "x.f", "x.gain", "x.q", "x.octaves")

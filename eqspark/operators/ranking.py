@@ -128,13 +128,26 @@ def reference_point(states: DataFrame, group: str) -> DataFrame:
     return states.groupBy(group).agg(F.min(F.struct(reference_key().alias("k"), F.struct("id", "n", "rmse", "max_abs", "cancellation").alias("s"))).alias("b")).select(group, "b.s.*")
 
 
+#: The root collation: letters before case, digits before letters, marks before both.
+COLLATION = "UNICODE"
+
+
+def by_name(*names: str) -> list[Column]:
+    """An order of texts as people read them, and by their bytes where the collation sees no difference."""
+    return [c for n in names for c in (F.collate(F.col(n), COLLATION), F.col(n))]
+
+
+def ordered(proposals: DataFrame, group: str) -> DataFrame:
+    """``proposals`` with place (from 1) by mutation and key."""
+    return proposals.withColumn("place", F.row_number().over(Window.partitionBy(group).orderBy(*by_name("mutation", "key"))))
+
+
 def quota(proposals: DataFrame, group: str, lexical: int = 6, best: int = 2, total: int = 8) -> DataFrame:
     """``lexical`` first by name, then the ``best`` by rmse with other keys, then filled by name and by rmse up to ``total``."""
-    by_name = Window.partitionBy(group).orderBy("mutation", "key")
-    by_rmse = Window.partitionBy(group).orderBy("rmse", "mutation", "key")
-    unique = proposals.withColumn("_u", F.row_number().over(Window.partitionBy(group, "key").orderBy("mutation"))).where("_u = 1").drop("_u")
-    named = unique.withColumn("_name", F.row_number().over(by_name)).withColumn("_first", F.col("_name") <= lexical)
-    rest = Window.partitionBy(group, "_first").orderBy("rmse", "mutation", "key")
+    named_order = Window.partitionBy(group).orderBy(*by_name("mutation", "key"))
+    unique = proposals.withColumn("_u", F.row_number().over(Window.partitionBy(group, "key").orderBy(*by_name("mutation")))).where("_u = 1").drop("_u")
+    named = unique.withColumn("_name", F.row_number().over(named_order)).withColumn("_first", F.col("_name") <= lexical)
+    rest = Window.partitionBy(group, "_first").orderBy("rmse", *by_name("mutation", "key"))
     chosen = named.withColumn("_second", ~F.col("_first") & (F.row_number().over(rest) <= best))
     stage = F.when(F.col("_first"), 0).when(F.col("_second"), 1).otherwise(2)
     place = F.row_number().over(Window.partitionBy(group).orderBy(stage, F.when(F.col("_second"), F.col("rmse")), "_name"))

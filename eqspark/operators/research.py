@@ -95,24 +95,33 @@ def medians(values: DataFrame, keys: list[str], most: int = MEDIAN_ROWS) -> Data
     return whole.join(middle, keys).select(*keys, "n", "least", median.alias("median"), "most")
 
 
-def aggregate_runs(runs: DataFrame) -> DataFrame:
+def aggregate_runs(runs: DataFrame, most: int = MEDIAN_ROWS) -> DataFrame:
     """One row for each (case, budget, filters): counts, rate and summaries (best, median, worst, spread) of rmse, largest deviation and elapsed time.
 
     Median and worst time to both targets treat null as never; if that is what they come to, they are null.
     """
     metrics = ("rmse", "max_abs", "elapsed_ms", "joint_ms")
     value = lambda m: F.coalesce(F.col(m).cast("double"), F.lit(NEVER)) if m == "joint_ms" else F.col(m).cast("double")
+    reached = lambda c: F.when(c < NEVER / 4, c)
+    counts = [F.count(F.lit(1)).alias("run_count"), F.count_if("achieved").alias("achieved_count")]
+    rate = F.col("achieved_count") / F.col("run_count")
+    if (runs.groupBy(*RUN_KEYS).count().agg(F.max("count")).first()[0] or 0) <= most:  # groups that a task can hold: everything in one aggregate
+        own = []
+        for m, name in (("rmse", "rmse"), ("max_abs", "max_abs"), ("elapsed_ms", "elapsed")):
+            v = value(m)
+            own += [F.min(v).alias(f"{name}_best"), F.median(v).alias(f"{name}_median"), F.max(v).alias(f"{name}_worst"), (F.max(v) - F.min(v)).alias(f"{name}_spread")]
+        own += [F.median(value("joint_ms")).alias("joint_median_ms"), F.max(value("joint_ms")).alias("joint_worst_ms")]
+        out = runs.groupBy(*RUN_KEYS).agg(*counts, *own)
+        return out.withColumns({"joint_median_ms": reached(F.col("joint_median_ms")), "joint_worst_ms": reached(F.col("joint_worst_ms")), "achieved_rate": rate})
     long = runs.select(*RUN_KEYS, F.explode(F.array(*[F.struct(F.lit(m).alias("metric"), value(m).alias("v")) for m in metrics])).alias("x")).select(*RUN_KEYS, "x.*")
-    per = medians(long.where("v IS NOT NULL"), [*RUN_KEYS, "metric"])
+    per = medians(long.where("v IS NOT NULL"), [*RUN_KEYS, "metric"], most)
     of = lambda m, c: F.max(F.when(F.col("metric") == m, F.col(c)))
-    reached = lambda c: F.when(c < NEVER / 4, c)
     columns = []
     for m, name in (("rmse", "rmse"), ("max_abs", "max_abs"), ("elapsed_ms", "elapsed")):
         columns += [of(m, "least").alias(f"{name}_best"), of(m, "median").alias(f"{name}_median"), of(m, "most").alias(f"{name}_worst"), (of(m, "most") - of(m, "least")).alias(f"{name}_spread")]
     columns += [reached(of("joint_ms", "median")).alias("joint_median_ms"), reached(of("joint_ms", "most")).alias("joint_worst_ms")]
-    counts = runs.groupBy(*RUN_KEYS).agg(F.count(F.lit(1)).alias("run_count"), F.count_if("achieved").alias("achieved_count"))
-    out = counts.join(per.groupBy(*RUN_KEYS).agg(*columns), RUN_KEYS)
-    return out.withColumn("achieved_rate", F.col("achieved_count") / F.col("run_count"))
+    out = runs.groupBy(*RUN_KEYS).agg(*counts).join(per.groupBy(*RUN_KEYS).agg(*columns), RUN_KEYS)
+    return out.withColumn("achieved_rate", rate)
 
 
 def termination_counts(runs: DataFrame) -> DataFrame:

@@ -26,16 +26,21 @@ def s6(e: str) -> str:
 
 
 GRID958 = grid_sql("grid", 958, "20e0 * power(2e0, idx / 96e0)", 20_000.0)
-AT = """placed AS (
+def placed_sql(name: str, grid: str, n: int, per_octave: int) -> str:
+    """Segments at the places of a grid that they hold; a segment knows its places by arithmetic."""
+    return f"""{name} AS MATERIALIZED (
     SELECT s.curve_id, g.idx, g.f, CASE WHEN g.f = l THEN ldb WHEN g.f = r THEN rdb ELSE ldb + ln(g.f / l) / ln(r / l) * (rdb - ldb) END AS db
-    FROM segments AS s JOIN grid AS g ON g.f >= l AND (g.f < r OR (is_last AND g.f = r)))"""
+    FROM (SELECT *, unnest(range(greatest(0, CAST(floor(log2(l / 20e0) * {per_octave}) AS BIGINT) - 1), least({n}, CAST(ceil(log2(r / 20e0) * {per_octave}) AS BIGINT) + 2))) AS place FROM segments WHERE r IS NOT NULL) AS s
+    JOIN {grid} AS g ON g.idx = s.place AND g.f >= l AND (g.f < r OR (is_last AND g.f = r)))"""
+
+
+AT, AT_480, AT_958 = placed_sql("placed", "grid", 958, 96), placed_sql("placed", "grid", 480, 48), placed_sql("placed958", "grid958", 958, 96)
 OFFSETS = f"offsets AS (SELECT curve_id, -(ldb + ln({ANCHOR_HZ}e0 / l) / ln(r / l) * (rdb - ldb)) AS offset_db FROM segments WHERE {ANCHOR_HZ}e0 >= l AND {ANCHOR_HZ}e0 < r)"
-PREPARED = "prepared AS (SELECT curve_id, idx, f, db + offset_db AS db FROM placed JOIN offsets USING (curve_id))"
+PREPARED = "prepared AS MATERIALIZED (SELECT curve_id, idx, f, db + offset_db AS db FROM placed JOIN offsets USING (curve_id))"
 PAIRS = "pairs AS (SELECT vec_id AS fr_id, target_id FROM embeddings JOIN first_of USING (label) WHERE vec_id <> target_id)"
 WANTED = "wanted AS (SELECT fr_id AS pair_id, a.idx, a.f, b.db - a.db AS db FROM pairs JOIN prepared AS a ON a.curve_id = fr_id JOIN prepared AS b ON b.curve_id = target_id AND b.idx = a.idx)"
 GRID480 = grid_sql("grid", 480, "20e0 * power(2e0, idx / 48e0)", 20_000.0)
 GRID958_AS = grid_sql("grid958", 958, "20e0 * power(2e0, idx / 96e0)", 20_000.0)
-AT_958 = AT.replace("placed AS", "placed958 AS").replace("JOIN grid AS", "JOIN grid958 AS")
 CURVE_VIEWS = ("first_of", "points", "segments", GRID958, AT, OFFSETS, PREPARED, PAIRS, WANTED)
 ERRORS = f"{s6('avg(abs(db))')} AS mae, {s6('sqrt(avg(db * db))')} AS rmse, {s6('max(abs(db))')} AS max_abs, {s6('arg_max(f, (abs(db), -idx))')} AS max_abs_hz"
 
@@ -251,6 +256,63 @@ def w10_shelf_evidence(spark: SparkSession, sf_dir: str) -> DataFrame:
     return features.shelf_evidence(wanted(spark, sf_dir), "pair_id").select("pair_id", "type", r6("gain").alias("gain"), r6("octaves").alias("octaves"))
 
 
+#: Peaks of the wanted corrections, in the order in which they are taken.
+_TOPS = """n AS (SELECT *, coalesce(lag(abs(db)) OVER w, 0) AS p, coalesce(lead(abs(db)) OVER w, 0) AS q FROM wanted WINDOW w AS (PARTITION BY pair_id ORDER BY idx)),
+tops AS MATERIALIZED (SELECT pair_id, f, db, row_number() OVER (PARTITION BY pair_id ORDER BY abs(db) DESC, idx) AS k FROM n WHERE abs(db) >= 0.15 AND abs(db) >= p AND abs(db) >= q)"""
+
+
+@query("WITH RECURSIVE " + with_views(*CURVE_VIEWS).removeprefix("WITH ") + f""", {_TOPS},
+taken AS (
+    SELECT pair_id, k, f, db, TRUE AS kept, [f] AS fs FROM tops WHERE k = 1
+    UNION ALL
+    SELECT t.pair_id, t.k, t.f, t.db, len(fs) < 8 AND len(list_filter(fs, lambda g: abs(log2(t.f / g)) < 0.5)) = 0, CASE WHEN len(fs) < 8 AND len(list_filter(fs, lambda g: abs(log2(t.f / g)) < 0.5)) = 0 THEN list_append(fs, t.f) ELSE fs END
+    FROM taken JOIN tops AS t ON t.pair_id = taken.pair_id AND t.k = taken.k + 1)
+SELECT pair_id, CAST(row_number() OVER (PARTITION BY pair_id ORDER BY k) AS INTEGER) AS place, {s6('f')} AS f, {s6('db')} AS db FROM taken WHERE kept""")
+def w4_separated_peaks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Eight peaks of each correction, half an octave apart."""
+    return features.separated_peaks(wanted(spark, sf_dir), "pair_id", 8, 0.5).select("pair_id", "place", r6("f").alias("f"), r6("db").alias("db"))
+
+
+_RUNS = """s AS (SELECT *, CASE WHEN abs(db) >= 0.5 THEN CASE WHEN db < 0 THEN -1 ELSE 1 END ELSE 0 END AS sign FROM wanted),
+e AS (SELECT *, CAST(sign <> coalesce(lag(sign) OVER (PARTITION BY pair_id ORDER BY idx), 0) AS INTEGER) AS edge FROM s),
+g AS (SELECT *, sum(edge) OVER (PARTITION BY pair_id ORDER BY idx) AS run FROM e),
+runs AS (SELECT pair_id, run, min(f) AS a, max(f) AS b, sqrt(min(f) * max(f)) AS c FROM g WHERE sign <> 0 GROUP BY pair_id, run),
+sides AS (SELECT pair_id, run, a, b, c, max(w.f) FILTER (w.f <= c) AS lf, arg_max(w.db, w.f) FILTER (w.f <= c) AS ldb, min(w.f) FILTER (w.f >= c) AS rf, arg_min(w.db, w.f) FILTER (w.f >= c) AS rdb FROM runs JOIN wanted AS w USING (pair_id) WHERE w.f BETWEEN c / 1.02e0 AND c * 1.02e0 GROUP BY pair_id, run, a, b, c),
+ends(type, nominal, lo, hi) AS (VALUES ('LS', 105e0, 20e0, 200e0), ('HS', 10000e0, 8000e0, 20000e0)),
+shelves AS (SELECT pair_id, type, any_value(nominal) AS f, median(db) AS gain, log2(max(f) / min(f)) AS octaves FROM wanted JOIN ends ON f BETWEEN lo AND hi GROUP BY pair_id, type HAVING greatest(count(*) FILTER (db > 0), count(*) FILTER (db < 0)) / count(*) >= 0.7 AND median(abs(db)) >= 0.5),
+every AS (
+    SELECT pair_id, 'PK' AS type, c AS f, CASE WHEN lf = rf THEN ldb ELSE ldb + ln(c / lf) / ln(rf / lf) * (rdb - ldb) END AS gain, least(12e0, greatest(0.1e0, c / greatest(1e-9, b - a))) AS q, log2(b / a) AS octaves FROM sides
+    UNION ALL SELECT pair_id, type, f, gain, 0.7e0, octaves FROM shelves),
+ranked AS MATERIALIZED (SELECT pair_id, type, f, least(15e0, greatest(-15e0, gain)) AS gain, q, octaves, row_number() OVER (PARTITION BY pair_id ORDER BY octaves DESC, abs(least(15e0, greatest(-15e0, gain))) DESC, f, CASE type WHEN 'LS' THEN 0 WHEN 'PK' THEN 1 ELSE 2 END) AS k FROM every)"""
+
+
+def _candidates_sql(tolerance: str) -> str:
+    near = f"len(list_filter(own, lambda o: o.type = t.type AND abs(log2(o.f / t.f)) <= {tolerance})) = 0"
+    return "WITH RECURSIVE " + with_views(*CURVE_VIEWS).removeprefix("WITH ") + f""", {_RUNS},
+taken AS (
+    SELECT pair_id, k, TRUE AS kept, [{{'type': type, 'f': f}}] AS own FROM ranked WHERE k = 1
+    UNION ALL
+    SELECT t.pair_id, t.k, {near}, CASE WHEN {near} THEN list_append(own, {{'type': t.type, 'f': t.f}}) ELSE own END FROM taken JOIN ranked AS t ON t.pair_id = taken.pair_id AND t.k = taken.k + 1)
+SELECT pair_id, CAST(row_number() OVER (PARTITION BY pair_id ORDER BY k) AS INTEGER) AS place, type, {s6('f')} AS f, {s6('gain')} AS gain, {s6('q')} AS q, {s6('octaves')} AS octaves FROM taken JOIN ranked USING (pair_id, k) WHERE kept"""
+
+
+def _candidates(spark: SparkSession, sf_dir: str, tolerance: float) -> DataFrame:
+    out = features.candidates(wanted(spark, sf_dir), "pair_id", tolerance=tolerance)
+    return out.select("pair_id", "place", "type", *[r6(c).alias(c) for c in ("f", "gain", "q", "octaves")])
+
+
+@query(_candidates_sql("1 / 48e0"))
+def o1_candidates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """First-generation candidates of every correction, with the product's tolerance."""
+    return _candidates(spark, sf_dir, 1 / 48)
+
+
+@query(_candidates_sql("0.5e0"))
+def d3_tolerance_dedupe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The same with half an octave, within which many fall."""
+    return _candidates(spark, sf_dir, 0.5)
+
+
 @query(with_views(*CURVE_VIEWS) + f"SELECT pair_id, {s6('median(db)')} AS median_db, {s6('median(abs(db))')} AS median_abs_db FROM wanted GROUP BY pair_id")
 def a6_median(spark: SparkSession, sf_dir: str) -> DataFrame:
     return wanted(spark, sf_dir).groupBy("pair_id").agg(r6(F.median("db")).alias("median_db"), r6(F.median(F.abs("db"))).alias("median_abs_db"))
@@ -265,7 +327,7 @@ def _loudness_sql(level: float) -> str:
     return (
         "WITH RECURSIVE "
         + with_views("first_of", "points", "segments").removeprefix("WITH ")
-        + f""", {GRID480}, {AT},
+        + f""", {GRID480}, {AT_480},
     iso(i, f, a, t, q) AS (VALUES {rows}),
     places AS (SELECT g.idx, {between('a')} AS a, {between('t')} AS t, {between('q')} AS q FROM grid AS g JOIN iso AS lo ON lo.i = (SELECT max(i) FROM iso WHERE iso.f <= g.f) JOIN iso AS hi ON hi.i = least(28, lo.i + 1)),
     terms AS (SELECT idx, a, 0.005076e0 / power(10e0, a * (log10(4) - 10 + t / 10)) - power(10e0, a * q / 10) AS o, power(10e0, 9.4e0 + 4 * a * (log10(4) - 10 + t / 10)) / 480 AS c FROM places),
@@ -290,7 +352,7 @@ def f8_loudness_offset(spark: SparkSession, sf_dir: str) -> DataFrame:
     return got.select("curve_id", r6("offset").alias("offset_db"))
 
 
-@query(_LEVEL.replace(GRID480, f"{GRID480}, {GRID958_AS}").replace(f", {AT}", f", {AT}, {AT_958}") + f"SELECT curve_id, idx, round(db + offset_db, 5) + 0.0e0 AS db FROM placed958 JOIN level USING (curve_id)")
+@query(_LEVEL.replace(GRID480, f"{GRID480}, {GRID958_AS}").replace(f", {AT_480}", f", {AT_480}, {AT_958}") + f"SELECT curve_id, idx, round(db + offset_db, 5) + 0.0e0 AS db FROM placed958 JOIN level USING (curve_id)")
 def f7_level_mode(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Curves on the evaluation grid, normalized to a loudness of 60 dB in a flat free field."""
     ready = fits.prepare_normalized(bridge.curve_points(spark, sf_dir), _grid(spark), POINTS_PER_OCTAVE, Normalization("db", ANCHOR_HZ, 60.0), flat_field(spark))

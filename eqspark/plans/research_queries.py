@@ -200,6 +200,15 @@ def o14_quota(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ranking.quota(rows, "grp").select("grp", "key", "place")
 
 
+@query(r"""WITH w AS (SELECT DISTINCT doc_id, unnest(list_filter(string_split_regex(coalesce(text, ''), '[\x20\x09-\x0D]+'), lambda x: x <> '')) AS word FROM documents)
+SELECT doc_id, word, CAST(row_number() OVER (PARTITION BY doc_id ORDER BY icu_sort_key(word, 'root'), word) AS INTEGER) AS place FROM w""")
+def o13_collated_names(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The distinct words of each document, with their case, digits, marks and accents, in the order of proposals' names."""
+    words = F.filter(F.split(F.coalesce("text", F.lit("")), r"[\x20\x09-\x0D]+"), lambda x: x != "")
+    rows = bridge.table(spark, sf_dir, "documents").select("doc_id", F.explode(F.array_distinct(words)).alias("mutation")).withColumn("key", F.lit(""))
+    return ranking.ordered(rows, "doc_id").select("doc_id", F.col("mutation").alias("word"), "place")
+
+
 @query(with_views("filters") + "SELECT o_orderkey FROM orders WHERE o_orderkey NOT IN (SELECT preset_id FROM filters WHERE enabled)")
 def d7_unseen(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Orders whose key no enabled filter has."""

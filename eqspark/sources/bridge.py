@@ -77,7 +77,7 @@ SQL = {
         SELECT vec_id AS curve_id, e.label, CASE WHEN vec_id = target_id THEN 'target' ELSE 'fr' END AS kind, CAST(idx AS INTEGER) AS idx,
                CASE idx WHEN 0 THEN 20.0e0 WHEN 63 THEN 20000.0e0 ELSE round(20e0 * power(1000e0, idx / 63e0), 6) END AS f, 60.0e0 + 20.0e0 * CAST(embedding[idx + 1] AS DOUBLE) AS db
         FROM (SELECT vec_id, label, embedding, unnest(range(len(embedding))) AS idx FROM embeddings) AS e JOIN first_of USING (label))""",
-    "segments": """segments AS (
+    "segments": """segments AS MATERIALIZED (
         SELECT curve_id, f AS l, db AS ldb, lead(f) OVER w AS r, lead(db) OVER w AS rdb, lead(f, 2) OVER w IS NULL AS is_last FROM points WINDOW w AS (PARTITION BY curve_id ORDER BY f))""",
     "filters": """filters AS (
         SELECT l_orderkey AS preset_id, CAST(row_number() OVER (PARTITION BY l_orderkey ORDER BY l_linenumber, l_partkey, l_suppkey, l_extendedprice, l_quantity, l_discount, l_tax, l_shipdate) - 1 AS INTEGER) AS ordinal,
