@@ -6,6 +6,7 @@ A budget of seconds is a budget of evaluations (``EVALUATIONS_PER_S``), and elap
 from __future__ import annotations
 
 from collections.abc import Iterator
+from functools import reduce
 
 import numpy as np
 import pandas as pd
@@ -55,17 +56,14 @@ def research_cases(source: DataFrame, targets: DataFrame, frequency_hz: float) -
 def load_cases(spark: SparkSession, source_path: str, target_paths: dict[str, str], frequency_hz: float = 500.0) -> DataFrame:
     """``research_cases`` of curve text files: case name to the path of its target. Bad files raise."""
 
-    def read(path: str, name: str) -> DataFrame:
-        parsed = curve_text.strict(curve_text.parse_curves(curve_text.read_texts(spark, path)))
-        return curve_text.curve_points(parsed).withColumn("curve_id", F.lit(name))
-
-    targets = None
-    for name, path in target_paths.items():
-        one = read(path, name)
-        targets = one if targets is None else targets.unionByName(one)
-    if targets is None:
+    if not target_paths:
         raise EqError("validation", "a plan has targets")
-    return research_cases(read(source_path, "source"), targets, frequency_hz)
+    named = [curve_text.read_texts(spark, path).select(F.lit(name).alias("name"), F.lit(is_source).alias("is_source"), "text") for name, path, is_source in [("source", source_path, True), *((n, p, False) for n, p in target_paths.items())]]
+    # the files are few, and parsed together: one plan, whatever their number
+    texts = reduce(DataFrame.unionByName, named).withColumn("key", F.struct("is_source", "name"))
+    parsed = curve_text.strict(curve_text.parse_curves(texts, "key"))
+    rows = materialize(parsed.select("key.*", F.posexplode("points").alias("idx", "p")).select("is_source", F.col("name").alias("curve_id"), "idx", F.col("p.frequency_hz").alias("f"), F.col("p.db").alias("db")), "cases")
+    return research_cases(rows.where("is_source").drop("is_source"), rows.where("NOT is_source").drop("is_source"), frequency_hz)
 
 
 # --- runs --------------------------------------------------------------------------------------

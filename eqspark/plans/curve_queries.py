@@ -359,8 +359,10 @@ def f7_level_mode(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ready.select("curve_id", "idx", (F.round("db", 5) + F.lit(0.0)).alias("db"))
 
 
-@query("WITH RECURSIVE " + with_views("first_of", "points").removeprefix("WITH ") + f""",
-k AS (SELECT curve_id, f, db AS y, row_number() OVER w - 1 AS i, count(*) OVER (PARTITION BY curve_id) AS n, ln(lead(f) OVER w) - ln(f) AS h FROM points WINDOW w AS (PARTITION BY curve_id ORDER BY f)),
+def _spline_sql(source: str) -> str:
+    """The smoothing spline at level 5 of the curves of ``source`` (curve_id, f, db): elimination and substitution as recursions."""
+    return f"""
+k AS (SELECT curve_id, f, db AS y, row_number() OVER w - 1 AS i, count(*) OVER (PARTITION BY curve_id) AS n, ln(lead(f) OVER w) - ln(f) AS h FROM {source} WINDOW w AS (PARTITION BY curve_id ORDER BY f)),
 v AS (SELECT *, power(0.05e0 * power(1e0 / 80, power(i / n, 2)), 2) AS s FROM k),
 g AS (SELECT curve_id, i, n, h, lead(h) OVER w AS h1, 1 / h AS a, -1 / h - 1 / lead(h) OVER w AS b, 1 / lead(h) OVER w AS c, s, lead(s) OVER w AS s1, lead(s, 2) OVER w AS s2, y, lead(y) OVER w AS y1, lead(y, 2) OVER w AS y2 FROM v WINDOW w AS (PARTITION BY curve_id ORDER BY i)),
 m AS (SELECT curve_id, i, n, (h + h1) / 3 + a * a * s + b * b * s1 + c * c * s2 AS p, h1 / 6 + b * lead(a) OVER w * s1 + c * lead(b) OVER w * s2 AS q, c * lead(a, 2) OVER w * s2 AS r, a * y + b * y1 + c * y2 AS z FROM g WHERE i < n - 2 WINDOW w AS (PARTITION BY curve_id ORDER BY i)),
@@ -376,9 +378,25 @@ e AS (SELECT v.curve_id, v.f, v.y, v.s, coalesce(g0.a * u0.u, 0) + coalesce(g1.b
     LEFT JOIN g AS g0 ON g0.curve_id = v.curve_id AND g0.i = v.i LEFT JOIN up AS u0 ON u0.curve_id = v.curve_id AND u0.i = v.i
     LEFT JOIN g AS g1 ON g1.curve_id = v.curve_id AND g1.i = v.i - 1 LEFT JOIN up AS u1 ON u1.curve_id = v.curve_id AND u1.i = v.i - 1
     LEFT JOIN g AS g2 ON g2.curve_id = v.curve_id AND g2.i = v.i - 2 LEFT JOIN up AS u2 ON u2.curve_id = v.curve_id AND u2.i = v.i - 2)
-SELECT curve_id, f, {s6('y - s * bend')} AS db FROM e""")
+SELECT curve_id, {s6('f')} AS f, {s6('y - s * bend')} AS db FROM e"""
+
+
+@query("WITH RECURSIVE " + with_views("first_of", "points").removeprefix("WITH ") + "," + _spline_sql("points"))
 def f21_smoothing_spline(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return fits.smoothed(bridge.curve_points(spark, sf_dir), 5.0).select("curve_id", "f", r6("db").alias("db"))
+    return fits.smoothed(bridge.curve_points(spark, sf_dir), 5.0).select("curve_id", r6("f").alias("f"), r6("db").alias("db"))
+
+
+_SERIES = """shown AS (SELECT * FROM points WHERE curve_id % 10 = 0), spans AS (SELECT curve_id, min(f) AS lo, max(f) AS hi FROM shown GROUP BY curve_id),
+places AS (SELECT curve_id, 20e0 * power(2e0, k / 48e0) AS f FROM spans, (SELECT unnest(range(0, 481)) AS k) WHERE 20e0 * power(2e0, k / 48e0) > lo AND 20e0 * power(2e0, k / 48e0) < hi UNION SELECT curve_id, lo FROM spans UNION SELECT curve_id, hi FROM spans),
+series AS MATERIALIZED (SELECT p.curve_id, p.f, CASE WHEN p.f = l THEN ldb WHEN p.f = r THEN rdb ELSE ldb + ln(p.f / l) / ln(r / l) * (rdb - ldb) END AS db FROM places AS p JOIN segments AS s ON s.curve_id = p.curve_id AND p.f >= l AND (p.f < r OR (is_last AND p.f = r)))"""
+
+
+@query("WITH RECURSIVE " + with_views("first_of", "points", "segments", _SERIES).removeprefix("WITH ").rstrip() + "," + _spline_sql("series"))
+def p21_prepared_series(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every tenth curve as a graph draws it: on the display grid, smoothed."""
+    points = bridge.curve_points(spark, sf_dir)
+    visible = points.where("curve_id % 10 = 0").select("curve_id")
+    return fits.prepared_series(points, visible, 5.0).select("curve_id", r6("f").alias("f"), r6("db").alias("db"))
 
 
 def _fit(engine: str, name: str, **options):

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from ..operators import metrics, ranking, research
 from ..schema import TIMELINE_MARKS_MS
-from ..sources import bridge
+from ..sources import bridge, report
 from ..storage import shared_dir
 from ..streaming import histories, recorder
 from .curve_queries import r6, s6
@@ -67,6 +67,20 @@ def a9_termination_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return per.select(*research.RUN_KEYS, F.explode("reasons").alias("termination", "n"))
 
 
+@query(with_views("runs", AGGREGATES) + "SELECT * FROM aggregates")
+def k12_research_artifacts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The artefacts of a report written (summary, results, warnings, deltas, metadata) and the results read back; the summary must have a table row for each cell."""
+    where = f"{shared_dir(spark)}/eqspark/reports/{uuid.uuid4().hex}"
+    out = _aggregates(spark, sf_dir)
+    report.write(where, out, research.compare(out, out, _VALUES), research.monotonicity_warnings(out), metadata={"source": "runs"})
+    read = spark.read.schema(out.schema).json(f"{where}/results")
+    told = spark.read.text(f"{where}/summary", wholetext=True).first()[0]
+    cells = [line for line in told.split("## Quality and runtime")[1].split("## Time")[0].splitlines() if line.startswith("| ")]
+    if len(cells) - 2 != read.count():
+        raise ValueError("the summary lacks cells")
+    return read
+
+
 _HALVES = AGGREGATES.replace("aggregates AS", "a0 AS").replace("FROM runs", "FROM runs WHERE termination = 'F'") + ",\n" + AGGREGATES.replace("aggregates AS", "a1 AS").replace("FROM runs", "FROM runs WHERE termination = 'O'")
 _VALUES = ["rmse_median", "max_abs_median", "achieved_rate", "joint_median_ms", "elapsed_median"]
 

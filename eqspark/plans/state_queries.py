@@ -2,13 +2,16 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession
+import uuid
+
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions import text
 from ..operators import acceptance, curves, filters as ops, grids, keys, metrics, presets, ranking, research, runner, workspace
 from ..schema import POINTS_PER_OCTAVE
 from ..sources import bridge, session
+from ..storage import shared_dir
 from ..streaming import recorder
 from . import curve_queries as cq
 from . import filter_queries as fq
@@ -117,6 +120,38 @@ def s16_research_cases(spark: SparkSession, sf_dir: str) -> DataFrame:
     return cases.select(F.col("case_id").cast("string").alias("case_id"), "idx", r6("db").alias("db"))
 
 
+_FILE_POINTS = """written AS (SELECT curve_id, label, kind, idx, round(f, 6) AS f, round(db, 6) AS db FROM points)"""
+
+
+@query(with_views("first_of", "points", _FILE_POINTS, bridge.SQL["segments"].replace("FROM points", "FROM written"), *CURVE_VIEWS[3:7]) + "SELECT CAST(t.curve_id AS VARCHAR) AS case_id, t.idx, round(t.db - s.db, 5) + 0.0e0 AS db FROM prepared AS t JOIN prepared AS s ON s.idx = t.idx AND s.curve_id = (SELECT max(vec_id) FROM embeddings) WHERE t.curve_id IN (SELECT target_id FROM first_of)")
+def s15_load_cases(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The last response and every target written as text files, one folder a curve, and loaded as the cases of a plan."""
+    points = bridge.curve_points(spark, sf_dir)
+    where = f"{shared_dir(spark)}/eqspark/cases/{uuid.uuid4().hex}"
+    last = bridge.table(spark, sf_dir, "embeddings").agg(F.max("vec_id")).first()[0]
+    line = F.concat_ws("\t", F.col("f").cast("decimal(20,6)"), F.col("db").cast("decimal(20,6)"))
+    texts = points.where((F.col("curve_id") == last) | (F.col("kind") == "target")).groupBy("curve_id").agg(F.array_sort(F.collect_list(F.struct("idx", line.alias("t")))).alias("x"))
+    texts.select("curve_id", F.concat_ws("\n", F.transform("x", lambda v: v["t"])).alias("value")).write.partitionBy("curve_id").text(where)
+    targets = [r.curve_id for r in points.where("kind = 'target'").select("curve_id").distinct().collect()]  # a label has one
+    cases = runner.load_cases(spark, f"{where}/curve_id={last}", {str(t): f"{where}/curve_id={t}" for t in targets}, cq.ANCHOR_HZ)
+    return cases.select("case_id", "idx", (F.round("db", 5) + F.lit(0.0)).alias("db"))
+
+
+_STATES = """states AS (SELECT o_custkey, o_orderkey, o_orderstatus AS solution, CASE WHEN o_orderkey % 3 > 0 THEN 'manual' END AS provenance, [o_orderpriority] AS filters, o_orderkey % 5 AS fr FROM (SELECT o_custkey, o_orderkey, min(o_orderstatus) AS o_orderstatus, min(o_orderpriority) AS o_orderpriority FROM orders GROUP BY o_custkey, o_orderkey))"""
+
+
+@query(with_views(_STATES) + """SELECT o_orderkey, filters[1] AS first_filter, provenance, solution, fr,
+    row_number() OVER w > 1 AND lag(filters) OVER w IS NOT DISTINCT FROM filters AND lag(provenance) OVER w IS NOT DISTINCT FROM provenance AND lag(solution) OVER w IS NOT DISTINCT FROM solution AS same FROM states WINDOW w AS (PARTITION BY o_custkey ORDER BY o_orderkey)""")
+def t12_snapshots(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The orders of a customer as states of a workspace: each one's snapshot, and whether it is the same to the history as the one before (T4)."""
+    o = bridge.table(spark, sf_dir, "orders").groupBy("o_custkey", "o_orderkey").agg(F.min("o_orderstatus").alias("s"), F.min("o_orderpriority").alias("p"))
+    c = F.col
+    state = F.struct(F.array("p").alias("filters"), F.when(c("o_orderkey") % 3 > 0, "manual").alias("filterProvenance"), c("s").alias("solutionState"), F.lit(None).cast("string").alias("autoEqRun"), (c("o_orderkey") % 5).alias("activeFrId"), F.lit(0).alias("activeTargetId"))
+    rows = o.withColumn("now", recorder.snapshot(state)).withColumn("before", F.lag("now").over(Window.partitionBy("o_custkey").orderBy("o_orderkey")))
+    same = F.coalesce(c("before").isNotNull() & recorder.same_state(c("before"), c("now")), F.lit(False))
+    return rows.select("o_orderkey", c("now.filters")[0].alias("first_filter"), c("now.filterProvenance").alias("provenance"), c("now.solutionState").alias("solution"), c("now.activeFrId").alias("fr"), same.alias("same"))
+
+
 @query()
 def i52_research_plan(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A plan of the last response against every target, two budgets and two repeats, with verified metrics: its aggregates."""

@@ -47,26 +47,31 @@ def matches(lines: Column, pattern: str) -> Column:
     return F.forall(data_rows(lines, pattern), lambda r: (F.size(r) == 2) & F.forall(r, is_number))
 
 
+def _once(df: DataFrame, key: str, *columns: str) -> DataFrame:
+    """``df`` with columns that later expressions read as they are: the optimizer copies no expression through an explode."""
+    return df.select(key, F.explode(F.array(F.struct(*columns))).alias("_s")).select(key, *[F.col(f"_s.{c}").alias(c) for c in columns])
+
+
 def parse_curves(texts: DataFrame, key: str = "path") -> DataFrame:
     """key, delimiter, points (rising, duplicates once), error_category, error_message of each text.
 
     Everything is an array expression within a row: a file is one row, and nothing is shuffled.
     """
-    out = texts.select(key, clean_lines(F.col("text")).alias("lines"))
+    out = _once(texts.select(key, clean_lines(F.col("text")).alias("lines")), key, "lines")
     fits = F.array(*[F.when(matches(F.col("lines"), p), F.lit(n)) for n, p in DELIMITERS.items()])
     out = out.withColumn("found", F.filter(fits, lambda x: x.isNotNull()))
     chosen = F.lit(None).cast("array<array<string>>")
     for n, p in DELIMITERS.items():
         chosen = F.when(F.get("found", F.lit(0)) == n, data_rows(F.col("lines"), p)).otherwise(chosen)
-    out = out.withColumn("rows", F.when(F.size("found") == 1, chosen))
+    out = _once(out.withColumn("rows", F.when(F.size("found") == 1, chosen)), key, "lines", "found", "rows")
     number = lambda s: F.when(s.rlike(r"(?i)infinity|nan"), F.lit(None)).otherwise(s.try_cast("double"))
     points = F.transform("rows", lambda r: F.struct(number(r[0]).alias("frequency_hz"), number(r[1]).alias("db")))
-    out = out.withColumn("points", points)
+    out = _once(out.withColumn("points", points), key, "lines", "found", "points")
     finite = F.forall("points", lambda p: p["frequency_hz"].isNotNull() & p["db"].isNotNull() & (F.abs(p["frequency_hz"]) < float("inf")) & (F.abs(p["db"]) < float("inf")))
     positive = F.forall("points", lambda p: p["frequency_hz"] > 0)
     unique = F.array_sort(F.array_distinct("points"))
     distinct_f = F.size(F.array_distinct(F.transform("points", lambda p: p["frequency_hz"])))
-    out = out.withColumn("unique", unique)
+    out = _once(out.withColumn("unique", unique), key, "lines", "found", "points", "unique")
     error = (
         F.when(F.size("lines") == 0, F.struct(F.lit("validation").alias("c"), F.lit("no numeric data").alias("m")))
         .when(F.size("found") == 0, F.struct(F.lit("parse").alias("c"), F.lit("malformed rows or columns").alias("m")))
@@ -76,7 +81,7 @@ def parse_curves(texts: DataFrame, key: str = "path") -> DataFrame:
         .when(F.size("unique") != distinct_f, F.struct(F.lit("validation").alias("c"), F.lit("a frequency has conflicting levels").alias("m")))
         .when(F.size("unique") < 2, F.struct(F.lit("validation").alias("c"), F.lit("two points at least are needed").alias("m")))
     )
-    out = out.withColumn("error", error)
+    out = _once(out.withColumn("error", error), key, "found", "unique", "error")
     return out.select(key, F.when(F.col("error").isNull(), F.get("found", F.lit(0))).alias("delimiter"), F.when(F.col("error").isNull(), F.col("unique")).alias("points"), F.col("error.c").alias("error_category"), F.col("error.m").alias("error_message"))
 
 
