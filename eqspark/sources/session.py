@@ -17,7 +17,7 @@ FILTER = "id string, enabled boolean, type string, frequencyHz double, gainDb do
 METRICS = "maeDb double, rmseDb double, maxAbsDb double, maxAbsFrequencyHz double"
 MANIFEST = f"schemaVersion int, algorithmVersion string, sampleRateHz double, fitPointsPerOctave double, autoeqSettings struct<{SETTINGS.replace(' ', ':').replace(',:', ',')}>, normalization struct<mode:string,frequencyHz:double,levelDb:double>, sourceName string, targetName string, finalFilters array<struct<{FILTER.replace(' ', ':').replace(',:', ',')}>>, metrics struct<{METRICS.replace(' ', ':').replace(',:', ',')}>, preampDb double, targetAchieved boolean, terminationReason string"
 SCHEMA = (
-    "schemaVersion int, curves array<struct<id:string,name:string,kind:string,rawPoints:array<struct<frequencyHz:double,db:double>>,metadata:map<string,string>>>, activeFrId string, activeTargetId string, "
+    "schemaVersion int, curves array<struct<id:string,name:string,kind:string,rawPoints:array<struct<frequencyHz:double,db:double>>,metadata:map<string,variant>>>, activeFrId string, activeTargetId string, "
     f"normalization struct<mode:string,frequencyHz:double,levelDb:double>, autoeqSettings struct<{SETTINGS.replace(' ', ':').replace(',:', ',')}>, filters array<struct<{FILTER.replace(' ', ':').replace(',:', ',')}>>, "
     "filterProvenance string, solutionState string, autoEqRun struct<manifest:struct<" + ",".join(x.replace(" ", ":", 1) for x in MANIFEST.split(", ")) + ">>"
 )
@@ -49,9 +49,8 @@ def valid_curve(c: Column) -> Column:
     return (F.length(F.trim(c["id"])) > 0) & c["name"].isNotNull() & c["kind"].isin("fr", "target") & (F.size(points) >= 2) & fine & rising
 
 
-def valid_metadata(text: Column) -> Column:
-    """Whether every curve of a document has metadata whose values are texts, truth values or numbers; other kinds show only in a variant."""
-    curves = F.from_json(text, "curves array<struct<metadata:map<string,variant>>>")["curves"]
+def valid_metadata(curves: Column) -> Column:
+    """Whether every curve of a document has metadata whose values are texts, truth values or numbers; as variants they keep their kinds."""
     simple = lambda v: F.schema_of_variant(v).rlike(r"^(STRING|BOOLEAN|BIGINT|FLOAT|DOUBLE|DECIMAL\(.*\))$")
     return F.forall(curves, lambda c: c["metadata"].isNotNull() & F.forall(F.map_values(c["metadata"]), simple))
 
@@ -75,10 +74,10 @@ def valid_manifest(m: Column) -> Column:
 def read_sessions(texts: DataFrame, key: str = "path") -> DataFrame:
     """key, session, error of documents (key, text)."""
     s = F.from_json("text", SCHEMA, {"mode": "PERMISSIVE"})
-    out = texts.select(key, valid_metadata(F.col("text")).alias("plain_metadata"), F.explode(F.array(s)).alias("s"))  # parsed once: the optimizer does not copy it into every rule
+    out = texts.select(key, F.explode(F.array(s)).alias("s"))  # parsed once: the optimizer does not copy it into every rule
     limit = F.when(F.col("s.schemaVersion") == 1, F.coalesce("s.autoeqSettings.timeLimitSeconds", F.lit(DEFAULT_TIME_LIMIT))).otherwise(F.col("s.autoeqSettings.timeLimitSeconds"))
     names = [x.split()[0] for x in SETTINGS.split(", ")][:-1]
-    out = out.select(key, "plain_metadata", "s", F.explode(F.array(F.struct(*[F.col(f"s.autoeqSettings.{n}").alias(n) for n in names], limit.alias("timeLimitSeconds")))).alias("settings"))
+    out = out.select(key, "s", F.explode(F.array(F.struct(*[F.col(f"s.autoeqSettings.{n}").alias(n) for n in names], limit.alias("timeLimitSeconds")))).alias("settings"))
     c = lambda name: F.col("settings") if name == "autoeqSettings" else F.col(f"s.{name}")
     no = lambda x: ~F.coalesce(x, F.lit(False))
     ids = lambda name: F.transform(c(name), lambda x: x["id"])
@@ -93,7 +92,7 @@ def read_sessions(texts: DataFrame, key: str = "path") -> DataFrame:
         (F.col("s").isNull() | c("schemaVersion").isNull(), "not a session document"),
         (~c("schemaVersion").isin(1, 2), "unsupported version"),
         (no(valid_settings(c("autoeqSettings"))), "invalid settings"),
-        (c("curves").isNull() | no(F.forall(c("curves"), valid_curve)) | no(F.col("plain_metadata")), "malformed curve"),
+        (c("curves").isNull() | no(F.forall(c("curves"), valid_curve)) | no(valid_metadata(c("curves"))), "malformed curve"),
         (F.size(F.array_distinct(ids("curves"))) != F.size("s.curves"), "duplicate curve ids"),
         (no(refers("activeFrId", "fr")), "the active response is no response curve"),
         (no(refers("activeTargetId", "target")), "the active target is no target curve"),
