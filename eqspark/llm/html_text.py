@@ -31,6 +31,8 @@ from pyspark.sql import functions as F
 
 MAX_DEPTH = 400
 MIN_PARAGRAPH = 25
+#: Words of a paragraph beside its controls, in characters.
+MIN_PROSE = 10
 #: An element that hints at a part beside the article is kept if it holds this share of all paragraph points; reader comments need more.
 WRAPPER_SHARE, COMMENT_SHARE = 0.5, 0.9
 SCHEMA = "page_id long, url string, text string, n_chars long"
@@ -38,7 +40,10 @@ SCHEMA = "page_id long, url string, text string, n_chars long"
 # Element names of HTML.
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 RAW = frozenset("script style noscript template textarea title iframe xmp noembed noframes".split())
-CUT = frozenset("head nav header footer aside button select option dialog menu svg canvas object video audio map datalist fieldset label input".split())
+CUT = frozenset("head nav header footer aside select option dialog menu svg canvas object video audio map datalist fieldset input".split())
+#: Parts of forms that prose may name ("press the OK button"); they are cut but for that.
+CONTROLS = frozenset(("button", "label"))
+PROSE = frozenset("p li dd td blockquote".split())
 BLOCKS = frozenset("html body address article aside blockquote center dd details dialog dir div dl dt fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 header hgroup hr li main menu nav ol p pre section summary table tbody td tfoot th thead tr ul caption".split())
 PARAGRAPHS = frozenset("p pre td blockquote dd div section article li".split())
 CLOSES_P = BLOCKS - {"html", "body", "td", "th", "tr", "tbody", "thead", "tfoot", "caption"}
@@ -51,6 +56,10 @@ PLACE_WORDS = frozenset("a an and area article articles author bar blog block bo
 #: A token that begins so speaks of something that is absent or elsewhere.
 NEGATIONS = frozenset("no not non has have with without hide hides hidden show js is page layout body".split())
 GOOD_WORDS = frozenset("article body content entry main page post text blog story".split())
+#: Words that mark a paragraph as the article's opening.
+LEAD_WORDS = frozenset("lead lede intro standfirst dek summary".split())
+#: A token that ends so names a part beside the article, whatever comes before.
+PART_NAMES = frozenset("notice notices banner disclaimer newsletter popup modal sidebar advert adverts advertisement".split())
 #: Reader comments; an <article> is cut by these words alone.
 COMMENT_WORDS = frozenset("comment comments comentarios commentaires kommentare reply replies response responses disqus discussion respond".split())
 TAG_POINTS = {"article": 10, "main": 10, "div": 5, "section": 5, "pre": 3, "td": 3, "blockquote": 3, "ul": -3, "ol": -3, "dl": -3, "li": -3, "dd": -3, "dt": -3, "form": -3, "address": -3, "h1": -5, "h2": -5, "h3": -5, "h4": -5, "h5": -5, "h6": -5, "th": -5}
@@ -66,13 +75,13 @@ CAMEL = re.compile(r"(?<=[a-z])(?=[A-Z])")
 
 
 class Node:
-    __slots__ = ("anchors", "children", "cut", "good", "hint", "links", "mass", "parent", "points", "size", "tag")
+    __slots__ = ("anchors", "children", "cut", "good", "hidden", "hint", "links", "mass", "parent", "points", "size", "tag")
 
     def __init__(self, tag: str, parent: Node | None):
         self.tag, self.parent = tag, parent
         self.children: list[Node | str] = []
         #: hint: 0 none, 1 a part beside the article, 2 reader comments
-        self.cut, self.good, self.hint = False, 0, 0
+        self.cut, self.hidden, self.good, self.hint = False, False, 0, 0
         self.points, self.mass, self.size, self.links, self.anchors = 0.0, 0.0, 0, 0, 0
 
 
@@ -84,7 +93,9 @@ def _hint_of(token: str) -> tuple[int, bool]:
     found = HINT_WORDS.intersection(words)
     if found and all(w in HINT_WORDS or w in PLACE_WORDS or w.isdigit() for w in words):
         return (2 if COMMENT_WORDS.intersection(found) else 1), False
-    return 0, not found and bool(GOOD_WORDS.intersection(words))
+    if words[-1] in PART_NAMES:
+        return 1, False
+    return 0, not found and bool(GOOD_WORDS.intersection(words) or LEAD_WORDS.issuperset(words))
 
 
 def _judge_attributes(node: Node, found: dict[str, str]) -> None:
@@ -98,7 +109,7 @@ def _judge_attributes(node: Node, found: dict[str, str]) -> None:
     if (role and role[0].lower() in HINT_ROLES) or found.get("aria-hidden", "").strip().lower() == "true":
         node.hint = max(node.hint, 1)
     if "hidden" in found or ("style" in found and UNSEEN.search(found["style"])):
-        node.cut = True
+        node.cut = node.hidden = True
 
 
 def _attributes(html: str, at: int) -> tuple[dict[str, str], int]:
@@ -213,6 +224,33 @@ def parse(html: str) -> Node:
     return root
 
 
+def _cut_controls(root: Node) -> None:
+    """Cut labels and buttons but where a paragraph outside forms, without fields, says more than them."""
+    stack = [(root, False)]
+    while stack:
+        node, in_form = stack.pop()
+        in_form = in_form or node.tag in ("form", "fieldset")
+        stack.extend((c, in_form) for c in node.children if c.__class__ is Node)
+        if node.tag in CONTROLS:
+            node.cut = True
+    spare: list[Node] = []
+    stack = [(root, False)]
+    while stack:
+        node, in_form = stack.pop()
+        in_form = in_form or node.tag in ("form", "fieldset")
+        stack.extend((c, in_form) for c in node.children if c.__class__ is Node)
+        if node.tag not in PROSE or in_form:
+            continue
+        inner = [c for c in node.children if c.__class__ is Node and c.tag not in BLOCKS]
+        for x in inner:
+            inner.extend(c for c in x.children if c.__class__ is Node and c.tag not in BLOCKS)
+        own = [x for x in inner if x.tag in CONTROLS and not x.hidden]
+        if own and not any(x.tag in ("input", "select") for x in inner) and len(_inline_text(node).strip()) >= MIN_PROSE:
+            spare += own
+    for x in spare:
+        x.cut = False
+
+
 def _within_article(node: Node | None) -> bool:
     while node is not None:
         if node.tag in ("article", "main"):
@@ -342,15 +380,21 @@ def _kept(best: Node) -> list[Node]:
     for x in best.parent.children:
         if x.__class__ is not Node or x.cut:
             continue
-        if x is best or x.points >= least or x.tag in ("h1", "h2") and x.size:
+        if x is best or x.points >= least or x.tag in ("h1", "h2") and x.size or _alike(x, best):
             out.append(x)
         elif x.tag == "p" and x.size:
             text, density = _inline_text(x).strip(), _density(x)
-            if len(text) > 80 and density < 0.25 or not density and text.endswith((".", "!", "?")):
+            if x.good and density < 0.25 or len(text) > 80 and density < 0.25 or not density and text.endswith((".", "!", "?")):
                 out.append(x)
     return out
 
 
+def _alike(x: Node, best: Node) -> bool:
+    """A part like the best one: of its tag, almost without links, and with a fifth of its points, both counted without what the tag itself gives."""
+    given = TAG_POINTS.get(best.tag, 0)
+    return x.tag == best.tag and bool(x.size) and not x.hint and _density(x) < 0.1 and x.points - given >= 0.2 * max(0.0, best.points - given - 10 * best.good)
+
+
 def _is_link_list(node: Node) -> bool:
     return node.tag in CONTAINERS and node.anchors >= 2 and _density(node) >= 0.8
 
@@ -399,6 +443,7 @@ def main_text(html: str | None) -> str:
     if not html:
         return ""
     root = parse(html)
+    _cut_controls(root)
     text = _extracted(root)
     if text:
         return text
@@ -407,7 +452,7 @@ def main_text(html: str | None) -> str:
         while stack:
             node = stack.pop()
             node.hint = 0
-            node.cut = not every and node.cut and node.tag in CUT
+            node.cut = not every and node.cut and (node.tag in CUT or node.tag in CONTROLS)
             stack.extend(c for c in node.children if c.__class__ is Node)
         if text := _extracted(root):
             return text
