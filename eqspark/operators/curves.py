@@ -6,13 +6,17 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..schema import MIN_HZ
+from .scans import neighbours
 from .sides import small_side
 
 
-def segments(points: DataFrame, key: str = "curve_id", carry: tuple[str, ...] = ()) -> DataFrame:
-    """One row for each pair of neighbours: key, ``carry`` (columns that a key determines), l, ldb, r, rdb, is_last."""
-    w = Window.partitionBy(key).orderBy("f")
-    out = points.select(key, *carry, F.col("f").alias("l"), F.col("db").alias("ldb"), F.lead("f").over(w).alias("r"), F.lead("db").over(w).alias("rdb"), F.lead("f", 2).over(w).isNull().alias("is_last"))
+def segments(points: DataFrame, key: str = "curve_id", carry: tuple[str, ...] = (), most: int | None = None) -> DataFrame:
+    """One row for each pair of neighbours: key, ``carry`` (columns that a key determines), l, ldb, r, rdb, is_last.
+
+    With ``most``, curves of more points than that are spread over tasks (``scans.neighbours``).
+    """
+    met = neighbours(points, [key], ["f"], F.struct("f", "db"), 0, 2, most)
+    out = met.select(key, *carry, F.col("f").alias("l"), F.col("db").alias("ldb"), F.col("_after1.f").alias("r"), F.col("_after1.db").alias("rdb"), F.col("_after2").isNull().alias("is_last"))
     return out.where("r IS NOT NULL")
 
 
@@ -22,13 +26,13 @@ def lerp(f: Column) -> Column:
     return F.when(f == F.col("l"), F.col("ldb")).when(f == F.col("r"), F.col("rdb")).otherwise(F.col("ldb") + ratio * (F.col("rdb") - F.col("ldb")))
 
 
-def interpolate_grid(points: DataFrame, grid: DataFrame, points_per_octave: int, key: str = "curve_id") -> DataFrame:
+def interpolate_grid(points: DataFrame, grid: DataFrame, points_per_octave: int, key: str = "curve_id", most: int | None = None) -> DataFrame:
     """key, idx, f, db of each curve at the frequencies of a logarithmic grid that it covers.
 
     A segment knows by arithmetic which grid places lie in it, so it explodes to those and reads their exact
     frequencies by a broadcast equi-join: the work is the size of the result, not segments times grid.
     """
-    return on_grid(segments(points, key), grid, points_per_octave).select(key, "idx", "f", "db")
+    return on_grid(segments(points, key, most=most), grid, points_per_octave).select(key, "idx", "f", "db")
 
 
 def on_grid(parts: DataFrame, grid: DataFrame, points_per_octave: int) -> DataFrame:
@@ -110,12 +114,11 @@ def residual(wanted: DataFrame, eq: DataFrame, keys: list[str]) -> DataFrame:
     return combine(wanted, eq, keys, F.col("a") - F.col("b"), "db")
 
 
-def valid_points(points: DataFrame, key: str = "curve_id") -> DataFrame:
-    """key, ok: finite positive rising frequencies, finite levels, two points at least; ``idx`` gives the order."""
-    w = Window.partitionBy(key).orderBy("idx")
+def valid_points(points: DataFrame, key: str = "curve_id", most: int | None = None) -> DataFrame:
+    """key, ok: finite positive rising frequencies, finite levels, two points at least; ``idx`` gives the order. With ``most``, longer curves are spread over tasks."""
     finite = lambda c: F.col(c).isNotNull() & ~F.isnan(c) & (F.abs(c) < float("inf"))
-    rising = F.coalesce(F.lag("f").over(w) < F.col("f"), F.lit(True))
-    marked = points.select(key, (finite("f") & finite("db") & (F.col("f") > 0) & rising).alias("ok"))
+    rising = F.coalesce(F.col("_before1") < F.col("f"), F.lit(True))
+    marked = neighbours(points, [key], ["idx"], F.col("f"), 1, 0, most).select(key, (finite("f") & finite("db") & (F.col("f") > 0) & rising).alias("ok"))
     return marked.groupBy(key).agg((F.min("ok") & (F.count(F.lit(1)) >= 2)).alias("ok"))
 
 

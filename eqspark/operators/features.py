@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from ..functions.bands import keep_apart
 from ..schema import MAX_GAIN_DB, MAX_HZ, MAX_Q, MIN_HZ, MIN_Q, SHELF_Q
 from .curves import interpolate_asof
+from .scans import neighbours
 from .sides import small_side
 
 
@@ -22,10 +23,9 @@ def residual_regions(residuals: DataFrame, key: str, threshold: float = 0.5) ->
     return out.withColumn("octaves", F.log2(F.col("end_hz") / F.col("start_hz"))).drop("_run")
 
 
-def extrema(residuals: DataFrame, key: str, floor: float = 0.15) -> DataFrame:
-    """key, idx, f, db of interior local extremes at or above the floor."""
-    w = Window.partitionBy(key).orderBy("idx")
-    rows = residuals.withColumns({"_p": F.lag("db").over(w), "_n": F.lead("db").over(w)}).where("_p IS NOT NULL AND _n IS NOT NULL")
+def extrema(residuals: DataFrame, key: str, floor: float = 0.15, most: int | None = None) -> DataFrame:
+    """key, idx, f, db of interior local extremes at or above the floor. With ``most``, residuals of more places are spread over tasks."""
+    rows = neighbours(residuals, [key], ["idx"], F.col("db"), 1, 1, most).withColumnsRenamed({"_before1": "_p", "_after1": "_n"}).where("_p IS NOT NULL AND _n IS NOT NULL")
     up, down = (F.col("db") > 0) & (F.col("db") >= F.col("_p")) & (F.col("db") > F.col("_n")), (F.col("db") < 0) & (F.col("db") <= F.col("_p")) & (F.col("db") < F.col("_n"))
     return rows.where((F.abs("db") >= floor) & (up | down)).select(key, "idx", "f", "db")
 

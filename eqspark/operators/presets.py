@@ -128,9 +128,24 @@ def filter_levels(presets: DataFrame, frequencies: list[float]) -> DataFrame:
     return _mapped(presets, frequencies, fold, "levels array<struct<ordinal:int,sum_db:double,top_db:double>>").select(presets.columns[0], F.inline("levels"))
 
 
-def cascades(presets: DataFrame, frequencies: list[float]) -> DataFrame:
-    """key, db: the response of each preset's enabled filters, one number for each frequency."""
-    return _mapped(presets, frequencies, lambda x, _: [_lists(x.cascade())], "db array<double>")
+def cascades(presets: DataFrame, frequencies: list[float], places: int | None = None) -> DataFrame:
+    """key, db: the response of each preset's enabled filters, one number for each frequency, rounded if asked."""
+
+    def fold(x: Block, _: pa.RecordBatch) -> list[pa.Array]:
+        level = x.cascade()
+        return [_lists(level if places is None else np.round(level, places) + 0.0)]
+
+    return _mapped(presets, frequencies, fold, "db array<double>")
+
+
+def shapes(presets: DataFrame, frequencies: list[float]) -> DataFrame:
+    """key, lo_db, hi_db, mean_db of each preset's response; the response stays in its task."""
+
+    def fold(x: Block, _: pa.RecordBatch) -> list[pa.Array]:
+        level = x.cascade()
+        return [pa.array(level.min(axis=1)), pa.array(level.max(axis=1)), pa.array(level.mean(axis=1))]
+
+    return _mapped(presets, frequencies, fold, "lo_db double; hi_db double; mean_db double")
 
 
 def _pair_lists(x: Block, least: float) -> pa.Array:

@@ -64,15 +64,14 @@ def j3_cascade(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query()
 def j3_cascade_full(spark: SparkSession, sf_dir: str) -> DataFrame:
     """An array for each preset."""
-    return presets.cascades(_packed(spark, sf_dir), FULL).select("preset_id", F.transform("db", lambda x: F.round(x, 4) + F.lit(0.0)).alias("db"))
+    return presets.cascades(_packed(spark, sf_dir), FULL, 4)
 
 
 @query(with_views(*FULL_VIEWS) + " SELECT preset_id, count(*) AS places, round(min(db), 4) + 0.0e0 AS lo_db, round(max(db), 4) + 0.0e0 AS hi_db, round(avg(db), 4) + 0.0e0 AS mean_db FROM cascade GROUP BY preset_id")
 def j3_cascade_shape(spark: SparkSession, sf_dir: str) -> DataFrame:
     """What the response of a preset comes to on the whole grid."""
     r4 = lambda c: F.round(c, 4) + F.lit(0.0)
-    mean = F.aggregate("db", F.lit(0.0), lambda t, x: t + x) / F.size("db")
-    return presets.cascades(_packed(spark, sf_dir), FULL).select("preset_id", F.size("db").cast("long").alias("places"), r4(F.array_min("db")).alias("lo_db"), r4(F.array_max("db")).alias("hi_db"), r4(mean).alias("mean_db"))
+    return presets.shapes(_packed(spark, sf_dir), FULL).select("preset_id", F.lit(len(FULL)).cast("long").alias("places"), *[r4(c).alias(c) for c in ("lo_db", "hi_db", "mean_db")])
 
 
 @query(with_views(*VIEWS) + f"SELECT preset_id, {s6('max(greatest(db, 0e0))')} AS boost_db, {s6('-ceil(max(greatest(db, 0e0)) * 10 - 1e-6) / 10')} AS preamp_db FROM cascade GROUP BY preset_id")

@@ -172,3 +172,60 @@ def test_histories_in_blocks(spark):
     assert same(research.best_history(df), research.best_history(df, most=3))
     assert same(research.improving_checkpoints(df, ["cell"]), research.improving_checkpoints(df, ["cell"], most=3))
     assert sorted(map(str, research.time_to_quality(df).collect())) == sorted(map(str, research.time_to_quality(df, most=3).collect()))
+
+
+def test_neighbours_in_blocks(spark):
+    """Blocks of three rows, a curve with most points, keys of one and two points, windows that reach over more than one block."""
+    rng = random.Random(10)
+    rows = [("long" if i % 5 else f"c{i % 25}", float(20 + i), rng.choice((1.0, 2.0, -1.0, None))) for i in range(150)] + [("one", 20.0, 1.0), ("two", 20.0, 1.0), ("two", 30.0, 2.0)]
+    rng.shuffle(rows)
+    df = spark.createDataFrame(rows, "curve_id string, f double, db double")
+    value = F.struct("f", "db")
+    for before, after in ((1, 0), (0, 2), (2, 3)):
+        plain, split = (scans.neighbours(df, ["curve_id"], ["f"], value, before, after, m) for m in (None, 3))
+        assert split.columns == plain.columns
+        assert sorted(map(str, split.collect())) == sorted(map(str, plain.collect()))
+
+
+def test_curves_in_blocks(spark):
+    from eqspark.operators import curves, features
+
+    rng = np.random.default_rng(11)
+    f = np.unique(np.round(np.sort(rng.uniform(15, 21_000, 3000)), 6))
+    rows = [(1, i, float(x), float(y)) for i, (x, y) in enumerate(zip(f, rng.normal(0, 3, len(f)), strict=True))] + [(2, 0, 20.0, 1.0), (2, 1, 10.0, 1.0)]
+    df = spark.createDataFrame(rows, "curve_id long, idx int, f double, db double")
+    grid = grids.grid_frame(spark, GRID)
+    same = lambda a, b: sorted(map(tuple, a.collect())) == sorted(map(tuple, b.collect()))
+    assert same(curves.interpolate_grid(df, grid, 96), curves.interpolate_grid(df, grid, 96, most=500))
+    assert same(curves.valid_points(df), curves.valid_points(df, most=500))
+    assert same(features.extrema(df, "curve_id"), features.extrema(df, "curve_id", most=500))
+
+
+def test_separated_peaks_and_candidates(spark):
+    """Against the fitting kernels: peaks half an octave apart, and candidates without near-repeats."""
+    from eqspark.operators import features
+    from eqspark.operators.fitting import structural, v1
+    from eqspark.schema import Settings
+
+    rng = np.random.default_rng(12)
+    f = np.array(GRID)
+    curves = {k: np.convolve(rng.normal(0, 6, len(f) + 40), np.ones(k) / k, "same")[20:-20] for k in (2, 5, 20, 60)}
+    df = spark.createDataFrame([(k, i, float(f[i]), float(x)) for k, y in curves.items() for i, x in enumerate(y)], "key long, idx int, f double, db double")
+    got = {}
+    for r in features.separated_peaks(df, "key", 8, 0.5).orderBy("key", "place").collect():
+        got.setdefault(r.key, []).append((r.f, r.db))
+    assert got == {k: structural.residual_features(f, y, 8, 0.5) for k, y in curves.items()}
+    found = {}
+    for r in features.candidates(df, "key").orderBy("key", "place").collect():
+        found.setdefault(r.key, []).append((r.type, r.f, r.gain, r.q))
+    for k, y in curves.items():
+        want = v1.Problem(f, y, Settings()).candidates(y)
+        assert len(found[k]) == len(want) and all(a[0] == b[0] and a[1:] == pytest.approx(b[1:], rel=1e-9) for a, b in zip(found[k], want, strict=True))
+
+
+def test_names_in_reading_order(spark):
+    from eqspark.operators import ranking
+
+    names = ["b", "A", "a", "é", "e", "Z", "_x", "10", "9", "-", "B"]
+    df = spark.createDataFrame([("g", n, "") for n in names], "grp string, mutation string, key string")
+    assert [r.mutation for r in ranking.ordered(df, "grp").orderBy("place").collect()] == ["_x", "-", "10", "9", "a", "A", "b", "B", "e", "é", "Z"]
