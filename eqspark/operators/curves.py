@@ -63,9 +63,9 @@ def interpolate_asof(points: DataFrame, wanted: DataFrame, key: str = "curve_id"
     """
     both = points.select(key, "f", "db", F.lit(0).alias("side")).unionByName(wanted.select(key, "f", F.lit(None).cast("double").alias("db"), F.lit(1).alias("side")))
     before = Window.partitionBy(key).orderBy("f", "side").rowsBetween(Window.unboundedPreceding, 0)
-    after = Window.partitionBy(key).orderBy("f", F.col("side").desc()).rowsBetween(0, Window.unboundedFollowing)
+    after = Window.partitionBy(key).orderBy(F.col("f").desc(), "side").rowsBetween(Window.unboundedPreceding, 0)  # growing frames are one pass, shrinking ones are not
     known = F.when(F.col("side") == 0, F.struct(F.col("f").alias("f"), F.col("db").alias("db")))
-    out = both.withColumns({"_l": F.last(known, ignorenulls=True).over(before), "_r": F.first(known, ignorenulls=True).over(after)}).where("side = 1")
+    out = both.withColumns({"_l": F.last(known, ignorenulls=True).over(before), "_r": F.last(known, ignorenulls=True).over(after)}).where("side = 1")
     out = out.select(key, "f", F.col("_l.f").alias("l"), F.col("_l.db").alias("ldb"), F.col("_r.f").alias("r"), F.col("_r.db").alias("rdb"))
     out = out.select(key, "f", F.when(F.col("l").isNotNull() & F.col("r").isNotNull(), lerp(F.col("f"))).alias("db"))
     return out.where("db IS NOT NULL") if how == "inner" else out

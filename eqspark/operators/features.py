@@ -115,7 +115,8 @@ def candidates(residuals: DataFrame, key: str, threshold: float = 0.5, tolerance
     nominal = F.when(F.col("type") == "LS", F.lit(105.0)).otherwise(F.lit(10_000.0))
     shelves = shelf_evidence(residuals, key, threshold).select(key, "type", nominal.alias("f"), "gain", F.lit(SHELF_Q).alias("q"), "octaves")
     order = F.when(F.col("type") == "LS", 0).when(F.col("type") == "PK", 1).otherwise(2)
-    item = F.struct((-F.col("octaves")).alias("k0"), (-F.abs("gain")).alias("k1"), F.col("f").alias("k2"), order.alias("k3"), "type", "f", "gain", "q", "octaves")
+    # widths of as many places are equal but for their last bits, which do not decide
+    item = F.struct((-F.round("octaves", 9)).alias("k0"), (-F.round(F.abs("gain"), 9)).alias("k1"), F.col("f").alias("k2"), order.alias("k3"), "type", "f", "gain", "q", "octaves")
     near = lambda k, x: (k["type"] == x["type"]) & (F.abs(F.log2(k["f"] / x["f"])) <= tolerance)
     per = peaks.unionByName(shelves).groupBy(key).agg(F.array_sort(F.collect_list(item)).alias("r"))
     kept = per.select(key, F.posexplode(keep_apart(F.col("r"), near)).alias("at", "x"))

@@ -283,7 +283,7 @@ shelves AS (SELECT pair_id, type, any_value(nominal) AS f, median(db) AS gain, l
 every AS (
     SELECT pair_id, 'PK' AS type, c AS f, CASE WHEN lf = rf THEN ldb ELSE ldb + ln(c / lf) / ln(rf / lf) * (rdb - ldb) END AS gain, least(12e0, greatest(0.1e0, c / greatest(1e-9, b - a))) AS q, log2(b / a) AS octaves FROM sides
     UNION ALL SELECT pair_id, type, f, gain, 0.7e0, octaves FROM shelves),
-ranked AS MATERIALIZED (SELECT pair_id, type, f, least(15e0, greatest(-15e0, gain)) AS gain, q, octaves, row_number() OVER (PARTITION BY pair_id ORDER BY octaves DESC, abs(least(15e0, greatest(-15e0, gain))) DESC, f, CASE type WHEN 'LS' THEN 0 WHEN 'PK' THEN 1 ELSE 2 END) AS k FROM every)"""
+ranked AS MATERIALIZED (SELECT pair_id, type, f, least(15e0, greatest(-15e0, gain)) AS gain, q, octaves, row_number() OVER (PARTITION BY pair_id ORDER BY round(octaves, 9) DESC, round(abs(least(15e0, greatest(-15e0, gain))), 9) DESC, f, CASE type WHEN 'LS' THEN 0 WHEN 'PK' THEN 1 ELSE 2 END) AS k FROM every)"""
 
 
 def _candidates_sql(tolerance: str) -> str:
