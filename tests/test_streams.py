@@ -74,7 +74,7 @@ def test_idle_keys_are_forgotten(spark, tmp_path):
 
 def test_edit_stream_equals_batch(spark, tmp_path):
     rng = random.Random(6)
-    rows = [(f"k{k}", 1000 * i + k, i, rng.choice(("edit", "edit", "undo", "redo", "replace")), str(rng.randrange(3))) for k in range(3) for i in range(30)]
+    rows = [(f"k{k}", 1000 * (i + 1) + k, i, rng.choice(("edit", "edit", "undo", "redo", "replace")), str(rng.randrange(3))) for k in range(3) for i in range(30)]
     df = spark.createDataFrame(rows, EDITS)
     got = run_stream(spark, df, ["seq % 3 = 1", "seq % 3 = 0", "seq % 3 = 2"], lambda s: histories.edited_stream(s, "3600 seconds"), tmp_path)
     assert plain(got) == plain(histories.edited(df))
