@@ -2,10 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
-
 import numpy as np
-import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -33,30 +30,13 @@ def cascade(filters: DataFrame, grid: DataFrame) -> DataFrame:
     return met.groupBy("preset_id", "idx").agg(F.first("f").alias("f"), F.sum(level).alias("db"))
 
 
-def _dense_boost(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    from .fitting.kernel import biquad_db
-
-    grid = np.array(grids.dense_grid())
-    for batch in batches:
-        rows = []
-        for preset, filters in zip(batch["preset_id"], batch["filters"], strict=True):
-            total = np.zeros(len(grid))
-            for x in filters:
-                total += biquad_db(x["type"], x["f"], x["gain"], x["q"], grid)
-            at = int(np.argmax(total))
-            top = float(total[at]) if total[at] > 0 else 0.0
-            rows.append((preset, -np.ceil(top * 10 - 1e-10) / 10 + 0.0, top, float(grid[at]) if top > 0 else float(grid[0])))
-        yield pd.DataFrame(rows, columns=["preset_id", "preamp_db", "max_boost_db", "max_boost_hz"])
-
-
 def preamp(filters: DataFrame) -> DataFrame:
     """preset_id, preamp_db, max_boost_db, max_boost_hz on the dense grid of 16,384 places.
 
-    A preset's filters (64 at most) travel as one array; the dense response stays in numpy and is never rows.
+    A preset's filters (64 at most) travel as one array; the dense response is bounded by stretches and looked at only where its top can be.
     """
-    on = F.filter(F.collect_list(F.when(F.col("enabled"), F.struct("ordinal", "type", "f", "gain", "q"))), lambda x: x.isNotNull())
-    packed = filters.groupBy("preset_id").agg(F.sort_array(on).alias("filters"))
-    return packed.mapInPandas(_dense_boost, "preset_id long, preamp_db double, max_boost_db double, max_boost_hz double")
+    found = presets.peaks(presets.packed(filters), grids.dense_grid())
+    return found.select("preset_id", (-F.ceil(F.col("top_db") * 10 - 1e-10) / 10 + F.lit(0.0)).alias("preamp_db"), F.col("top_db").alias("max_boost_db"), F.col("top_hz").alias("max_boost_hz"))
 
 
 def graphic_eq(filters: DataFrame) -> DataFrame:
