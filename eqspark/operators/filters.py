@@ -39,16 +39,22 @@ def preamp(filters: DataFrame) -> DataFrame:
     return found.select("preset_id", (-F.ceil(F.col("top_db") * 10 - 1e-10) / 10 + F.lit(0.0)).alias("preamp_db"), F.col("top_db").alias("max_boost_db"), F.col("top_hz").alias("max_boost_hz"))
 
 
-def graphic_eq(filters: DataFrame) -> DataFrame:
-    """preset_id, f, gain: averages of the cascade in bins around 127 frequencies, with the peak at 0 dB.
+def graphic_eq(filters: DataFrame, places: int | None = None) -> DataFrame:
+    """preset_id, f, gain: averages of the cascade in bins around 127 frequencies, with the peak at 0 dB, rounded if asked.
 
     Which raw frequencies fall in which bin, and what an empty bin interpolates, depends on the fixed grids alone, so the
     bins are a product of the response with fixed weights.
     """
     raw, centres = grids.raw_frequencies(), grids.graphic_frequencies()
-    bins = presets.binned(presets.packed(filters), raw, bin_weights(raw, centres))
+    bins = presets.binned(presets.packed(filters), raw, bin_weights(raw, centres), places)
     at = F.array(*[F.lit(float(x)) for x in centres])
-    return bins.select("preset_id", F.inline(F.arrays_zip(at.alias("f"), F.col("gain").alias("gain"))))
+    return bins.select("preset_id", F.posexplode("gain").alias("at", "gain")).select("preset_id", F.get(at, F.col("at")).alias("f"), "gain")
+
+
+def graphic_items(filters: DataFrame) -> DataFrame:
+    """preset_id, items: ``graphic_eq`` as texts, one row a preset."""
+    raw, centres = grids.raw_frequencies(), grids.graphic_frequencies()
+    return presets.binned_texts(presets.packed(filters), raw, centres, bin_weights(raw, centres))
 
 
 def bin_weights(raw: list[float], centres: list[float]) -> list[list[tuple[int, float]]]:
