@@ -89,15 +89,28 @@ def format_manual_entry(filters: DataFrame, presets: DataFrame, product: str = "
 
     Enabled filters must be within bounds and on steps; a name must hold something and no line break.
     """
+    return _manual_texts(presets.join(_manual_lines(filters), "preset_id", "left"), F.col("name"), F.col("preamp_db"), product)
+
+
+def format_manual_alike(filters: DataFrame, name: Column, preamp_db: Column, product: str = "eqspark") -> DataFrame:
+    """``format_manual_entry`` of all presets that have filters, with expressions of the preset_id for their names and preamps: filters are met once, and nothing is joined."""
+    return _manual_texts(_manual_lines(filters), name, preamp_db, product)
+
+
+def _manual_lines(filters: DataFrame) -> DataFrame:
+    """preset_id, x (the enabled filters' lines, without their numbers, in order), fine, count; a place in the array is a filter's number."""
     fine = F.col("f").between(MIN_HZ, MAX_HZ) & F.col("gain").between(-MAX_GAIN_DB, MAX_GAIN_DB) & F.col("q").between(MIN_Q, MAX_Q) & on_step(F.col("f"), STEP_HZ) & on_step(F.col("gain"), STEP_DB) & on_step(F.col("q"), STEP_Q)
-    on = filters.where("enabled").withColumn("n", F.row_number().over(Window.partitionBy("preset_id").orderBy("ordinal")))
     label = F.create_map(*[F.lit(x) for pair in FILTER_LABELS.items() for x in pair])[F.col("type")]
-    line = F.concat(F.lit("Filter "), F.col("n"), F.lit(": ON "), label, F.lit(" Fc "), fixed(F.col("f"), 0), F.lit(" Hz Gain "), fixed(F.col("gain"), 1), F.lit(" dB Q "), fixed(F.col("q"), 2))
-    per = on.groupBy("preset_id").agg(F.sort_array(F.collect_list(F.struct("n", line.alias("line")))).alias("x"), F.min(fine).alias("fine"), F.count(F.lit(1)).alias("count"))
-    out = presets.join(per, "preset_id", "left")
-    error = F.when(F.col("name").rlike(r"[\r\n]") | (preset_name(F.col("name")) == ""), "export: bad name").when(~F.coalesce("fine", F.lit(True)), "export: a filter is out of bounds or off its steps").when(F.coalesce("count", F.lit(0)) > HARD_MAX_FILTERS, "export: more than 64 filters").when(~on_step(F.col("preamp_db"), 0.1), "export: preamp off its step")
-    head = F.array(F.lit(f"# {product} preset"), F.concat(F.lit("# "), F.col("name")), F.concat(F.lit("Preamp: "), fixed(F.col("preamp_db"), 1), F.lit(" dB")))
-    text = F.concat_ws("\n", head, F.transform("x", lambda v: v["line"]))
+    line = F.concat(F.lit(": ON "), label, F.lit(" Fc "), fixed(F.col("f"), 0), F.lit(" Hz Gain "), fixed(F.col("gain"), 1), F.lit(" dB Q "), fixed(F.col("q"), 2))
+    on = F.col("enabled")
+    lines = F.sort_array(F.collect_list(F.when(on, F.struct("ordinal", line.alias("line")))))
+    return filters.groupBy("preset_id").agg(lines.alias("x"), F.min(F.when(on, fine)).alias("fine"), F.count_if(on).alias("count"))
+
+
+def _manual_texts(out: DataFrame, name: Column, preamp_db: Column, product: str) -> DataFrame:
+    error = F.when(name.rlike(r"[\r\n]") | (preset_name(name) == ""), "export: bad name").when(~F.coalesce("fine", F.lit(True)), "export: a filter is out of bounds or off its steps").when(F.coalesce("count", F.lit(0)) > HARD_MAX_FILTERS, "export: more than 64 filters").when(~on_step(preamp_db, 0.1), "export: preamp off its step")
+    head = F.array(F.lit(f"# {product} preset"), F.concat(F.lit("# "), name), F.concat(F.lit("Preamp: "), fixed(preamp_db, 1), F.lit(" dB")))
+    text = F.concat_ws("\n", head, F.transform("x", lambda v, i: F.concat(F.lit("Filter "), i + 1, v["line"])))
     return out.select("preset_id", F.when(error.isNull(), text).alias("text"), error.alias("error"))
 
 
@@ -106,3 +119,8 @@ def format_graphic(points: DataFrame) -> DataFrame:
     item = F.concat(F.col("f").cast("long"), F.lit(" "), fixed(F.col("gain"), 1, True))
     per = points.groupBy("preset_id").agg(F.sort_array(F.collect_list(F.struct("f", item.alias("t")))).alias("x"))
     return per.select("preset_id", F.concat(F.lit("GraphicEQ: "), F.concat_ws("; ", F.transform("x", lambda v: v["t"]))).alias("text"))
+
+
+def format_graphic_items(presets: DataFrame) -> DataFrame:
+    """preset_id, text of presets whose points are an array of texts (``operators.filters.graphic_items``)."""
+    return presets.select("preset_id", F.concat(F.lit("GraphicEQ: "), F.concat_ws("; ", "items")).alias("text"))
