@@ -114,10 +114,16 @@ def candidates(residuals: DataFrame, key: str, threshold: float = 0.5, tolerance
     peaks = runs.join(level, [key, "f"]).select(key, F.lit("PK").alias("type"), "f", clamp(F.col("db"), -MAX_GAIN_DB, MAX_GAIN_DB).alias("gain"), clamp(F.col("f") / wide, MIN_Q, MAX_Q).alias("q"), "octaves")
     nominal = F.when(F.col("type") == "LS", F.lit(105.0)).otherwise(F.lit(10_000.0))
     shelves = shelf_evidence(residuals, key, threshold).select(key, "type", nominal.alias("f"), "gain", F.lit(SHELF_Q).alias("q"), "octaves")
-    order = F.when(F.col("type") == "LS", 0).when(F.col("type") == "PK", 1).otherwise(2)
+    per = peaks.unionByName(shelves).groupBy(key).agg(F.collect_list(F.struct("type", "f", "gain", "q", "octaves")).alias("items"))
+    return kept_candidates(per, key, tolerance)
+
+
+def kept_candidates(found: DataFrame, key: str, tolerance: float) -> DataFrame:
+    """key, place (from 1), type, f, gain, q, octaves of ``found`` (key, items: an array of those): the widest first, without those within ``tolerance`` octaves of a kept one of their type."""
+    order = lambda x: F.when(x["type"] == "LS", 0).when(x["type"] == "PK", 1).otherwise(2)
     # widths of as many places are equal but for their last bits, which do not decide
-    item = F.struct((-F.round("octaves", 9)).alias("k0"), (-F.round(F.abs("gain"), 9)).alias("k1"), F.col("f").alias("k2"), order.alias("k3"), "type", "f", "gain", "q", "octaves")
+    item = lambda x: F.struct((-F.round(x["octaves"], 9)).alias("k0"), (-F.round(F.abs(x["gain"]), 9)).alias("k1"), x["f"].alias("k2"), order(x).alias("k3"), *[x[c].alias(c) for c in ("type", "f", "gain", "q", "octaves")])
     near = lambda k, x: (k["type"] == x["type"]) & (F.abs(F.log2(k["f"] / x["f"])) <= tolerance)
-    per = peaks.unionByName(shelves).groupBy(key).agg(F.array_sort(F.collect_list(item)).alias("r"))
+    per = found.select(key, F.array_sort(F.transform("items", item)).alias("r"))
     kept = per.select(key, F.posexplode(keep_apart(F.col("r"), near)).alias("at", "x"))
     return kept.select(key, (F.col("at") + 1).alias("place"), "x.type", "x.f", "x.gain", "x.q", "x.octaves")
