@@ -165,10 +165,18 @@ def unseen(proposals: DataFrame, seen: DataFrame, key: str = "key") -> DataFrame
     return proposals.join(seen.select(key).distinct(), key, "left_anti")
 
 
+def gathered_key(name: str) -> Column:
+    """What a filter set's key is made of, as an aggregate of its filters."""
+    whole = lambda c, k: F.round(F.col(c) * k).cast("long")
+    return F.collect_list(F.struct("type", whole("f", 1000).alias("f"), whole("gain", 10).alias("gain"), whole("q", 100).alias("q"), "enabled")).alias(name)
+
+
+def key_of(name: str) -> Column:
+    """The key of what ``gathered_key`` gathered."""
+    line = F.transform(F.sort_array(name), lambda v: F.concat_ws("|", v["type"], v["f"].cast("string"), v["gain"].cast("string"), v["q"].cast("string"), v["enabled"].cast("string")))
+    return F.sha2(F.concat_ws(";", line), 256)
+
+
 def semantic_key(filters: DataFrame, group: str = "preset_id") -> DataFrame:
     """group, key: a hash of a filter set (64 at most) without ids and order; frequencies to 0.001 Hz, gains to 0.1 dB, Q to 0.01."""
-    whole = lambda c, k: F.round(F.col(c) * k).cast("long")
-    part = F.struct("type", whole("f", 1000).alias("f"), whole("gain", 10).alias("gain"), whole("q", 100).alias("q"), "enabled")
-    per = filters.groupBy(group).agg(F.sort_array(F.collect_list(part)).alias("x"))
-    line = F.transform("x", lambda v: F.concat_ws("|", v["type"], v["f"].cast("string"), v["gain"].cast("string"), v["q"].cast("string"), v["enabled"].cast("string")))
-    return per.select(group, F.sha2(F.concat_ws(";", line), 256).alias("key"))
+    return filters.groupBy(group).agg(gathered_key("x")).select(group, key_of("x").alias("key"))

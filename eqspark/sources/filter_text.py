@@ -68,6 +68,19 @@ def _line(parts: Column) -> Column:
     return F.get(F.transform(F.array(read), judged), F.lit(0))
 
 
+def gathered_lines(name: str) -> Column:
+    """The lines of a filter set's enabled filters, as an aggregate of its filters; they get their numbers in ``file_text``."""
+    label = F.create_map(*[F.lit(x) for pair in FILTER_LABELS.items() for x in pair])[F.col("type")]
+    line = F.concat(F.lit(": ON "), label, F.lit(" Fc "), fixed(F.col("f"), 0), F.lit(" Hz Gain "), fixed(F.col("gain"), 1, True), F.lit(" dB Q "), fixed(F.col("q"), 3))
+    return F.collect_list(F.when(F.col("enabled"), F.struct("ordinal", line.alias("line")))).alias(name)
+
+
+def file_text(preamp_db: Column, name: str) -> Column:
+    """The file of what ``gathered_lines`` gathered: the preamp and the enabled filters, numbered anew, lines ending CR LF but for the last."""
+    first = F.concat(F.lit("Preamp: "), fixed(preamp_db, 1, True), F.lit(" dB"))
+    return F.concat_ws("\r\n", first, F.transform(F.sort_array(name), lambda v, i: F.concat(F.lit("Filter "), i + 1, v["line"])))
+
+
 def format_filters(filters: DataFrame, preamps: DataFrame) -> DataFrame:
     """preset_id, text: the preamp and the enabled filters, numbered anew, lines ending CR LF but for the last."""
     label = F.create_map(*[F.lit(x) for pair in FILTER_LABELS.items() for x in pair])[F.col("type")]

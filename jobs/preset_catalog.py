@@ -18,7 +18,7 @@ import json
 import logging
 from pathlib import Path
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from eqspark.functions.text import preset_name
@@ -57,19 +57,21 @@ def headroom(boost: Column) -> Column:
 
 
 def catalog(filters: DataFrame, heads: DataFrame, settings: dict) -> DataFrame:
-    """A row for each of ``heads`` that has filters."""
+    """A row for each of ``heads`` that has filters. Filters are met once: lines and key are made where they are packed, and the order comes to the packed row."""
     grid = grids.log_grid(MIN_HZ, MAX_HZ, settings["places_an_octave"])
-    own = ops.quantize_half_up(filters.join(heads.select("preset_id"), "preset_id", "left_semi"))
-    packed = presets.packed(own, F.count(F.lit(1)).alias("filter_count"), F.min(F.coalesce(ops.valid_filter(), F.lit(False))).alias("fine"))
-    audit = presets.audited(packed, grid, settings["least_score"])
-    level = presets.severities(audit, "filter_count", "fine", "boost_db")
+    if settings.get("from_month") or settings.get("to_month"):
+        filters = filters.join(heads.select("preset_id"), "preset_id", "left_semi")
+    own = ops.quantize_half_up(filters)
+    fine = F.min(F.coalesce(ops.valid_filter(), F.lit(False))).alias("fine")
+    packed = presets.packed(own, F.count(F.lit(1)).alias("filter_count"), fine, filter_text.gathered_lines("lines"), ranking.gathered_key("parts"))
+    keyed = packed.withColumn("sig", ranking.key_of("parts")).drop("parts")
+    audit = presets.audited(keyed, grid, settings["least_score"])
+    level = presets.severities(audit, "filter_count", "fine", "boost_db", "lines", "sig")
     rows = level.withColumns({"valid": F.col("fine") & (F.col("filter_count") <= ops.HARD_MAX_FILTERS), "preamp_db": headroom(F.col("boost_db")), "boost_db": F.round("boost_db", 6) + F.lit(0.0)})
-    texts = filter_text.format_filters(own, rows.select("preset_id", "preamp_db"))
-    keys = ranking.semantic_key(own).withColumnRenamed("key", "sig")
-    whole = heads.join(rows, "preset_id").join(texts, "preset_id").join(keys, "preset_id")
-    first = keys.join(heads, "preset_id").groupBy("month", "sig").agg(F.min("preset_id").alias("first"))
+    whole = heads.join(rows.withColumn("text", filter_text.file_text(F.col("preamp_db"), "lines")).drop("lines"), "preset_id")
+    first = F.min("preset_id").over(Window.partitionBy("month", "sig"))
     names = [x.split(" ")[0] for x in CATALOG.split(", ")]
-    return whole.join(first, ["month", "sig"]).withColumn("twin_of", F.when(F.col("first") != F.col("preset_id"), F.col("first"))).select(*names)
+    return whole.withColumn("first", first).withColumn("twin_of", F.when(F.col("first") != F.col("preset_id"), F.col("first"))).select(*names)
 
 
 def by_month(table: DataFrame) -> DataFrame:
