@@ -77,6 +77,92 @@ def step(xg: np.ndarray, h: np.ndarray, u: np.ndarray) -> np.ndarray:
     return out
 
 
+def gatewise(w: np.ndarray) -> np.ndarray:
+    """Weights (..., 3H) as (3, ..., H), gate by gate; reset and update are negated, as ``_advance`` takes their exponent."""
+    parts = np.stack(np.split(np.asarray(w, np.float32), 3, axis=-1))
+    np.negative(parts[:2], out=parts[:2])
+    return parts
+
+
+def _advance(xg: np.ndarray, before: np.ndarray, u: np.ndarray, hu: np.ndarray, gates: np.ndarray, n: np.ndarray, out: np.ndarray) -> None:
+    """One step with ``gatewise`` weights: every array lies gate by gate, so that each operation runs over one stretch of memory. The last four are written."""
+    np.matmul(before, u, out=hu)
+    np.add(xg[:2], hu[:2], out=gates)
+    np.exp(gates, out=gates)
+    gates += 1
+    np.reciprocal(gates, out=gates)
+    np.multiply(gates[0], hu[2], out=n)
+    n += xg[2]
+    np.tanh(n, out=n)
+    np.subtract(before, n, out=out)
+    out *= gates[1]
+    out += n
+
+
+class Layer:
+    """The layer over windows of at most ``steps`` steps of ``lanes`` lanes, whose inputs are rows of a table. Every window takes the same rooms: memory that is new in each costs as much as the arithmetic.
+
+    Without ``learns`` only the states of a window are kept.
+    """
+
+    def __init__(self, steps: int, lanes: int, width: int, learns: bool):
+        kept = steps if learns else 1
+        room = lambda *shape: np.empty((*shape, lanes * width), np.float32)
+        self.width, self.learns = width, learns
+        self.states, self.before, self.xg, self.hu, self.gates, self.n = room(steps), room(kept), room(kept, 3), room(kept, 3), room(kept, 2), room(kept)
+        if learns:
+            self.d, self.back, self.some = room(4, steps), room(3), room(4)
+
+    def forward(self, table: np.ndarray, x: np.ndarray, h: np.ndarray, u: np.ndarray, begin: np.ndarray) -> np.ndarray:
+        """States (T, B, H) for the inputs ``x`` (T, B), rows of ``table``, from state ``h``; a lane starts anew where ``begin``. Table and ``u`` are ``gatewise``. The next window overwrites the states."""
+        (steps, lanes), k = x.shape, self.width
+        part = lambda room: room.reshape(*room.shape[:-1], -1, k)[..., :lanes, :]
+        states, before, xg, hu, gates, n = (part(r) for r in (self.states, self.before, self.xg, self.hu, self.gates, self.n))
+        rows, gate, fresh = table.reshape(-1, k), (np.arange(3) * table.shape[1])[:, None], begin.any(axis=1)
+        with np.errstate(over="ignore"):  # a gate whose exponent is infinite is shut
+            for t in range(steps):
+                i = t if self.learns else 0
+                np.copyto(before[i], h)
+                if fresh[t]:
+                    before[i][begin[t]] = 0
+                xg[i] = rows.take(x[t] + gate, axis=0, mode="clip")
+                _advance(xg[i], before[i], u, hu[i], gates[i], n[i], states[t])
+                h = states[t]
+        return states[:steps]
+
+    def backward(self, dout: np.ndarray, u: np.ndarray, begin: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Gradients of the inputs (3, T, B, H: candidate, reset, update) and of ``u`` (H, 3H), whose weights ``u`` are given plain; all lanes, after ``forward``."""
+        steps, lanes, k = dout.shape
+        shaped = lambda room: room.reshape(*room.shape[:-1], lanes, k)
+        before, hu, gates, states, n, d, back, some = (shaped(r) for r in (self.before, self.hu, self.gates, self.states, self.n, self.d, self.back, self.some))
+        turned = np.stack([x.T for x in np.split(u, 3, axis=1)])
+        new, rest, dh, slope = some
+        dh[:] = 0
+        fresh = begin.any(axis=1)
+        for t in range(steps - 1, -1, -1):
+            (r, z), own, hn, (dn, dr, dz, dhn) = gates[t], n[t], hu[t, 2], d[:, t]
+            dh += dout[t]
+            np.multiply(dh, z, out=rest)
+            np.subtract(dh, rest, out=new)
+            np.multiply(own, own, out=slope)
+            np.subtract(1, slope, out=slope)
+            np.multiply(new, slope, out=dn)
+            np.multiply(dn, r, out=dhn)
+            np.multiply(dhn, hn, out=dr)
+            np.multiply(dr, r, out=slope)
+            dr -= slope
+            np.subtract(states[t], own, out=dz)  # this is z (h - n)
+            dz *= new
+            np.matmul(d[1:, t], turned, out=back)
+            np.add(rest, back[0], out=dh)
+            dh += back[1]
+            dh += back[2]
+            if fresh[t]:
+                dh[begin[t]] = 0
+        was = before[:steps].reshape(-1, k).T
+        return d[:3, :steps], np.concatenate([was @ d[i, :steps].reshape(-1, k) for i in (1, 2, 3)], axis=1)
+
+
 class Adam:
     """Adam with gradient clipping by global norm."""
 

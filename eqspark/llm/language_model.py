@@ -9,7 +9,7 @@ every training token is passed once by distributed workers, in ``ROUNDS`` rounds
 state over windows from a document's first token to its end, so a score is the log-likelihood of the whole text.
 
 At most ``HOT`` words of at most ``HOT_BYTES`` bytes are broadcast, those above a count that a histogram of counts gives. Other words' counts are joined
-to their documents by a shuffle. Memory of scoring is a window of ``SCORE_WINDOW`` steps by ``SCORE_LANES`` texts beside the tokens of a chunk, however long one text is.
+to their documents by a shuffle. Memory of scoring is a window of ``SCORE_WINDOW`` steps by ``SCORE_LANES`` texts beside the tokens of a chunk and ``HELD_TOKENS`` that wait, or one text, however long it is.
 
 Edge cases: a null or empty text is its end token alone; repeated rows are scored each; a null doc_id is scored and, as
 crc32 of null is not 2 modulo 7, learned from; with no training rows N and V are 0 and every token has
@@ -23,6 +23,7 @@ import math
 from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass
+from itertools import chain, repeat
 
 import numpy as np
 import pyarrow as pa
@@ -53,6 +54,10 @@ LANES, WINDOW = 64, 32
 PASS_LANES = 256
 SCORE_LANES, SCORE_WINDOW = 256, 32
 CHUNK_TOKENS = 400_000
+#: Tokens of texts that are begun or dealt which may wait for more texts.
+HELD_TOKENS = 1_000_000
+#: Rows of logits that are made at once: they stay in a core's cache.
+ROWS = 2048
 #: The end token; words hold no space.
 END = b" "
 N_TAIL = 18
@@ -137,43 +142,51 @@ def initial(vocabulary: Vocabulary, seed: int = 7) -> dict[str, np.ndarray]:
     return {"e": w(n_in, EMBED, s=0.3), "wx": w(EMBED, 3 * HIDDEN, s=EMBED**-0.5), "b": np.zeros(3 * HIDDEN, np.float32), "u": w(HIDDEN, 3 * HIDDEN, s=HIDDEN**-0.5), "wc": w(HIDDEN, vocabulary.n_out, s=0.05), "bc": np.zeros(vocabulary.n_out, np.float32), "wo": w(HIDDEN, vocabulary.n_short, s=0.05), "bo": np.zeros(vocabulary.n_short, np.float32)}
 
 
-def _log_softmax(x: np.ndarray) -> np.ndarray:
-    x = x - x.max(axis=1, keepdims=True)
-    return x - np.log(np.exp(x).sum(axis=1, keepdims=True))
+def _small(w: np.ndarray, b: np.ndarray) -> bool:
+    """Whether no logit can come near overflow: states lie within -1 and 1."""
+    return float((np.abs(w).sum(axis=0) + np.abs(b)).max(initial=0)) < 60
 
 
-def _softmax(logits: np.ndarray) -> np.ndarray:
-    """Softmax of each row, in place; logits far from overflow need no maximum."""
-    if len(logits) and max(float(logits.max()), -float(logits.min())) > 60:
-        logits -= logits.max(axis=1, keepdims=True)
-    np.exp(logits, out=logits)
-    logits /= (logits @ np.ones(logits.shape[1], logits.dtype))[:, None]
-    return logits
+def _exponents(logits: np.ndarray, axis: int, small: bool) -> tuple[np.ndarray, np.ndarray | float]:
+    """Exponentials of ``logits``, in their place, and what was taken off before: their maximum, where they may be large."""
+    top = 0.0 if small else logits.max(axis=axis, keepdims=True)
+    if not small:
+        logits -= top
+    return np.exp(logits, out=logits), top if small else top.squeeze(axis)
 
 
-def _log_probability(logits: np.ndarray, at: np.ndarray) -> np.ndarray:
-    """Log-softmax at one place of each row. States lie within -1 and 1, so logits stay far from overflow; large ones take the safe way."""
-    if len(logits) and float(np.abs(logits).max()) > 60:
-        return _log_softmax(logits)[np.arange(len(at)), at]
-    return logits[np.arange(len(at)), at] - np.log(np.exp(logits) @ np.ones(logits.shape[1], logits.dtype))
+def _by_class(target: np.ndarray, classes: np.ndarray, v: Vocabulary) -> tuple[np.ndarray, np.ndarray, list[tuple[int, int, int, int]]]:
+    """Rows whose target is a word of a class of several words, by class; where each lies in its class's block (words of the class times its rows); and words and rows of each class: first and end."""
+    few = np.flatnonzero((np.diff(v.first) > 1)[np.minimum(classes, v.n_freq - 1)] & (classes < v.n_freq))
+    order = few[np.argsort(classes[few].astype(np.int16), kind="stable")]
+    of = classes[order]
+    size = np.bincount(of, minlength=v.n_freq)
+    start = np.cumsum(size) - size
+    place = (target[order] - v.first[of]) * size[of] + np.arange(len(order)) - start[of]
+    at = np.flatnonzero(size)
+    return order, place, list(zip(v.first[at].tolist(), v.first[at + 1].tolist(), start[at].tolist(), (start + size)[at].tolist(), strict=True))
 
 
-def _by_class(classes: np.ndarray, n_freq: int) -> Iterator[tuple[int, np.ndarray]]:
-    order = np.argsort(classes, kind="stable")
-    edges = np.searchsorted(classes[order], np.arange(n_freq + 1))
-    for k in range(n_freq):
-        if edges[k] < edges[k + 1]:
-            yield k, order[edges[k] : edges[k + 1]]
-
-
-def log_likelihood(h: np.ndarray, target: np.ndarray, p: dict[str, np.ndarray], v: Vocabulary) -> np.ndarray:
-    """Natural log of P(class) and, for short-list words, P(word | class) for states ``h`` (n, H)."""
+def log_likelihood(h: np.ndarray, target: np.ndarray, w: dict[str, np.ndarray], v: Vocabulary) -> np.ndarray:
+    """Natural log of P(class) and, for short-list words, P(word | class) for states ``h`` (n, H) by ``scoring_weights``."""
     classes = v.class_of_ids(target)
-    out = _log_probability(h @ p["wc"] + p["bc"], classes).astype(np.float64)
-    for k, at in _by_class(classes, v.n_freq):
-        a, b = v.first[k], v.first[k + 1]
-        if b - a > 1:
-            out[at] += _log_probability(h[at] @ p["wo"][:, a:b] + p["bo"][a:b], target[at] - a)
+    out = np.empty(len(target))
+    for at in range(0, len(target), ROWS):
+        logits = h[at : at + ROWS] @ w["wc"]
+        logits += w["bc"]
+        own = logits[np.arange(len(logits)), classes[at : at + ROWS]]
+        e, top = _exponents(logits, 1, w["small"])
+        out[at : at + ROWS] = own - top - np.log(e @ np.ones(e.shape[1], e.dtype))
+    order, place, blocks = _by_class(target, classes, v)
+    states, own, sums = h.take(order, axis=0), np.empty(len(order), np.float32), np.empty(len(order), np.float32)
+    for a, b, i, j in blocks:
+        logits = w["wo"][a:b] @ states[i:j].T
+        logits += w["bo"][a:b]
+        logits.take(place[i:j], out=own[i:j], mode="clip")
+        e, top = _exponents(logits, 0, w["small"])
+        np.add.reduce(e, axis=0, out=sums[i:j])
+        own[i:j] -= top
+    out[order] += own - np.log(sums)
     return out
 
 
@@ -202,92 +215,177 @@ def train(sequences: list[np.ndarray], v: Vocabulary, epochs: int = EPOCHS, lane
     x = np.zeros_like(y)  # the token before, the end token at a document's start
     x[1:] = y[:-1]
     x[begin] = 0
-    best, adam = p, gru.Adam(p, rates[0])
+    best, adam, layer = p, gru.Adam(p, rates[0]), gru.Layer(window, lanes, HIDDEN, True)
     steps = epochs * -(-n // window)
     for epoch in range(epochs):
         h = np.zeros((lanes, HIDDEN), np.float32)
         for at in range(0, n, window):
             adam.rate = rates[0] + (rates[1] - rates[0]) * adam.t / steps
-            h = _train_window(x[at : at + window], y[at : at + window], begin[at : at + window], h, p, v, adam)
+            h = _train_window(x[at : at + window], y[at : at + window], begin[at : at + window], h, p, v, adam, layer)
     return best
 
 
-def _train_window(x, y, begin, h, p, v: Vocabulary, adam: gru.Adam) -> np.ndarray:
+def _train_window(x, y, begin, h, p, v: Vocabulary, adam: gru.Adam, layer: gru.Layer) -> np.ndarray:
     steps, lanes = x.shape
-    keep = (~begin)[:, :, None].astype(np.float32)
-    emb = p["e"][x]
-    states, cache = gru.forward(emb @ p["wx"] + p["b"], h, p["u"], keep)
+    states = layer.forward(gru.gatewise(p["e"] @ p["wx"] + p["b"]), x, h, gru.gatewise(p["u"]), begin)
     flat, target = states.reshape(-1, HIDDEN), y.reshape(-1)
     classes, n = v.class_of_ids(target), len(target)
-    d = _softmax(flat @ p["wc"] + p["bc"])
-    d[np.arange(n), classes] -= 1
-    d /= n
-    g = {"wc": flat.T @ d, "bc": d.sum(axis=0), "wo": np.zeros_like(p["wo"]), "bo": np.zeros_like(p["bo"])}
-    dflat = d @ p["wc"].T
-    for k, at in _by_class(classes, v.n_freq):
-        a, b = v.first[k], v.first[k + 1]
-        if b - a > 1:
-            own = flat[at]
-            d = _softmax(own @ p["wo"][:, a:b] + p["bo"][a:b])
-            d[np.arange(len(at)), target[at] - a] -= 1
-            d /= n
-            g["wo"][:, a:b] = own.T @ d
-            g["bo"][a:b] = d.sum(axis=0)
-            dflat[at] += d @ p["wo"][:, a:b].T
-    dxg, g["u"] = gru.backward(dflat.reshape(steps, lanes, HIDDEN), cache, p["u"], keep)
-    dx = dxg.reshape(-1, 3 * HIDDEN)
-    g["wx"] = emb.reshape(-1, EMBED).T @ dx
-    g["b"] = dx.sum(axis=0)
+    share = np.float32(1 / n)
+    small = _small(p["wc"], p["bc"]) and _small(p["wo"], p["bo"])
+    g = {"wc": np.zeros_like(p["wc"]), "bc": np.zeros_like(p["bc"]), "bo": np.zeros_like(p["bo"])}
+    dflat, turned = np.empty_like(flat), np.ascontiguousarray(p["wc"].T)
+    for at in range(0, n, ROWS):
+        own = flat[at : at + ROWS]
+        d = own @ p["wc"]
+        d += p["bc"]
+        _exponents(d, 1, small)
+        d *= (share / (d @ np.ones(d.shape[1], d.dtype)))[:, None]
+        d[np.arange(len(d)), classes[at : at + ROWS]] -= share
+        g["wc"] += own.T @ d
+        g["bc"] += np.ones(len(d), d.dtype) @ d
+        np.matmul(d, turned, out=dflat[at : at + ROWS])
+    order, place, blocks = _by_class(target, classes, v)
+    sorted_states, back = flat.take(order, axis=0), np.empty((len(order), HIDDEN), np.float32)
+    wo, gwo, bo = np.ascontiguousarray(p["wo"].T), np.zeros((v.n_short, HIDDEN), np.float32), p["bo"][:, None]
+    for a, b, i, j in blocks:
+        own = sorted_states[i:j]
+        d = wo[a:b] @ own.T
+        d += bo[a:b]
+        _exponents(d, 0, small)
+        d *= share / np.add.reduce(d, axis=0)
+        d.reshape(-1)[place[i:j]] -= share
+        np.matmul(d, own, out=gwo[a:b])
+        np.add.reduce(d, axis=1, out=g["bo"][a:b])
+        np.matmul(d.T, wo[a:b], out=back[i:j])
+    dflat[order] += back
+    g["wo"] = np.ascontiguousarray(gwo.T)
+    h = states[-1].copy()
+    dxg, g["u"] = layer.backward(dflat.reshape(steps, lanes, HIDDEN), p["u"], begin)
+    dn, dr, dz = (d.reshape(-1, HIDDEN) for d in dxg)
+    read = np.concatenate([p["e"], np.ones((len(p["e"]), 1), np.float32)], axis=1).take(x.reshape(-1), axis=0).T  # the last is for the bias
+    own = np.concatenate([read @ d for d in (dr, dz, dn)], axis=1)
+    g["wx"], g["b"] = np.ascontiguousarray(own[:-1]), own[-1].copy()
+    wr, wz, wn = (np.ascontiguousarray(w.T) for w in np.split(p["wx"], 3, axis=1))
+    de = dr @ wr
+    de += dz @ wz
+    de += dn @ wn
+    ids = x.reshape(-1).astype(np.uint16 if len(p["e"]) <= 1 << 16 else np.int32)  # short ones sort by their digits
+    order = np.argsort(ids, kind="stable")
+    ids = ids[order]
+    first = np.flatnonzero(np.r_[True, ids[1:] != ids[:-1]])
     g["e"] = np.zeros_like(p["e"])
-    np.add.at(g["e"], x.reshape(-1), dx @ p["wx"].T)
+    g["e"][ids[first]] = np.add.reduceat(de.take(order, axis=0), first, axis=0)
     adam.update(g)
-    return states[-1]
+    return h
+
+
+def scoring_weights(p: dict[str, np.ndarray]) -> dict[str, np.ndarray | bool]:
+    return {"xg": gru.gatewise(p["e"] @ p["wx"] + p["b"]), "u": gru.gatewise(p["u"]), "wc": p["wc"], "bc": p["bc"], "wo": np.ascontiguousarray(p["wo"].T), "bo": p["bo"][:, None], "small": _small(p["wc"], p["bc"]) and _small(p["wo"], p["bo"])}
+
+
+@dataclass
+class _Text:
+    """A text that is being scored: its tokens still to come, the one before them (-1: it has not begun) and the log-likelihood of those that were."""
 
+    key: int
+    ids: np.ndarray
+    before: int = -1
+    total: float = 0.0
 
-def scoring_weights(p: dict[str, np.ndarray]) -> dict[str, np.ndarray]:
-    return {"xg": gru.halved(p["e"] @ p["wx"] + p["b"]), "u": gru.halved(p["u"]), **{k: p[k] for k in ("wc", "bc", "wo", "bo")}}
 
+class Scorer:
+    """Scores texts of very different lengths in ``lanes`` that stay full.
 
-def score_sequences(sequences: list[np.ndarray], w: dict[str, np.ndarray], v: Vocabulary, lanes: int = SCORE_LANES, window: int = SCORE_WINDOW) -> np.ndarray:
+    A lane takes one text after another. When the shortest lane of those dealt is through, the others keep the rest of theirs until more texts come, so
+    that a long text does not run on alone. At most ``held`` tokens wait so, or lanes run on in part.
+    """
+
+    def __init__(self, w: dict, v: Vocabulary, lanes: int = SCORE_LANES, window: int = SCORE_WINDOW, held: int = HELD_TOKENS):
+        self.w, self.v, self.lanes, self.window, self.most = w, v, lanes, window, held
+        self.begun: list[_Text | None] = [None] * lanes
+        self.waiting: list[_Text] = []
+        self.h = np.zeros((lanes, HIDDEN), np.float32)
+        self.layer = gru.Layer(window, lanes, HIDDEN, False)
+        self.steps = 0
+
+    def score(self, texts: list[tuple[int, np.ndarray]], last: bool) -> Iterator[tuple[int, float]]:
+        """(key, log-likelihood) of the texts (key, ids) that come to their end now; all that are left with the ``last``."""
+        self.waiting += [_Text(*t) for t in texts]
+        dealt = [[t] if t else [] for t in self.begun]
+        loads = [(len(d[0].ids) if d else 0, i) for i, d in enumerate(dealt)]
+        heapq.heapify(loads)
+        for t in sorted(self.waiting, key=lambda t: -len(t.ids)):
+            load, i = loads[0]
+            dealt[i].append(t)
+            heapq.heapreplace(loads, (load + len(t.ids), i))
+        lengths = np.zeros(self.lanes, np.int64)
+        for load, i in loads:
+            lengths[i] = load
+        steps = self._until(lengths, last)
+        if not steps:
+            return
+        order = np.argsort(-lengths, kind="stable")
+        self.waiting, self.begun = [], [None] * self.lanes
+        totals = iter(self._run([t for i in order for t in dealt[i]], order, lengths[order], steps))
+        for i in order:
+            at = 0
+            for t in dealt[i]:
+                t.total, left = next(totals), steps - at
+                at += len(t.ids)
+                if at <= steps:
+                    yield t.key, t.total
+                elif left > 0:
+                    self.begun[i] = _Text(t.key, t.ids[left:], int(t.ids[left - 1]), t.total)
+                else:
+                    self.waiting.append(t)
+
+    def _until(self, lengths: np.ndarray, last: bool) -> int:
+        if last:
+            return int(lengths.max())
+        least, most = int(lengths.min()), int(lengths.max())
+        if lengths.sum() - self.lanes * least > self.most:  # the fewest steps that leave half of it
+            while least < most:
+                middle = (least + most) // 2
+                least, most = (least, middle) if np.maximum(lengths - middle, 0).sum() <= self.most // 2 else (middle + 1, most)
+        return least
+
+    def _run(self, texts: list[_Text], order: np.ndarray, lengths: np.ndarray, steps: int) -> np.ndarray:
+        """Totals of ``texts``, lane by lane, after ``steps``; ``lengths`` fall."""
+        sizes = np.array([len(t.ids) for t in texts], np.int64)
+        starts = np.cumsum(sizes) - sizes
+        before = np.array([t.before for t in texts])
+        y = np.concatenate([t.ids for t in texts])
+        owner = np.repeat(np.arange(len(texts), dtype=np.int32), sizes)
+        begin = np.zeros(len(y), bool)
+        begin[starts[before < 0]] = True
+        x = np.zeros_like(y)
+        x[1:] = y[:-1]
+        x[starts] = np.maximum(before, 0)
+        total = np.array([t.total for t in texts])
+        ends = np.cumsum(lengths)
+        first = ends - lengths
+        h = self.h[order]
+        for at in range(0, steps, self.window):
+            live = int(np.searchsorted(-lengths, -at))  # lanes that go on
+            place = first[:live] + np.arange(at, min(at + self.window, steps))[:, None]
+            over = place >= ends[:live]
+            np.minimum(place, ends[:live] - 1, out=place)
+            states = self.layer.forward(self.w["xg"], x[place], h[:live], self.w["u"], begin[place])
+            self.steps += len(place)
+            found = log_likelihood(states.reshape(-1, HIDDEN), y[place].reshape(-1), self.w, self.v)
+            found[over.reshape(-1)] = 0
+            total += np.bincount(owner[place].reshape(-1), found, len(texts))
+            h[:live] = states[-1]
+        self.h[order] = h
+        return total
+
+
+def score_sequences(sequences: list[np.ndarray], w: dict, v: Vocabulary, lanes: int = SCORE_LANES, window: int = SCORE_WINDOW) -> np.ndarray:
     """Log-likelihood (natural) of each whole sequence of ids, each ending with 0."""
-    lanes = max(1, min(lanes, len(sequences)))
-    loads = [(0, i) for i in range(lanes)]
-    dealt: list[list[int]] = [[] for _ in range(lanes)]
-    for s in sorted(range(len(sequences)), key=lambda s: -len(sequences[s])):
-        load, i = heapq.heappop(loads)
-        dealt[i].append(s)
-        heapq.heappush(loads, (load + len(sequences[s]), i))
-    dealt.sort(key=lambda d: -sum(len(sequences[s]) for s in d))
-    order = [s for d in dealt for s in d]
-    sizes = np.array([len(sequences[s]) for s in order], np.int64)
-    y = np.concatenate([sequences[s] for s in order])
-    owner = np.repeat(np.array(order, np.int32), sizes)
-    begin = np.zeros(len(y), bool)
-    begin[np.cumsum(sizes) - sizes] = True
-    x = np.zeros_like(y)
-    x[1:] = y[:-1]
-    x[begin] = 0
-    lengths = np.array([sum(len(sequences[s]) for s in d) for d in dealt])  # falling
-    first = np.cumsum(lengths) - lengths
-    steps = int(lengths[0])
-    total = np.zeros(len(sequences))
-    h = np.zeros((lanes, HIDDEN), np.float32)
-    for at in range(0, steps, window):
-        states, places = [], []
-        for t in range(at, min(at + window, steps)):
-            live = int(np.searchsorted(-lengths, -t))  # lanes that go on
-            h = h[:live]
-            place = first[:live] + t
-            fresh = np.flatnonzero(begin[place])
-            if len(fresh):
-                h = h.copy()  # the states of the step before are still to be scored
-                h[fresh] = 0
-            h = gru.step(w["xg"][x[place]], h, w["u"])
-            states.append(h)
-            places.append(place)
-        place = np.concatenate(places)
-        total += np.bincount(owner[place], log_likelihood(np.concatenate(states), y[place], w, v), len(sequences))
-    return total
+    out = np.zeros(len(sequences))
+    for i, x in Scorer(w, v, max(1, min(lanes, len(sequences))), window).score(list(enumerate(sequences)), True):
+        out[i] = x
+    return out
 
 
 def _to_ids(words: list[bytes], v: Vocabulary) -> np.ndarray:
@@ -297,40 +395,46 @@ def _to_ids(words: list[bytes], v: Vocabulary) -> np.ndarray:
 
 def _scorer(shared):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        v, w, hot_ids, hot_logs = shared.value["v"], shared.value["w"], shared.value["hot"], shared.value["logs"]
-        get, base = hot_ids.get, v.n_short
+        v, hot_logs = shared.value["v"], shared.value["logs"]
+        get, base = shared.value["hot"].get, v.n_short
         tail_of_hot, tail_base = shared.value["tails"], v.tail_base
-
-        def score(doc_ids: list, texts: list) -> pa.RecordBatch:
-            sequences, rare, parts = [], [], []
-            for text in texts:
-                words = tokens(text)
-                at = np.array([get(x, -1) for x in words], np.int64)
-                known = at >= 0
-                ids = np.where(at < base - 1, at + 1, base + tail_of_hot[at])  # what is not hot is set next
-                unknown = np.flatnonzero(~known)
-                found = [words[i] for i in unknown]
-                ids[unknown] = [base + tail_class(x) for x in found]
-                is_tail = ids >= base
-                logs = hot_logs[at[known]].sum()
-                tail_logs = hot_logs[at[known & is_tail]].sum() + tail_base[ids[is_tail] - base].sum()
-                sequences.append(np.append(ids, 0).astype(np.int32))
-                rare.append(Counter(found))
-                parts.append((len(words) + 1, int(known.sum()), float(logs), float(tail_logs)))
-            model = score_sequences(sequences, w, v)
-            rows = list(zip(*parts, strict=True))
-            return pa.RecordBatch.from_arrays(
-                [pa.array(doc_ids, pa.int64()), *(pa.array(c, t) for c, t in zip(rows, (pa.int64(), pa.int64(), pa.float64(), pa.float64()), strict=True)), pa.array(model), pa.array([list(r) for r in rare], pa.list_(pa.binary())), pa.array([list(r.values()) for r in rare], pa.list_(pa.int32()))],
-                ["doc_id", "n_tokens", "n_hot", "logs", "tail_logs", "model", "rare", "times"],
-            )
-
+        scorer = Scorer(shared.value["w"], v)
+        known_of: dict[int, tuple] = {}  # of texts whose end is still to come
+        n = 0
+
+        def read(doc_id: int | None, text: str | None) -> np.ndarray:
+            words = tokens(text)
+            at = np.fromiter(map(get, words, repeat(-1)), np.int32, len(words))
+            ids = np.where(at < base - 1, at + 1, base + tail_of_hot[at])  # what is not hot is set next
+            unknown = np.flatnonzero(at < 0)
+            found = [words[i] for i in unknown.tolist()]
+            ids[unknown] = [base + tail_class(x) for x in found]
+            known_logs = hot_logs[at]  # zero where a word is not hot
+            tail = ids >= base
+            rare = Counter(found)
+            known_of[n] = (doc_id, len(words) + 1, len(words) - len(found), float(known_logs.sum()), float(known_logs[tail].sum() + tail_base[ids[tail] - base].sum()), list(rare), list(rare.values()))
+            return np.append(ids, 0).astype(np.int32)
+
+        def score(texts: list[tuple[int, np.ndarray]], last: bool) -> Iterator[pa.RecordBatch]:
+            found = list(scorer.score(texts, last))
+            if found:
+                doc_ids, sizes, hot, logs, tail_logs, rare, times = zip(*(known_of.pop(k) for k, _ in found), strict=True)
+                edges = pa.array(np.cumsum([0, *map(len, rare)]), pa.int32())
+                lists = [pa.ListArray.from_arrays(edges, pa.array([*chain.from_iterable(x)], t)) for x, t in ((rare, pa.binary()), (times, pa.int32()))]
+                yield pa.RecordBatch.from_arrays(
+                    [pa.array(doc_ids, pa.int64()), pa.array(sizes, pa.int64()), pa.array(hot, pa.int64()), pa.array(logs, pa.float64()), pa.array(tail_logs, pa.float64()), pa.array([x for _, x in found], pa.float64()), *lists],
+                    ["doc_id", "n_tokens", "n_hot", "logs", "tail_logs", "model", "rare", "times"],
+                )
+
+        texts, size = [], 0
         for b in batches:
-            ids, texts, start, size = b.column(0).to_pylist(), b.column(1).to_pylist(), 0, 0
-            for i, t in enumerate(texts):
-                size += len(t or "") // 5 + 1
-                if size >= CHUNK_TOKENS or i == len(texts) - 1:
-                    yield score(ids[start : i + 1], texts[start : i + 1])
-                    start, size = i + 1, 0
+            for doc_id, text in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
+                texts.append((n, read(doc_id, text)))
+                n, size = n + 1, size + len(texts[-1][1])
+                if size >= CHUNK_TOKENS:
+                    yield from score(texts, False)
+                    texts, size = [], 0
+        yield from score(texts, True)
 
     return run
 
@@ -515,8 +619,8 @@ def score_documents(docs: DataFrame) -> DataFrame:
 def score_with(docs: DataFrame, model: Model) -> DataFrame:
     """``score_documents`` by a fitted model; ``docs`` has doc_id (long) and text."""
     counts, total, types, end_count, hot, v = model.counts, model.total, model.types, model.end_count, model.hot, model.vocabulary
-    logs = np.log(np.array([c + 1.0 for _, c in hot] + [1.0]))
-    tail_of_hot = np.array([tail_class(w) for w, _ in hot] + [0], np.int64)
+    logs = np.log(np.array([c + 1.0 for _, c in hot] + [1.0]))  # the last is of words that are not hot
+    tail_of_hot = np.array([tail_class(w) for w, _ in hot] + [0], np.int32)
     lean = Vocabulary.__new__(Vocabulary)
     lean.__dict__ |= {k: x for k, x in v.__dict__.items() if k not in ("words", "ids", "counts")}
     shared = docs.sparkSession.sparkContext.broadcast({"v": lean, "w": scoring_weights(model.weights), "hot": {w: i for i, (w, _) in enumerate(hot)}, "logs": logs, "tails": tail_of_hot})
