@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import math
+
 import numpy as np
 
 
@@ -173,6 +175,8 @@ class Adam:
 
     def update(self, grads: dict[str, np.ndarray]) -> None:
         self.t += 1
+        if not self.decay:
+            return self._update(grads)
         norm = np.sqrt(sum(float((g * g).sum()) for g in grads.values()))
         scale = min(1.0, self.clip / max(norm, 1e-12))
         rate = self.rate * np.sqrt(1 - 0.999**self.t) / (1 - 0.9**self.t)
@@ -181,3 +185,22 @@ class Adam:
             self.m[k] += 0.1 * (g - self.m[k])
             self.v[k] += 0.001 * (g * g - self.v[k])
             self.params[k] -= (rate * self.m[k] / (np.sqrt(self.v[k]) + 1e-8) + self.rate * self.decay * self.params[k]).astype(self.params[k].dtype)
+
+    def _update(self, grads: dict[str, np.ndarray]) -> None:
+        """Without decay: in the parameters' own precision and, as far as it goes, in their place."""
+        norm = math.sqrt(sum(float(np.vdot(g, g)) for g in grads.values()))
+        scale = min(1.0, self.clip / max(norm, 1e-12))
+        rate = self.rate * math.sqrt(1 - 0.999**self.t) / (1 - 0.9**self.t)
+        for k, g in grads.items():
+            m, v, room = self.m[k], self.v[k], np.multiply(g, 0.1 * scale)
+            m *= 0.9
+            m += room
+            np.multiply(g, g, out=room)
+            room *= 0.001 * scale * scale
+            v *= 0.999
+            v += room
+            np.sqrt(v, out=room)
+            room += 1e-8
+            np.divide(m, room, out=room)
+            room *= rate
+            self.params[k] -= room

@@ -23,10 +23,11 @@ import math
 from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass
-from itertools import chain, repeat
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -54,8 +55,10 @@ LANES, WINDOW = 64, 32
 PASS_LANES = 256
 SCORE_LANES, SCORE_WINDOW = 256, 32
 CHUNK_TOKENS = 400_000
+#: Tokens whose words are counted at once.
+COUNT_TOKENS = 3_000_000
 #: Tokens of texts that are begun or dealt which may wait for more texts.
-HELD_TOKENS = 1_000_000
+HELD_TOKENS = 2_000_000
 #: Rows of logits that are made at once: they stay in a core's cache.
 ROWS = 2048
 #: The end token; words hold no space.
@@ -77,22 +80,43 @@ def tokens(text: str | None) -> list[bytes]:
     return text.encode().lower().split() if text else []
 
 
-def _count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    found: Counter = Counter()
+def split(texts: pa.Array) -> tuple[pa.Array, np.ndarray]:
+    """``tokens`` of a column: the words (binary) of all texts, one after another, and how many each text has."""
+    lists = pc.ascii_split_whitespace(pc.ascii_lower(texts))
+    words, sizes = lists.flatten(), pc.fill_null(pc.list_value_length(lists), 0).to_numpy(zero_copy_only=False)
+    empty = pc.equal(pc.binary_length(words), 0).to_numpy(zero_copy_only=False)  # before white space that begins a text, and after what ends it
+    if empty.any():
+        sizes = sizes - np.bincount(np.repeat(np.arange(len(sizes)), sizes)[empty], minlength=len(sizes))
+        words = words.filter(pa.array(~empty))
+    return words.cast(pa.binary()), sizes
+
+
+def tail_classes(words: pa.Array) -> np.ndarray:
+    """``tail_class`` of each of ``words`` (binary, none empty)."""
+    if not len(words):
+        return np.zeros(0, np.int32)
+    _, edges, data = words.buffers()
+    edges = np.frombuffer(edges, np.int32)[words.offset : words.offset + len(words) + 1].astype(np.int64)
+    data = np.frombuffer(data, np.uint8)[edges[0] : edges[-1]]
+    edges -= edges[0]
+    n, last, ascii_ = np.diff(edges), data[edges[1:] - 1], np.maximum.reduceat(data, edges[:-1]) < 128
+    return (np.where(n <= 4, 0, np.where(n <= 8, 1, 2)) * 6 + np.where(last == 46, 0, np.where(last == 44, 1, 2)) * 2 + ~ascii_).astype(np.int32)
+
 
-    def flush() -> pa.RecordBatch:
-        words = [w for w in found if w != END]
-        out = pa.RecordBatch.from_arrays([pa.array([*words, *([END] if END in found else [])], pa.binary()), pa.array([*map(tail_class, words), *([-1] if END in found else [])], pa.int32()), pa.array([*(found[w] for w in words), *([found[END]] if END in found else [])], pa.int64())], ["word", "tail", "c"])
-        found.clear()
-        return out
+def pieces(texts: pa.Array, n_tokens: int) -> Iterator[slice]:
+    """Stretches of a column of about ``n_tokens`` tokens, whole texts."""
+    part = np.cumsum(pc.fill_null(pc.binary_length(texts), 0).to_numpy(zero_copy_only=False), dtype=np.int64) // (6 * n_tokens)
+    edges = [0, *(np.flatnonzero(np.diff(part)) + 1).tolist(), len(texts)]
+    return (slice(a, b) for a, b in zip(edges, edges[1:], strict=False) if a < b)
 
+
+def _count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for b in batches:
-        for text in b.column(0).to_pylist():
-            found.update(tokens(text))
-            found[END] += 1
-            if len(found) > 300_000:
-                yield flush()
-    yield flush()
+        for at in pieces(b.column(0), COUNT_TOKENS):
+            words, sizes = split(b.column(0)[at])
+            found = pc.value_counts(words)
+            values = found.field(0)
+            yield pa.RecordBatch.from_arrays([pa.concat_arrays([values, pa.array([END], pa.binary())]), pa.array(np.append(tail_classes(values), -1), pa.int32()), pa.concat_arrays([found.field(1).cast(pa.int64()), pa.array([len(sizes)], pa.int64())])], ["word", "tail", "c"])
 
 
 def count_words(docs: DataFrame) -> DataFrame:
@@ -396,24 +420,29 @@ def _to_ids(words: list[bytes], v: Vocabulary) -> np.ndarray:
 def _scorer(shared):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         v, hot_logs = shared.value["v"], shared.value["logs"]
-        get, base = shared.value["hot"].get, v.n_short
+        hot, base = shared.value["hot"], v.n_short
         tail_of_hot, tail_base = shared.value["tails"], v.tail_base
         scorer = Scorer(shared.value["w"], v)
         known_of: dict[int, tuple] = {}  # of texts whose end is still to come
         n = 0
 
-        def read(doc_id: int | None, text: str | None) -> np.ndarray:
-            words = tokens(text)
-            at = np.fromiter(map(get, words, repeat(-1)), np.int32, len(words))
-            ids = np.where(at < base - 1, at + 1, base + tail_of_hot[at])  # what is not hot is set next
+        def read(doc_ids: list, texts: pa.Array, n: int) -> Iterator[tuple[int, np.ndarray]]:
+            words, sizes = split(texts)
+            at = pc.fill_null(pc.index_in(words, hot), -1).to_numpy(zero_copy_only=False)
+            ids = np.where(at < base - 1, at + 1, base + tail_of_hot[at]).astype(np.int32)  # what is not hot is set next
             unknown = np.flatnonzero(at < 0)
-            found = [words[i] for i in unknown.tolist()]
-            ids[unknown] = [base + tail_class(x) for x in found]
-            known_logs = hot_logs[at]  # zero where a word is not hot
-            tail = ids >= base
-            rare = Counter(found)
-            known_of[n] = (doc_id, len(words) + 1, len(words) - len(found), float(known_logs.sum()), float(known_logs[tail].sum() + tail_base[ids[tail] - base].sum()), list(rare), list(rare.values()))
-            return np.append(ids, 0).astype(np.int32)
+            found = words.take(pa.array(unknown))
+            ids[unknown] = base + tail_classes(found)
+            found, row, logs = found.to_pylist(), np.repeat(np.arange(len(sizes)), sizes), hot_logs[at]  # zero where a word is not hot
+            tail = np.flatnonzero(ids >= base)
+            sums = np.bincount(row, logs, len(sizes)).tolist()
+            tail_sums = np.bincount(row[tail], logs[tail] + tail_base[ids[tail] - base], len(sizes)).tolist()
+            edges = np.cumsum([0, *sizes.tolist()])
+            cuts = np.searchsorted(unknown, edges).tolist()
+            for i, (doc_id, size) in enumerate(zip(doc_ids, sizes.tolist(), strict=True)):
+                rare = Counter(found[cuts[i] : cuts[i + 1]])
+                known_of[n + i] = (doc_id, size + 1, size - cuts[i + 1] + cuts[i], sums[i], tail_sums[i], list(rare), list(rare.values()))
+                yield n + i, np.append(ids[edges[i] : edges[i + 1]], np.int32(0))
 
         def score(texts: list[tuple[int, np.ndarray]], last: bool) -> Iterator[pa.RecordBatch]:
             found = list(scorer.score(texts, last))
@@ -426,15 +455,14 @@ def _scorer(shared):
                     ["doc_id", "n_tokens", "n_hot", "logs", "tail_logs", "model", "rare", "times"],
                 )
 
-        texts, size = [], 0
         for b in batches:
-            for doc_id, text in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
-                texts.append((n, read(doc_id, text)))
-                n, size = n + 1, size + len(texts[-1][1])
-                if size >= CHUNK_TOKENS:
-                    yield from score(texts, False)
-                    texts, size = [], 0
-        yield from score(texts, True)
+            order = np.argsort(-pc.fill_null(pc.binary_length(b.column(1)), 0).to_numpy(zero_copy_only=False), kind="stable")  # the longest first, so that none of them is left to run on alone
+            b = b.take(pa.array(order))
+            for at in pieces(b.column(1), CHUNK_TOKENS):
+                texts = list(read(b.column(0)[at].to_pylist(), b.column(1)[at], n))
+                n += len(texts)
+                yield from score(texts, False)
+        yield from score([], True)
 
     return run
 
@@ -530,12 +558,18 @@ def train_all(docs: DataFrame, v: Vocabulary, start: dict[str, np.ndarray], n_to
     shards = -(-n_tokens // shard_tokens)
     rounds = min(rounds, shards)
     context = spark.sparkContext
-    vocabulary = context.broadcast(v)
+    short, base = context.broadcast(pa.array(v.words, pa.binary())), v.n_short
 
     def to_ids(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            out = [_to_ids(tokens(t), vocabulary.value).tobytes() for t in b.column(1).to_pylist()]
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(out, pa.binary())], ["h", "ids"])
+            for part in pieces(b.column(1), CHUNK_TOKENS):
+                words, sizes = split(b.column(1)[part])
+                ids = pc.fill_null(pc.index_in(words, short.value), -1).to_numpy(zero_copy_only=False) + np.int32(1)
+                tail = np.flatnonzero(ids == 0)
+                ids[tail] = base + tail_classes(words.take(pa.array(tail)))
+                edges = np.cumsum([0, *sizes.tolist()]).tolist()
+                out = [np.append(ids[i:j], np.int32(0)).tobytes() for i, j in zip(edges, edges[1:], strict=False)]
+                yield pa.RecordBatch.from_arrays([b.column(0)[part], pa.array(out, pa.binary())], ["h", "ids"])
 
     h = F.xxhash64(F.col("doc_id").cast("long"), F.col("text").cast("string"), F.lit("lm-pass"))
     rows = docs.where(~held_out(F.col("doc_id"))).select(h.alias("h"), F.col("text").cast("string"))
@@ -623,7 +657,7 @@ def score_with(docs: DataFrame, model: Model) -> DataFrame:
     tail_of_hot = np.array([tail_class(w) for w, _ in hot] + [0], np.int32)
     lean = Vocabulary.__new__(Vocabulary)
     lean.__dict__ |= {k: x for k, x in v.__dict__.items() if k not in ("words", "ids", "counts")}
-    shared = docs.sparkSession.sparkContext.broadcast({"v": lean, "w": scoring_weights(model.weights), "hot": {w: i for i, (w, _) in enumerate(hot)}, "logs": logs, "tails": tail_of_hot})
+    shared = docs.sparkSession.sparkContext.broadcast({"v": lean, "w": scoring_weights(model.weights), "hot": pa.array([w for w, _ in hot], pa.binary()), "logs": logs, "tails": tail_of_hot})
     scored = docs.mapInArrow(_scorer(shared), SCORED).withColumn("row_id", F.monotonically_increasing_id())
     scored = materialize(scored, "lm-scored")
     pairs = scored.select("row_id", F.explode(F.arrays_zip("rare", "times")).alias("x")).select("row_id", F.col("x.rare").alias("word"), F.col("x.times").alias("times"))

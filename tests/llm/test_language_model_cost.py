@@ -79,10 +79,41 @@ def test_gradients_of_a_window(large):
         assert float((seen[k] * way).sum()) == pytest.approx((up - down) / 6e-3, rel=0.03, abs=2e-3)
 
 
+def test_adam_without_decay_stays_in_its_precision():
+    rng = np.random.default_rng(5)
+    start = {"a": rng.standard_normal((4, 3)).astype(np.float32), "b": rng.standard_normal(5).astype(np.float32)}
+    p, m, v = {k: x.astype(float) for k, x in start.items()}, dict.fromkeys(start, 0.0), dict.fromkeys(start, 0.0)
+    adam = gru.Adam(start, 0.01)
+    for t in range(1, 6):
+        g = {k: (rng.standard_normal(x.shape) * (9 if t == 2 else 1)).astype(np.float32) for k, x in start.items()}
+        scale = min(1, 5 / np.sqrt(sum((x.astype(float) ** 2).sum() for x in g.values())))
+        for k in p:
+            m[k], v[k] = 0.9 * m[k] + 0.1 * scale * g[k], 0.999 * v[k] + 0.001 * (scale * g[k]) ** 2.0
+            p[k] -= 0.01 * np.sqrt(1 - 0.999**t) / (1 - 0.9**t) * m[k] / (np.sqrt(v[k]) + 1e-8)
+        adam.update(g)
+        assert all(adam.params[k].dtype == np.float32 and np.allclose(adam.params[k], p[k], atol=1e-6) for k in p)
+
+
+def test_words_of_a_column():
+    """The words of a column, their number and their classes are those of its texts one by one."""
+    texts = ["  a B\x0b\n c  ", "", None, "x\x1cy\x85z\u00a0q \u00c0B", "\t", "end", "A.\tlonger, \u4e2d\u6587\u8bcd. considerably", None]
+    column = pa.array(["cut off", *texts], pa.string())[1:]
+    words, sizes = language_model.split(column)
+    want = [language_model.tokens(t) for t in texts]
+    assert sizes.tolist() == [len(w) for w in want] and words.to_pylist() == [w for ws in want for w in ws]
+    assert language_model.tail_classes(words[1:]).tolist() == [language_model.tail_class(w) for w in words.to_pylist()[1:]]
+    assert language_model.split(column[:0])[1].tolist() == [] and language_model.split(pa.array([None, ""], pa.string()))[1].tolist() == [0, 0]
+    cut = list(language_model.pieces(column, 1))
+    assert [i for s in cut for i in range(len(texts))[s]] == list(range(len(texts))) and len(cut) > 2
+    (b,) = language_model._count(iter([pa.RecordBatch.from_arrays([column], ["text"])]))
+    counts = {w: (t, c) for w, t, c in zip(*(x.to_pylist() for x in b.columns), strict=True)}
+    assert counts[language_model.END] == (-1, 8) and counts[b"a"] == (language_model.tail_class(b"a"), 1) and sum(c for _, c in counts.values()) == 8 + sum(map(len, want))
+
+
 def test_a_task_keeps_its_texts_over_chunks(monkeypatch):
     """Every text of a task comes out once, null keys and empty texts too, however the chunks fall."""
     v, p = _model()
-    hot = {b"w%d" % i: i for i in range(30)}
+    hot = pa.array([b"w%d" % i for i in range(30)])
 
     class Shared:
         value = {"v": v, "w": language_model.scoring_weights(p), "hot": hot, "logs": np.array([*np.log(np.arange(51.0, 21.0, -1)), 0.0]), "tails": np.array([language_model.tail_class(b"w1")] * 31, np.int32)}
